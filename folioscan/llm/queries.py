@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folioscan.llm import exact_dedup, mixing, sharding, url_filter
+from folioscan.llm import byte_bpe, exact_dedup, mixing, sharding, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
+        "op3_token_counts": token_counts.query,
+        "op5_byte_bpe": byte_bpe.query,
         "op7_url_filter": url_filter.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_sharding": sharding.query,
