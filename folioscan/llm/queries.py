@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from folioscan.llm import byte_bpe, exact_dedup, mixing, sharding, token_counts, url_filter
+from folioscan.llm import byte_bpe, embedding_dedup, exact_dedup, mixing, sharding, substring_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
+        "op2_embedding_dedup": embedding_dedup.query,
         "op3_token_counts": token_counts.query,
         "op5_byte_bpe": byte_bpe.query,
         "op7_url_filter": url_filter.query,
+        "op8_substring_dedup": substring_dedup.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_sharding": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.sql(), "op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_embedding_dedup": embedding_dedup.SQL, "op7_url_filter": url_filter.sql(), "op9_exact_dedup": exact_dedup.SQL}
