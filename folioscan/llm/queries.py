@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscan.llm import byte_bpe, embedding_dedup, exact_dedup, minhash_dedup, mixing, sharding, substring_dedup, token_counts, url_filter
+from folioscan.llm import byte_bpe, embedding_dedup, exact_dedup, minhash_dedup, mixing, sharding, substring_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": mixing.query,
         "op2_embedding_dedup": embedding_dedup.query,
         "op3_token_counts": token_counts.query,
+        "op4_toxicity": toxicity.query,
         "op5_byte_bpe": byte_bpe.query,
         "op6_minhash_dedup": minhash_dedup.query,
         "op7_url_filter": url_filter.query,
