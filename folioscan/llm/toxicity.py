@@ -3,7 +3,8 @@
 A character trigram model is counted over all documents. A token that may be disguised (leetspeak, letters apart,
 repeated letters, wild cards) becomes a lattice: each place offers the letters it may stand for, each at a channel cost,
 and Viterbi decoding under the character model picks the reading. All other tokens have one reading and are left alone.
-A document's score is a logistic regression on which words of a small vocabulary its restored text holds.
+A document's score is a logistic regression on which words, and beginnings of words, of a small vocabulary its restored
+text holds, once or often.
 
 The vocabulary and the weights are fitted on at most SAMPLE labelled documents (those of least hash), and never on held
 out ones: those whose crc32(doc_id) is 0 modulo 5. Nothing but the text is an input of a score.
@@ -16,6 +17,7 @@ there are none). score() keeps the input's rows as they are and adds columns; re
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from folioscan.llm import common
 
 #: Labelled documents that are fitted on, words in the vocabulary, least documents of a word, words remembered by a worker.
-SAMPLE, VOCABULARY, LEAST_DOCS, REMEMBERED = 20_000, 400, 8, 500_000
+SAMPLE, VOCABULARY, LEAST_DOCS, REMEMBERED = 6_000, 600, 8, 400_000
+#: Lengths of the beginnings of words that are features, and the share of a text's words that makes a feature strong.
+PREFIXES, STRONG = (4, 5, 6, 7), 0.005
 #: Letters of the character model; everything else is the edge of a word, 0.
 LETTERS = 27
 #: What a character may stand for in a disguised word.
@@ -38,6 +42,7 @@ LONGEST = 48
 
 _APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _RUN = re.compile(r"(\S)\1*")
+_THRICE, _LETTER = re.compile(r"(.)\1\1"), re.compile("[a-z]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _EDGE = MARKS + WILD + "".join(c for c in LEET if not c.isalnum())
 
@@ -116,55 +121,72 @@ class Channel:
         return min((cost + costs[a][b][0], out) for (a, b), (cost, out) in best.items())[1]
 
 
+def names(word: str) -> list[str]:
+    """What is known of a word: itself, and its beginnings."""
+    return ["w=" + word, *("p=" + word[:k] for k in PREFIXES if len(word) > k)]
+
+
 class Reader:
-    """Texts to the words of their restored form; readings of tokens are remembered."""
+    """Texts to the features of their restored form; what a token gives is remembered."""
 
-    def __init__(self, costs: np.ndarray):
-        self.channel, self.known = Channel(costs), {}
+    def __init__(self, costs: np.ndarray, vocabulary: frozenset[str] | None = None):
+        self.channel, self.vocabulary, self.known = Channel(costs), vocabulary, {}
 
-    def _read(self, token: str) -> tuple[str, ...]:
+    def readings(self, token: str) -> set[str]:
         core = token.strip(_EDGE)
-        if core.isalpha() and not (len(core) > 2 and re.search(r"(.)\1\1", core)):
-            words = (core,)
+        if core.isalpha():
+            words = {core}
             edge = token[len(token.rstrip(_EDGE)) :]
             lead = token[: len(token) - len(token.lstrip(_EDGE))]
             # a single leet sign beside the word may belong to it; more of them are noise
             if (len(edge) == 1 and edge in LEET) or (len(lead) == 1 and lead in LEET):
-                words += (self.channel.decode(token),)
-        else:
-            words = tuple(_WORDS.findall(core))
-            if any("a" <= c <= "z" for c in core) or sum(c in LEET for c in core) > 2:
-                # within LONGEST characters a token is read as one word; longer ones piece by piece between marks
-                parts = [core] if len(core) <= LONGEST else [p for p in re.split(r"[^\w@$!+|*]+", core) if 2 < len(p) <= LONGEST]
-                words += tuple(self.channel.decode(p) for p in parts)
+                words.add(self.channel.decode(token))
+            if len(core) > 2 and _THRICE.search(core) and len(core) <= LONGEST:
+                words.add(self.channel.decode(core))
+            return words
+        words = set(_WORDS.findall(core))
+        if _LETTER.search(core) or sum(c in LEET for c in core) > 2:
+            # within LONGEST characters a token is read as one word; longer ones piece by piece between marks
+            parts = [core] if len(core) <= LONGEST else [p for p in re.split(r"[^\w@$!+|*]+", core) if 2 < len(p) <= LONGEST]
+            words.update(self.channel.decode(p) for p in parts)
+        return words
+
+    def _names(self, token: str) -> tuple[str, ...]:
+        found = {n for w in self.readings(token) for n in names(w)}
+        if self.vocabulary is not None:
+            found &= self.vocabulary
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        self.known[token] = words
-        return words
+        self.known[token] = out = tuple(found)
+        return out
 
-    def words(self, text: str) -> set[str]:
+    def features(self, text: str) -> set[str]:
+        """Names that occur, and with a + those that make up a share of STRONG of the words, twice at least."""
         low = text.lower()
-        tokens = set(low.split())
-        out = {t for t in tokens if t.isalpha()}
+        tokens = Counter(low.split())
+        counts: dict[str, int] = {}
         known = self.known
-        for t in tokens - out:
-            out.update(known[t] if t in known else self._read(t))
-        raw = np.frombuffer(low.encode(), dtype=np.uint8)
-        if len(raw) > 2 and ((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] >= 97) & (raw[2:] <= 122)).any():
-            for t in [t for t in out if re.search(r"([a-z])\1\1", t)]:
-                out.update(known[t] if t in known else self._read(t))
+        for t, n in tokens.items():
+            found = known.get(t)
+            if found is None:
+                found = self._names(t)
+            for name in found:
+                counts[name] = counts.get(name, 0) + n
         for m in _APART.finditer(low):
             letters = m[0].split()
             for lo in range(0, len(letters), LONGEST // 2):  # long runs in overlapping pieces
-                out.add(self.channel.decode("".join(letters[lo : lo + LONGEST])))
-        return out
+                for name in names(self.channel.decode("".join(letters[lo : lo + LONGEST]))):
+                    if self.vocabulary is None or name in self.vocabulary:
+                        counts[name] = counts.get(name, 0) + 1
+        least = max(2.0, STRONG * sum(tokens.values()))
+        return counts.keys() | {name + "+" for name, n in counts.items() if n >= least}
 
 
 def _read_words(costs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(costs)
         for b in batches:
-            words = [sorted(reader.words(t or "")) for t in b.column(2).to_pylist()]
+            words = [sorted(reader.features(t or "")) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
     return run
@@ -195,10 +217,11 @@ class Model:
         self.costs, self.weights, self.intercept = costs, weights, intercept
 
     def scorer(self):
-        reader, weights, known = Reader(self.costs), self.weights, frozenset(self.weights)
+        weights, known = self.weights, frozenset(self.weights)
+        reader = Reader(self.costs, frozenset(w.removesuffix("+") for w in known))
 
         def score(text: str | None) -> float:
-            z = self.intercept + sum(sorted(weights[w] for w in known.intersection(reader.words(text or ""))))
+            z = self.intercept + sum(sorted(weights[w] for w in known.intersection(reader.features(text or ""))))
             return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
         return score
