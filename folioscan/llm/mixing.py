@@ -117,8 +117,9 @@ def _sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS) -> DataFrame:
     """The rows of docs as often as the mix takes them."""
     taken = decide(_sizes(docs), share, cap, weights).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    often = rows.join(taken, F.col("_doc").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return often.select("_row.*")
 
 
 def query(spark, sf_dir):

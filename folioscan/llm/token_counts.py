@@ -95,10 +95,10 @@ def count_tokens(docs: DataFrame, path: str, cache: str, doc_id: str = "doc_id",
     light = common.materialise(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(source), F.lit(0)).cast("long").alias("n_bytes"), digest), "tokens-digests")
     missing = light.groupBy("digest").agg(F.min("doc_id").alias("_id")).join(_stored(spark, cache, version), "digest", "left_anti")
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(source, F.lit("")).cast("binary").alias("_text"), digest)
-    # the document that stands for a digest, by id and digest; rows that repeat both are encoded again and agree
+    # the document that stands for a digest, by id and digest; rows that repeat both are encoded again, and stored once
     wanted = texts.join(missing.hint("shuffle_hash"), ["_id", "digest"], "left_semi").select("digest", "_text")
     null_ids = texts.join(missing.filter("_id IS NULL").select("digest"), "digest", "left_semi").filter("_id IS NULL").select("digest", "_text")
-    fresh = wanted.unionByName(null_ids).mapInArrow(_encode(path), "digest binary, n_tokens long")
+    fresh = wanted.unionByName(null_ids).mapInArrow(_encode(path), "digest binary, n_tokens long").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     return light.join(_stored(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
 
