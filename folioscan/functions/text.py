@@ -45,11 +45,15 @@ def fold_ascii(c: Column) -> Column:
     return F.regexp_replace(_folded(c), rf"(?U)[^{ALNUM}\s]", "")
 
 
+def _low(s: str) -> str:
+    return "".join(c.lower() for c in unicodedata.normalize("NFKD", s)).replace("ς", "σ")
+
+
 def python_normalised(s: str, variants: bool = True) -> str:
     """normalised() for literals on the driver."""
     import regex
 
-    low = "".join(c.lower() for c in unicodedata.normalize("NFKD", s))
+    low = _low(s)
     low = low.translate(str.maketrans(_FOLD_FROM, _FOLD_TO)) if variants else low
     return regex.sub(r"[^\p{Alphabetic}\p{N}]", "", low)
 
@@ -57,7 +61,7 @@ def python_normalised(s: str, variants: bool = True) -> str:
 def python_normalised_spaces(s: str) -> str:
     import regex
 
-    low = "".join(c.lower() for c in unicodedata.normalize("NFKD", s))
+    low = _low(s)
     return regex.sub(r"[^\p{Alphabetic}\p{N}]+", " ", low).strip()
 
 
@@ -90,7 +94,7 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def is_subsequence(text: Column, pattern: Column) -> Column:
     """Whether pattern's characters occur in text in their order."""
-    left = F.aggregate(F.split(text, "(?!^)"), pattern, lambda rest, c: F.when((rest != "") & rest.startswith(c) & (c != ""), F.substring(rest, 2, 1 << 30)).otherwise(rest))
+    left = F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), pattern, lambda rest, c: F.when((rest != "") & rest.startswith(c) & (c != ""), F.substring(rest, 2, 1 << 30)).otherwise(rest))
     return left == ""
 
 
