@@ -84,7 +84,7 @@ def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def _grams(tag: str, text: Column) -> Column:
-    chars = F.split(text, "(?!^)", -1)
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
     def of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
