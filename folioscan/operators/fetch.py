@@ -130,6 +130,18 @@ def capped(text: Column, most: int = FETCHED) -> Column:
     return F.substring(text, 1, most)
 
 
+def with_fallbacks(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """wanted (id) and texts (id, text, raw) to the first text that isn't blank: the id's own, that of a contents file's text, that of the base file.
+
+    Where extraction gave a blank text, the raw file's characters without tags stand for it.
+    """
+    bare = F.nullif(T.collapse_spaces(F.regexp_replace("raw", "<[^>]*>", " ")), F.lit(""))
+    known = texts.select(F.col("id").alias("_id"), F.coalesce(F.when(F.trim("text") != "", F.col("text")), bare).alias("_text"))
+    tries = [F.col("id"), F.regexp_replace("id", r"\.toc$", ""), F.regexp_replace("id", "[0-9]+$", "")]
+    keyed = wanted.select("id", F.posexplode(F.array(*tries)).alias("prio", "_id"))
+    return keyed.join(known.filter("_text IS NOT NULL"), "_id").groupBy("id").agg(F.min_by("_text", "prio").alias("text"))
+
+
 def fetch(docs: DataFrame, doc_id: str, wanted, text: str = "text", line: int | None = None, marker: str | None = None, head: str | None = None, head_index: int | None = None, before: int = 10, after: int = 10, pattern: str | None = None, **slicing) -> DataFrame:
     """One document's passage: a marker goes before a line, that before a head by text or index, else the whole; then highlights and a slice."""
     body = F.col(text)

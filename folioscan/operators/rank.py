@@ -159,6 +159,13 @@ def pick_by_tier(docs: DataFrame, query: str, body: str, title: str, position: s
     return scored.orderBy("tier", F.when(F.col("tier") == 2, -F.col("title_score")).otherwise(F.lit(0.0)), position)
 
 
+def probe(candidates: DataFrame, pages: DataFrame, query: str, most: int = 5) -> DataFrame:
+    """candidates (url, pos) and stored pages (url, text): of the first few, the first whose text holds the query, else the first with text."""
+    first = candidates.orderBy("pos").limit(most).join(pages, "url")
+    with_text = first.filter(F.coalesce(F.col("text"), F.lit("")) != "")
+    return with_text.orderBy(F.when(F.col("text").contains(query), 0).otherwise(1), "pos").limit(1)
+
+
 def distinct_paged(rows: DataFrame, key: str, position: str, limit: int, offset: int = 0) -> DataFrame:
     """The first row of each key, in order of position, from offset on."""
     first = rows.groupBy(key).agg(F.min(position).alias(position))

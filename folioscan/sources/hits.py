@@ -136,3 +136,24 @@ def display_line(start_id: Column, title: Column, useid: Column) -> Column:
 def cache_key(url: Column) -> Column:
     """Where the answer of a url is stored: the join key of a table of stored pages."""
     return F.sha1(url.cast("binary"))
+
+
+#: Bytes from which a part of a page counts as its text, and the places that are tried in turn.
+ENOUGH = 50
+PLACES = [("div", "id", "main"), ("div", "id", "content"), ("div", "class", "content"), ("div", "class", "text"), ("article", "", ""), ("main", "", ""), ("div", "class", "body"), ("pre", "", ""), ("td", "class", "text"), ("body", "", "")]
+
+
+def article_text(page: str | None) -> str | None:
+    """Lines marked as text if they make up enough, else the first place that has enough, else the visible text."""
+    if page is None:
+        return None
+    root = markup.page(page)
+    lines = "\n".join(t for n in root.all("span", class_="tx") if (t := " ".join(n.text().split())))
+    if len(lines.encode()) > ENOUGH:
+        return lines
+    for tag, key, value in PLACES:
+        for node in root.all(tag, **({key + "_" if key == "class" else key: value} if key else {})):
+            text = " ".join(node.text().split())
+            if len(text.encode()) > ENOUGH:
+                return text
+    return markup.visible_text(page)

@@ -190,3 +190,12 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("c", "Lotus")], schema).write.mode("append").parquet(str(tmp_path / "in"))
     incremental.keep(incremental.watch(spark, str(tmp_path / "in"), schema, "lotus"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "c"]
+
+
+def test_probe_and_fallbacks(spark):
+    candidates = spark.createDataFrame([("u0", 0), ("u1", 1), ("u2", 2), ("u9", 9)], "url string, pos int")
+    pages = spark.createDataFrame([("u0", ""), ("u1", "some text"), ("u2", "a lotus"), ("u9", "lotus")], "url string, text string")
+    assert rank.probe(candidates, pages, "lotus").first()["url"] == "u2" and rank.probe(candidates, pages, "nope").first()["url"] == "u1" and rank.probe(candidates, pages, "lotus", 1).count() == 0
+    texts = spark.createDataFrame([("a", " ", None), ("b1", "", "<p> </p>"), ("b", "base", ""), ("c", None, "<p>con<b/>tent</p>")], "id string, text string, raw string")
+    wanted = spark.createDataFrame([("a",), ("b1",), ("c.toc",), ("z",)], "id string")
+    assert {r["id"]: r["text"] for r in fetch.with_fallbacks(wanted, texts).collect()} == {"b1": "base", "c.toc": "con tent"}

@@ -103,3 +103,14 @@ def test_registry():
         with pytest.raises(registry.Invalid):
             registry.dispatch(tool, args)
     assert [registry.exit_code(m) for m in ("Not found: x", "connection refused", "cannot parse", "other")] == [10, 11, 12, 1]
+
+
+def test_article_text():
+    long = "word " * 20
+    assert hits.article_text(f'<span class="tx">{long}</span><span class="tx">b</span>') == long.strip() + "\nb"
+    assert hits.article_text(f'<div id="menu">{long}</div><div class="a content">{long}x</div>') == long + "x"
+    assert hits.article_text("<p>short</p>") == "short" and hits.article_text(None) is None
+
+
+def test_bibliography():
+    assert catalog.bibliography('<p rend="book">B1</p><p rend="book">B2</p><head rend="chapter"> C </head>') == {"book": "B1", "chapter": "C"} and catalog.bibliography(None) == {}
