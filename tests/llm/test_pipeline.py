@@ -1,7 +1,7 @@
 import corpus_pipeline as C
 from folioscan.llm import byte_bpe, exact_dedup, minhash_dedup, mixing, toxicity
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"  # the smallest table with enough labels for a vocabulary
 
 
 def test_stages_follow_one_another(spark):
