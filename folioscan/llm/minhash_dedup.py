@@ -9,8 +9,9 @@ Groups are never expanded into all pairs:
 1. Documents with equal sets are one class, and its smallest doc_id stands for it.
 2. In each band bucket every class is paired with the bucket's smallest; the pairs that the sketches leave are confirmed,
    and components are found.
-3. Buckets whose classes are in several components are compared tile by tile, sketch against sketch, and only pairs
-   across components that the sketches leave are confirmed. Then components are found over all confirmed links.
+3. Buckets whose classes are in several components are compared tile by tile, sketch against sketch. The classes with a
+   partner across components get their full sets, and the same tiles confirm pairs on them. A confirmed link joins its
+   components, so a tile returns fewer links than it has classes. Components are found again over all confirmed links.
 A pair inside one component needs no confirmation, as it can't change the components; every other pair that shares a
 bucket is judged. A pair at the threshold 0.85 shares no bucket with a chance of (1 - 0.85 ** R) ** BANDS, under 2e-6.
 
@@ -34,8 +35,8 @@ from folioscan.llm.components import components
 
 SHINGLE, PERCENT, R, BANDS = 5, 85, 6, 30
 OPH_BINS, CELLS, SLACK = 512, 2048, 0.08
-#: Classes in a block of a bucket; a tile compares two blocks.
-BLOCK = 512
+#: Classes, and shingles of all its classes, in a block of a bucket; a tile compares two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 @functools.cache
@@ -128,27 +129,64 @@ def _filter_pairs(percent: int):
     return run
 
 
-def _tile(percent: int):
-    """Two blocks of a bucket to the pairs across components that the sketches leave."""
+class _Tile:
+    """Two blocks of a bucket, those of side 0 first."""
+
+    def __init__(self, table: pa.Table):
+        table = table.take(pa.array(np.argsort(table["side"].to_numpy(), kind="stable")))
+        self.table, self.rows = table, table.num_rows
+        self.first = int((table["side"].to_numpy() == 0).sum())
+        self.ids, self.comp, self.n, self.samples = (table[c].to_numpy().copy() for c in ("doc_id", "component", "n_shingles", "samples"))
+        self.sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(-1, CELLS // 64)
+
+    def partners(self, i: int, percent: int) -> np.ndarray:
+        """Rows after i, of the other block if there is one, in other components, that the sketches leave."""
+        lo = max(0 if self.first == self.rows else self.first, i + 1)
+        n = self.n[lo:]
+        j = lo + np.flatnonzero((self.comp[lo:] != self.comp[i]) & (100 * np.minimum(n, self.n[i]) >= percent * np.maximum(n, self.n[i])))
+        differ = np.bitwise_count(self.sketch[j] ^ self.sketch[i]).sum(1, dtype=np.int64)
+        return j[estimate(differ, self.samples[j], self.samples[i]) >= percent / 100 - SLACK]
+
+
+_TILE = "band long, ba int, bb int, side int, doc_id long, component long, n_shingles long, sketch binary, samples int"
+
+
+def _open_rows(percent: int):
+    """The rows of a tile that have a partner in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = _Tile(table)
+        some = np.zeros(tile.rows, dtype=bool)
+        for i in range(tile.first):
+            j = tile.partners(i, percent)
+            some[j] = True
+            some[i] |= len(j) > 0
+        return tile.table.filter(pa.array(some))
+
+    return run
+
+
+def _joined(percent: int):
+    """The links, confirmed on the full sets, that join a tile's components: fewer than its rows."""
 
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        order = np.argsort(side, kind="stable")
-        table = table.take(pa.array(order))
-        na = int((side == 0).sum())
-        off = 0 if na == table.num_rows else na
-        ids, comp, n, samples = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "samples"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(-1, CELLS // 64)
-        found = [np.empty((0, 2), dtype=np.int64)]
-        for i in range(na):
-            lo = max(off, i + 1)
-            ok = (comp[lo:] != comp[i]) & (100 * np.minimum(n[lo:], n[i]) >= percent * np.maximum(n[lo:], n[i]))
-            j = lo + np.flatnonzero(ok)
-            differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
-            j = j[estimate(differ, samples[j], samples[i]) >= percent / 100 - SLACK]
-            found.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        tile = _Tile(table)
+        sets = [np.asarray(h) for h in tile.table["hashes"].combine_chunks().to_numpy(zero_copy_only=False)]
+        found = []
+        for i in range(tile.first):
+            j = tile.partners(i, percent)
+            for lo in range(0, len(j), 256):  # 256 sets at a time
+                some = j[lo : lo + 256]
+                every = np.concatenate([sets[k] for k in some])
+                at = np.searchsorted(sets[i], every)
+                hit = sets[i][np.minimum(at, len(sets[i]) - 1)] == every
+                ends = np.cumsum([len(sets[k]) for k in some])
+                shared = np.diff(np.concatenate([[0], np.cumsum(hit)[ends - 1]]))
+                for k in some[100 * shared >= percent * (len(sets[i]) + tile.n[some] - shared)]:
+                    if tile.comp[k] != tile.comp[i]:
+                        found.append((min(tile.ids[i], tile.ids[k]), max(tile.ids[i], tile.ids[k])))
+                        tile.comp[tile.comp == tile.comp[k]] = tile.comp[i]
+        return pa.table({"a": [int(x) for x, _ in found], "b": [int(x) for _, x in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
@@ -157,7 +195,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, words, before in wordhash.hashed_batches(batch, 1, lower=True):
             sets, at = shingles(words, before)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64))).cast(pa.list_(pa.int64()))], ["doc_id", "hashes"])
+            sets = sets.view(np.int64)
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                sets[lo:hi].sort()  # as signed numbers
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets)).cast(pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
@@ -177,7 +218,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     stands = signed.join(class_of.select(F.col("class_id").alias("doc_id"), "digest", "n_shingles"), ["doc_id", "digest", "n_shingles"], "left_semi")
     reps = common.materialise(stands.dropDuplicates(["doc_id"]), "minhash-reps")
 
-    rows = reps.select("doc_id", F.explode("bands").alias("band"))
+    rows = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = common.materialise(rows.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "minhash-buckets")
     members = common.materialise(rows.join(shared, "band"), "minhash-members")
     sketches = reps.select("doc_id", "n_shingles", "sketch", "samples")
@@ -195,15 +236,15 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     label = components(links)
     placed = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = common.materialise(placed, "minhash-placed")
-    # of buckets with the same members one is enough
-    mixed = placed.groupBy("band").agg(F.countDistinct("component").alias("c"), F.count("*").alias("n"), F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64(F.lit(2), "doc_id").cast("decimal(38,0)")).alias("t"))
-    mixed = mixed.filter("c > 1 AND n > 2").groupBy("n", "s", "t").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mixed = common.materialise(mixed, "minhash-mixed")
+    # of buckets with the same members one is enough; blocks are bounded in classes and in shingles
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = placed.groupBy("band").agg(F.countDistinct("component").alias("c"), F.count("*").alias("n"), blocks.alias("blocks"), F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64(F.lit(2), "doc_id").cast("decimal(38,0)")).alias("t"))
+    mixed = common.materialise(mixed.filter("c > 1 AND n > 2").groupBy("n", "s", "t").agg(F.min(F.struct("band", "blocks")).alias("x")).select("x.*"), "minhash-mixed")
     dealt = placed.join(mixed, "band").select("band", "doc_id", "component", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks").join(sketches, "doc_id")
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("ba"), F.greatest(F.col("block"), o).alias("bb"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
     work = dealt.select("*", F.explode(ends).alias("e")).select("band", "e.ba", "e.bb", "e.side", "doc_id", "component", "n_shingles", "sketch", "samples")
-    crossing = work.groupBy("band", "ba", "bb").applyInArrow(_tile(percent), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti")
-    more = _confirmed(common.materialise(crossing, "minhash-crossing"), sets, percent, "minhash-more")
+    open_ = common.materialise(work.groupBy("band", "ba", "bb").applyInArrow(_open_rows(percent), _TILE), "minhash-open")
+    more = common.materialise(open_.join(sets, "doc_id").groupBy("band", "ba", "bb").applyInArrow(_joined(percent), "a long, b long"), "minhash-more")
     final = components(links.unionByName(more)) if not more.isEmpty() else label
     doc_class = signed.select("doc_id", "n_shingles", "digest").join(class_of, ["digest", "n_shingles"]).select("doc_id", "n_shingles", "class_id")
     return doc_class, final.select(F.col("node").alias("class_id"), "component")
