@@ -77,12 +77,15 @@ def _suspects(docs: DataFrame, doc_id: str, text: str, carry: bool) -> tuple[Dat
 
 
 def _winners(suspects: DataFrame) -> DataFrame:
-    return suspects.groupBy("digest").agg(F.max_by("_id", _order()).alias("keep_id"), F.count("*").alias("group_size"))
+    """A table of its own: a skew join splits hot digests only where both sides come straight from an exchange."""
+    found = suspects.groupBy("digest").agg(F.max_by("_id", _order()).alias("keep_id"), F.count("*").alias("group_size"))
+    return common.materialise(found, "dedup-winners")
 
 
 def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     alone, suspects = _suspects(docs, doc_id, text, carry=False)
+    suspects = common.materialise(suspects, "dedup-suspects")
     alone = alone.select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     grouped = suspects.join(_winners(suspects), "digest").select("_id", "keep_id", "group_size", "digest")
     return alone.unionByName(grouped).select(
