@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm import byte_bpe, common, exact_dedup, minhash_dedup, mixing, toxicity
 
+#: Jaccard similarity of near copies, in percent; op6's query has a threshold of its own.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -22,7 +25,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return minhash_dedup.dedup(docs)
+    return minhash_dedup.dedup(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

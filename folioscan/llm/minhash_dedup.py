@@ -1,9 +1,9 @@
 """MinHash near-dedup with odd sketches (operator 6).
 
-Every document's word shingles are hashed. K MinHash values, in bands of R, propose candidates; OPH_BINS one-permutation
+Every document's word shingles are hashed. HASHES MinHash values, in bands, propose candidates; OPH_BINS one-permutation
 MinHash samples are folded into an odd sketch, a bitmap of the parity of samples per cell. The population count of the
 XOR of two sketches estimates how many samples differ, precisely when few do: candidates below the threshold by more
-than SLACK are dropped, and the rest is confirmed on the full shingle sets.
+than slack() are dropped, and the rest is confirmed on the full shingle sets.
 
 Groups are never expanded into all pairs:
 1. Documents with equal sets are one class, and its smallest doc_id stands for it.
@@ -13,7 +13,8 @@ Groups are never expanded into all pairs:
    partner across components get their full sets, and the same tiles confirm pairs on them. A confirmed link joins its
    components, so a tile returns fewer links than it has classes. Components are found again over all confirmed links.
 A pair inside one component needs no confirmation, as it can't change the components; every other pair that shares a
-bucket is judged. A pair at the threshold 0.85 shares no bucket with a chance of (1 - 0.85 ** R) ** BANDS, under 2e-6.
+bucket is judged. Rows in a band and bands follow from the threshold t (banding()): a pair at t shares no bucket with a
+chance of (1 - t ** r) ** bands, at most MISS; 6 x 30 give 6.8e-7 at 0.85, 5 x 36 give 6.2e-7 at 0.8.
 
 Sets are sets of 64-bit hashes of shingles. Defined cases: null and blank texts have no shingles and link with nothing;
 a text of fewer words than a shingle is one shingle of all its words; rows that repeat a doc_id and differ in text count
@@ -33,15 +34,34 @@ from pyspark.sql import functions as F
 from folioscan.llm import common, wordhash
 from folioscan.llm.components import components
 
-SHINGLE, PERCENT, R, BANDS = 5, 85, 6, 30
+SHINGLE, PERCENT, HASHES, MISS = 5, 85, 180, 7e-7
 OPH_BINS, CELLS, SLACK = 512, 2048, 0.08
 #: Classes, and shingles of all its classes, in a block of a bucket; a tile compares two blocks.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 @functools.cache
-def _seeds() -> np.ndarray:
-    return np.random.default_rng(6).integers(1, 1 << 64, R * BANDS, dtype=np.uint64) | np.uint64(1)
+def banding(percent: int) -> tuple[int, int]:
+    """Rows in a band and bands: the longest rows whose bands miss a pair at the threshold with a chance of MISS at most."""
+    fit = [r for r in range(1, HASHES + 1) if (1 - (percent / 100) ** r) ** (HASHES // r) <= MISS]
+    if not fit:
+        raise ValueError(f"{HASHES} hashes can't find pairs at {percent} percent")
+    return max(fit), HASHES // max(fit)
+
+
+@functools.cache
+def slack(percent: int) -> float:
+    """Five standard deviations of estimate() at the threshold, of the samples and of their sketch, and SLACK at least."""
+    p = percent / 100
+    apart = 2 * OPH_BINS * (1 - p)
+    even = np.exp(-4 * apart / CELLS)
+    sketch = (CELLS / 4 * (1 - even) - apart * even) / even / (2 * OPH_BINS) ** 2
+    return max(SLACK, 5 * float(np.sqrt(p * (1 - p) / OPH_BINS + sketch)))
+
+
+@functools.cache
+def _seeds(n: int) -> np.ndarray:
+    return np.random.default_rng(6).integers(1, 1 << 64, n, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(words: np.ndarray, before: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,46 +83,51 @@ def shingles(words: np.ndarray, before: np.ndarray, width: int = SHINGLE) -> tup
     return hashes, np.searchsorted(docs, np.arange(len(n) + 1))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(percent: int):
     """(doc_id, text) to the digest of the set, its size, a hash per band, the odd sketch and how many samples it holds."""
-    seeds = _seeds()
-    for batch in batches:
-        for part, words, before in wordhash.hashed_batches(batch, 1, lower=True):
-            sets, at = shingles(words, before)
-            n = np.diff(at)
-            full = np.flatnonzero(n > 0)
-            if not len(full):
-                continue
-            begin = at[full]
-            mins = np.empty((len(full), len(seeds)), dtype=np.uint64)
-            for j, seed in enumerate(seeds):
-                x = sets * seed
-                x ^= x >> np.uint64(31)
-                mins[:, j] = np.minimum.reduceat(x * np.uint64(0x94D049BB133111EB), begin)
-            bands = np.empty((len(full), BANDS), dtype=np.uint64)
-            for b in range(BANDS):
-                h = np.full(len(full), b + 1, dtype=np.uint64)
-                for j in range(b * R, (b + 1) * R):
-                    h = wordhash.mix(h * np.uint64(0x9E3779B97F4A7C15) + mins[:, j])
-                bands[:, b] = h
-            digest = np.add.reduceat(wordhash.mix(sets + np.uint64(77)), begin)
-            # one-permutation samples: the least hash of each bin; their parity per cell
-            doc = np.repeat(np.arange(len(full)), n[full])
-            y = wordhash.mix(sets ^ np.uint64(0x5851F42D4C957F2D))
-            key = doc.astype(np.uint64) * np.uint64(OPH_BINS) + (y >> np.uint64(55))
-            order = np.lexsort((y, key))
-            key, y, doc = key[order], y[order], doc[order]
-            first = np.ones(len(key), dtype=bool)
-            first[1:] = key[1:] != key[:-1]
-            cells = wordhash.mix(y[first] + np.uint64(9)) % np.uint64(CELLS)
-            parity = np.zeros((len(full), CELLS), dtype=np.uint8)
-            np.add.at(parity, (doc[first], cells.astype(np.int64)), 1)
-            sketch = np.packbits(parity & 1, axis=1)
-            samples = np.bincount(doc[first], minlength=len(full))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(full)), pa.array(n[full], pa.int64()), pa.array(digest.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(samples, pa.int32())],
-                ["doc_id", "n_shingles", "digest", "bands", "sketch", "samples"],
-            )
+    r, n_bands = banding(percent)
+    seeds = _seeds(r * n_bands)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words, before in wordhash.hashed_batches(batch, 1, lower=True):
+                sets, at = shingles(words, before)
+                n = np.diff(at)
+                full = np.flatnonzero(n > 0)
+                if not len(full):
+                    continue
+                begin = at[full]
+                mins = np.empty((len(full), len(seeds)), dtype=np.uint64)
+                for j, seed in enumerate(seeds):
+                    x = sets * seed
+                    x ^= x >> np.uint64(31)
+                    mins[:, j] = np.minimum.reduceat(x * np.uint64(0x94D049BB133111EB), begin)
+                bands = np.empty((len(full), n_bands), dtype=np.uint64)
+                for b in range(n_bands):
+                    h = np.full(len(full), b + 1, dtype=np.uint64)
+                    for j in range(b * r, (b + 1) * r):
+                        h = wordhash.mix(h * np.uint64(0x9E3779B97F4A7C15) + mins[:, j])
+                    bands[:, b] = h
+                digest = np.add.reduceat(wordhash.mix(sets + np.uint64(77)), begin)
+                # one-permutation samples: the least hash of each bin; their parity per cell
+                doc = np.repeat(np.arange(len(full)), n[full])
+                y = wordhash.mix(sets ^ np.uint64(0x5851F42D4C957F2D))
+                key = doc.astype(np.uint64) * np.uint64(OPH_BINS) + (y >> np.uint64(55))
+                order = np.lexsort((y, key))
+                key, y, doc = key[order], y[order], doc[order]
+                first = np.ones(len(key), dtype=bool)
+                first[1:] = key[1:] != key[:-1]
+                cells = wordhash.mix(y[first] + np.uint64(9)) % np.uint64(CELLS)
+                parity = np.zeros((len(full), CELLS), dtype=np.uint8)
+                np.add.at(parity, (doc[first], cells.astype(np.int64)), 1)
+                sketch = np.packbits(parity & 1, axis=1)
+                samples = np.bincount(doc[first], minlength=len(full))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(full)), pa.array(n[full], pa.int64()), pa.array(digest.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(samples, pa.int32())],
+                    ["doc_id", "n_shingles", "digest", "bands", "sketch", "samples"],
+                )
+
+    return run
 
 
 def estimate(differ: np.ndarray, samples: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -117,7 +142,7 @@ def _may_link(x: pa.Table | pa.RecordBatch, percent: int) -> np.ndarray:
     a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), dtype=np.uint64).reshape(-1, CELLS // 64) for c in ("sketch", "sketch2"))
     differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
     na, nb = x.column("n_shingles").to_numpy(), x.column("n2").to_numpy()
-    return (estimate(differ, x.column("samples").to_numpy(), x.column("samples2").to_numpy()) >= percent / 100 - SLACK) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    return (estimate(differ, x.column("samples").to_numpy(), x.column("samples2").to_numpy()) >= percent / 100 - slack(percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
 def _filter_pairs(percent: int):
@@ -145,7 +170,7 @@ class _Tile:
         n = self.n[lo:]
         j = lo + np.flatnonzero((self.comp[lo:] != self.comp[i]) & (100 * np.minimum(n, self.n[i]) >= percent * np.maximum(n, self.n[i])))
         differ = np.bitwise_count(self.sketch[j] ^ self.sketch[i]).sum(1, dtype=np.int64)
-        return j[estimate(differ, self.samples[j], self.samples[i]) >= percent / 100 - SLACK]
+        return j[estimate(differ, self.samples[j], self.samples[i]) >= percent / 100 - slack(percent)]
 
 
 _TILE = "band long, ba int, bb int, side int, doc_id long, component long, n_shingles long, sketch binary, samples int"
@@ -213,7 +238,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> Dat
 def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) to (doc_id, n_shingles, class_id) of documents with shingles, and (class_id, component) of linked classes."""
     fields = "doc_id long, n_shingles long, digest long, bands array<long>, sketch binary, samples int"
-    signed = common.materialise(docs.filter("doc_id IS NOT NULL").mapInArrow(_signatures, fields), "minhash-signatures")
+    signed = common.materialise(docs.filter("doc_id IS NOT NULL").mapInArrow(_signatures(percent), fields), "minhash-signatures")
     class_of = common.materialise(signed.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id")), "minhash-classes")
     stands = signed.join(class_of.select(F.col("class_id").alias("doc_id"), "digest", "n_shingles"), ["doc_id", "digest", "n_shingles"], "left_semi")
     reps = common.materialise(stands.dropDuplicates(["doc_id"]), "minhash-reps")

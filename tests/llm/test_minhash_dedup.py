@@ -92,3 +92,17 @@ def test_odd_rows_and_dedup(odd, empty):
     ids = [r["doc_id"] for r in kept.collect()]
     assert 1 in ids and not {2, 3, 4} & set(ids) and {5, 6, 7, 8, 10, 11, 12} <= set(ids)
     assert M.link(empty).count() == 0 and M.dedup(empty).count() == 0
+
+
+def test_bands_follow_the_threshold():
+    assert M.banding(85) == (6, 30)  # op6's
+    for percent in (50, 70, 80, 85, 90, 95):
+        r, bands = M.banding(percent)
+        assert r * bands <= M.HASHES and (1 - (percent / 100) ** r) ** bands <= 1e-6
+
+
+def test_components_match_brute_force_at_other_thresholds(spark):
+    rows = [(1000 * (k + 1) + i, t) for k in range(4) for i, t in enumerate(family(k, 20, 60 + 50 * k))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in M.link(docs, percent=80).collect()}
+    assert got == brute(rows, 80) != brute(rows, 85)

@@ -29,3 +29,15 @@ def test_stages_follow_one_another(spark):
             assert counts[-1] == counts[-2] and sorted(map(tuple, docs.collect())) == sorted(map(tuple, byte_bpe.encode(before, *byte_bpe.tokenizer()).collect()))
     assert counts[0] > counts[1] > counts[2] >= counts[3] > 0
     assert sorted(map(tuple, C.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_near_copies_go_at_eighty_percent(spark):
+    """The stage against brute force at 0.8; and the documents of the given table that stay at 0.85."""
+    from .test_minhash_dedup import brute, family
+
+    rows = [(1000 * (k + 1) + i, t) for k in range(4) for i, t in enumerate(family(k, 20, 60 + 50 * k))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {d for d, (_, _, kept) in brute(rows, 80).items() if kept}
+    assert {r["doc_id"] for r in C.drop_near_copies(spark, docs, SF).collect()} == kept
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    assert not {255, 770, 875, 944} & {r["doc_id"] for r in C.drop_near_copies(spark, given, SF).collect()}
