@@ -38,11 +38,14 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 WILD, VOWELS, MARKS = "*#%&?", "aeiou", ".,;:-_~'\"/\\^`·)[]{}<>="
 #: Channel costs in nats: a leet letter, a wild card, a mark inside a word that isn't there, a letter kept twice.
 LEET_COST, WILD_COST, MARK_COST, TWICE_COST = 0.5, 1.5, 0.3, 1.0
+#: How much dearer than the best a reading with another ending may be, in nats.
+SPREAD = 5.0
 LONGEST = 48
 
 _APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _RUN = re.compile(r"(\S)\1*")
 _THRICE, _LETTER = re.compile(r"(.)\1\1"), re.compile("[a-z]")
+_LITERAL = str.maketrans({c: may[0] for c, may in LEET.items()})
 _WORDS = re.compile(r"[^\W\d_]+")
 _EDGE = MARKS + WILD + "".join(c for c in LEET if not c.isalnum())
 
@@ -93,7 +96,7 @@ class Channel:
             if "a" <= c <= "z":
                 places.append([(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, TWICE_COST)] if n == 2 else [(c, 0.0), (c + c, TWICE_COST)])
             elif c in LEET:
-                may = [(x * k, LEET_COST * n) for x in LEET[c] for k in ((1, 2) if n > 1 else (1,))]
+                may = [(x * k, LEET_COST * n + TWICE_COST * (n > 1 and (k == 2) != (n == 2))) for x in LEET[c] for k in ((1, 2) if n > 1 else (1,))]
                 places.append(may if c.isdigit() else [*may, ("", MARK_COST * 4)])
             elif c in WILD:
                 places.append([*((x, WILD_COST * n) for x in VOWELS), ("", MARK_COST * 4)])
@@ -103,12 +106,12 @@ class Channel:
                 places.append([(c, 0.0)])
         return places
 
-    def decode(self, token: str) -> str:
-        """The cheapest reading of a token as one word."""
-        best, costs = {(0, 0): (0.0, "")}, self.costs
-        for may in self.lattice(token):
+    def _ends(self, places: list[list[tuple[str, float]]]) -> list[tuple[float, tuple | None]]:
+        """The cheapest path to each last pair of letters, best first: its cost and its strings, linked backwards."""
+        best, costs = {(0, 0): (0.0, None)}, self.costs
+        for may in places:
             step: dict = {}
-            for (a, b), (cost, out) in best.items():
+            for (a, b), (cost, path) in best.items():
                 for text, own in may:
                     x, y, total = a, b, cost + own
                     for ch in text:
@@ -116,9 +119,27 @@ class Channel:
                         total += costs[x][y][z]
                         x, y = y, z
                     if (x, y) not in step or total < step[x, y][0]:
-                        step[x, y] = (total, out + text)
+                        step[x, y] = (total, (path, text) if text else path)
             best = step
-        return min((cost + costs[a][b][0], out) for (a, b), (cost, out) in best.items())[1]
+        ends = sorted((cost + costs[a][b][0], a, b) for (a, b), (cost, _) in best.items())
+        return [(cost, best[a, b][1]) for cost, a, b in ends]
+
+    @staticmethod
+    def _text(path: tuple | None) -> str:
+        out = []
+        while path is not None:
+            path, text = path
+            out.append(text)
+        return "".join(reversed(out))
+
+    def decode(self, token: str) -> str:
+        """The cheapest reading of a token as one word."""
+        return self._text(self._ends(self.lattice(token))[0][1])
+
+    def decodes(self, token: str) -> set[str]:
+        """The readings of a token whose signs all stand for letters: the cheapest of each ending, within SPREAD nats of the best."""
+        ends = self._ends([[x for x in may if x[0]] or may for may in self.lattice(token)])
+        return {self._text(path) for cost, path in ends if cost <= ends[0][0] + SPREAD}
 
 
 def names(word: str) -> list[str]:
@@ -133,24 +154,27 @@ class Reader:
         self.channel, self.vocabulary, self.known = Channel(costs), vocabulary, {}
 
     def readings(self, token: str) -> set[str]:
-        core = token.strip(_EDGE)
+        core, signed = token.strip(_EDGE), token.strip(MARKS)
+        words = {core} if core.isalpha() else set(_WORDS.findall(core))
+        # signs beside the core may be letters or noise, on either side: it is read with and without them
+        if signed != core and self._speaks(signed):
+            words.add(self.channel.decode(signed))
+            for part in {signed, signed.rstrip(_EDGE), signed.lstrip(_EDGE)} - {core, ""}:
+                words.update(self.channel.decodes(part))
+                words.add(part.translate(_LITERAL))
         if core.isalpha():
-            words = {core}
-            edge = token[len(token.rstrip(_EDGE)) :]
-            lead = token[: len(token) - len(token.lstrip(_EDGE))]
-            # a single leet sign beside the word may belong to it; more of them are noise
-            if (len(edge) == 1 and edge in LEET) or (len(lead) == 1 and lead in LEET):
-                words.add(self.channel.decode(token))
             if len(core) > 2 and _THRICE.search(core) and len(core) <= LONGEST:
                 words.add(self.channel.decode(core))
-            return words
-        words = set(_WORDS.findall(core))
-        if _LETTER.search(core) or sum(c in LEET for c in core) > 2:
+        elif self._speaks(core):
             # within LONGEST characters a token is read as one word; longer ones piece by piece between marks
             parts = [core] if len(core) <= LONGEST else [p for p in re.split(r"[^\w@$!+|*]+", core) if 2 < len(p) <= LONGEST]
             words.update(self.channel.decode(p) for p in parts)
         return words
 
+    @staticmethod
+    def _speaks(token: str) -> bool:
+        return bool(_LETTER.search(token)) or sum(c in LEET for c in token) > 2
+
     def _names(self, token: str) -> tuple[str, ...]:
         found = {n for w in self.readings(token) for n in names(w)}
         if self.vocabulary is not None:

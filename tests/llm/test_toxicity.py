@@ -82,3 +82,16 @@ def test_long_and_hostile_texts(model):
     score = model.scorer()
     for t in ("a" * 200_000, "$1" * 100_000, "a b " * 50_000, "@" * 1000, "\0", "x." * 1000):
         assert 0 <= score(t) <= 1
+
+
+def test_signs_at_both_ends_are_read(model):
+    reader, score = T.Reader(model.costs), model.scorer()
+    for plain, disguised in [("stupid", "$tup!d"), ("idiot", "!d!ot"), ("idiot", "!dio+"), ("idiot", '"!d!o+",'), ("worthless", "worthle$$"), ("stupid", "$tupid***"), ("pathetic", "p@thet!(")]:
+        assert plain in reader.readings(disguised), (disguised, reader.readings(disguised))
+    # words that the character model has never seen
+    assert "ass" in reader.readings("a$$") and "asshole" in reader.readings("@$$hole")
+    for noisy in ("alpha$$$", "alpha***", "alpha!!", "(alpha)"):
+        assert "alpha" in reader.readings(noisy)
+    clean = " ".join(x.rstrip("0123456789") for x in words(5, 40).split())
+    for disguised in ("$tup!d", "!d!o+", "worthle$$"):
+        assert score(f"{clean} {disguised} {clean} {disguised}") >= 0.5, disguised
