@@ -2,7 +2,9 @@
 
 A character trigram model is counted over all documents. A token that may be disguised (leetspeak, letters apart,
 repeated letters, wild cards) becomes a lattice: each place offers the letters it may stand for, each at a channel cost,
-and Viterbi decoding under the character model picks the reading. All other tokens have one reading and are left alone.
+and Viterbi decoding under the character model picks the reading. Signs at a token's edges may be letters or noise; all
+these readings count. In a run of single characters every gap is nothing or the edge of a word, and all words of the best
+path over the whole run count, as does each word of the vocabulary that the run spells. Other tokens are left alone.
 A document's score is a logistic regression on which words, and beginnings of words, of a small vocabulary its restored
 text holds, once or often.
 
@@ -38,12 +40,15 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 WILD, VOWELS, MARKS = "*#%&?", "aeiou", ".,;:-_~'\"/\\^`·)[]{}<>="
 #: Channel costs in nats: a leet letter, a wild card, a mark inside a word that isn't there, a letter kept twice.
 LEET_COST, WILD_COST, MARK_COST, TWICE_COST = 0.5, 1.5, 0.3, 1.0
+#: Cost of a word's edge in a gap between letters, beyond that of the gap.
+EDGE_COST = 0.0
 #: How much dearer than the best a reading with another ending may be, in nats.
 SPREAD = 5.0
 LONGEST = 48
 
-_APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_APART = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S)){2,}")
 _RUN = re.compile(r"(\S)\1*")
+_GAPPED = re.compile(rf"([^\s{re.escape(MARKS)}])(?:[\s{re.escape(MARKS)}]*+\1)*+|[\s{re.escape(MARKS)}]++")
 _THRICE, _LETTER = re.compile(r"(.)\1\1"), re.compile("[a-z]")
 _LITERAL = str.maketrans({c: may[0] for c, may in LEET.items()})
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -106,6 +111,28 @@ class Channel:
                 places.append([(c, 0.0)])
         return places
 
+    @staticmethod
+    def apart(text: str) -> list[list[tuple[str, float]]]:
+        """lattice() of characters with gaps (white space, marks): a gap is nothing or the edge of a word, also inside a run."""
+        places: list[list[tuple[str, float]]] = []
+        for m in _GAPPED.finditer(text):
+            if m[1] is None:
+                if places and m.end() < len(text):  # none before the first place and after the last
+                    places.append([("", MARK_COST), (" ", MARK_COST + EDGE_COST)])
+                continue
+            c, n = m[1], sum(x == m[1] for x in m[0])
+            may = Channel.lattice(c * n)[0]
+            if len(m[0]) > n:
+                least: dict[str, float] = {}
+                for x, own in may:
+                    if x:
+                        least[x[0]] = min(own, least.get(x[0], own))
+                for x, own in least.items():
+                    own += EDGE_COST
+                    may = [*may, (f"{x} {x}", own), *([(f"{x}{x} {x}", own + TWICE_COST), (f"{x} {x}{x}", own + TWICE_COST)] if n > 2 else [])]
+            places.append(may)
+        return places
+
     def _ends(self, places: list[list[tuple[str, float]]]) -> list[tuple[float, tuple | None]]:
         """The cheapest path to each last pair of letters, best first: its cost and its strings, linked backwards."""
         best, costs = {(0, 0): (0.0, None)}, self.costs
@@ -136,6 +163,10 @@ class Channel:
         """The cheapest reading of a token as one word."""
         return self._text(self._ends(self.lattice(token))[0][1])
 
+    def words(self, text: str) -> list[str]:
+        """The words of the cheapest reading of characters with gaps."""
+        return self._text(self._ends(self.apart(text))[0][1]).split()
+
     def decodes(self, token: str) -> set[str]:
         """The readings of a token whose signs all stand for letters: the cheapest of each ending, within SPREAD nats of the best."""
         ends = self._ends([[x for x in may if x[0]] or may for may in self.lattice(token)])
@@ -152,6 +183,7 @@ class Reader:
 
     def __init__(self, costs: np.ndarray, vocabulary: frozenset[str] | None = None):
         self.channel, self.vocabulary, self.known = Channel(costs), vocabulary, {}
+        self.lexicon = sorted(w for n in vocabulary or () if n.startswith("w=") and len(w := n[2:]) >= PREFIXES[0])
 
     def readings(self, token: str) -> set[str]:
         core, signed = token.strip(_EDGE), token.strip(MARKS)
@@ -161,7 +193,8 @@ class Reader:
             words.add(self.channel.decode(signed))
             for part in {signed, signed.rstrip(_EDGE), signed.lstrip(_EDGE)} - {core, ""}:
                 words.update(self.channel.decodes(part))
-                words.add(part.translate(_LITERAL))
+                if (literal := part.translate(_LITERAL)).isalpha():
+                    words.add(literal)
         if core.isalpha():
             if len(core) > 2 and _THRICE.search(core) and len(core) <= LONGEST:
                 words.add(self.channel.decode(core))
@@ -197,11 +230,16 @@ class Reader:
             for name in found:
                 counts[name] = counts.get(name, 0) + n
         for m in _APART.finditer(low):
-            letters = m[0].split()
-            for lo in range(0, len(letters), LONGEST // 2):  # long runs in overlapping pieces
-                for name in names(self.channel.decode("".join(letters[lo : lo + LONGEST]))):
-                    if self.vocabulary is None or name in self.vocabulary:
-                        counts[name] = counts.get(name, 0) + 1
+            letters = "".join(m[0].split())
+            joined = self.channel.decode(letters)
+            found = Counter(name for w in self.channel.words(m[0]) for name in names(w))
+            found |= Counter(names(joined))  # the run as one word
+            # words of the vocabulary that the run spells wherever the character model puts the edges
+            spelt = {w: max(joined.count(w), letters.translate(_LITERAL).count(w)) for w in self.lexicon}
+            found |= Counter({name: n for w, n in spelt.items() if n for name in names(w)})
+            for name, n in found.items():
+                if self.vocabulary is None or name in self.vocabulary:
+                    counts[name] = counts.get(name, 0) + n
         least = max(2.0, STRONG * sum(tokens.values()))
         return counts.keys() | {name + "+" for name, n in counts.items() if n >= least}
 

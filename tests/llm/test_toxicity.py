@@ -95,3 +95,17 @@ def test_signs_at_both_ends_are_read(model):
     clean = " ".join(x.rstrip("0123456789") for x in words(5, 40).split())
     for disguised in ("$tup!d", "!d!o+", "worthle$$"):
         assert score(f"{clean} {disguised} {clean} {disguised}") >= 0.5, disguised
+
+
+def test_spaced_out_words_are_read(model):
+    channel, score = T.Channel(model.costs), model.scorer()
+    known = T.Reader(model.costs, frozenset(f"w={w}" for w in BAD))
+    for plain, text in [("stupid", "you are a s t u p i d person"), ("idiot", "y o u a r e a n i d i o t"), ("stupid", "s  t  u  p  i  d"), ("idiot", "i\nd\ni\no\nt"), ("stupid", "b e t a $ t u u u p 1 d"), ("worthless", "w o r t h l e s s")]:
+        assert f"w={plain}" in known.features(text), text
+    assert channel.words("a l p h a s t u p i d b e t a") == ["alpha", "stupid", "beta"]
+    clean = " ".join(x.rstrip("0123456789") for x in words(5, 40).split())
+    whole = clean.split()
+    whole[7:7] = whole[25:25] = ["pathetic"]
+    assert score(" ".join("".join(whole))) >= 0.5  # the whole text, far longer than a piece
+    assert score(" ".join("".join(clean.split()))) < 0.5
+    assert score(f"{clean} a s  t  u  p  i  d {clean} y o u i d i o t") >= 0.5
