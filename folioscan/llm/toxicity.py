@@ -44,11 +44,12 @@ LEET_COST, WILD_COST, MARK_COST, TWICE_COST = 0.5, 1.5, 0.3, 1.0
 EDGE_COST = 0.0
 #: How much dearer than the best a reading with another ending may be, in nats.
 SPREAD = 5.0
-LONGEST = 48
 
 _APART = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S)){2,}")
 _RUN = re.compile(r"(\S)\1*")
 _GAPPED = re.compile(rf"([^\s{re.escape(MARKS)}])(?:[\s{re.escape(MARKS)}]*+\1)*+|[\s{re.escape(MARKS)}]++")
+_INNER = re.compile(rf"[{re.escape(MARKS)}]++")
+_DOTTED = re.compile(rf"(?<![^{re.escape(MARKS)}])[^{re.escape(MARKS)}](?:[{re.escape(MARKS)}]++[^{re.escape(MARKS)}](?![^{re.escape(MARKS)}])){{2,}}")
 _THRICE, _LETTER = re.compile(r"(.)\1\1"), re.compile("[a-z]")
 _LITERAL = str.maketrans({c: may[0] for c, may in LEET.items()})
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -196,12 +197,19 @@ class Reader:
                 if (literal := part.translate(_LITERAL)).isalpha():
                     words.add(literal)
         if core.isalpha():
-            if len(core) > 2 and _THRICE.search(core) and len(core) <= LONGEST:
+            if len(core) > 2 and _THRICE.search(core):
                 words.add(self.channel.decode(core))
         elif self._speaks(core):
-            # within LONGEST characters a token is read as one word; longer ones piece by piece between marks
-            parts = [core] if len(core) <= LONGEST else [p for p in re.split(r"[^\w@$!+|*]+", core) if 2 < len(p) <= LONGEST]
-            words.update(self.channel.decode(p) for p in parts)
+            # a token of any length is read as one word, and with each mark as nothing or the edge of a word
+            words.add(self.channel.decode(core))
+            if _INNER.search(core):
+                words.update(self.channel.words(core))
+                parts = {p for p in re.split(r"[^\w@$!+|*]+", core) if len(p) > 2 and p != core}
+                words.update(self.channel.decode(p) for p in parts if not p.isalpha() or _THRICE.search(p))
+            if self.lexicon and _DOTTED.search(core):
+                letters = _INNER.sub("", core)
+                spelt = self.channel.decode(letters) + " " + letters.translate(_LITERAL)
+                words.update(w for w in self.lexicon if w in spelt)
         return words
 
     @staticmethod

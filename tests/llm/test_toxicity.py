@@ -109,3 +109,20 @@ def test_spaced_out_words_are_read(model):
     assert score(" ".join("".join(whole))) >= 0.5  # the whole text, far longer than a piece
     assert score(" ".join("".join(clean.split()))) < 0.5
     assert score(f"{clean} a s  t  u  p  i  d {clean} y o u i d i o t") >= 0.5
+
+
+def test_long_tokens_are_read(model):
+    reader, score = T.Reader(model.costs, frozenset(f"w={w}" for w in BAD)), model.scorer()
+    clean = "".join(x.rstrip("0123456789") for x in words(5, 30).split())
+    spelt = clean + "idiot" + clean
+    for plain, token in [("stupid", "stu" + "u" * 50 + "pid"), ("stupid", "s" + "." * 60 + "tupid"), ("idiot", ".".join(spelt)), ("idiot", "-".join(spelt.replace("idiot", "1d10t"))), ("stupid", "/".join(["alpha"] * 20) + "/$tup1d/x"), ("stupid", "/".join(["alpha"] * 20) + "/stuuupid")]:
+        assert plain in reader.readings(token), token
+    text = " ".join(x.rstrip("0123456789") for x in words(5, 40).split())
+    assert score(f"{text} {'stu' + 'u' * 50 + 'pid'} {text} {'.'.join(spelt)}") >= 0.5
+    assert score(f"{text} {'.'.join(clean)} {text} https://www.example.com/{clean}?q={clean}&n=1") < 0.5
+
+
+def test_long_tokens_take_linear_time(model):
+    score = model.scorer()
+    for t in ("x.y$" * 20_000, "a*b1" * 20_000, "a.b." * 20_000):
+        assert 0 <= score(t) <= 1
