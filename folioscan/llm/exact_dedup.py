@@ -8,8 +8,8 @@ The filter has a fixed largest size (MAX_BITS), so its broadcast is bounded: MAX
 more unique rows take the exact way as well, which costs shuffle and never changes a result.
 
 Defined cases: null text counts as empty; empty and blank texts are equal to each other; the longest original text
-stays, on ties the smallest doc_id, a null doc_id after all others. Rows that repeat the doc_id of the row that stays
-are all marked kept. Input columns beyond those named, also ones called like the results, are left alone:
+stays, on ties the smallest doc_id, a null doc_id after all others. decide() marks all rows kept that repeat the doc_id
+of the row that stays; dedup() leaves one row of each group, also of rows that agree in all columns. Input columns beyond those named, also ones called like the results, are left alone:
 decide() returns only its own columns, and dedup() the input's.
 """
 
@@ -95,9 +95,14 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns. Only possibly repeated rows shuffle."""
+    """One row of each group, with docs' columns. Only keys and digests of possibly repeated rows, and the rows that stay, shuffle."""
     alone, suspects = _suspects(docs, doc_id, text, carry=True)
-    stays = suspects.join(_winners(suspects).drop("group_size"), "digest").filter(F.col("_id").eqNullSafe(F.col("keep_id")))
+    # doc_ids may repeat or be null, so a row has a key of its own, fixed by the write; equal rows are told apart by it alone
+    plain = [F.col(f"_row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    suspects = common.materialise(suspects.withColumn("_tie", F.xxhash64(*plain)).withColumn("_key", F.monotonically_increasing_id()), "dedup-suspects")
+    order = F.struct(_order().alias("first"), F.col("_tie"), F.col("_key"))
+    winners = common.materialise(suspects.groupBy("digest").agg(F.max_by("_key", order).alias("_key")).select("_key"), "dedup-winners")
+    stays = suspects.join(winners, "_key", "left_semi")
     return alone.select("_row").unionByName(stays.select("_row")).select("_row.*")
 
 

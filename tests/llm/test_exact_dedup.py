@@ -30,6 +30,16 @@ def test_dedup_keeps_columns_and_one_row_of_each_group(odd):
     assert set(texts) == {b for r in odd_rows() for b in [re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")]}
 
 
+def test_dedup_counts_one_row_of_each_group(spark, odd):
+    rows = [r["text"] for r in D.dedup(odd).collect()]
+    assert len(rows) == len({re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in odd_rows()})
+    copies = [(1, "one text", "a"), (1, "one text", "a"), (1, "one\ttext", "b"), (None, "two", "a"), (None, "two", "a"), (None, "two", None), (2, "three", "a"), (None, "three", "a")]
+    docs = spark.createDataFrame(copies, "doc_id long, text string, source string").repartition(3)
+    out = D.dedup(docs).collect()
+    assert sorted((re.sub(r"\s", "", r["text"]), r["doc_id"] or 0) for r in out) == [("onetext", 1), ("three", 2), ("two", 0)]
+    assert sorted(map(str, out)) == sorted(map(str, D.dedup(docs.repartition(2)).collect()))
+
+
 def test_a_saturated_filter_changes_nothing(odd, monkeypatch):
     monkeypatch.setattr(D, "MIN_BITS", 64)
     monkeypatch.setattr(D, "MAX_BITS", 64)
