@@ -34,7 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode(docs, *byte_bpe.tokenizer())
+    """A row per document: its token ids, with op5's counts and digests."""
+    return byte_bpe.encode(docs, *byte_bpe.tokenizer(), with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("minhash_dedup", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]

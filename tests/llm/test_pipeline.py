@@ -31,6 +31,15 @@ def test_stages_follow_one_another(spark):
     assert sorted(map(tuple, C.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_the_pipeline_returns_token_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    path, pattern = byte_bpe.tokenizer()
+    codec, texts = byte_bpe.codec(path, pattern), {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = C.encode(spark, docs, SF).collect()
+    assert len(rows) == len(texts) and all(len(r["ids"]) == r["n_tokens"] for r in rows)
+    assert all(codec.decode(r["ids"]).decode() == texts[r["doc_id"]] for r in rows)
+
+
 def test_near_copies_go_at_eighty_percent(spark):
     """The stage against brute force at 0.8; and the documents of the given table that stay at 0.85."""
     from .test_minhash_dedup import brute, family
