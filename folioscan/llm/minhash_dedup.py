@@ -238,7 +238,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> Dat
 def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) to (doc_id, n_shingles, class_id) of documents with shingles, and (class_id, component) of linked classes."""
     fields = "doc_id long, n_shingles long, digest long, bands array<long>, sketch binary, samples int"
-    signed = common.materialise(docs.filter("doc_id IS NOT NULL").mapInArrow(_signatures(percent), fields), "minhash-signatures")
+    signed = common.materialise(docs.filter("doc_id IS NOT NULL").mapInArrow(common.frugal(_signatures(percent)), fields), "minhash-signatures")
     class_of = common.materialise(signed.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id")), "minhash-classes")
     stands = signed.join(class_of.select(F.col("class_id").alias("doc_id"), "digest", "n_shingles"), ["doc_id", "digest", "n_shingles"], "left_semi")
     reps = common.materialise(stands.dropDuplicates(["doc_id"]), "minhash-reps")
@@ -255,7 +255,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     # the sets of all that may be paired; texts move once
     pool = members.select("doc_id").distinct()
     texts = docs.join(pool.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = common.materialise(texts.mapInArrow(_sets, "doc_id long, hashes array<long>"), "minhash-sets")
+    sets = common.materialise(texts.mapInArrow(common.frugal(_sets), "doc_id long, hashes array<long>"), "minhash-sets")
     links = _confirmed(likely, sets, percent, "minhash-links")
 
     label = components(links)

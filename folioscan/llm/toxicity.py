@@ -339,13 +339,13 @@ def _scored(model: Model, column: int, keep: bool):
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, score, predicted."""
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scored(model, 1, False), "doc_id long, score double")
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(common.frugal(_scored(model, 1, False)), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs that are not toxic."""
-    return docs.mapInArrow(_scored(model, docs.columns.index(text), True), docs.schema)
+    return docs.mapInArrow(common.frugal(_scored(model, docs.columns.index(text), True)), docs.schema)
 
 
 def query(spark, sf_dir):
