@@ -15,8 +15,8 @@ from folioscan.functions.markup import events, nested_heads
 
 INDEX = "id string, title string, path string, meta map<string,string>"
 VERSION = "v2"
-#: Elements that are read of a file, by corpus.
-EVENTS = {"sarit": 80_000, "muktabodha": 60_000, "gretil": 50_000, "cbeta": 50_000, "tipitaka": 12_000, "plain": 80_000}
+#: Elements that are read of a file, by corpus; others are read until id and title are known, as the reference does.
+EVENTS = {"sarit": 80_000, "muktabodha": 60_000, "gretil": 50_000, "cbeta": 50_000, "tipitaka": 12_000}
 _TRANSLATOR = re.compile(r"transl|trl|\btr\.|譯|译", re.I)
 _COLLECTION = re.compile("tripitaka|taisho|canon")
 # Collections and the prefix of their identifiers.
@@ -51,14 +51,14 @@ def title_rank_column(text: Column, lang: Column, level: Column) -> Column:
     return score - F.when(T.is_collection_title(text), 2.0).otherwise(0.0) + F.least(F.length(text), F.lit(30)) / 100
 
 
-def read_header(xml: str, most: int) -> dict:
-    """Of a file's events: ids, titles, contributors, responsibilities, heads, keywords, divisions, rendered paragraphs."""
+def read_header(xml: str, most: int | None) -> dict:
+    """Of a file's first events, or of those up to the first id and title: ids, titles, contributors, responsibilities, heads, keywords, divisions, rendered paragraphs."""
     found: dict = {"id": None, "titles": [], "author": [], "editor": [], "publisher": [], "date": [], "idno": [], "resp": [], "heads": [], "keywords": [], "classCode": [], "catRef": [], "rend": {}, "div": [], "juan": 0}
     stack: list[tuple[str, dict, list[str]]] = []
     inside = lambda n: any(s[0] == n for s in stack)
     role: list[str] = []
     for i, (kind, name, at) in enumerate(events(xml)):
-        if i >= most:
+        if i >= most if most is not None else found["id"] and found["titles"]:
             break
         if kind in ("start", "empty"):
             found["id"] = found["id"] or at.get("xml:id")
@@ -109,7 +109,7 @@ def _entry(corpus: str, path: str, xml: str | None) -> tuple[str, str, str, dict
         return stem, stem, path, None
     if corpus == "muktabodha" and path.endswith(".txt"):
         return stem, stem, path, {"indexVersion": VERSION, "ext": "txt"}
-    h = read_header(xml, EVENTS.get(corpus, EVENTS["plain"]))
+    h = read_header(xml, EVENTS.get(corpus))
     titles = [t[0] for t in h["titles"]]
     main = next((t[0] for t in h["titles"] if t[3] and "main" in t[3]), None)
     meta: dict[str, str | None] = {}

@@ -114,3 +114,13 @@ def test_article_text():
 
 def test_bibliography():
     assert catalog.bibliography('<p rend="book">B1</p><p rend="book">B2</p><head rend="chapter"> C </head>') == {"book": "B1", "chapter": "C"} and catalog.bibliography(None) == {}
+
+
+def test_plain_pages_are_read_until_id_and_title_are_known():
+    from folioscan.sources import catalog
+
+    long_ = "<p>x</p>" * 30_000  # 90,000 events
+    late = f'<TEI>{long_}<teiHeader><fileDesc><titleStmt><title>Late title</title></titleStmt></fileDesc></teiHeader><text xml:id="late"/></TEI>'
+    assert catalog._entry("plain", "a/b.xml", late)[:2] == ("late", "Late title")
+    early = '<TEI xml:id="first"><teiHeader><fileDesc><titleStmt><title>One</title><title>Two</title></titleStmt></fileDesc></teiHeader><text xml:id="second"/></TEI>'
+    assert catalog._entry("plain", "a/b.xml", early)[:2] == ("first", "One")
