@@ -35,21 +35,32 @@ def with_hay(entries: DataFrame, hay: Column) -> DataFrame:
     return entries.withColumn("hay_norm", T.normalised(hay)).withColumn("hay_ws", T.normalised_spaces(hay))
 
 
-def base_score(hay_norm: Column, hay_ws: Column, query: str, pali: bool = False) -> Column:
-    """1 if the query is contained, else the better Jaccard; a subsequence either way scores SUBSEQUENCE at least."""
+def base_score(hay_norm: Column, hay_ws: Column, query: str, folded: Column | None = None) -> Column:
+    """1 if the query is contained, else the better Jaccard; a subsequence either way scores SUBSEQUENCE at least.
+
+    folded: the Pali and Sanskrit fold of the same text, normalised() without variants; it is compared as well.
+    """
     q, spaced = T.python_normalised(query), T.python_normalised_spaces(query)
     tokens = F.array(*[F.lit(t) for t in dict.fromkeys(spaced.split())]) if spaced else F.array().cast("array<string>")
     near = F.greatest(T.byte_jaccard(hay_norm, F.lit(q)), T.token_jaccard(T.token_set(hay_ws), tokens))
     ordered = T.contains_in_order(hay_norm, q) | T.is_subsequence(F.lit(q), hay_norm)
+    if folded is not None:
+        plain = T.python_normalised(query, variants=False)
+        near = F.greatest(near, T.byte_jaccard(folded, F.lit(plain)))
+        ordered = ordered | T.contains_in_order(folded, plain)
     score = F.when(hay_norm.contains(q), F.lit(1.0)).otherwise(near)
     return F.when((score < 0.95) & ordered, F.greatest(score, F.lit(SUBSEQUENCE))).otherwise(score)
 
 
-def match_score(hay_norm: Column, hay_ws: Column, query: str, alias: Column | None = None) -> Column:
-    score, spaced = base_score(hay_norm, hay_ws, query), T.python_normalised_spaces(query)
+def match_score(hay_norm: Column, hay_ws: Column, query: str, alias: Column | None = None, folded: Column | None = None) -> Column:
+    score, spaced = base_score(hay_norm, hay_ws, query, folded), T.python_normalised_spaces(query)
     if alias is not None:
         flat = F.replace(T.normalised_spaces(F.coalesce(alias, F.lit(""))), F.lit(" "), F.lit(""))
-        score = F.when((flat != "") & flat.contains(spaced.replace(" ", "")), F.greatest(score, F.lit(ALIAS))).otherwise(score)
+        found = flat.contains(spaced.replace(" ", ""))
+        if folded is not None:
+            alias_fold = T.normalised(F.coalesce(alias, F.lit("")), variants=False)
+            found = found | ((alias_fold != "") & alias_fold.contains(T.python_normalised(query, variants=False)))
+        score = F.when((flat != "") & found, F.greatest(score, F.lit(ALIAS))).otherwise(score)
     if re.search("[0-9]", query) and spaced:
         score = F.when(hay_ws.contains(spaced), F.least(score + NUMERIC, F.lit(1.0))).otherwise(score)
     return score

@@ -199,3 +199,12 @@ def test_probe_and_fallbacks(spark):
     texts = spark.createDataFrame([("a", " ", None), ("b1", "", "<p> </p>"), ("b", "base", ""), ("c", None, "<p>con<b/>tent</p>")], "id string, text string, raw string")
     wanted = spark.createDataFrame([("a",), ("b1",), ("c.toc",), ("z",)], "id string")
     assert {r["id"]: r["text"] for r in fetch.with_fallbacks(wanted, texts).collect()} == {"b1": "base", "c.toc": "con tent"}
+
+
+def test_folded_terms_of_title_scores(spark):
+    rows = spark.createDataFrame([("zzzz", "zzzz", "abcd", "x"), ("zzzz", "zzzz", "a1b2c3", "x"), ("zzzz", "zzzz", "zzzz", "x abc")], "hay_norm string, hay_ws string, fold string, alias string")
+    plain = rank.match_score(F.col("hay_norm"), F.col("hay_ws"), "abc", F.lit("x"))
+    folded = rank.base_score(F.col("hay_norm"), F.col("hay_ws"), "xabc", F.col("fold"))
+    whole = rank.match_score(F.col("hay_norm"), F.col("hay_ws"), "abc", F.col("alias"), F.col("fold"))
+    got = [tuple(r) for r in rows.select(plain, F.round(folded, 6), whole).collect()]
+    assert got == [(0.0, 0.5, 0.85), (0.0, 0.0, 0.85), (0.0, 0.0, 0.95)]
