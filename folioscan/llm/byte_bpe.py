@@ -23,14 +23,15 @@ import itertools
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import common
 
-#: Characters of a chunk and of an overlap, and how many units a worker remembers.
-CHUNK, OVERLAP, REMEMBERED = 1 << 16, 1 << 11, 400_000
+#: Characters of a chunk and of an overlap.
+CHUNK, OVERLAP = 1 << 16, 1 << 11
 
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -48,7 +49,7 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.find = regex.compile(pattern).findall
-        self.ranks, self.bytes_of, self.units = ranks, {i: b for b, i in ranks.items()}, {}
+        self.ranks, self.bytes_of, self.units = ranks, {i: b for b, i in ranks.items()}, common.Memory()
 
     def pieces(self, text: str) -> list[str]:
         return self.find(text)
@@ -60,9 +61,8 @@ class Codec:
 
     def unit(self, unit: str) -> tuple[list[int], str]:
         ids = [i for piece in self.find(unit) for i in self.piece_ids(piece)]
-        if len(self.units) >= REMEMBERED:
-            self.units.clear()
-        self.units[unit] = out = (ids, " ".join(map(str, ids)))
+        out = (ids, " ".join(map(str, ids)))
+        self.units.place(unit, out, 2 * len(unit) + 150 + 42 * len(ids))
         return out
 
     def encode(self, text: str) -> list[tuple[list[int], str]]:
@@ -113,19 +113,23 @@ def stitch_place(c: Codec, text: str, start: int, nxt: int, overlap: int) -> int
     return next((b for b in ours if b >= lo and b in theirs and (b == start or not text[b - start - 1].isspace())), None)
 
 
-def _hashed(c: Codec, parts: list[tuple[list[int], str]]) -> tuple[int, str, bytes]:
+def _hashed(c: Codec, parts: list[tuple[list[int], str]], with_ids: bool) -> tuple[int, str, str, np.ndarray | None]:
+    """Number of ids, the digests of the ids and of the decoded bytes, and the ids."""
     n = sum(len(ids) for ids, _ in parts)
-    return n, " ".join(s for _, s in parts), c.decode(itertools.chain.from_iterable(ids for ids, _ in parts))
+    ids = np.fromiter(itertools.chain.from_iterable(ids for ids, _ in parts), dtype=np.int32, count=n) if with_ids else None
+    decoded = c.decode(itertools.chain.from_iterable(ids for ids, _ in parts))
+    return n, hashlib.sha256(" ".join(s for _, s in parts).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
 
 
 def _whole(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            out = [_hashed(c, c.encode(t)) for t in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in out], pa.string()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())]
+            out = [_hashed(c, c.encode(t.as_py()), with_ids) for t in b.column(1)]
+            cols = [b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
             if with_ids:
-                cols.append(pa.array([[int(i) for i in x[1].split()] for x in out], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *(x[0] for x in out)], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[3] for x in out]) if out else np.empty(0, dtype=np.int32))).cast(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return run
@@ -217,14 +221,16 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     """A row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids: ids too."""
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    short = rows.filter(F.octet_length("text") <= chunk).mapInArrow(_whole(path, pattern, with_ids), f"doc_id long, {fields}")
+    whole = lambda some: common.map_arrow(some, _whole(path, pattern, with_ids), f"doc_id long, {fields}")
+    short = whole(rows.filter(F.octet_length("text") <= chunk))
     # the row key names rows whose doc_ids agree: copies of one text and doc_id give equal rows, so a number among them is enough
     long_ = rows.filter(F.octet_length("text") > chunk)
     keyed = common.materialise(long_.select(F.concat_ws(":", F.expr("uuid()")).alias("row"), "doc_id", "text"), "bpe-long")
-    chunks = keyed.mapInArrow(_cut(chunk, overlap), "row string, doc_id long, k int, start long, last boolean, part string").repartition("row", "k")
-    coded = chunks.mapInArrow(_chunked(path, pattern, overlap), "row string, doc_id long, k int, place long, head array<struct<at:long,n:int>>, ids array<int>")
+    chunks = common.map_arrow(keyed, _cut(chunk, overlap), "row string, doc_id long, k int, start long, last boolean, part string").repartition("row", "k")
+    coded = common.map_arrow(chunks, _chunked(path, pattern, overlap), "row string, doc_id long, k int, place long, head array<struct<at:long,n:int>>, ids array<int>")
     joined = common.materialise(coded.groupBy("row").applyInArrow(_stitched(path, pattern, with_ids), f"row string, doc_id long, {fields}"), "bpe-stitched")
-    odd = keyed.join(joined.filter("n_tokens IS NULL").select("row"), "row", "left_semi").select("doc_id", "text").mapInArrow(_whole(path, pattern, with_ids), f"doc_id long, {fields}")
+    odd = keyed.join(joined.filter("n_tokens IS NULL").select("row"), "row", "left_semi").select("doc_id", "text")
+    odd = whole(odd)
     return short.unionByName(joined.filter("n_tokens IS NOT NULL").drop("row")).unionByName(odd)
 
 

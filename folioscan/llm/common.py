@@ -16,16 +16,22 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Folders made for sessions without spark.checkpoint.dir, by application.
+#: Folders made for local sessions without spark.checkpoint.dir, by application.
 _own: dict[str, str] = {}
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+#: What a worker's memory of tokens or units may hold, in bytes as place() counts them.
+MEMORY_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="folioscan-shared-")
@@ -48,13 +54,30 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     was = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     finally:
         if was is None:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_arrow(rows: DataFrame, run: Callable[[Iterator], Iterator], fields) -> DataFrame:
+    """rows.mapInArrow() in batches bounded by bytes, as a batch of 10,000 long texts would not be. A session's own bound stays."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH, f"{_BATCH_DEFAULT}b") == f"{_BATCH_DEFAULT}b":
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return rows.mapInArrow(frugal(run), fields)
 
 
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -69,6 +92,24 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return whole
 
 
+class Memory(dict):
+    """What a worker remembers of tokens. place() lets everything go once MEMORY_BYTES are full; very long keys are not remembered."""
+
+    def __init__(self, most: int = MEMORY_BYTES):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def place(self, key, value, size: int) -> None:
+        """size: bytes of key and value beside 200 of the entry's own."""
+        if size > self.most >> 8:
+            return
+        if self.held + size + 200 > self.most:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size + 200
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

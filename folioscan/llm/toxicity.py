@@ -13,24 +13,29 @@ out ones: those whose crc32(doc_id) is 0 modulo 5. Nothing but the text is an in
 
 Defined cases: null and empty texts score as texts without words; a doc_id without a label is scored all the same; a
 label that is null is no label; if one class has no labelled document every score is the share of toxic labels (0 if
-there are none). score() keeps the input's rows as they are and adds columns; reject() returns the input's columns.
+there are none). Equal texts get equal scores; a very long text is read whole, token by token; rows that repeat a doc_id
+are scored one by one, and their label is toxic if any of its rows in labels says so; a null doc_id counts as held out, as
+it has no label; an empty table gives no rows. score() returns doc_id, score and predicted, a row for each row; reject()
+returns the input's rows and columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import common
 
-#: Labelled documents that are fitted on, words in the vocabulary, least documents of a word, words remembered by a worker.
-SAMPLE, VOCABULARY, LEAST_DOCS, REMEMBERED = 6_000, 600, 8, 400_000
+#: Labelled documents that are fitted on, words in the vocabulary, least documents of a word.
+SAMPLE, VOCABULARY, LEAST_DOCS = 6_000, 600, 8
 #: Lengths of the beginnings of words that are features, and the share of a text's words that makes a feature strong.
 PREFIXES, STRONG = (4, 5, 6, 7), 0.005
 #: Letters of the character model; everything else is the edge of a word, 0.
@@ -66,7 +71,8 @@ def _codes(data: np.ndarray) -> np.ndarray:
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(LETTERS**3, dtype=np.int64)
     for b in batches:
-        for text in b.column(0).to_pylist():
+        for text in b.column(0):
+            text = text.as_py()
             for lo in range(0, len(text), 1 << 20):
                 c = _codes(np.frombuffer(b"  " * (lo == 0) + text[max(0, lo - 2) : lo + (1 << 20)] + b"  ", dtype=np.uint8))
                 total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=len(total))
@@ -76,7 +82,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Costs in nats of each letter after two others, from all documents: LETTERS cubed numbers."""
-    grams = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).mapInArrow(_trigrams, "gram long, n long")
+    grams = common.map_arrow(docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")), _trigrams, "gram long, n long")
     counts = np.zeros(LETTERS**3)
     for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # LETTERS cubed rows at most
         counts[r["gram"]] = r["n"]
@@ -183,7 +189,7 @@ class Reader:
     """Texts to the features of their restored form; what a token gives is remembered."""
 
     def __init__(self, costs: np.ndarray, vocabulary: frozenset[str] | None = None):
-        self.channel, self.vocabulary, self.known = Channel(costs), vocabulary, {}
+        self.channel, self.vocabulary, self.known = Channel(costs), vocabulary, common.Memory()
         self.lexicon = sorted(w for n in vocabulary or () if n.startswith("w=") and len(w := n[2:]) >= PREFIXES[0])
 
     def readings(self, token: str) -> set[str]:
@@ -220,9 +226,8 @@ class Reader:
         found = {n for w in self.readings(token) for n in names(w)}
         if self.vocabulary is not None:
             found &= self.vocabulary
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[token] = out = tuple(found)
+        out = tuple(sys.intern(n) for n in found)
+        self.known.place(token, out, 2 * len(token) + (8 if self.vocabulary is not None else 80) * len(out))
         return out
 
     def features(self, text: str) -> set[str]:
@@ -256,14 +261,14 @@ def _read_words(costs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(costs)
         for b in batches:
-            words = [sorted(reader.features(t or "")) for t in b.column(2).to_pylist()]
+            words = [sorted(reader.features(t.as_py() or "")) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
     return run
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -303,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # a bounded table
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "toxic", "_text")
-    read = common.materialise(rows.mapInArrow(_read_words(costs), "doc_id long, toxic int, words array<string>"), "toxic-words")
+    read = common.materialise(common.map_arrow(rows, _read_words(costs), "doc_id long, toxic int, words array<string>"), "toxic-words")
     totals = read.groupBy("toxic").count().collect()
     n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in totals}
     if not n[0] or not n[1]:
@@ -331,21 +336,21 @@ def _scored(model: Model, column: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for b in batches:
-            s = pa.array([score(t) for t in b.column(column).to_pylist()], pa.float64())
-            yield b.filter(pa.array([x.as_py() < 0.5 for x in s], pa.bool_())) if keep else pa.RecordBatch.from_arrays([b.column(0), s], ["doc_id", "score"])
+            s = pa.array([score(t.as_py()) for t in b.column(column)], pa.float64())
+            yield b.filter(pc.less(s, 0.5)) if keep else pa.RecordBatch.from_arrays([b.column(0), s], ["doc_id", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, score, predicted."""
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(common.frugal(_scored(model, 1, False)), "doc_id long, score double")
+    out = common.map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), _scored(model, 1, False), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs that are not toxic."""
-    return docs.mapInArrow(common.frugal(_scored(model, docs.columns.index(text), True)), docs.schema)
+    return common.map_arrow(docs, _scored(model, docs.columns.index(text), True), docs.schema)
 
 
 def query(spark, sf_dir):

@@ -8,8 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at a time, and the longest word that takes the polynomial way.
-SEGMENT, LONG_WORD = 1 << 20, 1 << 10
+#: Bytes of text and documents that are hashed at a time, and the longest word that takes the polynomial way.
+SEGMENT, DOCUMENTS, LONG_WORD = 1 << 20, 2048, 1 << 10
 #: Words of a prefix-sum block; runs start in a block and may reach over its end by RUN words.
 BLOCK, RUN = 1 << 18, 64
 
@@ -93,7 +93,7 @@ def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def hashed_batches(batch: pa.RecordBatch, column: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batch of some SEGMENT bytes of text, with the words' hashes and the words before each document."""
+    """Slices of the batch of some SEGMENT bytes of text and DOCUMENTS rows at most, with the words' hashes and the words before each document."""
     for part, data, starts, ends, before in spans_of(batch, column, lower):
         yield part, word_hashes(data, starts, ends), before
 
@@ -108,7 +108,7 @@ def spans_of(batch: pa.RecordBatch, column: int, lower: bool = False) -> Iterato
     at = 0
     while at < len(wide):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SEGMENT, side="right")) - 1)
-        to = min(to, len(wide))
+        to = min(to, at + DOCUMENTS, len(wide))
         data = whole[offsets[at] : offsets[to]]
         starts, ends, before = word_spans(data, offsets[at : to + 1] - offsets[at])
         yield batch.slice(at, to - at), _LOWER[data] if lower else data, starts, ends, before
