@@ -23,11 +23,14 @@ def components(links: DataFrame) -> DataFrame:
         rounds.append(joins)
         left = edges.join(joins.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
         moved = left.join(joins.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
-        edges = common.materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links")
+        before, edges = edges, common.materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links")
+        common.drop(before)
     if not rounds:
-        return links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
     label = rounds[0].select("node", F.col("to").alias("component"))
     for joins in rounds[1:]:
         step = joins.select(F.col("node").alias("component"), "to")
         label = label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return common.materialise(label, "cc-labels")
+    out = common.materialise(label, "cc-labels")
+    common.drop(edges, *rounds)
+    return out

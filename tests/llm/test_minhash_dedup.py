@@ -49,7 +49,7 @@ def family(seed, n, size=150):
 @pytest.mark.parametrize("block", [512, 8])
 def test_components_match_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", block)
-    rows = [r[:2] for r in odd_rows() if r[0] != 60 and r[0] is not None]
+    rows = [r[:2] for r in odd_rows() if r[0] != 60 and r[0] is not None]  # those have a test of their own
     for k in range(6):
         rows += [(1000 * (k + 1) + i, t) for i, t in enumerate(family(k, 25, 60 + 50 * k))]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in M.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
@@ -94,6 +94,48 @@ def test_odd_rows_and_dedup(odd, empty):
     assert M.link(empty).count() == 0 and M.dedup(empty).count() == 0
 
 
+def test_rows_are_judged_not_ids(spark):
+    """Repeated and null doc_ids: each row has the component of its own text, and one row of each group stays."""
+    base, far = words(78, 200).split(), words(77, 90)
+    near = [" ".join(["changed" if i == at else w for i, w in enumerate(base)]) for at in (300, 50, 150)]
+    rows = [(5, near[0]), (5, far), (5, far), (7, near[1]), (7, far + " tail"), (None, near[0]), (None, near[0]), (9, near[2]), (9, ""), (9, ""), (3, far)]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, _row string, key int").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in M.link(docs).collect()), key=str)
+    want = {near[0]: 5, near[1]: 5, near[2]: 5, far: 3, far + " tail": 3}
+    assert got == sorted(((d, len(shingle_set(t)), d if d is None or not t else want[t]) for d, t in rows), key=str)
+    stays = M.dedup(docs)
+    assert stays.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(((r["doc_id"], r["text"]) for r in stays.collect()), key=str) == sorted([(5, near[0]), (3, far), (None, near[0]), (None, near[0]), (9, ""), (9, "")], key=str)
+
+
+def test_recall_on_given_documents(spark):
+    """Against brute force over the given table, by an index of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in docs.collect()}
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d, s in sets.items():
+        shared = {}
+        for x in s:
+            for o in holders[x]:
+                if o < d:
+                    shared[o] = shared.get(o, 0) + 1
+        for o, i in shared.items():
+            if 100 * i >= 85 * (len(s) + len(sets[o]) - i):
+                x, y = root(o), root(d)
+                parent[max(x, y)] = min(x, y)
+    assert {r["doc_id"]: r["component_id"] for r in M.link(docs).collect()} == {d: root(d) for d in sets}
+
+
 def test_bands_follow_the_threshold():
     assert M.banding(85) == (6, 30)  # op6's
     for percent in (50, 70, 80, 85, 90, 95):
