@@ -1,6 +1,6 @@
 """Token counts through a digest cache (operator 3).
 
-A stored table holds (content digest, tokenizer version digest, token count). Every text is brought into a normal form
+A stored table holds token counts by content digest, in a folder for each tokenizer version digest. Every text is brought into a normal form
 that can't change its count (runs of ASCII white space become one space, none at the ends: the tokenizer does the same),
 digested, and joined to the stored counts. Only distinct digests that are missing there are encoded, one document's text
 for each, and their counts are appended to the table. The texts move once, for the documents that stand for a miss;
@@ -9,7 +9,8 @@ everything else is digests.
 Encoding goes word by word (between ASCII white space), as this tokenizer drops white space and never merges across it;
 a worker remembers the counts of words. Special strings in a text are found by the library, as is its default.
 
-Defined cases: null text is the empty text, with no tokens; documents that repeat a doc_id get the count of their own
+Defined cases: null text is the empty text, with no tokens; a very long text is counted whole, word by word; equal texts
+are encoded once, that of the smallest doc_id; documents that repeat a doc_id get the count of their own
 text; an empty table gives no rows; the cache may be absent, empty, or hold a digest twice after two runs at once (its
 counts agree, one is read). Other columns are not read.
 """
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from folioscan.llm import common
 
-OVER, REMEMBERED = 2048, 400_000
-_CACHE = "digest binary, version string, n_tokens long"
+OVER = 2048
+_CACHE = "digest binary, n_tokens long"
 _loaded: dict = {}
 
 
@@ -39,19 +40,20 @@ class Counting:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), common.Memory()
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
     def count(self, text: bytes) -> int:
         words, known = Counter(text.split()), self.known
-        if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(words)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = len(e.ids)
-        return sum(known[w] * n for w, n in words.items())
+        total = sum(known[w] * n for w, n in words.items() if w in known)
+        new = [w for w in words if w not in known]
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                total += len(e.ids) * words[w]
+                known.place(w, len(e.ids), len(w) + 32)
+        return total
 
 
 def counting(path: str) -> Counting:
@@ -71,7 +73,7 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counting(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.count(t) for t in b.column(1).to_pylist()], pa.int64())], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.count(t.as_py()) for t in b.column(1)], pa.int64())], ["digest", "n_tokens"])
 
     return run
 
@@ -81,10 +83,12 @@ def _normal(text):
 
 
 def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    """The counts of one version, which are a folder of their own in the cache."""
+    folder = f"{cache.rstrip('/')}/version={version}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "digest binary, n_tokens long")
-    return spark.read.schema(_CACHE).parquet(cache).filter(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+        return spark.createDataFrame([], _CACHE)
+    return spark.read.schema(_CACHE).parquet(folder).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,13 +98,18 @@ def count_tokens(docs: DataFrame, path: str, cache: str, doc_id: str = "doc_id",
     digest = F.unhex(F.sha2(_normal(source), 256)).alias("digest")
     light = common.materialise(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(source), F.lit(0)).cast("long").alias("n_bytes"), digest), "tokens-digests")
     missing = light.groupBy("digest").agg(F.min("doc_id").alias("_id")).join(_stored(spark, cache, version), "digest", "left_anti")
+    missing = common.materialise(missing, "tokens-missing")
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(source, F.lit("")).cast("binary").alias("_text"), digest)
     # the document that stands for a digest, by id and digest; rows that repeat both are encoded again, and stored once
     wanted = texts.join(missing.hint("shuffle_hash"), ["_id", "digest"], "left_semi").select("digest", "_text")
-    null_ids = texts.join(missing.filter("_id IS NULL").select("digest"), "digest", "left_semi").filter("_id IS NULL").select("digest", "_text")
-    fresh = wanted.unionByName(null_ids).mapInArrow(_encode(path), "digest binary, n_tokens long").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    return light.join(_stored(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    unnamed = missing.filter("_id IS NULL").select("digest")
+    if not unnamed.isEmpty():
+        wanted = wanted.unionByName(texts.filter("_id IS NULL").join(unnamed, "digest", "left_semi").select("digest", "_text"))
+    fresh = common.map_arrow(wanted, _encode(path), _CACHE).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    fresh.write.mode("append").parquet(f"{cache.rstrip('/')}/version={version}")
+    # a table of its own, so that the join's sides are plain and the adaptive skew join splits a digest of many copies
+    counts = common.materialise(_stored(spark, cache, version), "tokens-counts")
+    return light.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def query(spark, sf_dir):
