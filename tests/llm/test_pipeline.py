@@ -22,11 +22,11 @@ def test_stages_follow_one_another(spark):
         elif name == "exact_dedup":
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in exact_dedup.decide(before).collect() if r["kept"]}
         elif name == "minhash_dedup":
-            assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in minhash_dedup.link(before).collect() if r["kept"]}
+            assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in minhash_dedup.link(before, percent=C.NEAR_PERCENT).collect() if r["kept"]}
         elif name == "mixing":
             assert counts[-1] == sum(r["copies"] for r in mixing.decide(mixing._sizes(before)).collect())
         else:
-            assert counts[-1] == counts[-2] and sorted(map(tuple, docs.collect())) == sorted(map(tuple, byte_bpe.encode(before, *byte_bpe.tokenizer()).collect()))
+            assert counts[-1] == counts[-2] and sorted(map(tuple, docs.collect())) == sorted(map(tuple, byte_bpe.encode(before, *byte_bpe.tokenizer(), with_ids=True).collect()))
     assert counts[0] > counts[1] > counts[2] >= counts[3] > 0
     assert sorted(map(tuple, C.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
 
