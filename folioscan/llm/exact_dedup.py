@@ -1,16 +1,20 @@
 """Exact dedup by two-pass Bloom filtering (operator 9, native).
 
-Pass 1 sets K bits per row in a partitioned bit table and keeps the cells that at least two insertions hit: the filter
-of possibly repeated hashes. Pass 2 tests every row against that filter. Rows outside it are unique for certain and pass
-straight through; only the others shuffle, by their exact SHA-256, and are grouped.
-
-The filter has a fixed largest size (MAX_BITS), so its broadcast is bounded: MAX_BITS / 64 rows of two longs. Beyond it
-more unique rows take the exact way as well, which costs shuffle and never changes a result.
-
-Defined cases: null text counts as empty; empty and blank texts are equal to each other; the longest original text
-stays, on ties the smallest doc_id, a null doc_id after all others. decide() marks all rows kept that repeat the doc_id
-of the row that stays; dedup() leaves one row of each group, also of rows that agree in all columns. Input columns beyond those named, also ones called like the results, are left alone:
-decide() returns only its own columns, and dedup() the input's.
+Pass 1 sets two bits of one 64-bit word for each row's hash and keeps the bits that two insertions hit: the filter of
+possibly repeated hashes. Insertions that agree in word and bits are summed before they shuffle, and a word sees at most
+as many different ones as there are pairs of its bits. Pass 2 tests every row against that filter. Rows outside it are
+unique for certain and pass straight through; only the others shuffle, by their exact SHA-256, and are grouped.
+
+The filter has a word for each row, whatever their number, and holds only words with such bits: some 2 % of the words
+beside those of copies. It is a table; up to FILTER_ROWS rows of it are broadcast (two longs each), beyond that rows and
+filter meet by word in a plain join, which the adaptive skew join splits for hot texts. Texts are digested once for
+decide(), whose rows are keys and digests from then on.
+
+Defined cases: null text counts as empty; empty and blank texts are equal to each other; a very long text is digested
+whole; the longest original text stays, on ties the smallest doc_id, a null doc_id after all others; an empty table gives
+no rows. decide() marks all rows kept that repeat the doc_id of the row that stays; dedup() leaves one row of each group,
+also of rows that agree in all columns. Input columns beyond those named, also ones called like the results, are left
+alone: decide() returns only its own columns, and dedup() the input's.
 """
 
 from __future__ import annotations
@@ -20,40 +24,47 @@ from pyspark.sql import functions as F
 
 from folioscan.llm import common
 
-#: Bits per row, insertions per row, and the filter's smallest and largest number of bits.
-BITS_PER_ROW, K, MIN_BITS, MAX_BITS = 32, 2, 1 << 16, 1 << 27
+#: Rows of the filter that are broadcast at most.
+FILTER_ROWS = 1 << 21
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), common.SPACE, "")
 
 
-def _cells(digest: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(k), digest), F.lit(bits)) for k in range(K)]
+def _marked(rows: DataFrame, words: int) -> DataFrame:
+    """rows (with digest) with _word and _mask: the word of the filter that the digest falls into, and its two bits."""
+    two = F.xxhash64(F.lit(1), F.col("digest"))
+    bits = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_two, {6 * k}) & 63 AS int))") for k in range(2)]
+    return rows.withColumn("_word", F.pmod(F.xxhash64(F.lit(0), F.col("digest")), F.lit(words))).withColumn("_two", two).withColumn("_mask", bits[0].bitwiseOR(bits[1])).drop("_two")
+
+
+def repeated_filter(digests: DataFrame, words: int) -> DataFrame:
+    """(word, twice): the bits that two or more insertions hit, of the words that have any."""
+    each = _marked(digests, words).groupBy("_word", "_mask").agg((F.count("*") > 1).alias("again"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("twice"))
 
+    def step(acc: Column, x: Column) -> Column:
+        hit = F.when(x["again"], x["_mask"]).otherwise(acc["seen"].bitwiseAND(x["_mask"]))
+        return F.struct(acc["seen"].bitwiseOR(x["_mask"]).alias("seen"), acc["twice"].bitwiseOR(hit).alias("twice"))
 
-def filter_bits(rows: int) -> int:
-    bits = MIN_BITS
-    while bits < BITS_PER_ROW * rows and bits < MAX_BITS:
-        bits *= 2
-    return bits
+    per = each.groupBy(F.col("_word").alias("word")).agg(F.collect_list(F.struct("_mask", "again")).alias("masks"))
+    return per.select("word", F.aggregate("masks", start, step)["twice"].alias("twice")).filter("twice <> 0")
 
 
-def repeated_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """(word, mask): bits of the cells that two or more insertions hit. At most bits / 64 rows."""
-    cells = digests.select(F.explode(F.array(*_cells(F.col("digest"), bits))).alias("cell"))
-    twice = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 AS int))")).alias("mask"))
+class Filter:
+    """The stored filter of a table's stored digests."""
 
+    def __init__(self, digests: DataFrame):
+        self.words = max(1, digests.count())
+        self.table = common.materialise(repeated_filter(digests, self.words), "dedup-filter")
+        self.small = self.table.count() <= FILTER_ROWS
 
-def with_suspicion(rows: DataFrame, filt: DataFrame, bits: int) -> DataFrame:
-    """rows (with digest) and a column _maybe: all cells of the digest are in the filter."""
-    maybe = F.lit(True)
-    for k, cell in enumerate(_cells(F.col("digest"), bits)):
-        side = filt.select(F.col("word").alias(f"_w{k}"), F.col("mask").alias(f"_m{k}"))
-        rows = rows.withColumn(f"_c{k}", cell).join(F.broadcast(side), F.shiftright(f"_c{k}", 6) == F.col(f"_w{k}"), "left")
-        maybe = maybe & F.expr(f"coalesce((shiftrightunsigned(_m{k}, cast(_c{k} & 63 AS int)) & 1L) = 1L, false)")
-    return rows.withColumn("_maybe", maybe).drop(*[f"_{a}{k}" for a in "cwm" for k in range(K)])
+    def tested(self, rows: DataFrame) -> DataFrame:
+        """rows (with digest) and a column _maybe: the digest may be repeated."""
+        side = F.broadcast(self.table) if self.small else self.table
+        maybe = F.coalesce(F.col("twice").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+        return _marked(rows, self.words).join(side, F.col("_word") == F.col("word"), "left").withColumn("_maybe", maybe).drop("_word", "_mask", "word", "twice")
 
 
 def _digest(text: Column) -> Column:
@@ -65,29 +76,19 @@ def _order() -> Column:
     return F.struct(F.col("n_points"), F.col("_id").isNotNull().alias("has_id"), (-F.col("_id")).alias("minus"))
 
 
-def _suspects(docs: DataFrame, doc_id: str, text: str, carry: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows that pass straight through, and those that may be repeated; carry: with the input's row as _row."""
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
-    digests = common.materialise(docs.select(_digest(F.col(text)).alias("digest")), "dedup-digests")
-    bits = filter_bits(digests.count())
-    filt = common.materialise(repeated_filter(digests, bits), "dedup-filter")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.length(F.col(text)), F.lit(0)).alias("n_points"), _digest(F.col(text)).alias("digest"), *row)
-    tested = with_suspicion(rows, filt, bits)
-    return tested.filter(~F.col("_maybe")).drop("_maybe"), tested.filter("_maybe").drop("_maybe")
-
-
-def _winners(suspects: DataFrame) -> DataFrame:
-    """A table of its own: a skew join splits hot digests only where both sides come straight from an exchange."""
-    found = suspects.groupBy("digest").agg(F.max_by("_id", _order()).alias("keep_id"), F.count("*").alias("group_size"))
-    return common.materialise(found, "dedup-winners")
+def _light(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
+    return [F.col(doc_id).alias("_id"), F.coalesce(F.length(F.col(text)), F.lit(0)).alias("n_points"), _digest(F.col(text)).alias("digest")]
 
 
 def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    alone, suspects = _suspects(docs, doc_id, text, carry=False)
-    suspects = common.materialise(suspects, "dedup-suspects")
-    alone = alone.select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    grouped = suspects.join(_winners(suspects), "digest").select("_id", "keep_id", "group_size", "digest")
+    light = common.materialise(docs.select(_light(docs, doc_id, text)), "dedup-digests")
+    tested = Filter(light.select("digest")).tested(light)
+    suspects = common.materialise(tested.filter("_maybe").drop("_maybe"), "dedup-suspects")
+    # a table of its own: a skew join splits hot digests only where both sides come straight from an exchange
+    winners = common.materialise(suspects.groupBy("digest").agg(F.max_by("_id", _order()).alias("keep_id"), F.count("*").alias("group_size")), "dedup-winners")
+    alone = tested.filter("NOT _maybe").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    grouped = suspects.join(winners, "digest").select("_id", "keep_id", "group_size", "digest")
     return alone.unionByName(grouped).select(
         F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
@@ -95,15 +96,17 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, with docs' columns. Only keys and digests of possibly repeated rows, and the rows that stay, shuffle."""
-    alone, suspects = _suspects(docs, doc_id, text, carry=True)
+    """One row of each group, with docs' columns. Digests shuffle, and whole rows only if they may be repeated."""
+    digests = common.materialise(docs.select(_digest(F.col(text)).alias("digest")), "dedup-digests")
+    tested = Filter(digests).tested(docs.select(*_light(docs, doc_id, text), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
     # doc_ids may repeat or be null, so a row has a key of its own, fixed by the write; equal rows are told apart by it alone
     plain = [F.col(f"_row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    suspects = common.materialise(suspects.withColumn("_tie", F.xxhash64(*plain)).withColumn("_key", F.monotonically_increasing_id()), "dedup-suspects")
+    suspects = common.materialise(tested.filter("_maybe").drop("_maybe").withColumn("_tie", F.xxhash64(*plain)).withColumn("_key", F.monotonically_increasing_id()), "dedup-suspects")
+    common.drop(digests)
     order = F.struct(_order().alias("first"), F.col("_tie"), F.col("_key"))
     winners = common.materialise(suspects.groupBy("digest").agg(F.max_by("_key", order).alias("_key")).select("_key"), "dedup-winners")
     stays = suspects.join(winners, "_key", "left_semi")
-    return alone.select("_row").unionByName(stays.select("_row")).select("_row.*")
+    return tested.filter("NOT _maybe").select("_row").unionByName(stays.select("_row")).select("_row.*")
 
 
 def query(spark, sf_dir):

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
+
 from folioscan.llm import exact_dedup as D
 
 from .conftest import odd_rows
@@ -40,17 +42,24 @@ def test_dedup_counts_one_row_of_each_group(spark, odd):
     assert sorted(map(str, out)) == sorted(map(str, D.dedup(docs.repartition(2)).collect()))
 
 
-def test_a_saturated_filter_changes_nothing(odd, monkeypatch):
-    monkeypatch.setattr(D, "MIN_BITS", 64)
-    monkeypatch.setattr(D, "MAX_BITS", 64)
+def test_a_filter_that_is_not_broadcast_gives_the_same(odd, monkeypatch):
+    monkeypatch.setattr(D, "FILTER_ROWS", 0)
     got = [tuple(r) for r in D.decide(odd).collect()]
     assert sorted(got, key=str) == brute(odd_rows())
-
-
-def test_only_possible_copies_shuffle(spark):
-    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(500)] + [(1000, "text number 7")], "doc_id long, text string")
-    alone, suspects = D._suspects(docs, "doc_id", "text", carry=False)
-    assert suspects.count() < 20 and alone.count() + suspects.count() == 501
+    assert D.dedup(odd).count() == len({re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in odd_rows()})
+
+
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_only_possible_copies_pass_the_filter(spark, most, monkeypatch):
+    """The filter grows with the rows, broadcast or not: few unique rows are suspected, and every copy is."""
+    monkeypatch.setattr(D, "FILTER_ROWS", most)
+    docs = spark.range(60_000).selectExpr("'text number ' || if(id % 1000 = 7, 7, id) AS text")
+    digests = D.common.materialise(docs.select(D._digest(docs["text"]).alias("digest")), "test")
+    filt = D.Filter(digests)
+    assert filt.small == (most > 0)
+    maybe = filt.tested(digests).groupBy("_maybe").count().collect()
+    n = {r["_maybe"]: r["count"] for r in maybe}
+    assert n[True] + n[False] == 60_000 and 60 <= n[True] < 60 + 600
 
 
 def test_empty(empty):

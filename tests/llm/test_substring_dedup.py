@@ -43,6 +43,14 @@ def test_matches_brute_force(spark):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_rows_of_one_doc_id_lose_their_own_windows_only(spark):
+    """Repeated doc_ids with other texts, and rows that agree in all."""
+    passage, unique = words(31, 100), words(32, 100)
+    rows = [(1, passage), (5, passage + " " + words(33, 20)), (5, unique), (5, unique), (6, unique + " end"), (None, passage), (5, passage)]
+    got = [tuple(r) for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_shifts(spark, seed):
     import random
