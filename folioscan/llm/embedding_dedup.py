@@ -1,17 +1,21 @@
 """Embedding near-dedup by PCA-ordered tiled comparison (operator 2).
 
 Vectors are scaled to length 1 and rotated onto the principal axes of a bounded sample (the rotation changes speed, not
-results). Vectors with cosine t or more are at most sqrt(2 - 2t) apart, so also along the first axis: cells of that width
-along it need comparing with themselves and their neighbours only. Cells are split into blocks of BLOCK vectors by hash,
-whatever their size, and every pair of blocks is a tile. Inside a tile the leading STEP dimensions are accumulated first;
+results). Vectors with cosine t or more are at most sqrt(2 - 2t) apart, so also along each axis: cells of that width along
+the first axis need comparing with themselves and their neighbours only. A cell of more than BLOCK vectors is divided along
+the second axis, and then along the third; what is larger still is split into blocks of BLOCK vectors by hash, whatever its
+size. Every two blocks of neighbouring cells are a tile. Inside a tile the leading STEP dimensions are accumulated first;
 the rest of a product is at most the product of the suffix norms, and a pair whose bound is under the threshold stops.
+Products within MARGIN of the threshold are taken again on the vectors as given, in one order for either end of a pair.
 
-Tiles return no pairs: the number of links of each vector, and a spanning forest of the tile's links, from which
-components are found. Sums and components don't depend on how vectors were dealt.
+Vectors move as their own bytes, floats as floats; tiles scale and rotate them again. Tiles return no pairs: the number of
+links of each vector, and a spanning forest of the tile's links, from which components are found. Sums and components
+don't depend on how vectors were dealt.
 
 Defined cases: null, empty and zero vectors, vectors with null or non-finite components, vectors without a label or a
-vec_id link with nothing and are their own component; vectors of different lengths are not compared; rows that repeat a
-vec_id are compared as vectors of their own, and each gets the id's summed figures. Other columns are not read.
+vec_id link with nothing and are their own component; vectors of different lengths are not compared; of tied or equal
+vectors all are linked, and the smallest vec_id stands for them; rows that repeat a vec_id are compared as vectors of their
+own, and each gets the id's summed figures; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,32 +26,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscan.llm import common
 from folioscan.llm.components import components
 
 THRESHOLD, SAMPLE, BLOCK, STEP = 0.93, 4096, 2048, 16
+#: What rounding may change of a product, and the axes along which cells are divided.
+MARGIN, AXES = 1e-9, 3
 
 
 def principal_axes(rows: list[list[float]]) -> np.ndarray:
-    x = np.asarray(rows, dtype=np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x, lengths = scaled(np.asarray(rows))
+    x /= lengths[:, None]
     return np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(x.shape[1]))[1][:, ::-1].copy()
 
 
-def _rotated(axes: np.ndarray | None, width: float):
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times a power of two each, which changes no bit and keeps squares in range; and their lengths."""
+    x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x, np.sqrt((x * x).sum(1))
+
+
+def rotated(x: np.ndarray, lengths: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
+    u = x / lengths[:, None]
+    return u @ axes if axes is not None and u.shape[1] == len(axes) else u
+
+
+def _celled(axes: np.ndarray | None, width: float):
+    """(vec_id, label, dims, embedding) to its cells along the first axes and its bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs, cells = [], []
-            for v in b.column(3).to_pylist():
-                x = np.asarray(v, dtype=np.float64)
-                x = x / np.abs(x).max()  # so that no square over- or underflows
-                x /= np.linalg.norm(x)
-                if axes is not None and len(x) == len(axes):
-                    x = x @ axes
-                vecs.append(x.tobytes())
-                cells.append(int(np.floor(x[0] / width)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cells, pa.int32()), pa.array(vecs, pa.binary())], ["vec_id", "label", "dims", "cell", "vec"])
+            if not b.num_rows:
+                continue
+            dims = b.column(2).to_numpy()
+            flat = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(dims)])
+            cells = np.zeros((len(dims), AXES), dtype=np.int32)
+            for d in np.unique(dims):
+                rows = np.flatnonzero(dims == d)
+                u = rotated(*scaled(flat[ends[rows][:, None] + np.arange(d)]), axes)
+                some = min(AXES, d)
+                cells[rows, :some] = np.floor(u[:, :some] / width)
+            raw = pa.Array.from_buffers(pa.binary(), len(dims), [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(cells[:, k]) for k in range(AXES)), raw], ["vec_id", "label", "dims", *(f"c{k}" for k in range(AXES)), "vec"])
 
     return run
 
@@ -72,41 +96,48 @@ def join_links(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _roots(parent)
 
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: float, step: int) -> np.ndarray:
-    """Which pairs of rows of a and b (unit vectors) have a product of threshold or more."""
+def linked(a: np.ndarray, b: np.ndarray, threshold: float, step: int, exact) -> np.ndarray:
+    """Which pairs of rows of a and b (unit vectors) have a product of threshold or more; exact(i, j) says so where rounding matters."""
     dims, at = a.shape[1], min(step, a.shape[1])
     rest = lambda x, k: np.sqrt(np.maximum(0.0, (x[:, k:] ** 2).sum(1)))
     products = a[:, :at] @ b[:, :at].T
     ra, rb = rest(a, at), rest(b, at)
-    open_ = products + ra[:, None] * rb[None, :] >= threshold - 1e-9
+    open_ = products + ra[:, None] * rb[None, :] >= threshold - MARGIN
     while at < dims and open_.any():
         nxt = min(dims, at + step)
         if open_.mean() > 0.02:
             products += a[:, at:nxt] @ b[:, at:nxt].T
             ra, rb = rest(a, nxt), rest(b, nxt)
-            open_ &= products + ra[:, None] * rb[None, :] >= threshold - 1e-9
+            open_ &= products + ra[:, None] * rb[None, :] >= threshold - MARGIN
         else:
             ra, rb = rest(a, nxt), rest(b, nxt)
             i, j = np.nonzero(open_)
             for lo in range(0, len(i), 1 << 15):
                 p, q = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
                 products[p, q] += np.einsum("ij,ij->i", a[p, at:nxt], b[q, at:nxt])
-                open_[p, q] = products[p, q] + ra[p] * rb[q] >= threshold - 1e-9
+                open_[p, q] = products[p, q] + ra[p] * rb[q] >= threshold - MARGIN
         at = nxt
-    return open_ & (products >= threshold)
+    hit = open_ & (products >= threshold + MARGIN)
+    i, j = np.nonzero(open_ & ~hit & (products >= threshold - MARGIN))
+    for lo in range(0, len(i), 1 << 13):
+        p, q = i[lo : lo + (1 << 13)], j[lo : lo + (1 << 13)]
+        hit[p, q] = exact(p, q)
+    return hit
 
 
-def _tile(threshold: float, step: int):
+def _tile(threshold: float, step: int, axes: np.ndarray | None, kind: type):
     def run(table: pa.Table) -> pa.Table:
         ids, side = table["vec_id"].to_numpy(), table["side"].to_numpy()
-        x = np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.float64).reshape(len(ids), -1)
+        x, lengths = scaled(np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=kind).reshape(len(ids), -1))
         order = np.argsort(side, kind="stable")
-        ids, x, na = ids[order], x[order], int((side == 0).sum())
+        ids, x, lengths, na = ids[order], x[order], lengths[order], int((side == 0).sum())
+        u = rotated(x, lengths, axes)
         same = na == len(ids)
         off = 0 if same else na
         counts, parent = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
         for lo in range(0, na, 256):
-            hit = linked(x[lo : min(lo + 256, na)], x[off:], threshold, step)
+            exact = lambda p, q, lo=lo: (x[p + lo] * x[q + off]).sum(1) / (lengths[p + lo] * lengths[q + off]) >= threshold
+            hit = linked(u[lo : min(lo + 256, na)], u[off:], threshold, step, exact)
             if same:
                 hit[np.arange(hit.shape[0]), lo + np.arange(hit.shape[0])] = False
             i, j = np.nonzero(hit)
@@ -120,27 +151,57 @@ def _tile(threshold: float, step: int):
     return run
 
 
+def _tiles(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The cell and block of every vector, and (cell, block) to the tiles that it is a side of."""
+    group, fine = ["label", "dims"], [f"c{k}" for k in range(AXES)]
+    per = rows.groupBy(*group, *fine).agg(F.count("*").alias("n0"))
+    # windows over cells, of which a label has a bounded number
+    for k in range(1, AXES + 1):
+        per = per.withColumn(f"n{k}", F.sum("n0").over(Window.partitionBy(*group, *fine[:k])))
+    whole, keys = F.lit(True), ["c0"]
+    for k in range(1, AXES):
+        whole = whole & (F.col(f"n{k}") > block)  # divided along axis k
+        per = per.withColumn(f"k{k}", F.when(whole, F.col(f"c{k}")))
+        keys.append(f"k{k}")
+    size = F.col(f"n{AXES}")
+    for k in reversed(range(1, AXES)):
+        size = F.when(F.col(f"k{k}").isNull(), F.col(f"n{k}")).otherwise(size)
+    per = common.materialise(per.withColumn("blocks", F.ceil(size / block).cast("int")).withColumn("cell", F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("*")) for k in keys])).select(*group, *fine, *keys[1:], "cell", "blocks"), "embedding-cells")
+    cells = per.select(*group, *keys, "cell", "blocks").distinct()
+    each = cells.select(*group, *keys, "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    a, b = (each.select(*group, *[F.col(c).alias(f"{side}_{c}") for c in [*keys, "cell", "block"]]) for side in "ab")
+    near = F.expr("abs(a_c0 - b_c0) <= 1 AND (a_cell < b_cell OR (a_cell = b_cell AND a_block <= b_block))")
+    for k in keys[1:]:
+        near = near & F.expr(f"coalesce(abs(a_{k} - b_{k}) <= 1, true)")
+    tiles = a.join(b, group).filter(near).withColumn("tile", F.concat_ws("|", "a_cell", "a_block", "b_cell", "b_block"))
+    one = F.expr("a_cell = b_cell AND a_block = b_block")
+    ends = tiles.select(*group, "tile", F.explode(F.when(one, F.array(F.struct(F.col("a_cell").alias("cell"), F.col("a_block").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(*[F.struct(F.col(f"{s}_cell").alias("cell"), F.col(f"{s}_block").alias("block"), F.lit(k).alias("side")) for k, s in enumerate("ab")])
+    )).alias("e")).select(*group, "tile", "e.*")
+    dealt = rows.join(per, [*group, *fine]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    return dealt.select(*group, "cell", "block", "vec_id", "vec"), ends
+
+
 def link(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, sample: int = SAMPLE, step: int = STEP) -> tuple[DataFrame, DataFrame]:
     """vectors (vec_id, label, embedding) to (vec_id, n_links) of the linked ones, and links (a, b) that span the components."""
     v = F.col("embedding")
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = np.float32 if element == "float" else np.float64
+    v = v if element == "float" else v.cast("array<double>")
     sound = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    good = vectors.select("vec_id", "label", F.size(v).alias("dims"), v.cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & sound & F.exists(v, lambda e: e != 0))
+    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.size(v).alias("dims"), v.alias("embedding"))
+    good = named.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & sound & F.exists(v, lambda e: e != 0))
     widest = good.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).collect()
     axes = None
     if widest:
         some = good.filter(F.col("dims") == widest[0]["dims"]).orderBy(F.xxhash64("vec_id")).limit(sample)
         axes = principal_axes([r["embedding"] for r in some.select("embedding").collect()])
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    rows = common.materialise(good.mapInArrow(_rotated(axes, width), "vec_id long, label int, dims int, cell int, vec binary"), "embedding-rows")
-    cells = common.materialise(rows.groupBy("label", "dims", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "embedding-cells")
-    a = cells.select("label", "dims", F.col("cell").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ba"))
-    b = cells.select("label", "dims", F.col("cell").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bb"))
-    tiles = a.join(b, ["label", "dims"]).filter("(ca = cb AND ba <= bb) OR cb = ca + 1")
-    ends = tiles.select("*", F.explode(F.when(F.expr("ca = cb AND ba = bb"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    ends = ends.select("label", "dims", "ca", "ba", "cb", "bb", "side", F.expr("if(side = 0, ca, cb)").alias("cell"), F.expr("if(side = 0, ba, bb)").alias("block"))
-    dealt = rows.join(cells, ["label", "dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    work = dealt.join(ends, ["label", "dims", "cell", "block"]).select("label", "dims", "ca", "ba", "cb", "bb", "side", "vec_id", "vec")
-    out = work.groupBy("label", "dims", "ca", "ba", "cb", "bb").applyInArrow(_tile(threshold, step), "vec_id long, n long, root long")
+    cells = ", ".join(f"c{k} int" for k in range(AXES))
+    rows = common.materialise(common.map_arrow(good, _celled(axes, width), f"vec_id long, label string, dims int, {cells}, vec binary"), "embedding-rows")
+    dealt, ends = _tiles(rows, block)
+    work = dealt.join(ends, ["label", "dims", "cell", "block"]).select("label", "dims", "tile", "side", "vec_id", "vec")
+    out = work.groupBy("label", "dims", "tile").applyInArrow(_tile(threshold, step, axes, kind), "vec_id long, n long, root long")
     out = common.materialise(out, "embedding-tiles")
     return out.groupBy("vec_id").agg(F.sum("n").alias("n_links")), out.filter("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
 

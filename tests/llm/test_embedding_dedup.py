@@ -49,7 +49,19 @@ def test_bounds_drop_nothing():
     rng = np.random.default_rng(1)
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(200, 20)) ** 3, rng.normal(size=(150, 20)) ** 3))
     for t in (0.2, 0.5, 0.8):
-        assert (E.linked(a, b, t, 4) == (a @ b.T >= t)).mean() > 0.99999
+        exact = lambda i, j, t=t: (a[i] * b[j]).sum(1) >= t
+        assert (E.linked(a, b, t, 4, exact) == (a @ b.T >= t)).mean() > 0.99999
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_pair_at_the_threshold_is_linked_from_both_ends(spark, seed):
+    """The cosine of the vectors as given decides, not that of the rotated ones; a label may be a long."""
+    x, y = np.random.default_rng(seed).normal(size=(2, 24)) + 2
+    t = float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())))
+    data = [(1, 2**40, x.tolist()), (2, 2**40, y.tolist()), (3, 2**40 + 1, x.tolist())]
+    for threshold, n in ((t, 1), (float(np.nextafter(t, 1)), 0)):
+        out = E.dedup(spark.createDataFrame(data, "vec_id long, label long, embedding array<double>"), threshold=threshold)
+        assert {r["vec_id"]: r["n_links"] for r in out.collect()} == {1: n, 2: n, 3: 0}
 
 
 def test_empty_and_unusable(spark):
