@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from folioscan.llm import toxicity as T
@@ -126,3 +127,56 @@ def test_long_tokens_take_linear_time(model):
     score = model.scorer()
     for t in ("x.y$" * 20_000, "a*b1" * 20_000, "a.b." * 20_000):
         assert 0 <= score(t) <= 1
+
+
+def every_reading(places):
+    """All strings of a lattice with their channel costs."""
+    out = [("", 0.0)]
+    for may in places:
+        out = [(t + x, c + own) for t, c in out for x, own in may]
+    return out
+
+
+def language_cost(costs, text):
+    a, b, total = 0, 0, 0.0
+    for ch in text + " ":
+        z = ord(ch) - 96 if "a" <= ch <= "z" else 0
+        total += float(costs[a][b][z])
+        a, b = b, z
+    return total
+
+
+@pytest.mark.parametrize("token", ["1d10t", "$tup1d", "sstuuupid", "w0rthl3$$", "a55h0l3", "id!!ot", "s-t.u_p1d", "f*ck", "0", "!!!", "llll", "b1+ch", "x"])
+def test_decode_finds_the_cheapest_of_all_readings(token):
+    """Against every reading of the lattice, under random character models."""
+    for seed in range(4):
+        costs = (np.random.default_rng(seed).random((27, 27, 27)) * 6).astype(np.float32)
+        channel = T.Channel(costs)
+        for places, got in ((channel.lattice(token), channel.decode(token)), (channel.apart(token), channel._text(channel._ends(channel.apart(token))[0][1]))):
+            priced = [(c + language_cost(costs, t), t) for t, c in every_reading(places)]
+            best = min(c for c, _ in priced)
+            assert min(c for c, t in priced if t == got) == pytest.approx(best, abs=1e-4)
+
+
+def test_a_very_long_disguised_token_is_decoded_whole():
+    costs = (np.random.default_rng(0).random((27, 27, 27)) * 6).astype(np.float32)
+    reader = T.Reader(costs)
+    assert any(len(w) >= 400 for w in reader.readings("s7u9" * 125))
+    spread = "stu" + "u" * 500 + "pid"
+    assert any(len(w) < 12 for w in reader.readings(spread))
+
+
+def test_odd_rows_and_empty_tables(spark, odd, empty):
+    model = T.Model(np.zeros((27, 27, 27), dtype=np.float32), {"w=alpha": 1.0}, -0.5)
+    rows = T.score(odd, model).collect()
+    assert len(rows) == odd.count() and all(0 < r["score"] < 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    same = [r["score"] for r in rows if r["doc_id"] == 60]
+    assert len(same) == 2 and len(set(same)) == 1
+    kept = T.reject(odd, model)
+    assert kept.schema.simpleString() == odd.schema.simpleString()
+    assert kept.count() == sum(not r["predicted"] for r in rows)
+    assert T.score(empty, model).count() == 0 and T.reject(empty, model).count() == 0
+    labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
+    assert T.score(empty, T.fit(empty, labels)).count() == 0
+    held = spark.createDataFrame([(None,), (4,)], "doc_id long").select(T.held_out(T.F.col("doc_id")).alias("h")).collect()
+    assert all(r["h"] is not None for r in held)
