@@ -122,8 +122,10 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """A row per document: doc_id, n_words, n_removed, kept_sha256; with_text: kept_text too."""
     body = F.coalesce(F.col(text), F.lit(""))
-    # rows of a doc_id are told apart by their texts; rows that agree in both lose the same words
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    # rows of a doc_id are told apart by their texts, if any doc_id repeats; rows that agree in both lose the same words
+    again = docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1")
+    key = F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(body)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"), body.alias("text"))
     starts = repeated_windows(rows).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts")
     joined = rows.join(starts.hint("shuffle_hash"), (rows["doc_id"] == starts["_id"]) & (rows["key"] == starts["_key"]), "left").select("doc_id", "text", "starts")
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
