@@ -7,9 +7,7 @@ goes on from a position without looking back): the chunks are stitched at that p
 the ranks. A text without a common boundary in some overlap (one endless word) is pre-tokenised whole instead. Texts of
 one chunk need no stitching and no shuffle. Decoding concatenates the tokens' raw bytes.
 
-Inside a chunk, pre-tokens never cross the place where ASCII white space follows something else, so a chunk is matched
-unit by unit (white space and what follows it), and a unit's pieces and ids are remembered per worker. Chunks with
-other Unicode white space, which may join the pattern's runs of it, are matched whole.
+Pieces are merged by the library's core, which takes a stretch between two boundaries of the text at a time.
 
 Defined cases: null text is encoded as the empty text (no ids; hashes of nothing); special strings in a text are
 ordinary text; rows with equal or null doc_ids are kept apart by their own row key. Other columns are not read.
@@ -19,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -33,7 +30,6 @@ from folioscan.llm import common
 #: Characters of a chunk and of an overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 11
 
-_UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _loaded: dict = {}
 
@@ -48,34 +44,26 @@ class Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.find = regex.compile(pattern).findall
-        self.ranks, self.bytes_of, self.units = ranks, {i: b for b, i in ranks.items()}, common.Memory()
-
-    def pieces(self, text: str) -> list[str]:
-        return self.find(text)
+        self.pieces = regex.compile(pattern).findall
+        self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
+        self.decimals = {i: str(i) for i in self.bytes_of}
 
     def piece_ids(self, piece: str) -> list[int]:
         raw = piece.encode()
         known = self.ranks.get(raw)
         return [known] if known is not None else self.core.encode_single_piece(raw)
 
-    def unit(self, unit: str) -> tuple[list[int], str]:
-        ids = [i for piece in self.find(unit) for i in self.piece_ids(piece)]
-        out = (ids, " ".join(map(str, ids)))
-        self.units.place(unit, out, 2 * len(unit) + 150 + 42 * len(ids))
-        return out
-
-    def encode(self, text: str) -> list[tuple[list[int], str]]:
-        """Of each stretch of the text its ids, and the ids in decimals. The text must start and end at boundaries."""
-        if _OTHER_SPACE.search(text):
-            ids = [i for piece in self.find(text) for i in self.piece_ids(piece)]
-            return [(ids, " ".join(map(str, ids)))] if ids else []
-        get = self.units.get
-        return [get(u) or self.unit(u) for u in _UNIT.findall(text)]
+    def encode(self, text: str) -> list[int]:
+        """The ids of a stretch that starts and ends at boundaries."""
+        return self.core.encode_ordinary(text)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """Of the ids in decimals, and of the decoded bytes."""
+        return hashlib.sha256(" ".join(map(self.decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
 
 def codec(path: str, pattern: str) -> Codec:
     if (path, pattern) not in _loaded:
@@ -113,23 +101,23 @@ def stitch_place(c: Codec, text: str, start: int, nxt: int, overlap: int) -> int
     return next((b for b in ours if b >= lo and b in theirs and (b == start or not text[b - start - 1].isspace())), None)
 
 
-def _hashed(c: Codec, parts: list[tuple[list[int], str]], with_ids: bool) -> tuple[int, str, str, np.ndarray | None]:
-    """Number of ids, the digests of the ids and of the decoded bytes, and the ids."""
-    n = sum(len(ids) for ids, _ in parts)
-    ids = np.fromiter(itertools.chain.from_iterable(ids for ids, _ in parts), dtype=np.int32, count=n) if with_ids else None
-    decoded = c.decode(itertools.chain.from_iterable(ids for ids, _ in parts))
-    return n, hashlib.sha256(" ".join(s for _, s in parts).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
-
-
 def _whole(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            out = [_hashed(c, c.encode(t.as_py()), with_ids) for t in b.column(1)]
-            cols = [b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
+            counts, ids_digests, decoded, arrays = [], [], [], []
+            for t in b.column(1):
+                ids = c.encode(t.as_py())
+                one, two = c.digests(ids)
+                counts.append(len(ids))
+                ids_digests.append(one)
+                decoded.append(two)
+                if with_ids:
+                    arrays.append(np.asarray(ids, dtype=np.int32))
+            cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                ends = np.cumsum([0, *(x[0] for x in out)], dtype=np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[3] for x in out]) if out else np.empty(0, dtype=np.int32))).cast(pa.list_(pa.int32())))
+                ends = np.cumsum([0, *counts], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int32))).cast(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return run
@@ -179,9 +167,9 @@ def _chunked(path: str, pattern: str, overlap: int):
                             first += c.piece_ids(p)
                             at += len(p)
                         head = [h for h in head if h["at"] <= start + overlap] + ([{"at": at, "n": len(first)}] if at <= start + overlap else [])
-                        ids = first + [i for part_ids, _ in c.encode(body[cut_at:]) for i in part_ids]
+                        ids = first + c.encode(body[cut_at:])
                     else:
-                        ids = [i for part_ids, _ in c.encode(body) for i in part_ids]
+                        ids = c.encode(body)
                 rows.append((place, head, ids))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int32())]))), pa.array([r[2] for r in rows], pa.list_(pa.int32()))],
@@ -207,10 +195,10 @@ def _stitched(path: str, pattern: str, with_ids: bool):
                 break
             ids += r["ids"][skip:]
         done = ids is not None
+        one, two = c.digests(ids) if done else (None, None)
         cols = {
             "row": table["row"][:1], "doc_id": table["doc_id"][:1], "n_tokens": pa.array([len(ids) if done else None], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() if done else None], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(c.decode(ids)).hexdigest() if done else None], pa.string()),
+            "ids_sha256": pa.array([one], pa.string()), "decoded_sha256": pa.array([two], pa.string()),
         }
         return pa.table(cols | ({"ids": pa.array([ids], pa.list_(pa.int32()))} if with_ids else {}))
 
