@@ -21,8 +21,8 @@ _own: dict[str, str] = {}
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
-#: What a worker's memory of tokens or units may hold, in bytes as place() counts them.
-MEMORY_BYTES = 24 << 20
+#: What a worker's memory of tokens may hold, in bytes.
+MEMORY_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,21 +93,32 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
 
 
 class Memory(dict):
-    """What a worker remembers of tokens. place() lets everything go once MEMORY_BYTES are full; very long keys are not remembered."""
+    """What a worker remembers of tokens, in two generations: a full one takes the place of the one before, which is forgotten.
+
+    Very long keys are not remembered. Sizes are bytes of key and value; an entry counts as ENTRY bytes more.
+    """
+
+    ENTRY = 110
 
     def __init__(self, most: int = MEMORY_BYTES):
         super().__init__()
-        self.most, self.held = most, 0
+        self.most, self.held, self.before = most, 0, {}
 
     def place(self, key, value, size: int) -> None:
-        """size: bytes of key and value beside 200 of the entry's own."""
         if size > self.most >> 8:
             return
-        if self.held + size + 200 > self.most:
+        if self.held + size + self.ENTRY > self.most // 2:
+            self.before, self.held = dict(self), 0
             self.clear()
-            self.held = 0
         self[key] = value
-        self.held += size + 200
+        self.held += size + self.ENTRY
+
+    def recall(self, key, size: int):
+        """What the generation before knew of key, which is known anew then."""
+        value = self.before.get(key)
+        if value is not None:
+            self.place(key, value, size)
+        return value
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -45,14 +45,23 @@ class Counting:
         self.tokenizer.no_padding()
 
     def count(self, text: bytes) -> int:
-        words, known = Counter(text.split()), self.known
-        total = sum(known[w] * n for w, n in words.items() if w in known)
-        new = [w for w in words if w not in known]
+        words, known = text.split(), self.known
+        counts = list(map(known.get, words))
+        if None not in counts:
+            return sum(counts)
+        total, new = sum(filter(None, counts)), []
+        unknown = Counter(w for w, c in zip(words, counts, strict=True) if c is None)
+        for w, n in unknown.items():
+            c = known.recall(w, len(w) + 64)
+            if c is None:
+                new.append(w)
+            else:
+                total += c * n
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                total += len(e.ids) * words[w]
-                known.place(w, len(e.ids), len(w) + 32)
+                total += len(e.ids) * unknown[w]
+                known.place(w, len(e.ids), len(w) + 64)
         return total
 
 

@@ -190,6 +190,8 @@ class Reader:
 
     def __init__(self, costs: np.ndarray, vocabulary: frozenset[str] | None = None):
         self.channel, self.vocabulary, self.known = Channel(costs), vocabulary, common.Memory()
+        # the beginnings that any known word has: a plain word without one of them has no name, and isn't remembered
+        self.starts = None if vocabulary is None else frozenset(n[2:][: PREFIXES[0]] for n in vocabulary)
         self.lexicon = sorted(w for n in vocabulary or () if n.startswith("w=") and len(w := n[2:]) >= PREFIXES[0])
 
     def readings(self, token: str) -> set[str]:
@@ -237,9 +239,11 @@ class Reader:
         counts: dict[str, int] = {}
         known = self.known
         for t, n in tokens.items():
+            if self.starts is not None and t[: PREFIXES[0]] not in self.starts and t.isalpha() and not _THRICE.search(t):
+                continue
             found = known.get(t)
             if found is None:
-                found = self._names(t)
+                found = known.recall(t, 2 * len(t) + 80) or self._names(t)
             for name in found:
                 counts[name] = counts.get(name, 0) + n
         for m in _APART.finditer(low):
