@@ -24,8 +24,9 @@ def nfkd(s: pd.Series) -> pd.Series:
 
 
 def _folded(c: Column) -> Column:
-    # lower-casing goes letter by letter, without the final sigma of a word
-    return F.regexp_replace(F.lower(nfkd(c)), "ς", "σ")
+    # ASCII decomposes to itself, so that only other texts go to Python; lower-casing goes letter by letter, without the final sigma of a word
+    decomposed = F.coalesce(nfkd(F.when(~c.rlike(r"\A\p{ASCII}*\z"), c)), c)
+    return F.regexp_replace(F.lower(decomposed), "ς", "σ")
 
 
 def normalised(c: Column, variants: bool = True) -> Column:
@@ -164,13 +165,18 @@ def roman(n: Column) -> Column:
     return F.when(n.between(1, 3999), out).otherwise(n.cast("string"))
 
 
+# Letters with marks in Pali titles and how they are written without.
+_PALI_LETTERS = {"ā": "aa", "ī": "ii", "ū": "uu", "ṅ": "ng", "ñ": "ny", "ṭ": "t", "ḍ": "d", "ṇ": "n", "ḷ": "l", "ṃ": "m", "ṁ": "m"}
+
+
 def title_variants(c: Column) -> Column:
-    """The title, folded, with doubled long vowels, with sutta as suttanta, and that folded."""
-    low = F.lower(c)
-    for mark, twice in (("ā", "aa"), ("ī", "ii"), ("ū", "uu")):
-        low = F.replace(low, F.lit(mark), F.lit(twice))
-    longer = F.regexp_replace(c, "(?i)sutta(?!nta)", "suttanta")
-    return F.array(c, fold_ascii(c), low, longer, fold_ascii(longer))
+    """The trimmed title, folded, in letters without marks, with sutta as suttanta, and that folded; none of a blank title."""
+    base = F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    low = F.lower(base)
+    for letter, written in _PALI_LETTERS.items():
+        low = F.replace(low, F.lit(letter), F.lit(written))
+    longer = F.replace(base, F.lit("sutta"), F.lit("suttanta"))
+    return F.when(base == "", F.array().cast("array<string>")).otherwise(F.array(base, fold_ascii(base), low, longer, fold_ascii(longer)))
 
 
 def detect_source(identifier: Column) -> Column:

@@ -6,6 +6,8 @@ shuffled, and hot or long files stay where they are. Only the ordered limit move
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,22 +20,38 @@ SEARCH_LIMITS, PIPELINE_LIMITS = (20, 5), (10, 3)
 INLINE, PREVIEW = 12_000, 1_200
 
 
+#: What makes a match depend on where a line or the text ends or begins, or on what is around the match.
+_EDGES = re.compile(r"[\^$]|\\[AZzGB]")
+
+
 def matches(text: Column, pattern: str, most: int | None) -> Column:
-    """array<struct<line_number, context, highlight>> of the first matching lines; a file with a NUL has none."""
+    """array<struct<line_number, context, highlight>> of the first matching lines; a file with a NUL has none.
+
+    Lines are filtered and cut to the cap first, so that only those that are shown are trimmed and marked. A line matches
+    if it does without the white space at its end, or if the match in it as it stands isn't empty.
+    """
     p = java_pattern(pattern)
     kind = "array<struct<line_number:int,context:string,highlight:string>>"
     if p is None or most == 0:
         return F.array().cast(kind)
+    trimmed = lambda x: F.regexp_replace(x, r"(?U)\s+\z", "")
     # the first group is the whole match, so that groups of the pattern don't matter
-    numbered = F.transform(T.lines(text), lambda x, i: F.struct((i + 1).cast("int").alias("line_number"), F.regexp_replace(x, r"(?U)\s+\z", "").alias("context"), F.regexp_extract(x, f"({p})", 1).alias("highlight")))
-    found = F.filter(numbered, lambda m: m["context"].rlike(p) | (m["highlight"] != ""))
+    marked = lambda x: F.regexp_extract(x, f"({p})", 1)
+    hit = (lambda x: trimmed(x).rlike(p) | (marked(x) != "")) if _EDGES.search(pattern) else (lambda x: x.rlike(p))
+    numbered = F.transform(T.lines(text), lambda x, i: F.struct((i + 1).cast("int").alias("n"), x.alias("x")))
+    found = F.filter(numbered, lambda m: hit(m["x"]))
     found = found if most is None else F.slice(found, 1, most)
-    return F.when(text.contains("\0"), F.array().cast(kind)).otherwise(found)
+    shown = F.transform(found, lambda m: F.struct(m["n"].alias("line_number"), trimmed(m["x"]).alias("context"), marked(m["x"]).alias("highlight")))
+    may = ~text.contains("\0") if _EDGES.search(pattern) else ~text.contains("\0") & text.rlike(p)
+    return F.when(may, shown).otherwise(F.array().cast(kind))
 
 
 def grep(files: DataFrame, pattern: str, most: int | None = SEARCH_LIMITS[1], text: str = "text") -> DataFrame:
-    """files with a match, with matches and total_matches (capped like the matches)."""
-    out = files.withColumn("matches", matches(F.col(text), pattern, most))
+    """files with a match, with matches and total_matches (capped like the matches).
+
+    The matches pass a generator of one row, so that filtering on them doesn't evaluate them again.
+    """
+    out = files.select("*", F.explode(F.array(matches(F.col(text), pattern, most))).alias("matches"))
     return out.withColumn("total_matches", F.size("matches")).filter("total_matches > 0")
 
 

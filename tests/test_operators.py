@@ -208,3 +208,13 @@ def test_folded_terms_of_title_scores(spark):
     whole = rank.match_score(F.col("hay_norm"), F.col("hay_ws"), "abc", F.col("alias"), F.col("fold"))
     got = [tuple(r) for r in rows.select(plain, F.round(folded, 6), whole).collect()]
     assert got == [(0.0, 0.5, 0.85), (0.0, 0.0, 0.85), (0.0, 0.0, 0.95)]
+
+
+def test_the_lines_of_a_file_are_searched_once(spark):
+    """The executed plan holds the expression once: filtering on the matches doesn't evaluate them again."""
+    files = spark.createDataFrame([(1, "a word  \nno\nWORDS")], "id long, text string")
+    found = search.best_first(search.grep(files, "wor(d|k)"), "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("split(") == 1
+    assert [tuple(m) for m in found.first()["matches"]] == [(1, "a word", "word"), (3, "WORDS", "WORD")]
+    assert [m["line_number"] for m in search.grep(files, "word$").first()["matches"]] == [1]
