@@ -52,7 +52,8 @@ def marker_context(xml: Column, marker: str, before: int, after: int) -> Column:
 
 def marker_near(line: Column, anchor: Column) -> Column:
     """The last marker that begins at or before the anchor, else the first of the line; null without markers."""
-    pattern = F.lit(r'<lb\b[^>]*\bn="([^"]*)"')
+    pattern = F.lit(r"""<lb\b[^>]*\bn\s*=\s*["']([^"']+)["']""")
+    anchor = F.regexp_replace(anchor, r"(?U)^\s+|\s+\z", "")
     at = F.instr(line, anchor)
     upto = F.when((at > 0) & (anchor != ""), F.substring(line, F.lit(1), at - 1)).otherwise(F.lit(""))
     before = F.regexp_extract_all(upto, pattern, F.lit(1))

@@ -317,10 +317,24 @@ def focus_offsets(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", fetch.focus_offset(F.col("text"), PATTERN).alias("start"))
 
 
-_LB = [(1, 'a<lb n="1"/>b<lb n="2"/>c X d<lb n="3"/>', "X"), (2, 'a<lb n="1"/>b', "zz"), (3, 'X<lb n="7"/>', "X"), (4, "no marks", "no")]
+_LB = [(1, 'a<lb n="1"/>b<lb n="2"/>c X d<lb n="3"/>', "X"), (2, 'a<lb n="1"/>b', "zz"), (3, 'X<lb n="7"/>', "X"), (4, "no marks", "no"), (5, "a<lb ed='T' n = '12'/>Y<lb n='13'/>", " Y "), (6, '<lb n="4"/>a', "")]
 
 
-@query("anchor_asof", """SELECT * FROM (VALUES (1::BIGINT, '2'), (2, '1'), (3, '7'), (4, NULL)) v(id, lb)""")
+def _row(values) -> str:
+    return "(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values) + ")"
+
+
+def _given(columns: str, rows) -> str:
+    """SQL of the same input rows as the query's."""
+    return f"(VALUES {', '.join(map(_row, rows))}) v({columns})"
+
+
+_MARK = r"""'<lb\b[^>]*\bn\s*=\s*["'']([^"'']+)["'']', 1)"""
+
+
+@query("anchor_asof", f"""WITH v AS (SELECT id::BIGINT AS id, line, trim(anchor) AS anchor FROM {_given("id, line, anchor", _LB)}),
+u AS (SELECT id, regexp_extract_all(line, {_MARK} AS every, regexp_extract_all(CASE WHEN anchor <> '' AND contains(line, anchor) THEN split_part(line, anchor, 1) ELSE '' END, {_MARK} AS upto FROM v)
+SELECT id, CASE WHEN len(upto) > 0 THEN upto[-1] WHEN len(every) > 0 THEN every[1] END AS lb FROM u""")
 def anchor_asof(spark, sf_dir):
     return _values(spark, "id long, line string, anchor string", _LB).select("id", fetch.marker_near(F.col("line"), F.col("anchor")).alias("lb"))
 
@@ -421,14 +435,23 @@ def tibetan_merge(spark, sf_dir):
     return rank.merge_by_url([p.filter("pos % 2 = 0"), p.filter("pos % 2 = 1")], 20, by_score=True).select("url", "title", "score")
 
 
-@query("roman_alias", "SELECT * FROM (VALUES (1::BIGINT, 'I'), (4, 'IV'), (9, 'IX'), (14, 'XIV'), (1994, 'MCMXCIV'), (3999, 'MMMCMXCIX'), (4000, '4000'), (0, '0')) v(n, roman)")
+def _digit(place: int, one: str, five: str, ten: str) -> str:
+    """SQL: the numeral of one decimal place."""
+    forms = ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
+    return f"([{', '.join(repr(f) for f in forms)}])[(n // {place}) % 10 + 1]"
+
+
+@query("roman_alias", f"""SELECT DISTINCT n, CASE WHEN n BETWEEN 1 AND 3999 THEN repeat('M', (n // 1000)::INT) || {_digit(100, "C", "D", "M")} || {_digit(10, "X", "L", "C")} || {_digit(1, "I", "V", "X")} ELSE n::VARCHAR END AS roman
+FROM (SELECT o_orderkey % 5000 AS n FROM orders)""")
 def roman_alias(spark, sf_dir):
-    return _values(spark, "n long", [(n,) for n in (1, 4, 9, 14, 1994, 3999, 4000, 0)]).select("n", T.roman(F.col("n")).alias("roman"))
+    return _t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5000).alias("n")).distinct().select("n", T.roman(F.col("n")).alias("roman"))
 
 
-@query("cjk_ratio", "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2, 0.5), (3, 0.0), (4, 0.0)) v(id, ratio)")
+@query("cjk_ratio", r"""WITH t AS (SELECT doc_id, translate(text, 'aeo', '法華经') AS t FROM documents), n AS (SELECT doc_id, length(regexp_replace(t, '\s', '', 'g')) AS n, length(regexp_replace(t, '[^\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]', '', 'g')) AS c FROM t)
+SELECT doc_id, CASE WHEN n > 0 THEN round(c::DOUBLE / n, 6) ELSE 0.0 END AS ratio FROM n""")
 def cjk_ratio(spark, sf_dir):
-    return _values(spark, "id long, t string", [(1, "法華 經"), (2, "法a"), (3, "abc"), (4, " ")]).select("id", F.round(T.cjk_ratio(F.col("t")), 6).alias("ratio"))
+    """Of the documents with three of their letters written as ideographs."""
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.cjk_ratio(F.translate("text", "aeo", "法華经")), 6).alias("ratio"))
 
 
 _TITLES = [(1, 0, "Taishō Tripitaka", "en", "s"), (1, 1, "妙法蓮華經", "zh-Hant", "m"), (1, 2, "Lotus", "en", "m"), (2, 0, "Canon", None, None), (2, 1, "A title", None, None)]
@@ -467,15 +490,21 @@ def conversation_context(spark, sf_dir):
 _TTL = 'bdr:MW1 a :Instance ; :inRootInstance bdr:W1, bdr:W2 ; skos:prefLabel "x"@bo .'
 
 
-@query("turtle_values", "SELECT * FROM (VALUES (1::BIGINT, ['W1', 'W2'])) v(id, found)")
+_TTLS = [(1, _TTL), (2, ":inRootInstance bdr:A-1 ; :x bdr:B ."), (3, ":other bdr:C ."), (4, ":inRootInstance bdr:W2,\n bdr:W1 , bdr:W2 .")]
+
+
+@query("turtle_values", rf"""WITH t AS (SELECT id::BIGINT AS id, regexp_extract_all(regexp_extract(ttl, '(?s):inRootInstance\s+([^;.]*)', 1), 'bdr:([A-Za-z0-9_\-]+)', 1) AS f FROM {_given("id, ttl", _TTLS)})
+SELECT id, list_filter(f, lambda x, i: list_position(f, x) = i) AS found FROM t""")
 def turtle_values(spark, sf_dir):
-    return _values(spark, "id long, ttl string", [(1, _TTL)]).select("id", hits.turtle_values(F.col("ttl"), ":inRootInstance").alias("found"))
+    return _values(spark, "id long, ttl string", _TTLS).select("id", hits.turtle_values(F.col("ttl"), ":inRootInstance").alias("found"))
+
+
+_TREES = [(1, '{"tree":[{"path":"P1.opf/base/v002.txt"},{"path":"README.md"},{"path":"P1.opf/base/v001.txt"},{"path":"P1.opf/layers/v001/x.yml"}]}'), (2, '{"tree":[{"path":"a/base/v001.txt"},{"path":"P2.opf/base/x.json"}]}'), (3, '{"tree":[]}'), (4, '{"tree":[{"path":"Q.opf/base/z.txt"}]}')]
 
 
-@query("base_text_paths", "SELECT * FROM (VALUES (1::BIGINT, ['P1.opf/base/v001.txt', 'P1.opf/base/v002.txt'])) v(id, paths)")
+@query("base_text_paths", f"""SELECT id::BIGINT AS id, list_sort(list_filter(coalesce(json_extract_string(tree, '$.tree[*].path'), []), lambda p: contains(p, '.opf/base/') AND ends_with(p, '.txt'))) AS paths FROM {_given("id, tree", _TREES)}""")
 def base_text_paths(spark, sf_dir):
-    tree = '{"tree":[{"path":"P1.opf/base/v002.txt"},{"path":"README.md"},{"path":"P1.opf/base/v001.txt"},{"path":"P1.opf/layers/v001/x.yml"}]}'
-    return _values(spark, "id long, tree string", [(1, tree)]).select("id", hits.base_text_paths(F.col("tree")).alias("paths"))
+    return _values(spark, "id long, tree string", _TREES).select("id", hits.base_text_paths(F.col("tree")).alias("paths"))
 
 
 @query("archive_hits", "SELECT * FROM (VALUES ('W1', 'a'), ('W2', NULL), ('MW3', NULL)) v(id, title)")
@@ -484,7 +513,7 @@ def archive_hits(spark, sf_dir):
     return hits.archive_hits(_values(spark, "answer string", [(answer,)]), "answer").select("id", "title")
 
 
-_RESULTS = '<p class="rlt1">全 1,234 件中 50件を表示</p><form name="lastpage"><input name="page" value="25"></form><table class="result_table"><tr><th>h</th></tr><tr><td><a href="d.php?lineno=J01_0001A01">J01</a></td><td>T1</td><td>A1</td><td>one<lb>two</td><td><a href="i.php?x=1">img</a></td></tr><tr><td>short</td></tr></table>'
+_RESULTS = '<p class="rlt1">全 1,234 件中 50件を表示</p><form name="lastpage"><input name="page" value="25"></form><table class="result_table"><tr><th>h</th></tr><tr><td><a href="d.php?lineno=J01_0001A01">J01_0001A01</a></td><td><a href="i.php?x=1">img</a></td><td>T1</td><td>A1</td><td>one<lb 01_0001A02_ />two</td></tr><tr><td>short</td></tr></table>'
 
 
 @query("result_page_hits", "SELECT * FROM (VALUES (1234, 25, 'J01_0001A01', 'T1', 'one' || chr(10) || 'two')) v(total, pages, lineno, title, snippet)")

@@ -17,6 +17,8 @@ INDEX = "id string, title string, path string, meta map<string,string>"
 VERSION = "v2"
 #: Elements that are read of a file, by corpus; others are read until id and title are known, as the reference does.
 EVENTS = {"sarit": 80_000, "muktabodha": 60_000, "gretil": 50_000, "cbeta": 50_000, "tipitaka": 12_000}
+#: Elements whose text is read, however deep it lies in them.
+_READ = {"title", "author", "editor", "publisher", "date", "idno", "resp", "name", "persName", "head", "term", "classCode", "p"}
 _TRANSLATOR = re.compile(r"transl|trl|\btr\.|譯|译", re.I)
 _COLLECTION = re.compile("tripitaka|taisho|canon")
 # Collections and the prefix of their identifiers.
@@ -71,8 +73,9 @@ def read_header(xml: str, most: int | None) -> dict:
         if kind == "start":
             stack.append((name, at, []))
         elif kind == "text":
-            for s in stack[-4:]:
-                s[2].append(name)
+            for s in stack:
+                if s[0] in _READ:
+                    s[2].append(name)
         elif kind == "end" and any(s[0] == name for s in stack):
             while stack:
                 tag, attributes, parts = stack.pop()
@@ -137,8 +140,9 @@ def _entry(corpus: str, path: str, xml: str | None) -> tuple[str, str, str, dict
         return h["id"] or stem, best_title([t[:3] for t in h["titles"]]) or stem, path, {k: v for k, v in meta.items() if v}
     rend = {k: v[0] for k, v in h["rend"].items() if k in ("nikaya", "title", "subhead", "subsubhead", "book", "chapter")}
     title = " · ".join(rend[k] for k in ("nikaya", "book", "title", "subhead", "subsubhead", "chapter") if k in rend)
-    meta = rend | {"indexVersion": VERSION, "headsPreview": " | ".join(h["heads"][:15]), "sections": " | ".join(n for n, _ in h["div"]), "section_types": " | ".join(t for _, t in h["div"])}
-    return stem, title or (titles + [stem])[0], path, {k: v for k, v in meta.items() if v} | aliases(rend, h["heads"])
+    every = {k: " | ".join(v) for k, v in h["rend"].items() if k in rend}
+    meta = every | {"indexVersion": VERSION, "headsPreview": " | ".join(h["heads"][:10]), "sections": " | ".join(f"{n}({t})" for n, t in h["div"]), "section_types": " | ".join(t for _, t in h["div"])}
+    return stem, title or (titles + [stem])[0], path, {k: v for k, v in meta.items() if v or k == "headsPreview"} | aliases(rend, h["heads"])
 
 
 def fold(text: str) -> str:

@@ -31,7 +31,7 @@ def _lineno(href: str) -> str | None:
 
 
 def parse_results(page: str | None, base: str = "", most: int = MOST_HITS) -> dict | None:
-    """A result page: totals, pages, and rows of five cells or more without header cells."""
+    """A result page: totals, pages, and rows of five cells or more without header cells: line id, image, title, author, text."""
     if page is None:
         return None
     root = markup.page(page)
@@ -43,11 +43,14 @@ def parse_results(page: str | None, base: str = "", most: int = MOST_HITS) -> di
             cells = tr.all("td")
             if tr.all("th") or len(cells) < 5 or len(hits) >= most:
                 continue
-            detail, image = _href(cells[0]), _href(cells[4])
-            text = lambda c: " ".join(c.text().split())
-            snippet = "\n".join(" ".join(x.split()) for x in cells[3].text(breaks=True).split("\n")).strip()[:SNIPPET]
+            detail, image = _href(cells[0]), _href(cells[1])
+            name, title, author = (" ".join(cells[k].text().split()) for k in (0, 2, 3))
+            lineno = name or _lineno(detail) or ""
+            if lineno:
+                detail, image = f"detail.php?lineno={lineno}", f"image.php?lineno={lineno}"
+            snippet = "\n".join(" ".join(x.split()) for x in cells[4].text(breaks=True).split("\n")).strip()[:SNIPPET]
             join = lambda u: u if not u or "://" in u else base + u
-            hits.append({"lineno": _lineno(detail) or text(cells[0]), "title": text(cells[1]), "author": text(cells[2]), "snippet": snippet, "detail_url": join(detail), "image_url": join(image)})
+            hits.append({"lineno": lineno, "title": title, "author": author, "snippet": snippet, "detail_url": join(detail), "image_url": join(image)})
     return {"total": _number(counts, r"全\s*([0-9,]+)\s*件"), "displayed": _number(counts, r"([0-9,]+)\s*件を表示"), "pages": int(pages) if pages.strip().isdigit() else None, "hits": hits}
 
 
@@ -138,22 +141,36 @@ def cache_key(url: Column) -> Column:
     return F.sha1(url.cast("binary"))
 
 
-#: Bytes from which a part of a page counts as its text, and the places that are tried in turn.
+#: Bytes from which a part of a page counts as its text.
 ENOUGH = 50
-PLACES = [("div", "id", "main"), ("div", "id", "content"), ("div", "class", "content"), ("div", "class", "text"), ("article", "", ""), ("main", "", ""), ("div", "class", "body"), ("pre", "", ""), ("td", "class", "text"), ("body", "", "")]
+# The places that are tried in turn, the first element of each.
+PLACES = ("#text", "#viewer", "#content", "main", ".content", ".article", "#main", "#result", "#detail", "#sattext", "pre#text", "pre", ".text", "body")
+
+
+def _first(root, place: str):
+    """The first element of a tag, an id after # or a class after a dot."""
+    m = re.fullmatch(r"(\w*)(?:([#.])(\w+))?", place)
+    hit = lambda n: (not m[1] or n.tag == m[1]) and (not m[2] or m[3] == n.at.get("id") if m[2] != "." else m[3] in n.at.get("class", "").split())
+    return next((n for n in root.walk() if isinstance(n, markup.Node) and n is not root and hit(n)), None)
+
+
+def _lines(text: str) -> str:
+    """Trimmed lines, at most one of them blank on end, none around."""
+    each = "\n".join(x.strip() for x in text.replace("\r", "").split("\n"))
+    return re.sub("\n{3,}", "\n\n", each).strip("\n")
 
 
 def article_text(page: str | None) -> str | None:
-    """Lines marked as text if they make up enough, else the first place that has enough, else the visible text."""
+    """Lines marked as text if they make up enough, else the first place that has enough, else nothing."""
     if page is None:
         return None
     root = markup.page(page)
-    lines = "\n".join(t for n in root.all("span", class_="tx") if (t := " ".join(n.text().split())))
-    if len(lines.encode()) > ENOUGH:
-        return lines
-    for tag, key, value in PLACES:
-        for node in root.all(tag, **({key + "_" if key == "class" else key: value} if key else {})):
-            text = " ".join(node.text().split())
+    marked = _lines("\n".join(t for n in root.all("span", class_="tx") if (t := n.text().strip())))
+    if len(marked.encode()) > ENOUGH:
+        return marked
+    for place in PLACES:
+        if (node := _first(root, place)) is not None:
+            text = _lines("\n".join(x for x in node.walk() if isinstance(x, str)))
             if len(text.encode()) > ENOUGH:
                 return text
-    return markup.visible_text(page)
+    return ""

@@ -84,7 +84,9 @@ def test_small_predicates(spark):
     assert one(spark, "J0012", T.is_text_number) and not one(spark, "J00123", T.is_text_number)
     assert one(spark, "0262, x", T.t_number) == "T0262" and one(spark, ", x", T.t_number) is None
     assert T.ensure_fields("a, b", ["b", "c"]) == ["a", "b", "c"] and T.escape_phrase('a"b\\', True) == '"a\\"b\\\\"'
-    assert one(spark, "Dīgha sutta", T.title_variants)[:2] == ["Dīgha sutta", "digha sutta"]
+    assert one(spark, " Dīgha sutta ", T.title_variants) == ["Dīgha sutta", "digha sutta", "diigha sutta", "Dīgha suttanta", "digha suttanta"]
+    assert one(spark, "Ñāṇa Ṭīkā Saṅgīti Saṁ suttanta", T.title_variants)[2:4] == ["nyaana tiikaa sanggiiti sam suttanta", "Ñāṇa Ṭīkā Saṅgīti Saṁ suttantanta"]
+    assert one(spark, "  ", T.title_variants) == []
 
 
 def test_patterns(spark):

@@ -75,16 +75,16 @@ def test_index_round_trip_and_validity(spark, root, tmp_path):
     assert not catalog.validity(again, again.select("path").limit(1)).first()["valid"] and not catalog.validity(again.limit(0), again.select("path")).first()["valid"]
 
 
-RESULTS = '<p class="rlt1">全 1,234 件中 50件を表示</p><form name="lastpage"><input name="page" value="25"></form><table class="result_table"><tr><th>h</th></tr><tr><td><a href="d?lineno=J01_1">J</a></td><td>T</td><td>A</td><td>one<lb>two</lb></td><td><a href="/i">x</a></td></tr><tr><td>short</td></tr></table>'
+RESULTS = '<p class="rlt1">全 1,234 件中 50件を表示</p><form name="lastpage"><input name="page" value="25"></form><table class="result_table"><tr><th>h</th></tr><tr><td><a href="d?lineno=J01_1">J01_1</a></td><td><a href="/i">x</a></td><td>T</td><td>A</td><td>one<lb 01_2_ />two</td></tr><tr><td><a href="d?lineno=J9"></a></td><td></td><td>U</td><td></td><td></td></tr><tr><td>short</td></tr></table>'
 DETAIL = '<a class="tnbn_prev" href="?lineno=p1">p</a><p class="sdt01">J0012 Title 画像</p><table class="sd_table"><tr><td class="sd_td1">J1 :</td><td class="sd_td2"> line </td></tr><tr><td class="sd_td1"></td><td class="sd_td2">x</td></tr></table>'
 
 
 def test_result_pages(spark):
     df = spark.createDataFrame([(RESULTS, DETAIL), (None, None), ("", "")], "r string, d string").select(hits.result_page("r").alias("r"), hits.detail_page("d").alias("d"))
     r, d = df.first()
-    assert (r["total"], r["displayed"], r["pages"]) == (1234, 50, 25) and [tuple(h) for h in r["hits"]] == [("J01_1", "T", "A", "one\ntwo", "d?lineno=J01_1", "/i")]
+    assert (r["total"], r["displayed"], r["pages"]) == (1234, 50, 25) and [tuple(h) for h in r["hits"]] == [("J01_1", "T", "A", "one\ntwo", "detail.php?lineno=J01_1", "image.php?lineno=J01_1"), ("J9", "U", "", "", "detail.php?lineno=J9", "image.php?lineno=J9")]
     assert (d["header"], d["textno"], d["prev"], d["next"], d["line_ids"], d["content"]) == ("J0012 Title", "J0012", "p1", None, ["J1"], "[J1] line")
-    assert hits.parse_results(RESULTS, "http://h")["hits"][0]["image_url"] == "http://h/i"
+    assert hits.parse_results(RESULTS, "http://h")["hits"][0]["image_url"] == "http://himage.php?lineno=J01_1"
 
 
 def test_json_and_turtle(spark):
@@ -109,7 +109,20 @@ def test_article_text():
     long = "word " * 20
     assert hits.article_text(f'<span class="tx">{long}</span><span class="tx">b</span>') == long.strip() + "\nb"
     assert hits.article_text(f'<div id="menu">{long}</div><div class="a content">{long}x</div>') == long + "x"
-    assert hits.article_text("<p>short</p>") == "short" and hits.article_text(None) is None
+    assert hits.article_text(f'<body><pre>{long}p</pre><div id="viewer"> {long}v <br/> w</div></body>') == long + "v\nw"
+    assert hits.article_text("<p>short</p>") == "" and hits.article_text(None) is None
+
+
+def test_titles_of_many_levels():
+    deep = "<a><b><c><d><e>Deep title</e></d></c></b></a>"
+    found = catalog.read_header(f"<TEI><titleStmt><title>{deep}</title></titleStmt><head><x><y><z><w><v>Head</v></w></z></y></x></head></TEI>", 1000)
+    assert [t[0] for t in found["titles"]] == ["Deep title"] and found["heads"] == ["Head"]
+
+
+def test_tipitaka_sections_and_values():
+    xml = '<TEI><p rend="nikaya">N</p><p rend="book">B1</p><p rend="book">B2</p>' + "".join(f'<div n="d{i}" type="t"/><head>H{i}</head>' for i in range(12)) + "</TEI>"
+    _, title, _, meta = catalog._entry("tipitaka", "x.xml", xml)
+    assert title == "N · B1" and meta["book"] == "B1 | B2" and meta["sections"].startswith("d0(t) | d1(t)") and meta["headsPreview"].count("|") == 9
 
 
 def test_bibliography():
