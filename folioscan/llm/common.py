@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Folders made for local sessions without spark.checkpoint.dir, by application.
 _own: dict[str, str] = {}
 
+#: Lists of the tables written inside scratch().
+_scopes: list[list] = []
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
 #: What a worker's memory of tokens may hold, in bytes.
@@ -62,6 +65,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
             spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for tables in _scopes:
+        tables.append(out)
     return out
 
 
@@ -72,6 +77,19 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables written inside, but for those put into the list that it gives: they are what stays."""
+    made, kept = [], []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        stays = {t.stored_at for t in kept}
+        drop(*(t for t in made if t.stored_at not in stays))
+
+
 def map_arrow(rows: DataFrame, run: Callable[[Iterator], Iterator], fields) -> DataFrame:
     """rows.mapInArrow() in batches bounded by bytes, as a batch of 10,000 long texts would not be. A session's own bound stays."""
     conf = rows.sparkSession.conf

@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline as C
 from folioscan.llm import byte_bpe, exact_dedup, minhash_dedup, mixing, toxicity
 
@@ -50,3 +52,33 @@ def test_near_copies_go_at_eighty_percent(spark):
     assert {r["doc_id"] for r in C.drop_near_copies(spark, docs, SF).collect()} == kept
     given = spark.read.parquet(f"{SF}/documents.parquet")
     assert not {255, 770, 875, 944} & {r["doc_id"] for r in C.drop_near_copies(spark, given, SF).collect()}
+
+
+def test_odd_and_empty_documents_pass_every_stage(spark, odd, empty):
+    """Nulls, repeated rows, ties, very long texts, extra columns of clashing names, and no rows at all."""
+    from folioscan.llm import common
+
+    for given in (odd, empty):
+        docs = given
+        for name, stage in C.STAGES:
+            before = docs.count()
+            out = common.materialise(stage(spark, docs, SF), f"odd-{name}")
+            if name != "byte_bpe":
+                assert out.schema.simpleString() == given.schema.simpleString()
+            if name == "exact_dedup":
+                assert out.count() == len({re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in docs.collect()})
+            if name == "byte_bpe":
+                assert out.count() == before
+            docs = out
+        assert (docs.count() > 0) == (given is odd)
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    """Tables of the stages are deleted, what is returned can be read."""
+    import os
+
+    from folioscan.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert C.run(spark, SF).count() > 0
+    assert [n.startswith("pipeline-byte_bpe") for n in os.listdir(f"{tmp_path}/folioscan")] == [True]
