@@ -1,7 +1,15 @@
 """From documents to token ids: toxicity, exact dedup, near-dedup, mixing of sources, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents. run() deletes a stage's own tables, and the documents that
+it has read, once its result is written.
+
+Defined cases, in every stage: null, empty and blank texts are documents without words: they are not toxic by their words,
+are copies of each other, have no near copies, are taken 0 times by the mix (size 0) and so end there; null doc_ids are
+kept apart by their texts in exact dedup, stay in near-dedup, and are mixed and encoded row by row; rows that repeat a
+doc_id are judged by their own texts; of ties the rules of the operators decide (the longest text, then the smallest
+doc_id); very long texts are read whole; an empty table gives an empty one; columns beyond those of documents, whatever
+their names, are carried by all stages but the last.
 """
 
 from __future__ import annotations
@@ -46,6 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        with common.scratch() as kept:
+            before, docs = docs, common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        if k:
+            common.drop(before)
     return docs
