@@ -25,7 +25,7 @@ _scopes: list[list] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
 #: What a worker's memory of tokens may hold, in bytes.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

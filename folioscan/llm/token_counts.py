@@ -40,7 +40,7 @@ class Counting:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), common.Memory()
+        self.tokenizer, self.known = Tokenizer.from_file(path), common.Memory(64 << 20)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
