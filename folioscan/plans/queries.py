@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from folioscan.functions import patterns as P
 from folioscan.functions import text as T
 from folioscan.operators import fetch, rank, search
-from folioscan.sources import catalog, hits
+from folioscan.sources import catalog, hits, readers
 
 PATTERN = "tion the|lich der"
 FUZZY = "the and"
@@ -377,6 +377,13 @@ def page_index(spark, sf_dir):
     return built.select("id", "title", "path")
 
 
+@query("decode_bytes", "SELECT doc_id, text AS utf8, text AS utf16 FROM documents")
+def decode_bytes(spark, sf_dir):
+    """Of the texts' bytes in two encodings, one with a byte order mark."""
+    both = [readers.decode_lossy(F.encode("text", charset)).alias(name) for charset, name in (("UTF-8", "utf8"), ("UTF-16", "utf16"))]
+    return _docs(spark, sf_dir).select("doc_id", *both)
+
+
 @query("url_lineno", "SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
 def url_lineno(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", T.query_parameter(F.col("url"), "page").alias("page"))
