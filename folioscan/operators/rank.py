@@ -17,6 +17,25 @@ PREFERRED, DIRECT, CROSSWALK, CROSSWALK_ID, LEAST = 0.02, 1.20, 1.05, 0.05, 0.1
 CONTRIBUTORS = ("author", "editor", "translator", "publisher")
 # The keys that count for titles in Pali.
 PALI_KEYS = ("alias", "alias_prefix", "nikaya", "book", "title", "subhead", "subsubhead", "chapter", "headsPreview")
+# Names of works, and their identifiers and titles in each corpus.
+CROSSWALK_WORKS = {
+    "heart-sutra": (
+        ("般若心経", "般若心經", "般若波羅蜜多心経", "般若波羅蜜多心經", "T0251", "T08n0251", "prajJApAramitAhRdayasUtra", "sa_prajJApAramitAhRdayasUtra", "Heart Sutra"),
+        {"cbeta": ("T0251", "般若波羅蜜多心經"), "gretil": ("prajJApAramitAhRdayasUtra", "Prajñāpāramitāhṛdayasūtra")},
+    ),
+    "diamond-sutra": (
+        ("金剛経", "金剛經", "金剛般若経", "金剛般若經", "金剛般若波羅蜜経", "金剛般若波羅蜜經", "T0235", "T08n0235", "vajracchedikA", "sa_vajracchedikA-prajJApAramitA", "Diamond Sutra"),
+        {"cbeta": ("T0235", "金剛般若波羅蜜經"), "gretil": ("vajracchedikA", "Vajracchedikā")},
+    ),
+    "lotus-sutra": (
+        ("法華経", "法華經", "妙法蓮華経", "妙法蓮華經", "T0262", "T09n0262", "saddharmapuNDarIka", "sa_saddharmapuNDarIka", "Lotus Sutra"),
+        {"cbeta": ("T0262", "妙法蓮華經"), "gretil": ("saddharmapuNDarIka", "Saddharmapuṇḍarīka")},
+    ),
+    "lankavatara-sutra": (
+        ("楞伽経", "楞伽經", "楞伽阿跋多羅宝経", "楞伽阿跋多羅寶經", "T0670", "T16n0670", "laGkAvatArasUtra", "saddharmalaGkAvatArasUtra"),
+        {"cbeta": ("T0670", "楞伽阿跋多羅寶經"), "gretil": ("laGkAvatArasUtra", "Laṅkāvatārasūtra")},
+    ),
+}
 
 
 def haystack(title: Column, identifier: Column, meta: Column | None = None, keys: tuple[str, ...] | None = None) -> Column:
@@ -30,9 +49,10 @@ def haystack(title: Column, identifier: Column, meta: Column | None = None, keys
     return F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(identifier, F.lit("")), F.coalesce(values, F.lit("")))
 
 
-def with_hay(entries: DataFrame, hay: Column) -> DataFrame:
-    """entries with hay_norm and hay_ws: to be stored with a catalogue, as queries read nothing else."""
-    return entries.withColumn("hay_norm", T.normalised(hay)).withColumn("hay_ws", T.normalised_spaces(hay))
+def with_hay(entries: DataFrame, hay: Column, folded: bool = False) -> DataFrame:
+    """entries with hay_norm and hay_ws (folded: and hay_fold): to be stored with a catalogue, as queries read nothing else."""
+    out = entries.withColumn("hay_norm", T.normalised(hay)).withColumn("hay_ws", T.normalised_spaces(hay))
+    return out.withColumn("hay_fold", T.normalised(hay, variants=False)) if folded else out
 
 
 def base_score(hay_norm: Column, hay_ws: Column, query: str, folded: Column | None = None) -> Column:
@@ -98,25 +118,81 @@ def top_k(scored: DataFrame, k: int, *ties: str, score: str = "score") -> DataFr
     return scored.orderBy(F.desc(score), *ties).limit(k)
 
 
-def title_search(entries: DataFrame, query: str, limit: int = 10, alias: str | None = None, contributors: tuple[str, ...] = ()) -> DataFrame:
-    """entries (id, hay_norm, hay_ws, ...) with score, the best first."""
-    score = match_score(F.col("hay_norm"), F.col("hay_ws"), query, F.col(alias) if alias else None)
+def title_search(entries: DataFrame, query: str, limit: int = 10, alias: str | None = None, contributors: tuple[str, ...] = (), folded: bool = False, canon: str | None = None) -> DataFrame:
+    """entries (id, hay_norm, hay_ws, ...) with score, the best first.
+
+    folded: Pali and Sanskrit titles, compared by hay_fold as well; canon: the column of canons, of which one is preferred.
+    """
+    score = match_score(F.col("hay_norm"), F.col("hay_ws"), query, F.col(alias) if alias else None, F.col("hay_fold") if folded else None)
+    score = canon_bias(score, F.col(canon), F.col("id")) if canon else score
     score = contributor_boost(score, [F.col(c) for c in contributors], query) if contributors else score
     return top_k(entries.withColumn("score", F.round(score, 6)), limit, "id")
 
 
-def direct_ids(query: str, sources: list[str]) -> list[tuple[str, str]]:
-    """(source, id) of a query that is an identifier itself."""
-    flat = "".join(query.split())
-    up, out = flat.upper(), []
-    if "cbeta" in sources and (m := re.match(r"T([0-9]+)", up)):
-        out.append(("cbeta", f"T{int(m[1]):04d}"))
+def _given(source: str, identifier: Column, title: Column, rank_score: Column, by: str) -> Column:
+    return F.struct(F.lit(source).alias("source"), identifier.alias("id"), title.alias("title"), rank_score.alias("rank_score"), F.lit(by).alias("by"))
+
+
+def _preference(source: str, preferred: str | None) -> float:
+    return PREFERRED if source == preferred else 0.0
+
+
+def direct_candidates(query: Column, sources: tuple[str, ...], preferred: str | None = None) -> Column:
+    """array<struct<source, id, title, rank_score, by>> of a query that is an identifier itself, in any case, blanks left out."""
+    flat, none = F.regexp_replace(query, r"(?U)\s", ""), F.lit(None).cast("string")
+    up, out = F.upper(F.regexp_replace(query, r"(?U)\s", "")), []
+    number = lambda digits: F.when(digits.try_cast("bigint") < 1 << 32, digits.try_cast("bigint").cast("string"))
+    give = lambda source, identifier: out.append(_given(source, identifier, none, F.lit(round(DIRECT + _preference(source, preferred), 6)), "direct-id"))
+    if "cbeta" in sources:
+        n = number(F.regexp_extract(up, r"\AT([0-9]+)", 1))
+        give("cbeta", F.concat(F.lit("T"), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)))
     if "tipitaka" in sources:
-        if (m := re.match(r"(DN|MN|SN|AN|KN)", up)) and (digits := re.sub("[^0-9]", "", up[2:])):
-            out.append(("tipitaka", f"{m[1]}{int(digits)}"))
-        if ".mul" in flat:
-            out.append(("tipitaka", flat))
-    return out
+        collection = F.nullif(F.regexp_extract(up, r"\A(DN|MN|SN|AN|KN)", 1), F.lit(""))
+        give("tipitaka", F.concat(collection, number(F.regexp_replace(F.substring(up, 3, 1 << 30), "[^0-9]", ""))))
+        give("tipitaka", F.when(flat.contains(".mul"), flat))
+    return F.filter(F.array(*out), lambda x: x["id"].isNotNull()) if out else F.array().cast("array<struct<source:string,id:string,title:string,rank_score:double,by:string>>")
+
+
+def crosswalk_candidates(normal: Column, sources: tuple[str, ...], preferred: str | None = None) -> Column:
+    """array<struct<source, id, title, rank_score, by>> of the works that a normalised query names; an identifier itself counts more."""
+    out = []
+    for names, works in CROSSWALK_WORKS.values():
+        known = [T.python_normalised(n) for n in names]
+        hit = normal.isin(known) | (F.octet_length(normal) >= 6) & F.exists(F.array(*[F.lit(n) for n in known]), lambda n: F.contains(n, normal) | F.contains(normal, n))
+        for source in ("cbeta", "tipitaka", "gretil"):
+            if source in sources and source in works:
+                identifier, title = works[source]
+                score = CROSSWALK + _preference(source, preferred)
+                exact = normal == F.lit(T.python_normalised(identifier))
+                rank_score = F.when(exact, round(score + CROSSWALK_ID, 6)).otherwise(round(score, 6))
+                out.append(_given(source, F.when((normal != "") & hit, F.lit(identifier)), F.lit(title), rank_score, "crosswalk"))
+    return F.filter(F.array(*out), lambda x: x["id"].isNotNull()) if out else F.array().cast("array<struct<source:string,id:string,title:string,rank_score:double,by:string>>")
+
+
+def given_candidates(queries: DataFrame, query: str, sources: tuple[str, ...] = ("cbeta", "tipitaka", "gretil"), preferred: str | None = None, limit: int = 10) -> DataFrame:
+    """queries with candidates: identifiers first, then the crosswalk's works, a (source, id) once, the best first; and direct:
+    whether the query is an identifier, for which titles aren't searched. Null queries have none. Nothing is shuffled."""
+    out = queries.withColumns({"_direct": direct_candidates(F.coalesce(query, F.lit("")), sources, preferred), "_normal": T.normalised(F.coalesce(query, F.lit("")))})
+    both = F.concat("_direct", crosswalk_candidates(F.col("_normal"), sources, preferred))
+    # the rank decides, then the place; of a (source, id) the first in that order stays
+    keyed = F.array_sort(F.transform(both, lambda x, i: F.struct((-x["rank_score"]).alias("least"), i.alias("place"), x.alias("x"))))
+    ordered = F.transform(keyed, lambda k: k["x"])
+    first = F.filter(ordered, lambda x, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda y: (y["source"] == x["source"]) & (y["id"] == x["id"])))
+    return out.withColumns({"candidates": F.slice(first, 1, max(1, limit)), "direct": F.size("_direct") > 0}).drop("_direct", "_normal")
+
+
+def resolve_query(spark: SparkSession, query: str, per_source: list[DataFrame], sources: tuple[str, ...] = ("cbeta", "tipitaka", "gretil"), limit: int = 10, per_source_limit: int = 5, least: float = LEAST, preferred: str | None = None) -> DataFrame:
+    """One query to its ranked candidates (source, id, title, rank_score): identifiers and works of the crosswalk, then, unless it
+    is an identifier, the titles of per_source (source, id, title, score)."""
+    asked = given_candidates(spark.createDataFrame([(query,)], "q string"), "q", sources, preferred, limit=1 << 20)
+    found = asked.first()  # one row of at most a dozen candidates
+    rows = [(c["source"], c["id"], c["title"], c["rank_score"], i - len(found["candidates"])) for i, c in enumerate(found["candidates"])]
+    given = spark.createDataFrame(rows, "source string, id string, title string, rank_score double, seq int")
+    if found["direct"] or not per_source:
+        return given.orderBy(F.desc("rank_score"), "seq").limit(max(1, limit)).drop("seq")
+    titles = resolve(spark, per_source, 1 << 20, per_source_limit, least, preferred).select("source", "id", "title", "rank_score", "seq")
+    first = F.row_number().over(Window.partitionBy("source", "id").orderBy(F.desc("rank_score"), "seq"))
+    return given.unionByName(titles).withColumn("_n", first).filter("_n = 1").orderBy(F.desc("rank_score"), "seq", "id").limit(max(1, limit)).drop("_n", "seq")
 
 
 def crosswalk(queries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -163,13 +239,21 @@ def lookup(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def pick_by_tier(docs: DataFrame, query: str, body: str, title: str, position: str) -> DataFrame:
-    """docs with tier (0: body holds the query, 1: title does, 2: neither) in the order in which they are picked."""
+    """docs with tier (0: body holds the query, 1: title does, 2: neither), in normal forms, in the order in which they are picked.
+
+    A query without letters and numbers is held by nothing: the nearest title is picked.
+    """
     q = T.python_normalised(query)
-    tier = F.when(F.coalesce(F.col(body), F.lit("")).contains(query), 0).when(T.normalised(F.coalesce(F.col(title), F.lit(""))).contains(q), 1).otherwise(2)
-    scored = scored_titles(docs.withColumn("tier", tier), title, query, "title_score")
+    held = lambda c: T.normalised(F.coalesce(F.col(c), F.lit(""))).contains(q) if q else F.lit(False)
+    scored = scored_titles(docs.withColumn("tier", F.when(held(body), 0).when(held(title), 1).otherwise(2)), title, query, "title_score")
     return scored.orderBy("tier", F.when(F.col("tier") == 2, -F.col("title_score")).otherwise(F.lit(0.0)), position)
 
 
+def pick_by_title(docs: DataFrame, query: str, title: str, position: str) -> DataFrame:
+    """The one document whose title is nearest, the first of equals, with title_score: what a search fetches on its own."""
+    return scored_titles(docs, title, query, "title_score").orderBy(F.desc("title_score"), position).limit(1)
+
+
 def probe(candidates: DataFrame, pages: DataFrame, query: str, most: int = 5) -> DataFrame:
     """candidates (url, pos) and stored pages (url, text): of the first few, the first whose text holds the query, else the first with text."""
     first = candidates.orderBy("pos").limit(most).join(pages, "url")

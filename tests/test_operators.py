@@ -138,9 +138,11 @@ def test_resolve(spark):
     assert rank.resolve(spark, [a, b], limit=0).count() == 1
 
 
-def test_direct_ids():
+def test_direct_ids(spark):
     every = ["cbeta", "tipitaka"]
-    assert rank.direct_ids("t 262", every) == [("cbeta", "T0262")] and rank.direct_ids("DN a1b2", every) == [("tipitaka", "DN12")] and rank.direct_ids("s01.mul", ["cbeta"]) == [] and rank.direct_ids("lotus", every) == []
+    asked = spark.createDataFrame([(0, "t 262"), (1, "DN a1b2"), (2, "lotus"), (3, None)], "n int, q string")
+    found = [[(c["source"], c["id"]) for c in r["found"]] for r in asked.select("n", rank.direct_candidates(F.coalesce("q", F.lit("")), tuple(every)).alias("found")).orderBy("n").collect()]
+    assert found == [[("cbeta", "T0262")], [("tipitaka", "DN12")], [], []]
 
 
 def test_crosswalk(spark):

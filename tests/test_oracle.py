@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from folioscan.plans.queries import ORACLES, QUERIES
+from folioscan.plans.registered import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
