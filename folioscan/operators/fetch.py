@@ -7,8 +7,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions import markup
 from folioscan.functions import text as T
-from folioscan.functions.patterns import escape, java_pattern
+from folioscan.functions.patterns import escape, java_pattern, variant_fuzzy
+from folioscan.operators import rank
+from folioscan.sources import hits
 
 #: Characters of a slice without an end, and of a fetched text.
 SLICE, FETCHED = 8_000, 6_000
@@ -39,6 +42,19 @@ def context_lines(text: Column, line: Column, before: int, after: int) -> Column
     return F.array_join(F.slice(rows, lo, n), "\n")
 
 
+def context_text(xml: Column, line: Column, before: int, after: int) -> Column:
+    """context_lines() without markup, white space collapsed."""
+    plain = F.pandas_udf(lambda s: s.map(markup.extract_text), "string")
+    return plain(context_lines(xml, line, before, after))
+
+
+def part_argument(value) -> str | None:
+    """The part that a request names: a text that isn't blank, or a whole number from 0."""
+    if isinstance(value, str):
+        return value.strip() or None
+    return str(value) if isinstance(value, int) and not isinstance(value, bool) and value >= 0 else None
+
+
 def line_of(text: Column, offset: Column) -> Column:
     """The line, from 1, that the 1-based character offset is in."""
     return F.length(F.regexp_replace(F.substring(text, F.lit(1), offset - 1), "[^\n]", "")) + 1
@@ -143,6 +159,30 @@ def with_fallbacks(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return keyed.join(known.filter("_text IS NOT NULL"), "_id").groupBy("id").agg(F.min_by("_text", "prio").alias("text"))
 
 
+def fetch_stored(wanted: DataFrame, pages: DataFrame, query: str | None = None, start: int | None = None, most: int = SLICE) -> DataFrame:
+    """wanted (url, ...) with a slice of the stored page's text: from start on, else from before the first match of a query.
+
+    pages (key, html) are stored by cache_key() of their url; a url without a page has an empty text.
+    """
+    plain = F.pandas_udf(lambda s: s.map(hits.article_text), "string")
+    stored = pages.select(F.col("key").alias("_key"), plain("html").alias("_text"))
+    body = wanted.withColumn("_key", hits.cache_key(F.col("url"))).join(stored, "_key", "left").withColumn("_text", F.coalesce("_text", F.lit(""))).drop("_key")
+    if start is None and query and query.strip('" '):
+        lo = focus_offset(F.col("_text"), variant_fuzzy(query.strip().strip('"').strip()))
+    else:
+        lo = F.lit(start or 0)
+    total = F.length("_text")
+    lo = F.least(lo, total)
+    hi = F.least(lo + most, total)
+    return body.withColumns({"passage": F.substring(F.col("_text"), lo + 1, hi - lo), "total": total, "start": lo, "end": hi}).drop("_text")
+
+
+def online_pipeline(docs: DataFrame, pages: DataFrame, query: str, base: str, start: int | None = None, most: int = SLICE) -> DataFrame:
+    """The best document of a search (hits.searched()) with the slice of its stored page around the query; no row without documents."""
+    best = rank.pick_by_tier(docs, query.strip(), "body", "fascnm", "pos").limit(1)
+    return fetch_stored(best.withColumn("url", hits.detail_url(F.coalesce("startid", F.lit("")), base)), pages, query, start, most)
+
+
 def fetch(docs: DataFrame, doc_id: str, wanted, text: str = "text", line: int | None = None, marker: str | None = None, head: str | None = None, head_index: int | None = None, before: int = 10, after: int = 10, pattern: str | None = None, **slicing) -> DataFrame:
     """One document's passage: a marker goes before a line, that before a head by text or index, else the whole; then highlights and a slice."""
     body = F.col(text)

@@ -129,6 +129,17 @@ def title_search(entries: DataFrame, query: str, limit: int = 10, alias: str | N
     return top_k(entries.withColumn("score", F.round(score, 6)), limit, "id")
 
 
+def printed(found: DataFrame, as_json: bool = False, meta: str | None = None) -> DataFrame:
+    """A title search's few rows (id, title, path, score) as one text: numbered lines, or JSON with their count."""
+    shown = ["id", "title", "path", "score", *([meta] if meta else [])]
+    rows = found.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("least"), F.col("id").alias("tie"), F.struct(*shown).alias("row")))).alias("rows"))
+    every = F.transform("rows", lambda r: r["row"])
+    if as_json:
+        return rows.select(F.to_json(F.struct(F.size("rows").alias("count"), every.alias("results"))).alias("text"))
+    lines = F.transform(every, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r["id"], F.lit("  "), F.coalesce(r["title"], F.lit(""))))
+    return rows.select(F.array_join(lines, "\n").alias("text"))
+
+
 def _given(source: str, identifier: Column, title: Column, rank_score: Column, by: str) -> Column:
     return F.struct(F.lit(source).alias("source"), identifier.alias("id"), title.alias("title"), rank_score.alias("rank_score"), F.lit(by).alias("by"))
 

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.functions.patterns import java_pattern
+from folioscan.operators.fetch import marker_near
 
 #: Defaults of a search and of a search-to-context pipeline: files, and matches of a file.
 SEARCH_LIMITS, PIPELINE_LIMITS = (20, 5), (10, 3)
 #: Characters of an inline answer, and of the preview in its place.
 INLINE, PREVIEW = 12_000, 1_200
+#: Least characters of a snippet.
+SNIPPET = 120
 
 
 #: What makes a match depend on where a line or the text ends or begins, or on what is around the match.
@@ -84,6 +87,18 @@ def suggestions(found: DataFrame, file_id: str, top: int = 1, before: int = 1, a
     return best_first(found, file_id, top).select(file_id, first.alias("line_number"), F.greatest(first - before, F.lit(1)).alias("from_line"), (first + after).alias("to_line"))
 
 
+def with_markers(found: DataFrame) -> DataFrame:
+    """found, with lb in each match: the first line-break marker of its line, null without one."""
+    return found.withColumn("matches", F.transform("matches", lambda m: m.withField("lb", marker_near(m["context"], F.lit("")))))
+
+
+def marked_suggestions(found: DataFrame, file_id: str, top: int = 1) -> DataFrame:
+    """What to fetch of the top files: by the marker near the first match, or by its line where there is none."""
+    m = F.col("matches")[0]
+    lb = marker_near(m["context"], m["highlight"])
+    return best_first(found, file_id, top).select(file_id, lb.alias("lb"), F.when(lb.isNull(), m["line_number"]).alias("line_number"))
+
+
 def summary(found: DataFrame, shown: int = 2, width: int = 100) -> DataFrame:
     """found with summary: the first matches, cut, and how many more there are."""
     lines_ = F.transform(F.slice("matches", 1, shown), lambda m: F.substring(m["context"], 1, width))
@@ -104,8 +119,11 @@ def context(files: DataFrame, wanted: DataFrame, file_id: str, before: int, afte
     return wanted.join(files.select(file_id, text), file_id).withColumn("passage", passage).drop(text)
 
 
-def search_to_context(files: DataFrame, pattern: str, file_id: str, limits: tuple[int, int] = PIPELINE_LIMITS, before: int = 1, after: int = 3, marks: tuple[str, str] = (">>> ", " <<<"), text: str = "text") -> DataFrame:
-    """The best files' matches with their highlighted surroundings, in one text per file."""
+def search_to_context(files: DataFrame, pattern: str, file_id: str, limits: tuple[int, int] = PIPELINE_LIMITS, before: int = 1, after: int = 3, marks: tuple[str, str] = (">>> ", " <<<"), text: str = "text", snippet: int | None = None) -> DataFrame:
+    """The best files' matches with their highlighted surroundings, in one text per file.
+
+    snippet: of each surrounding only so many characters, SNIPPET at least, are shown.
+    """
     best = best_first(grep(files, pattern, limits[1], text), file_id, limits[0])
     p = java_pattern(pattern)
     all_lines = T.lines(F.col(text))
@@ -113,7 +131,8 @@ def search_to_context(files: DataFrame, pattern: str, file_id: str, limits: tupl
     def around(m: Column) -> Column:
         lo = F.greatest(m["line_number"] - before, F.lit(1))
         hi = F.least(m["line_number"] + after, F.size(all_lines))
-        return F.array_join(F.slice(all_lines, lo, hi - lo + 1), "\n")
+        passage = F.array_join(F.slice(all_lines, lo, hi - lo + 1), "\n")
+        return passage if snippet is None else F.substring(passage, 1, max(snippet, SNIPPET))
 
     joined = F.array_join(F.transform("matches", around), "\n---\n")
     shown = F.regexp_replace(joined, f"({p})", f"{marks[0]}$1{marks[1]}") if p else joined

@@ -497,11 +497,13 @@ def conversation_context(spark, sf_dir):
 _TTL = 'bdr:MW1 a :Instance ; :inRootInstance bdr:W1, bdr:W2 ; skos:prefLabel "x"@bo .'
 
 
-_TTLS = [(1, _TTL), (2, ":inRootInstance bdr:A-1 ; :x bdr:B ."), (3, ":other bdr:C ."), (4, ":inRootInstance bdr:W2,\n bdr:W1 , bdr:W2 .")]
+_TTLS = [(1, _TTL), (2, ":inRootInstance bdr:A-1 ; :x bdr:B ."), (3, ":other bdr:C ."), (4, ":inRootInstance bdr:W2,\n bdr:W1 , bdr:W2 ."), (5, ":inRootInstance bdr:W_1 . :y bdr:W3 ; .")]
 
 
-@query("turtle_values", rf"""WITH t AS (SELECT id::BIGINT AS id, regexp_extract_all(regexp_extract(ttl, '(?s):inRootInstance\s+([^;.]*)', 1), 'bdr:([A-Za-z0-9_\-]+)', 1) AS f FROM {_given("id, ttl", _TTLS)})
-SELECT id, list_filter(f, lambda x, i: list_position(f, x) = i) AS found FROM t""")
+@query("turtle_values", f"""WITH t AS (SELECT id::BIGINT AS id, substr(ttl, strpos(ttl, ':inRootInstance') + 15) AS rest, contains(ttl, ':inRootInstance') AS has FROM {_given("id, ttl", _TTLS)}),
+w AS (SELECT id, CASE WHEN has THEN string_split_regex(CASE WHEN contains(rest, ';') THEN split_part(rest, ';', 1) ELSE split_part(rest, '.', 1) END, '[^A-Za-z0-9:_]') ELSE [] END AS w FROM t),
+f AS (SELECT id, list_transform(list_filter(w, lambda x: starts_with(x, 'bdr:') AND length(x) > 4), lambda x: substr(x, 5)) AS f FROM w)
+SELECT id, list_filter(f, lambda x, i: list_position(f, x) = i) AS found FROM f""")
 def turtle_values(spark, sf_dir):
     return _values(spark, "id long, ttl string", _TTLS).select("id", hits.turtle_values(F.col("ttl"), ":inRootInstance").alias("found"))
 

@@ -1,6 +1,6 @@
 """All registered queries and their SQL: importing a module of queries registers them."""
 
-from folioscan.plans import lookups, queries
+from folioscan.plans import lookups, passages, queries
 
-MODULES = (queries, lookups)
+MODULES = (queries, lookups, passages)
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES

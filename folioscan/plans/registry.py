@@ -44,6 +44,25 @@ def unified(tool: str, args: dict) -> tuple[str, dict]:
     return tool, dict(args)
 
 
+def rewritten(meta: dict) -> dict:
+    """An answer's meta with every tool that it names as a unified one: suggestions, the hint, what fetches candidates and the pick."""
+
+    def tool(ref):
+        if not isinstance(ref, dict) or not isinstance(ref.get("tool"), str):
+            return ref
+        name, args = unified(ref["tool"], ref.get("args") or {})
+        return ref if name == ref["tool"] else {**ref, "tool": name, "args": args}
+
+    def fetching(item):
+        return {**item, "fetch": tool(item["fetch"])} if isinstance(item, dict) and "fetch" in item else item
+
+    each = {
+        "fetchSuggestions": lambda v: [tool(x) for x in v], "pipelineHint": tool,
+        "candidates": lambda v: [fetching(x) for x in v], "pick": fetching,
+    }
+    return {k: each[k](v) if k in each and v is not None else v for k, v in meta.items()}
+
+
 def exit_code(message: str) -> int:
     """10: not found, 11: network, 12: data, else 1."""
     low = message.lower()

@@ -110,9 +110,120 @@ def archive_hits(answers: DataFrame, json: str) -> DataFrame:
 
 
 def turtle_values(turtle: Column, predicate: str) -> Column:
-    """Local names after a predicate up to the end of its list."""
-    part = F.regexp_extract(turtle, rf"(?s)\Q{predicate}\E\s+([^;.]*)", 1)
-    return F.array_distinct(F.regexp_extract_all(part, F.lit(r"bdr:([A-Za-z0-9_\-]+)"), F.lit(1)))
+    """Local names after a predicate's first place, up to the next semicolon, or without one to the next full stop."""
+    rest = F.regexp_extract(turtle, rf"(?s)\Q{predicate}\E(.*)", 1)
+    part = F.when(rest.contains(";"), F.substring_index(rest, ";", 1)).otherwise(F.substring_index(rest, ".", 1))
+    words = F.filter(F.split(part, "[^A-Za-z0-9:_]"), lambda w: w.rlike(r"\Abdr:."))
+    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 5, 1 << 30)))
+
+
+def see_also(turtle: Column) -> Column:
+    """Addresses that a description refers to, each once."""
+    found = F.regexp_extract_all(turtle, F.lit(r'(?s)rdfs:seeAlso[^"]*"([^"]*)"'), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda u: u != ""))
+
+
+# Fixed value: where repositories of texts are.
+REPOSITORIES = "github.com/Openpecha-Data/"
+
+
+def repository_name(address: Column) -> Column:
+    """The name of a repository of texts; null for other addresses."""
+    name = F.trim(F.regexp_extract(address, rf"\Q{REPOSITORIES}\E([^/#?]*)", 1))
+    return F.nullif(F.regexp_replace(name, r"(\.git)+\z", ""), F.lit(""))
+
+
+def strip_marks(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("<mark>"), F.lit("")), F.lit("</mark>"), F.lit(""))
+
+
+def page_hits(answers: DataFrame, json: str, most: int = 0, *keep: str) -> DataFrame:
+    """Hits whose fields are values or arrays of them: score, title, kdb, sutra, pb, kind, snippet (without marks, cut to most)."""
+    hit = F.posexplode(F.from_json(F.col(json), "hits struct<hits:array<string>>")["hits"]["hits"])
+    h = answers.select(*keep, hit.alias("pos", "h"))
+    field = lambda name: json_first(F.col("h"), f"$.fields.{name}")
+    marked = [F.from_json("h", f"highlight struct<{k}:array<string>>")["highlight"][k] for k in ("text", "textWildcard")]
+    joined = [F.nullif(F.array_join(m, ""), F.lit("")) for m in marked]
+    single = [json_first(F.col("h"), f"$.highlight.{k}") for k in ("text", "textWildcard")]
+    snippet = strip_marks(F.coalesce(*joined, *single, F.lit("")))
+    score = F.coalesce(F.from_json("h", "_score double")["_score"], F.lit(0.0))
+    return h.select(*keep, "pos", score.alias("score"), F.coalesce(field("tname"), field("cname"), F.lit("")).alias("title"), *[F.coalesce(field(k), F.lit("")).alias(k) for k in ("kdb", "sutra", "pb")], field("sutraType").alias("kind"), (F.substring(snippet, 1, most) if most else snippet).alias("snippet"))
+
+
+def page_lines(pages: Column) -> Column:
+    """Stored pages (JSON array of pbName and text) to "name: text" lines, without markup, blank ones left out."""
+    each = F.transform(F.from_json(pages, "array<struct<pbName:string,text:string>>"), lambda p: F.struct(F.coalesce(p["pbName"], F.lit("")).alias("pb"), T.collapse_spaces(F.regexp_replace(F.coalesce(p["text"], F.lit("")), "<[^>]*>", " ")).alias("text")))
+    return F.array_join(F.transform(F.filter(each, lambda p: p["text"] != ""), lambda p: F.concat(p["pb"], F.lit(": "), p["text"])), "\n")
+
+
+def snippet_text(answer: Column, languages: tuple[str, ...] = ("", "bo")) -> Column:
+    """A snippet's lines: texts, and [text, language] pairs in one of the languages."""
+    items = F.from_json(answer, "snippet array<string>")["snippet"]
+
+    def line(item: Column) -> Column:
+        pair = F.from_json(item, "array<string>")
+        text, language = F.get(pair, F.lit(0)), F.coalesce(F.get(pair, F.lit(1)), F.lit(""))
+        return F.when(item.startswith("["), F.when(language.isin(*languages), F.coalesce(text, F.lit("")))).otherwise(item)
+
+    return F.trim(F.array_join(F.transform(items, line), "\n"))
+
+
+def chunk_text(answer: Column) -> Column:
+    """The texts of the chunks of an answer, or of an array of answers; empty without any."""
+    kind = "struct<innerHits:struct<chunks:struct<hits:array<struct<sourceAsMap:struct<text_bo:string>>>>>>"
+    roots = F.when(F.trim(answer).startswith("["), F.from_json(answer, f"array<{kind}>")).otherwise(F.array(F.from_json(answer, kind)))
+    texts = F.flatten(F.transform(roots, lambda r: F.coalesce(F.transform(r["innerHits"]["chunks"]["hits"], lambda h: h["sourceAsMap"]["text_bo"]), F.array().cast("array<string>"))))
+    return F.coalesce(F.array_join(texts, "\n"), F.lit(""))
+
+
+def backend_of(source: Column, identifier: Column, url: Column, kdb: Column, sutra: Column, page: Column) -> Column:
+    """Which backend holds a text: as named, by a page's three parts, by the address, by an identifier; null if unknown."""
+    return (
+        F.when(source.isin("adarsha", "adarshah"), "adarsha").when(source.isin("buda", "bdrc", "openpecha"), "buda").when(kdb.isNotNull() & sutra.isNotNull() & page.isNotNull(), "adarsha")
+        .when(url.contains("online.adarshah.org") | url.contains("api.adarshah.org"), "adarsha").when(identifier.isNotNull(), "buda")
+    )
+
+
+def archive_fetch(wanted: DataFrame, snippets: DataFrame, chunks: DataFrame, texts: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """wanted (id) with text and method: chunks of the snippet's text, else the snippet, else the repository of that name, else
+    the first repository that the description refers to; null where nothing has text.
+
+    Stored answers: snippets (id, answer), chunks (ut, answer), texts (repository, text), descriptions (id, turtle), one row of
+    each key. The chain is joins on keys and one coalesce.
+    """
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    snip = snippets.select("id", F.coalesce(json_first(F.col("answer"), "$.ut"), F.lit("")).alias("ut"), blank(snippet_text(F.col("answer"))).alias("snippet"))
+    chunk = chunks.select("ut", blank(chunk_text(F.col("answer"))).alias("chunk"))
+    held = texts.select(F.col("repository").alias("_r"), blank(F.col("text")).alias("held"))
+    ids = wanted.select("id").distinct()
+    named = ids.filter(F.col("id").startswith("I") & ~F.col("id").startswith("IE")).join(held, F.col("id") == F.col("_r")).select("id", F.col("held").alias("own"))
+    refs = descriptions.select("id", F.posexplode(see_also(F.col("turtle"))).alias("pos", "address")).withColumn("_r", repository_name(F.col("address")))
+    referred = refs.join(held.filter("held IS NOT NULL"), "_r").groupBy("id").agg(F.min_by("held", "pos").alias("referred"))
+    all_ = ids.join(snip, "id", "left").join(chunk, "ut", "left").join(named, "id", "left").join(referred, "id", "left")
+    method = F.when(F.col("chunk").isNotNull(), "chunks").when(F.col("snippet").isNotNull(), "snippet").when(F.col("own").isNotNull() | F.col("referred").isNotNull(), "base")
+    return all_.select("id", F.coalesce("chunk", "snippet", "own", "referred").alias("text"), method.alias("method"))
+
+
+SEARCHED = "response struct<numFound:bigint,docs:array<struct<id:string,fascnm:string,startid:string,endid:string,body:string>>>"
+
+
+def searched(answers: DataFrame, json: str, *keep: str) -> DataFrame:
+    """Stored search answers to a row per document: pos, id, fascnm, startid, endid, body, t_number, and count, the answer's own."""
+    r = answers.select(*keep, F.from_json(F.col(json), SEARCHED)["response"].alias("r"))
+    docs = r.select(*keep, F.coalesce("r.numFound", F.lit(0)).alias("count"), F.posexplode("r.docs").alias("pos", "d")).select(*keep, "count", "pos", "d.*")
+    return docs.withColumn("t_number", T.t_number(F.coalesce("startid", F.lit(""))))
+
+
+def searched_titles(docs: DataFrame, query: str, rows: int, offset: int = 0, ask: int = 5) -> DataFrame:
+    """Of the first ask * rows documents the titles that hold the query in normal form, each once, a page of them."""
+    title = F.coalesce("fascnm", F.lit(""))
+    held = docs.filter(F.col("pos") < max(rows * ask, rows)).withColumn("title", title).filter(T.normalised(F.col("title")).contains(T.python_normalised(query)))
+    return held.groupBy("title").agg(F.min("pos").alias("pos")).orderBy("pos").offset(offset).limit(rows)
+
+
+def detail_url(useid: Column, base: str) -> Column:
+    """The address of a document's page: the join key of stored pages is cache_key() of it."""
+    return F.concat(F.lit(base + "?mode=detail&ob=1&mode2=2&useid="), F.regexp_replace(F.url_encode(useid), r"\+", "%20"))
 
 
 def base_text_paths(tree_json: Column, volume: str | None = None) -> Column:
