@@ -362,7 +362,16 @@ def section_by_head(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", fetch.section_by_head(xml, index=0).alias("section"))
 
 
-@query("page_plain_text")
+def _unescaped(c: str) -> str:
+    """SQL: the entities that the pages hold; the ampersand last, so that nothing is decoded twice."""
+    for name, sign in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{sign}')"
+    return c
+
+
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+
+@query("page_plain_text", rf"SELECT page_id, trim(regexp_replace({_unescaped(_BARE)}, '\s+', ' ', 'g')) AS text FROM pages")
 def page_plain_text(spark, sf_dir):
     from folioscan.functions.markup import visible_text
 
@@ -370,7 +379,11 @@ def page_plain_text(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", plain("html").alias("text"))
 
 
-@query("page_index")
+_HEAD_TEXT = r"regexp_replace(regexp_extract(html, '(?s)<head\b[^>]*>(.*?)</head>', 1), '<[^>]+>', '', 'g')"
+_URL_STEM = r"regexp_replace(regexp_extract(url, '[^/]*$'), '[.][^.]*$', '')"
+
+
+@query("page_index", rf"SELECT {_URL_STEM} AS id, coalesce(nullif(trim(regexp_replace({_unescaped(_HEAD_TEXT)}, '\s+', ' ', 'g')), ''), {_URL_STEM}) AS title, url AS path FROM pages")
 def page_index(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("text"))
     built = catalog.build(pages, "plain")
