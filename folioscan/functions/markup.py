@@ -149,6 +149,26 @@ def nested_heads(xml: str) -> list[str]:
     return out
 
 
+#: Events that a search reads of a file for its structure, as the search's contract has it.
+STRUCTURE_EVENTS = 5_000
+
+
+def structure(xml: str | None) -> tuple[str, list[str]]:
+    """(title, "n(type)" of divisions) of a file's first events: the title is the first text over 5 bytes and another over 3."""
+    first = second = None
+    divisions: list[str] = []
+    for _, (kind, name, at) in zip(range(STRUCTURE_EVENTS + 1), events(xml or ""), strict=False):
+        if kind == "text":
+            size = len((text := name.strip()).encode())
+            if first is None and size > 5:
+                first = text
+            elif second is None and size > 3:
+                second = text
+        elif kind != "end" and name == "div" and "n" in at and "type" in at:
+            divisions.append(f"{at['n']}({at['type']})")
+    return " · ".join(t for t in (first, second) if t is not None), divisions
+
+
 class _Page(HTMLParser):
     VOID = {"br", "img", "hr", "input", "meta", "link", "lb"}
 

@@ -14,6 +14,8 @@ from folioscan.functions import text as T
 SUBSEQUENCE, ALIAS, CONTRIBUTOR, NUMERIC = 0.85, 0.95, 0.93, 0.05
 #: What a preferred source adds, and the scores of a direct identifier and of a crosswalk.
 PREFERRED, DIRECT, CROSSWALK, CROSSWALK_ID, LEAST = 0.02, 1.20, 1.05, 0.05, 0.1
+#: Names that a crosswalk may have.
+CURATED = 10_000
 CONTRIBUTORS = ("author", "editor", "translator", "publisher")
 # The keys that count for titles in Pali.
 PALI_KEYS = ("alias", "alias_prefix", "nikaya", "book", "title", "subhead", "subsubhead", "chapter", "headsPreview")
@@ -209,9 +211,12 @@ def resolve_query(spark: SparkSession, query: str, per_source: list[DataFrame],
 def crosswalk(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """queries (query_id, nq) and aliases (key, na), both normalised, to the pairs that are equal, or hold one another where the query has 6 bytes.
 
-    aliases is a curated table of a few rows, so each query row is held against it as one array: no join, no shuffle.
+    aliases is a curated table of CURATED rows at most (more are refused), so each query row is held against it as one array:
+    no join, no shuffle.
     """
-    rows = [(r["key"], r["na"]) for r in aliases.select("key", "na").collect()]  # curated
+    rows = [(r["key"], r["na"]) for r in aliases.select("key", "na").limit(CURATED + 1).collect()]
+    if len(rows) > CURATED:
+        raise ValueError(f"a crosswalk has {CURATED} names at most")
     table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("na")) for k, n in rows])
     nq = F.col("nq")
     found = F.filter(table, lambda a: (a["na"] == nq) | ((F.octet_length(nq) >= 6) & (F.contains(a["na"], nq) | F.contains(nq, a["na"]))))
@@ -233,20 +238,16 @@ def resolve(spark: SparkSession, per_source: list[DataFrame], limit: int = 10, p
 def lookup(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (wanted_id) to the path that fits best: equal id, equal id in any case, with a known prefix, then as the start of one; of several the first path.
 
-    Three equi-joins and one on the start's own key take the place of scans in turn.
+    Each entry offers a key to each rule; the best of a key is found before the one join, so ids that share a stem move as one row.
     """
-    c = catalog.select("id", "path")
-    tries = [
-        wanted.join(c, F.col("wanted_id") == F.col("id")).withColumn("prio", F.lit(0)),
-        wanted.join(c, F.lower("wanted_id") == F.lower("id")).withColumn("prio", F.lit(1)),
-        wanted.join(c, F.concat(F.lit("sa_"), F.col("wanted_id")) == F.col("id")).withColumn("prio", F.lit(2)),
-        wanted.join(c, F.lower("wanted_id") == F.lower(F.regexp_replace("id", r"[0-9]+$", ""))).withColumn("prio", F.lit(3)),
-    ]
-    every = tries[0]
-    for t in tries[1:]:
-        every = every.unionByName(t)
-    trailing = F.coalesce(F.expr(r"try_cast(regexp_extract(id, '([0-9]+)$', 1) AS bigint)"), F.lit(0))
-    return every.groupBy("wanted_id").agg(F.min_by("path", F.struct("prio", trailing, "path")).alias("path"))
+    rule = lambda n, key: F.struct(F.lit(n).alias("prio"), key.alias("key"))
+    i, w = F.col("id"), F.col("wanted_id")
+    offers = F.array(rule(0, i), rule(1, F.lower(i)), rule(2, i), rule(3, F.lower(F.regexp_replace(i, r"[0-9]+$", ""))))
+    asks = F.array(rule(0, w), rule(1, F.lower(w)), rule(2, F.concat(F.lit("sa_"), w)), rule(3, F.lower(w)))
+    trailing = F.coalesce(F.regexp_extract(i, "([0-9]+)$", 1).try_cast("bigint"), F.lit(0))
+    best = catalog.select(F.inline(offers), trailing.alias("trailing"), "path").groupBy("prio", "key").agg(F.min(F.struct("trailing", "path")).alias("best"))
+    asked = wanted.select("wanted_id", F.inline(asks))
+    return asked.join(best, ["prio", "key"]).groupBy("wanted_id").agg(F.min_by("best.path", "prio").alias("path"))
 
 
 def pick_by_tier(docs: DataFrame, query: str, body: str, title: str, position: str) -> DataFrame:
@@ -289,21 +290,26 @@ def merge_by_url(backends: list[DataFrame], limit: int, by_score: bool = False)
     return kept.orderBy(*order).limit(limit)
 
 
-def percentiles(samples: DataFrame, value: str, points: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), bins: int = 1024) -> DataFrame:
+def percentiles(samples: DataFrame, value: str, points: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), bins: int = 32) -> DataFrame:
     """One row: n, min, mean, max, and for each point the sample at rank round(p * (n - 1)).
 
-    Counts per bin (a bounded table) tell which bins the ranks fall into; only those bins' distinct values are ranked.
+    Approximate quantiles cut the values into bins * bins ranges of about as many rows each, however they are spread. Counts
+    per range (a bounded table) tell which ranges hold the ranks; only those ranges' distinct values are ranked.
     """
     v = F.col(value).cast("double")
     rows = samples.select(v.alias("v")).filter("v IS NOT NULL")
-    total = rows.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max")).first()
-    n, lo, hi = total["n"], total["min"], total["max"]
-    names = [f"p{round(100 * p)}" for p in points]
+    fine = [k / bins**2 for k in range(1, bins**2)]
+    total = rows.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"), F.percentile_approx("v", fine, 8 * bins**2).alias("cuts")).first()
+    n, names = total["n"], [f"p{round(100 * p)}" for p in points]
     fixed = [F.lit(n).cast("long").alias("n"), *[F.lit(total[c]).cast("double").alias(c) for c in ("min", "mean", "max")]]
     if not n:
         return samples.sparkSession.range(1).select(*fixed, *[F.lit(None).cast("double").alias(c) for c in names])
-    bin_ = F.least(F.floor((F.col("v") - lo) / ((hi - lo) or 1.0) * bins), F.lit(bins - 1)).cast("int")
-    binned = rows.withColumn("bin", bin_)
+    # two levels of cuts, so that a value is compared 2 * bins times; a value belongs to the range that begins at or before it
+    cuts = total["cuts"]
+    coarse, inner = cuts[bins - 1 :: bins], [cuts[k * bins : k * bins + bins - 1] for k in range(bins)]
+    level = lambda edges, x: F.size(F.filter(edges, lambda e: e <= x))
+    outer = level(F.lit(coarse), F.col("v"))
+    binned = rows.withColumn("_o", outer).withColumn("bin", F.col("_o") * bins + level(F.get(F.lit(inner), F.col("_o")), F.col("v"))).drop("_o")
     counts = sorted((r["bin"], r["count"]) for r in binned.groupBy("bin").count().collect())
     wanted, before = {}, 0
     for b, c in counts:

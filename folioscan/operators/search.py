@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions import markup
 from folioscan.functions import text as T
 from folioscan.functions.patterns import java_pattern
 from folioscan.operators.fetch import marker_near
@@ -72,9 +74,22 @@ def path_order(found: DataFrame, path: str, limit: int = SEARCH_LIMITS[0]) -> Da
     return found.orderBy(path).limit(limit)
 
 
-def tiered(found: DataFrame, tier: Column, file_id: str, limit: int = SEARCH_LIMITS[0]) -> DataFrame:
-    """Files of the first tier fill the limit, the others what is left of it: one order selects the same rows as two searches."""
-    return found.withColumn("tier", tier).orderBy("tier", F.desc("total_matches"), F.asc(file_id)).limit(limit)
+def tiered(found: DataFrame, tier: Column, file_id: str, limit: int = SEARCH_LIMITS[0], prefix: str | None = None) -> DataFrame:
+    """Files of the first tier fill the limit, the others what is left of it: one order selects the same rows as two searches.
+
+    prefix: what is selected is shown with the ids that begin so first, whatever their tier.
+    """
+    chosen = found.withColumn("tier", tier).orderBy("tier", F.desc("total_matches"), F.asc(file_id)).limit(limit)
+    return chosen if prefix is None else chosen.orderBy(~F.col(file_id).startswith(prefix), F.desc("total_matches"), F.asc(file_id))
+
+
+def structured(found: DataFrame, file_id: str, text: str = "text") -> DataFrame:
+    """found with title (of the file's first texts, else its id), structure_info ("n(type)" of its divisions) and, in each match, section, the first of them."""
+    read = F.pandas_udf(lambda s: pd.DataFrame([markup.structure(x) for x in s], columns=["title", "structure_info"]), "title string, structure_info array<string>")
+    out = found.withColumn("_read", read(F.col(text)))
+    section = F.get(F.col("_read.structure_info"), F.lit(0))
+    shown = {"title": F.coalesce(F.nullif(F.col("_read.title"), F.lit("")), F.col(file_id).cast("string")), "structure_info": F.col("_read.structure_info"), "matches": F.transform("matches", lambda m: m.withField("section", section))}
+    return out.withColumns(shown).drop("_read")
 
 
 def size_hint(text: Column) -> Column:

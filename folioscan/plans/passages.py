@@ -80,6 +80,18 @@ def marker_suggestions(spark, sf_dir):
     return search.marked_suggestions(found, "doc_id", 5)
 
 
+_DIVIDED = f"concat('<TEI><div n=\"', doc_id, '\" type=\"vagga\"/><p>tiny</p><p> Collection ', source, ' </p><div n=\"2\"/><div n=\"3\" type=\"sutta\"><p>', {_escaped('text')}, '</p></div></TEI>')"
+_TITLED = f"WITH md AS (SELECT * REPLACE ({_DIVIDED} AS text) FROM documents), {_hits(PATTERN).replace('FROM documents', 'FROM md')}"
+
+
+@query("grep_structured", f"{_TITLED}, t AS (SELECT * FROM counted ORDER BY doc_id LIMIT 20) SELECT doc_id, total_matches, 'Collection ' || source || ' · tiny' AS title, [doc_id || '(vagga)', '3(sutta)'] AS structure_info, doc_id || '(vagga)' AS section FROM t")
+def grep_structured(spark, sf_dir):
+    """Files in the order of their paths, with titles and divisions: read of those that are shown only."""
+    files = _docs(spark, sf_dir, "source").withColumn("text", F.expr(_DIVIDED))
+    found = search.structured(search.path_order(search.grep(files, PATTERN, 5), "doc_id", 20), "doc_id")
+    return found.select("doc_id", "total_matches", "title", "structure_info", F.col("matches")[0]["section"].alias("section"))
+
+
 # --- stored answers ----------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators import fetch, paths, rank
+from folioscan.functions import markup
+from folioscan.operators import fetch, paths, rank, search
 from folioscan.plans import registry
 from folioscan.sources import hits
 
@@ -90,3 +91,30 @@ def test_printed(spark):
     found = spark.createDataFrame([("b", "B", "p/b", 0.5), ("a", None, "p/a", 0.5), ("c", "C", "p/c", 0.9)], "id string, title string, path string, score double")
     assert rank.printed(found).first()[0] == "1. c  C\n2. a  \n3. b  B" and rank.printed(found.limit(0)).first()[0] == ""
     assert rank.printed(found.limit(1), as_json=True).first()[0] == '{"count":1,"results":[{"id":"b","title":"B","path":"p/b","score":0.5}]}'
+
+
+def test_percentiles_of_outliers_and_ties(spark):
+    values = [1e18, -1e18, *[5.0] * 400, *[k / 7 for k in range(3000)]]
+    got = rank.percentiles(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), "v").first()
+    ordered = sorted(values)
+    assert [got[f"p{p}"] for p in (50, 90, 95, 99)] == [ordered[int(p / 100 * (len(values) - 1) + 0.5)] for p in (50, 90, 95, 99)] and got["n"] == len(values)
+    assert rank.percentiles(spark.createDataFrame([(2.0,)], "v double"), "v").first()["p99"] == 2.0
+
+
+def test_too_many_names(spark, monkeypatch):
+    monkeypatch.setattr(rank, "CURATED", 1)
+    with pytest.raises(ValueError):
+        rank.crosswalk(spark.createDataFrame([(1, "x")], "q int, nq string"), spark.createDataFrame([("a", "b"), ("c", "d")], "key string, na string"))
+
+
+def test_ids_that_begin_so_are_shown_first(spark):
+    found = spark.createDataFrame([("A9", 0, 5), ("T1", 0, 1), ("T2", 1, 9), ("B1", 1, 8)], "id string, t int, total_matches int")
+    assert [r["id"] for r in search.tiered(found, F.col("t"), "id", 3, "T").collect()] == ["T2", "T1", "A9"]
+
+
+def test_structure(spark):
+    xml = "<TEI><!-- c --><div n='1' type='a'/><div n='2'/><p>ab</p><p>12345</p><p>abcdef</p></TEI>"
+    assert markup.structure(xml) == ("abcdef · 12345", ["1(a)"]) and markup.structure(None) == ("", []) and markup.structure("<p>" * 5001 + "long text") == ("", [])
+    found = spark.createDataFrame([("f", "x y", [(1, "x", "x")])], "id string, text string, matches array<struct<line_number:int,context:string,highlight:string>>")
+    row = search.structured(found, "id").first()
+    assert row["title"] == "f" and row["structure_info"] == [] and row["matches"][0]["section"] is None
