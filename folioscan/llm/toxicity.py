@@ -192,6 +192,7 @@ class Reader:
         self.channel, self.vocabulary, self.known = Channel(costs), vocabulary, common.Memory()
         # the beginnings that any known word has: a plain word without one of them has no name, and isn't remembered
         self.starts = None if vocabulary is None else frozenset(n[2:][: PREFIXES[0]] for n in vocabulary)
+        self.single = frozenset(_RUN.sub(r"\1", n[2:])[: PREFIXES[0]] for n in vocabulary or ())
         self.lexicon = sorted(w for n in vocabulary or () if n.startswith("w=") and len(w := n[2:]) >= PREFIXES[0])
 
     def readings(self, token: str) -> set[str]:
@@ -224,8 +225,19 @@ class Reader:
     def _speaks(token: str) -> bool:
         return bool(_LETTER.search(token)) or sum(c in LEET for c in token) > 2
 
+    def _strange(self, token: str) -> bool:
+        """Whether no reading of a token can be known: letters, with signs after them at most, that begin like no known word.
+
+        All readings of such a token begin with its letters, once or twice each, so with repeats set aside they begin alike.
+        """
+        core = token.strip(MARKS).rstrip(_EDGE)
+        if self.vocabulary is None or not (core.isascii() and core.isalpha()):
+            return False
+        begins = _RUN.sub(r"\1", core)[: PREFIXES[0]]
+        return len(begins) == PREFIXES[0] and not any(begins[:k] in self.single for k in range(1, PREFIXES[0] + 1))
+
     def _names(self, token: str) -> tuple[str, ...]:
-        found = {n for w in self.readings(token) for n in names(w)}
+        found = set() if self._strange(token) else {n for w in self.readings(token) for n in names(w)}
         if self.vocabulary is not None:
             found &= self.vocabulary
         out = tuple(sys.intern(n) for n in found)
@@ -237,9 +249,12 @@ class Reader:
         low = text.lower()
         tokens = Counter(low.split())
         counts: dict[str, int] = {}
-        known = self.known
+        known, starts = self.known, self.starts
         for t, n in tokens.items():
-            if self.starts is not None and t[: PREFIXES[0]] not in self.starts and t.isalpha() and not _THRICE.search(t):
+            plain = t.isalpha()
+            if not plain and (bare := t.strip(MARKS)).isalpha():
+                t, plain = bare, True  # marks around letters change no reading
+            if plain and starts is not None and t[: PREFIXES[0]] not in starts and not _THRICE.search(t):
                 continue
             found = known.get(t)
             if found is None:

@@ -180,3 +180,16 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
     assert T.score(empty, T.fit(empty, labels)).count() == 0
     held = spark.createDataFrame([(None,), (4,)], "doc_id long").select(T.held_out(T.F.col("doc_id")).alias("h")).collect()
     assert all(r["h"] is not None for r in held)
+
+
+def test_tokens_set_aside_have_no_known_reading():
+    """A reader that knows its vocabulary finds what one without finds of it, whatever marks and signs are around letters."""
+    rng = random.Random(11)
+    costs = np.asarray(np.random.default_rng(11).uniform(0.5, 6, (T.LETTERS,) * 3), dtype=np.float32)
+    vocabulary = frozenset(n for w in ("idiot", "aggro", "add", "loser", "llama", "scum", "ssun", "aab") for n in T.names(w))
+    bases = ["idiot", "aggro", "add", "loser", "lama", "llama", "scum", "sun", "ab", "table", "agrodome", "ad", "sccuum", "losser", "straße", "été"]
+    signs = list("!?.,|$@*#1(") + ["..", "!!", ".!", "!.", "", "", ""]
+    for _ in range(4000):
+        word = "".join(c * rng.choice([1, 1, 1, 1, 2, 3]) for c in rng.choice(bases))
+        text = rng.choice(signs) + rng.choice(signs) + word + rng.choice(signs) + rng.choice(signs)
+        assert T.Reader(costs, vocabulary).features(text) == {n for n in T.Reader(costs).features(text) if n.removesuffix("+") in vocabulary}, text
