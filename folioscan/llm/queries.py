@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscan.llm import byte_bpe, embedding_dedup, exact_dedup, filter_audit, minhash_dedup, mixing, sharding, substring_dedup, token_counts, toxicity, url_filter
+from folioscan.llm import byte_bpe, embedding_dedup, exact_dedup, filter_audit, html_text, minhash_dedup, mixing, prefix_trie, sharding, substring_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_sharding": sharding.query,
+        "op11_prefix_trie": prefix_trie.query,
+        "op12_html_text": html_text.query,
         "op13_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": embedding_dedup.SQL, "op7_url_filter": url_filter.sql(), "op9_exact_dedup": exact_dedup.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op2_embedding_dedup": embedding_dedup.SQL, "op7_url_filter": url_filter.sql(), "op9_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op13_filter_audit": filter_audit.SQL}
