@@ -69,14 +69,14 @@ def _seeds(n: int) -> np.ndarray:
 
 def shingles(words: np.ndarray, before: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each document, and how many precede each document."""
-    runs = wordhash.run_hashes(words, width)
+    (runs,) = wordhash.run_hashes(width, words)
     n = np.diff(before)
     doc = np.repeat(np.arange(len(n)), n)
     left = before[1:][doc] - np.arange(len(words))
     at = np.flatnonzero(left >= width)
     docs, hashes = doc[at], runs[at]
     if len(few := np.flatnonzero((n > 0) & (n < width))):
-        own = [wordhash.run_hashes(words[before[d] : before[d + 1]], int(n[d]))[0] for d in few]
+        own = [wordhash.run_hashes(int(n[d]), words[before[d] : before[d + 1]])[0][0] for d in few]
         docs, hashes = np.concatenate([docs, few]), np.concatenate([hashes, np.asarray(own, dtype=np.uint64)])
     order = np.lexsort((hashes, docs))
     docs, hashes = docs[order], hashes[order]
@@ -101,7 +101,7 @@ def _signatures(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words, before in wordhash.hashed_batches(batch, 2, lower=True):
+            for part, words, _, before in wordhash.hashed_batches(batch, 2, lower=True):
                 sets, at = shingles(words, before)
                 n = np.diff(at)
                 full = np.flatnonzero(n > 0)
@@ -236,7 +236,7 @@ def _joined(percent: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to the digest of its set and the set, in the order of signed numbers."""
     for batch in batches:
-        for _, words, before in wordhash.hashed_batches(batch, 0, lower=True):
+        for _, words, _, before in wordhash.hashed_batches(batch, 0, lower=True):
             sets, at = shingles(words, before)
             full = np.flatnonzero(np.diff(at) > 0)
             if not len(full):
@@ -371,3 +371,27 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
 def query(spark, sf_dir):
     return link(common.read_table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), v AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS x FROM v
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.other
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

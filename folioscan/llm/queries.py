@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": embedding_dedup.SQL, "op7_url_filter": url_filter.sql(), "op9_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op2_embedding_dedup": embedding_dedup.SQL, "op6_minhash_dedup": minhash_dedup.SQL, "op7_url_filter": url_filter.sql(), "op8_substring_dedup": substring_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -8,7 +8,7 @@ them are hashed, and the smallest document of each window is found. A window goe
 
 Phases are written tables, and anchors are written once. Minima are aggregated before they shuffle, and the joins back are
 plain equi-joins that the adaptive skew join splits for hot anchors and windows. Anchors are 64-bit hashes of their words,
-as one that agrees by chance only brings more windows; windows are judged by two such hashes, 128 bits of the whole run.
+as one that agrees by chance only brings more windows; windows are judged by 128 bits, mixed of 128 bits of each word.
 
 Defined cases: null, blank and short texts have no windows and keep their words; a very long text is judged whole; a null
 doc_id is neither smaller nor larger than any other; equal windows within a document, and in rows of one doc_id, stay;
@@ -43,8 +43,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cover = np.zeros(PERIOD, dtype=bool)
     cover[list(COVER)] = True
     for batch in batches:
-        for part, words, before in wordhash.hashed_batches(batch, 2):
-            runs = wordhash.run_hashes(words, ANCHOR)
+        for part, words, _, before in wordhash.hashed_batches(batch, 2):
+            (runs,) = wordhash.run_hashes(ANCHOR, words)
             n = np.diff(before)
             place = np.arange(len(words)) - np.repeat(before[:-1], n)
             left = np.repeat(before[1:], n) - np.arange(len(words))  # words from here to the document's end
@@ -56,8 +56,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, text, places of repeated anchors) to the windows that hold one of them."""
     for batch in batches:
-        for part, words, before in wordhash.hashed_batches(batch, 2):
-            runs = [wordhash.run_hashes(words, WINDOW), wordhash.run_hashes(wordhash.mix(words + np.uint64(0x9E3779B97F4A7C15)), WINDOW)]
+        for part, *words, before in wordhash.hashed_batches(batch, 2):
+            runs = wordhash.run_hashes(WINDOW, *words)
             ats, counts = [], []
             for i, places in enumerate(part.column(3)):
                 lo, n = before[i], before[i + 1] - before[i]
@@ -134,3 +134,21 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text
 
 def query(spark, sf_dir):
     return dedup(common.read_table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), v AS (
+  SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50
+), h AS (
+  SELECT r, doc_id, k, sha256(array_to_string(w[k:k + 49], ' ')) AS h FROM v
+), g AS (
+  SELECT r, k FROM (SELECT r, doc_id, k, min(doc_id) OVER (PARTITION BY h) AS least FROM h) WHERE least < doc_id
+), gone AS (
+  SELECT DISTINCT r, unnest(range(k, k + 50)) AS p FROM g
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

@@ -1,17 +1,18 @@
-"""64-bit hashes of words and of runs of words, for whole Arrow batches at a time."""
+"""Hashes of words and of runs of words, for whole Arrow batches at a time.
+
+Numbers of 64 bits are mixed one into another, and never summed as powers of a base, which would give whoever knows the base
+texts that differ and hash alike.
+"""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text and documents that are hashed at a time, and the longest word that takes the polynomial way.
-SEGMENT, DOCUMENTS, LONG_WORD = 1 << 20, 2048, 1 << 10
-#: Words of a prefix-sum block; runs start in a block and may reach over its end by RUN words.
-BLOCK, RUN = 1 << 18, 64
+#: Bytes of text, documents and words that are hashed at a time; bytes of the longest word that is hashed as two numbers.
+SEGMENT, DOCUMENTS, BLOCK, PACKED = 1 << 20, 2048, 1 << 17, 16
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,22 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.cache
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64; base is odd."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-@functools.cache
-def _bytes_table() -> np.ndarray:
-    return np.random.default_rng(20240607).integers(1, 1 << 64, 256, dtype=np.uint64)
-
-
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each document and in all) of the words of documents that lie one after another."""
     inside = ~_SPACE[data]
@@ -56,46 +41,65 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    import xxhash
+def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * np.uint64(0x9E3779B97F4A7C15) + y)
 
-    out = np.empty(len(starts), dtype=np.uint64)
-    power, inverse = _powers(0x9E3779B97F4A7C15, SEGMENT + LONG_WORD + 1)
-    table, at = _bytes_table(), 0
-    while at < len(starts):
-        lo = starts[at]
-        to = max(at + 1, int(np.searchsorted(starts, lo + SEGMENT)))
-        some = slice(at, to)
-        hi = min(int(ends[to - 1]), int(lo) + SEGMENT + LONG_WORD)
-        prefix = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(table[data[lo:hi]] * power[: hi - lo], out=prefix[1:])
-        s, e = starts[some] - lo, np.minimum(ends[some] - lo, hi - lo)
-        out[some] = mix((prefix[e] - prefix[s]) * inverse[s] + (ends[some] - starts[some]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        at = to
-    for i in np.flatnonzero(ends - starts > LONG_WORD):
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-    return out
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each word, as two numbers: the bytes of short words mixed twice, and XXH3 of longer ones."""
+    import xxhash
 
-def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the run of width words from each word; the last width - 1 have none. Runs may cross documents."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    power, inverse = _powers(0xA0761D6478BD642F, BLOCK + RUN + 1)
-    out = np.empty(n, dtype=np.uint64)
-    for lo in range(0, n, BLOCK):
-        m = min(BLOCK, n - lo)
-        prefix = np.zeros(m + width, dtype=np.uint64)
-        np.cumsum(words[lo : lo + m + width - 1] * power[: m + width - 1], out=prefix[1:])
-        out[lo : lo + m] = mix((prefix[width : width + m] - prefix[:m]) * inverse[:m] + np.uint64(width))
+    padded = np.zeros(len(data) + PACKED, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + PACKED - 7,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each byte
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+    one, two = np.empty(len(starts), dtype=np.uint64), np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(starts), BLOCK):
+        some = slice(at, at + BLOCK)
+        s, size = starts[some], ends[some] - starts[some]
+        n = size.astype(np.uint64)
+        low, high = eight[s] & masks[np.minimum(size, 8)], eight[s + 8] & masks[np.clip(size - 8, 0, 8)]
+        one[some] = _join(mix(low + n * np.uint64(0xC2B2AE3D27D4EB4F)), high)
+        two[some] = _join(mix(high ^ np.uint64(0x165667B19E3779F9)) + n, low)
+    raw = memoryview(padded)
+    for i in np.flatnonzero(ends - starts > PACKED):
+        h = xxhash.xxh3_128_intdigest(raw[starts[i] : ends[i]])
+        one[i], two[i] = h >> 64, h & (1 << 64) - 1
+    return one, two
+
+
+def _runs(lanes: list[np.ndarray], width: int) -> list[np.ndarray]:
+    n, out, done, power = len(lanes[0]) - width + 1, None, 0, 1
+    while True:
+        if width & power:
+            here = [x[done : done + n] for x in lanes]
+            out, done = here if out is None else [_join(o, x) for o, x in zip(out, here, strict=True)], done + power
+        if done == width:
+            return [mix(x + np.uint64(width)) for x in out]
+        m = len(lanes[0]) - power
+        first, second = [x[:m] for x in lanes], [x[power:] for x in lanes]
+        # with two lanes, each takes the other's second half
+        lanes = [_join(x + np.uint64(k * 0x27D4EB2F165667C5 & (1 << 64) - 1), y) for k, (x, y) in enumerate(zip(first, reversed(second), strict=True))]
+        power *= 2
+
+
+def run_hashes(width: int, *lanes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the runs of width words from each word, in as many lanes; the last width - 1 words have none. Runs may cross documents.
+
+    Runs of 1, 2, 4, ... words are mixed from two of half the length, and those that make up width from left to right.
+    """
+    n = max(0, len(lanes[0]) - width + 1)
+    out = [np.empty(n, dtype=np.uint64) for _ in lanes]
+    for at in range(0, n, BLOCK):
+        for whole, some in zip(out, _runs([x[at : at + BLOCK + width - 1] for x in lanes], width), strict=True):
+            whole[at : at + BLOCK] = some
     return out
 
 
-def hashed_batches(batch: pa.RecordBatch, column: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batch of some SEGMENT bytes of text and DOCUMENTS rows at most, with the words' hashes and the words before each document."""
+def hashed_batches(batch: pa.RecordBatch, column: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the batch of some SEGMENT bytes of text and DOCUMENTS rows at most, with the words' two hashes and the words before each document."""
     for part, data, starts, ends, before in spans_of(batch, column, lower):
-        yield part, word_hashes(data, starts, ends), before
+        yield part, *word_hashes(data, starts, ends), before
 
 
 def spans_of(batch: pa.RecordBatch, column: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
