@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 
+from folioscan.functions import dialect
+
 # Classes of characters that stand for one another, the traditional form first.
 VARIANT_CLASSES = ["經経经", "觀観观", "佛仏", "譯訳译", "藏蔵", "禪禅", "淨浄净", "證証证", "覺覚觉", "聖圣", "會会", "後后", "國国", "靈灵", "廣广", "龍龙", "臺台", "體体", "彌弥", "俱倶", "舍舎"]
 
 _CLASS_OF = {c: group for group in VARIANT_CLASSES for c in group}
 _SPECIAL = set(".+*?[](){}|\\")
-#: Constructs that the Java engine takes and a linear-time engine refuses.
-_REFUSED = re.compile(r"\(\?<?[=!]|\\[1-9]|\(\?>|[*+?}]\+")
-
 
 def looks_like_regex(query: str) -> bool:
     return any(c in _SPECIAL for c in query)
@@ -50,11 +49,12 @@ def compile_query(query: str, is_regex: bool = False, need_space: bool = True, v
 
 
 def java_pattern(pattern: str, ignore_case: bool = True) -> str | None:
-    """The pattern with Unicode classes for Spark; None where it is invalid or not of the linear-time dialect."""
-    if _REFUSED.search(pattern):
-        return None
+    """The pattern for Spark, with Unicode classes; None where it is invalid or not of the linear-time dialect.
+
+    Flags: only a line feed ends a line. Without the flag m, ^ and $ are the text's ends.
+    """
     try:
-        re.compile(pattern)
-    except re.error:
+        out = dialect.translated(pattern)
+    except dialect.Invalid:
         return None
-    return ("(?iU)" if ignore_case else "(?U)") + pattern
+    return ("(?iUd)" if ignore_case else "(?Ud)") + out
