@@ -127,6 +127,19 @@ def part_text(xml: str | None, part: str, notes: bool = False) -> str | None:
     return None if xml is None else (_plain(_walk(xml, notes, glyphs(xml), header=False, part=part) or "") or None)
 
 
+def collapsed_part(xml: str, glyph: dict[str, str]) -> str:
+    """All text of a part, that of notes too, with white space collapsed."""
+    out = []
+    for kind, name, at in events(xml):
+        if kind == "text":
+            out.append(name)
+        elif kind != "end" and name in ("lb", "pb"):
+            out.append("\n")
+        elif kind != "end" and name == "g":
+            out.append(glyph.get(at.get("ref", "").lstrip("#"), ""))
+    return " ".join("".join(out).split())
+
+
 def nested_heads(xml: str) -> list[str]:
     """Texts of head elements and of titles in part markers, in order."""
     out, stack, open_ = [], [], []

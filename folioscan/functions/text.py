@@ -17,15 +17,47 @@ _FOLD_FROM = "".join(c for group in VARIANT_CLASSES for c in group[1:])
 _FOLD_TO = "".join(group[0] for group in VARIANT_CLASSES for _ in group[1:])
 
 
+def _composed() -> tuple[str, str, str]:
+    """(characters that are one letter or number with marks, what they are without, a Java set of the others that decompose).
+
+    Made from the Unicode tables: marks are dropped by all normal forms here, so a letter with marks becomes the letter alone,
+    and only texts with other characters that decompose, or with marks of their own, need the whole of it.
+    """
+    import regex
+
+    kept = regex.compile(r"[\p{Alphabetic}\p{N}]")
+    letters, bare, others = [], [], []
+    for code in range(0xA0, 0x10000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or (whole := unicodedata.normalize("NFKD", c)) == c and not unicodedata.category(c).startswith("M"):
+            continue
+        rest = whole[1:]
+        if len(whole) > 1 and kept.match(whole[0]) and all(unicodedata.category(m) == "Mn" and not kept.match(m) for m in rest) and len(c.lower()) == 1:
+            letters.append(c)
+            bare.append(whole[0])
+        elif others and others[-1][1] == code - 1:
+            others[-1][1] = code
+        else:
+            others.append([code, code])
+    inside = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in others)
+    return "".join(letters), "".join(bare), f"[{inside}\\x{{10000}}-\\x{{10FFFF}}]"
+
+
+_WITH_MARKS, _WITHOUT, _DECOMPOSES = _composed()
+
+
 @F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, for which Spark has no function."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
 
 
-def _folded(c: Column) -> Column:
-    # ASCII decomposes to itself, so that only other texts go to Python; lower-casing goes letter by letter, without the final sigma of a word
-    decomposed = F.coalesce(nfkd(F.when(~c.rlike(r"\A\p{ASCII}*\z"), c)), c)
+def _folded(c: Column, mark: str = "") -> Column:
+    """Decomposed and lower case; letters lose their marks, which become mark where they matter as separators."""
+    simple = F.regexp_replace(c, f"([{_WITH_MARKS}])", f"$1{mark}") if mark else c
+    # only texts with characters that Spark's translation doesn't know go to Python; lower-casing goes letter by letter, without the final sigma of a word
+    plain = F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(F.translate(simple, _WITH_MARKS, _WITHOUT))
+    decomposed = F.coalesce(nfkd(F.when(c.rlike(_DECOMPOSES), c)), plain)
     return F.regexp_replace(F.lower(decomposed), "ς", "σ")
 
 
@@ -37,8 +69,8 @@ def normalised(c: Column, variants: bool = True) -> Column:
 
 
 def normalised_spaces(c: Column) -> Column:
-    """Decomposed, lower case, anything else than letters and numbers is one space."""
-    return F.trim(F.regexp_replace(_folded(c), f"[^{ALNUM}]+", " "))
+    """Decomposed, lower case, anything else than letters and numbers is one space; so a mark is one, too."""
+    return F.trim(F.regexp_replace(_folded(c, " "), f"[^{ALNUM}]+", " "))
 
 
 def fold_ascii(c: Column) -> Column:
@@ -169,6 +201,10 @@ def roman(n: Column) -> Column:
 _PALI_LETTERS = {"ā": "aa", "ī": "ii", "ū": "uu", "ṅ": "ng", "ñ": "ny", "ṭ": "t", "ḍ": "d", "ṇ": "n", "ḷ": "l", "ṃ": "m", "ṁ": "m"}
 
 
+#: The same for str.translate().
+PALI_LETTERS = str.maketrans(_PALI_LETTERS)
+
+
 def title_variants(c: Column) -> Column:
     """The trimmed title, folded, in letters without marks, with sutta as suttanta, and that folded; none of a blank title."""
     base = F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")

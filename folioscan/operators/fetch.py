@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +59,10 @@ def line_of(text: Column, offset: Column) -> Column:
 
 
 def marker_context(xml: Column, marker: str, before: int, after: int) -> Column:
-    """Lines around the line-break marker n=marker, else the whole text."""
-    at = F.regexp_instr(xml, F.lit(rf'<lb\b[^>]*\bn="{escape(marker)}"'))
-    return F.when(at > 0, context_lines(xml, line_of(xml, at), before, after)).otherwise(xml)
+    """Lines around the line-break marker n=marker, however it is quoted, else the whole text without markup."""
+    at = F.regexp_instr(xml, F.lit(rf"""<lb\b[^>]*\bn\s*=\s*["']{escape(marker)}["']"""))
+    plain = F.pandas_udf(lambda s: s.map(markup.extract_text), "string")
+    return F.when(at > 0, context_lines(xml, line_of(xml, at), before, after)).otherwise(plain(F.when(at == 0, xml)))
 
 
 def marker_near(line: Column, anchor: Column) -> Column:
@@ -114,20 +113,56 @@ def highlight_count(text: Column, pattern: str, is_regex: bool = True) -> Column
     return F.lit(0) if p is None or not pattern else F.regexp_count(text, F.lit(p))
 
 
+#: Lengths that are summed up in a row.
+RUN = 256
+#: Signs that stand for no character; they enclose matches.
+_OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def running_sums(lengths: Column) -> Column:
+    """The sum of what is before each element. Sums of RUN elements are summed first, as an array grows by being copied."""
+    zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<bigint>")
+    sums = lambda xs, first: F.aggregate(xs, F.struct(first.alias("sum"), none.alias("at")), lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["at"], F.array(acc["sum"])).alias("at")), lambda acc: acc["at"])
+    n = F.size(lengths)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(RUN)), lambda k: F.slice(lengths, k + 1, RUN))
+    before = sums(F.transform(runs, lambda r: F.aggregate(r, zero, lambda a, x: a + x)), zero)
+    paired = F.arrays_zip(runs.alias("run"), before.alias("first"))
+    return F.flatten(F.transform(paired, lambda p: sums(p["run"], p["first"])))
+
+
+def spans(text: Column, java: Column) -> Column:
+    """array<struct<start_char, end_char>> of all matches of a pattern for Spark that don't overlap.
+
+    Matches are enclosed in signs that no text has; what lies between the signs has lengths, and places are their sums.
+    """
+    clean = F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)
+    pieces = F.split(F.regexp_replace(clean, F.concat(F.lit("("), java, F.lit(")")), F.lit(f"{_OPEN}$1{_CLOSE}")), _OPEN)
+    after = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    lengths = F.transform(pieces, lambda x, i: F.length(x).cast("bigint") - (i > 0).cast("bigint"))
+    starts = F.slice(running_sums(lengths), 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    both = F.arrays_zip(after.alias("x"), starts.alias("at"))
+    found = F.transform(both, lambda p: F.struct(p["at"].cast("int").alias("start_char"), (p["at"] + F.instr(p["x"], F.lit(_CLOSE)) - 1).cast("int").alias("end_char")))
+    return F.when(text.isNull(), F.slice(found, 1, 0)).otherwise(found)
+
+
 def highlight_positions(pattern: str, is_regex: bool = True):
-    """A UDF: array<struct<start_char, end_char>> of all matches that don't overlap; an invalid pattern has none."""
+    """A function of a text: array<struct<start_char, end_char>> of all matches that highlight() marks; an invalid pattern has none."""
+    p = java_pattern(pattern if is_regex else escape(pattern), ignore_case=is_regex) if pattern else None
 
-    @F.pandas_udf("array<struct<start_char:int,end_char:int>>")
-    def positions(texts: pd.Series) -> pd.Series:
-        try:
-            find = regex.compile(pattern if is_regex else regex.escape(pattern), regex.V0 | (regex.I if is_regex else 0)).finditer
-        except regex.error:
-            return texts.map(lambda _: [])
-        return texts.map(lambda t: [] if not t or not pattern else [{"start_char": m.start(), "end_char": m.end()} for m in find(t)])
+    def positions(text: Column) -> Column:
+        return F.coalesce(spans(text, F.lit(p)), F.array().cast("array<struct<start_char:int,end_char:int>>")) if p else F.array().cast("array<struct<start_char:int,end_char:int>>")
 
     return positions
 
 
+def decorated(text: Column, at: Column, prefix: str = ">>> ", suffix: str = " <<<") -> Column:
+    """text with what lies at the places of spans() between prefix and suffix."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(at, lambda x: x["end_char"]))
+    marked = F.transform(at, lambda x, i: F.concat(F.substring(text, F.get(ends, i) + 1, x["start_char"] - F.get(ends, i)), F.lit(prefix), F.substring(text, x["start_char"] + 1, x["end_char"] - x["start_char"]), F.lit(suffix)))
+    return F.concat(F.array_join(marked, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+
 def focus(text: Column, pattern: str, before: int = 3, after: int = 20) -> Column:
     """Lines around the first match, else the text."""
     p = java_pattern(pattern)
@@ -148,15 +183,30 @@ def capped(text: Column, most: int = FETCHED) -> Column:
 
 
 def with_fallbacks(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """wanted (id) and texts (id, text, raw) to the first text that isn't blank: the id's own, that of a contents file's text, that of the base file.
+    """wanted (id) and texts (id, text, raw) to (id, text): the first text that isn't blank.
 
-    Where extraction gave a blank text, the raw file's characters without tags stand for it.
+    A list of contents (.toc) stands for the file of its name with 0, else for the first whose name begins so. Where a text is
+    blank and its name doesn't end in a number, the file of the same name with the least number stands for it; after that
+    the raw file's characters without tags, of the file that was last tried.
     """
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     bare = F.nullif(T.collapse_spaces(F.regexp_replace("raw", "<[^>]*>", " ")), F.lit(""))
-    known = texts.select(F.col("id").alias("_id"), F.coalesce(F.when(F.trim("text") != "", F.col("text")), bare).alias("_text"))
-    tries = [F.col("id"), F.regexp_replace("id", r"\.toc$", ""), F.regexp_replace("id", "[0-9]+$", "")]
-    keyed = wanted.select("id", F.posexplode(F.array(*tries)).alias("prio", "_id"))
-    return keyed.join(known.filter("_text IS NOT NULL"), "_id").groupBy("id").agg(F.min_by("_text", "prio").alias("text"))
+    known = texts.select("id", F.when(~blank("text"), F.col("text")).alias("text"), bare.alias("bare")).filter("id IS NOT NULL")
+    ids = wanted.select("id").distinct()
+    base = F.regexp_replace("id", r"(\.toc)+\z", "")
+    # lengths of names, so few numbers
+    lists = ids.filter(F.col("id").endswith(".toc")).select(F.col("id").alias("list"), base.alias("base"))
+    lengths = sorted(r[0] for r in lists.select(F.length("base")).distinct().collect())
+    begins = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("id")), lambda n: F.substring(F.col("id"), F.lit(1), n)) if lengths else F.array().cast("array<string>")
+    order = F.struct((F.col("id") != F.concat("base", F.lit("0"))).alias("later"), F.col("id"))
+    contents = known.filter(~F.col("id").endswith(".toc")).select("id", F.explode(begins).alias("base")).join(lists, "base").groupBy("list").agg(F.min(order).alias("x")).select("list", F.col("x.id").alias("opened"))
+    opened = ids.join(contents, ids["id"] == contents["list"], "left").select("id", F.coalesce("opened", "id").alias("opened"))
+    own = opened.join(known.select(F.col("id").alias("opened"), "text", "bare"), "opened", "left")
+    number = F.regexp_extract("id", r"([0-9]+)\z", 1)
+    next_ = known.filter(number != "").select(F.regexp_replace("id", r"[0-9]+\z", "").alias("opened"), F.struct(number.try_cast("bigint").alias("number"), F.col("id"), F.col("text"), F.col("bare")).alias("x")).groupBy("opened").agg(F.min_by("x", F.struct("x.number", "x.id")).alias("x"))
+    ends = F.col("opened").rlike(r"[0-9]\z")
+    both = own.join(next_, "opened", "left")
+    return both.select("id", F.coalesce("text", F.when(~ends, F.coalesce("x.text", "x.bare")), "bare").alias("text")).filter("text IS NOT NULL")
 
 
 def fetch_stored(wanted: DataFrame, pages: DataFrame, query: str | None = None, start: int | None = None, most: int = SLICE) -> DataFrame:

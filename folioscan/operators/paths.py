@@ -1,9 +1,10 @@
 """From identifiers to the files that hold them, by the rules of each corpus.
 
 Every rule is an equality of two keys: an identifier asks for keys, each with its rule's place in the order (prio), and a
-file offers keys. "Starts with" and "contains" are equalities too: a file offers the parts of its name that are as long as
-some identifier asks for. Offers are reduced to the best file of each key before they move, so a key that a million files
-offer reaches the join as one row, and all rules of a corpus share one join.
+file offers keys. "Starts with" is one too: a file offers the beginnings of its name that are as long as some identifier
+asks for. Offers are reduced to the best file of each key before they move, so a key that a million files offer reaches the
+join as one row, and all such rules of a corpus share one join. "Contains" is a join by the rarest gram of what is asked
+for (grams.py): a file offers as many grams as its name has letters.
 
 Defined cases: a null or empty identifier, and one that no rule finds, gives a null path; identifiers that repeat are
 answered once; of several files a rule's own order decides, then the smallest path, so answers don't depend on the order of
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.operators import rank
+from folioscan.operators import grams, rank
 
 #: The longest name of a file, so the longest part that can be asked for.
 NAME = 255
@@ -62,30 +63,36 @@ class _Rules:
     def resolve(self, files: DataFrame, wanted: DataFrame) -> DataFrame:
         ids = wanted.select("wanted_id").distinct()
         asked = ids.select("wanted_id", F.inline(F.filter(F.array(*self.asks), lambda a: F.col("wanted_id").isNotNull() & (F.col("wanted_id") != "") & a["key"].isNotNull())))
+        beginnings = {kind for kind, *_, p in self.offers if p == "start"}
+        inside = {kind for kind, *_, p in self.offers if p == "any"}
         # lengths of names: at most NAME numbers for each kind
-        parts = {kind for kind, *_, p in self.offers if p}
-        length = F.length(F.element_at(F.split("key", "\0"), -1))
-        rows = asked.filter(F.col("kind").isin(parts)).select("kind", length.alias("n")).filter(f"n BETWEEN 1 AND {NAME}").distinct().collect() if parts else []
-        lengths = {k: sorted(r["n"] for r in rows if r["kind"] == k) for k in parts}
-        offered = []
+        rows = asked.filter(F.col("kind").isin(beginnings)).select("kind", F.length("key").alias("n")).filter(f"n BETWEEN 1 AND {NAME}").distinct().collect() if beginnings else []
+        lengths = {k: sorted(r["n"] for r in rows if r["kind"] == k) for k in beginnings}
+        named, offered = _named(files), []
         for kind, key, order, scope, part in self.offers:
-            keys = self._parts(key, lengths[kind], part) if part else F.array(key)
-            offered.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit(kind).alias("kind"), F.concat(scope, k).alias("key"), order.cast("long").alias("order"))))
+            keys = _beginnings(key, lengths[kind]) if part == "start" else F.array(F.concat(scope, key))
+            offered.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), order.cast("long").alias("order"))))
         # one pass over the files makes all their offers
-        every = _named(files).select("path", F.inline(F.concat(*offered))).filter("key IS NOT NULL")
-        best = every.groupBy("kind", "key").agg(F.min(F.struct("order", "path")).alias("best"))
-        found = asked.join(best, ["kind", "key"]).groupBy(F.col("wanted_id").alias("_id")).agg(F.min(F.struct("prio", "best")).alias("found"))
+        every = named.select("path", F.inline(F.concat(*offered))).filter("key IS NOT NULL")
+        best = every.filter(~F.col("kind").isin(inside)).groupBy("kind", "key").agg(F.min(F.struct("order", "path")).alias("best"))
+        hits = asked.join(best, ["kind", "key"]).select("wanted_id", "prio", "best")
+        if inside:
+            scoped = lambda side: [F.concat(F.col("kind"), F.lit("\0"), F.when(F.contains("key", F.lit("\0")), F.split("key", "\0")[0]).otherwise(F.lit(""))).alias(f"{side}_scope"), F.element_at(F.split("key", "\0"), -1).alias(side)]
+            # what an earlier rule has found isn't searched for
+            known = hits.groupBy(F.col("wanted_id").alias("_id")).agg(F.min("prio").alias("_prio"))
+            wanted_parts = asked.filter(F.col("kind").isin(inside)).join(known, F.col("wanted_id") == F.col("_id"), "left").filter("_prio IS NULL OR _prio > prio").select("wanted_id", "prio", *scoped("needle"))
+            names = every.filter(F.col("kind").isin(inside)).select("path", "order", *scoped("hay"))
+            within = grams.containment(wanted_parts, "needle", names, "hay", ("needle_scope", "hay_scope"))
+            hits = hits.unionByName(within.select("wanted_id", "prio", F.struct("order", "path").alias("best")))
+        found = hits.groupBy(F.col("wanted_id").alias("_id")).agg(F.min(F.struct("prio", "best")).alias("found"))
         return ids.join(found, F.col("wanted_id") == F.col("_id"), "left").select("wanted_id", F.col("found.best.path").alias("path"))
 
-    @staticmethod
-    def _parts(key: Column, lengths: list[int], part: str) -> Column:
-        if not lengths:
-            return F.array().cast("array<string>")
-        each = F.array(*[F.lit(n) for n in lengths])
-        fits = F.filter(each, lambda n: n <= F.length(key))
-        if part == "start":
-            return F.transform(fits, lambda n: F.substring(key, F.lit(1), n))
-        return F.array_distinct(F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, n)))))
+
+def _beginnings(key: Column, lengths: list[int]) -> Column:
+    if not lengths:
+        return F.array().cast("array<string>")
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(key))
+    return F.transform(fits, lambda n: F.substring(key, F.lit(1), n))
 
 
 def _xml(name: Column | None = None) -> Column:

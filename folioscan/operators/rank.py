@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions import text as T
+from folioscan.operators import grams
 
 #: Least score of a subsequence, of an alias that holds the query, of a contributor; and what a numeric match adds.
 SUBSEQUENCE, ALIAS, CONTRIBUTOR, NUMERIC = 0.85, 0.95, 0.93, 0.05
 #: What a preferred source adds, and the scores of a direct identifier and of a crosswalk.
 PREFERRED, DIRECT, CROSSWALK, CROSSWALK_ID, LEAST = 0.02, 1.20, 1.05, 0.05, 0.1
-#: Names that a crosswalk may have.
-CURATED = 10_000
 CONTRIBUTORS = ("author", "editor", "translator", "publisher")
 # The keys that count for titles in Pali.
 PALI_KEYS = ("alias", "alias_prefix", "nikaya", "book", "title", "subhead", "subsubhead", "chapter", "headsPreview")
@@ -209,18 +208,30 @@ def resolve_query(spark: SparkSession, query: str, per_source: list[DataFrame],
 
 
 def crosswalk(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """queries (query_id, nq) and aliases (key, na), both normalised, to the pairs that are equal, or hold one another where the query has 6 bytes.
+    """queries (..., nq) and aliases (key, na), both normalised, with the keys of the names that are equal, or hold one another
+    where the query has 6 bytes. Names without letters and numbers name nothing.
 
-    aliases is a curated table of CURATED rows at most (more are refused), so each query row is held against it as one array:
-    no join, no shuffle.
+    Neither table has a bound: equal names are a join, and the others meet by a gram of the shorter one (grams.containment()).
     """
-    rows = [(r["key"], r["na"]) for r in aliases.select("key", "na").limit(CURATED + 1).collect()]
-    if len(rows) > CURATED:
-        raise ValueError(f"a crosswalk has {CURATED} names at most")
-    table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("na")) for k, n in rows])
-    nq = F.col("nq")
-    found = F.filter(table, lambda a: (a["na"] == nq) | ((F.octet_length(nq) >= 6) & (F.contains(a["na"], nq) | F.contains(nq, a["na"]))))
-    return queries.withColumn("key", F.explode(F.array_distinct(F.transform(found, lambda a: a["key"]))))
+    names = aliases.filter("na <> ''").select("key", "na").distinct()
+    columns = queries.columns
+    rows = queries.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])).select("_row", "nq").filter("nq IS NOT NULL")
+    asked = rows.select("nq").distinct()
+    long_ = asked.filter(F.octet_length("nq") >= 6)
+    found = asked.join(names, asked["nq"] == names["na"]).select("nq", "key")
+    found = found.unionByName(grams.containment(names, "na", long_, "nq").select("nq", "key")).unionByName(grams.containment(long_, "nq", names, "na").select("nq", "key")).distinct()
+    return rows.join(found, "nq").select("_row.*", "key")
+
+
+def resolve_batch(queries: DataFrame, titles: DataFrame, least: float, k: int = 10) -> DataFrame:
+    """queries (query_id, text) and titles (id, title) to the k titles of each query with a byte similarity of least or more:
+    query_id, id, score, place. Normal forms that are equal are compared once."""
+    q = queries.select("query_id", T.normalised(F.coalesce("text", F.lit(""))).alias("_q"))
+    t = titles.select("id", T.normalised(F.coalesce("title", F.lit(""))).alias("_t"))
+    pairs = grams.similar(q.select(F.col("_q").alias("id"), F.col("_q").alias("s")).distinct(), t.select(F.col("_t").alias("id"), F.col("_t").alias("s")).distinct(), least)
+    scored = q.join(pairs.withColumnRenamed("a", "_q"), "_q").join(t.withColumnRenamed("_t", "b"), "b").select("query_id", "id", F.round("score", 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)
 
 
 def resolve(spark: SparkSession, per_source: list[DataFrame], limit: int = 10, per_source_limit: int = 5, least: float = LEAST, preferred: str | None = None) -> DataFrame:
@@ -290,7 +301,7 @@ def merge_by_url(backends: list[DataFrame], limit: int, by_score: bool = False)
     return kept.orderBy(*order).limit(limit)
 
 
-def percentiles(samples: DataFrame, value: str, points: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), bins: int = 32) -> DataFrame:
+def percentiles(samples: DataFrame, value: str, points: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), bins: int = 16) -> DataFrame:
     """One row: n, min, mean, max, and for each point the sample at rank round(p * (n - 1)).
 
     Approximate quantiles cut the values into bins * bins ranges of about as many rows each, however they are spread. Counts

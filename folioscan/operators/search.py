@@ -158,3 +158,20 @@ def spill(answers: DataFrame, payload: str, inline: int = INLINE, preview: int =
     """answers with key, spilled and shown: payloads over the limit are shown as a preview and stored under their key."""
     over = F.length(payload) > inline if inline > 0 else F.lit(False)
     return answers.withColumns({"key": F.substring(F.sha1(F.col(payload).cast("binary")), 1, 12), "spilled": over, "shown": F.when(over, F.substring(payload, 1, preview)).otherwise(F.col(payload))})
+
+
+def spill_to(answers: DataFrame, payload: str, path: str, inline: int = INLINE, preview: int = PREVIEW) -> DataFrame:
+    """spill(), with the payloads over the limit stored in a table at path: key (the SHA-1) and payload.
+
+    The table is addressed by content: a payload is stored once, however often it is answered or the run is repeated, and what
+    is stored is never rewritten. Runs that write one table at the same time may store a payload twice.
+    """
+    spark = answers.sparkSession
+    digest = F.sha1(F.col(payload).cast("binary"))
+    over = answers.filter(F.length(payload) > inline) if inline > 0 else answers.limit(0)
+    new = over.select(digest.alias("key"), F.col(payload).alias("payload")).dropDuplicates(["key"])
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        new = new.join(spark.read.parquet(path).select("key"), "key", "left_anti")
+    new.write.mode("append").parquet(path)
+    return spill(answers, payload, inline, preview).withColumn("key", F.when(F.col("spilled"), digest))

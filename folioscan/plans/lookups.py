@@ -185,3 +185,32 @@ def title_search_canon(spark, sf_dir):
     """Titles with a preferred canon and contributors."""
     entries = rank.with_hay(_part(spark, sf_dir), F.col("p_name")).withColumns({"id": F.expr("concat('X', id)"), "canon": F.expr("CASE WHEN id % 3 = 0 THEN 'T' ELSE 'X' END")})
     return rank.title_search(entries, _QW, contributors=("p_brand",), canon="canon").select("id", "score")
+
+
+# --- many titles at once -----------------------------------------------------------------------------------------
+
+_CALLED = "concat(CASE c_custkey % 4 WHEN 0 THEN 'the ' WHEN 1 THEN '' WHEN 2 THEN 'big ' ELSE 'new ' END, CASE c_custkey % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'lightgreen' ELSE 'redd' END, ' ', c_name, ' widgets')"
+_BIGRAMS = "list_distinct(list_transform(range(0, (strlen({0}) - 1)::BIGINT), lambda i: substr(hex({0}), (2 * i + 1)::BIGINT, 4)))"
+
+
+@query("resolve_batch", f"""WITH q AS (SELECT c_custkey AS query_id, {_NORM.format(_CALLED.replace("c_name", "'#'"))} AS q FROM customer),
+t AS (SELECT p_partkey AS id, {_NORM.format("p_name")} AS t FROM part),
+qs AS (SELECT q, unnest({_BIGRAMS.format("q")}) AS g FROM (SELECT DISTINCT q FROM q)), ts AS (SELECT t, unnest({_BIGRAMS.format("t")}) AS g FROM (SELECT DISTINCT t FROM t)),
+nq AS (SELECT q, count(*) AS n FROM qs GROUP BY q), nt AS (SELECT t, count(*) AS n FROM ts GROUP BY t),
+i AS (SELECT q, t, count(*) AS i FROM qs JOIN ts USING (g) GROUP BY q, t),
+s AS (SELECT q, t, i::DOUBLE / (nq.n + nt.n - i) AS score FROM i JOIN nq USING (q) JOIN nt USING (t))
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id)::INT AS place FROM q JOIN s USING (q) JOIN t USING (t) WHERE score >= 0.5
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) <= 5""")
+def resolve_batch(spark, sf_dir):
+    """A title wanted by each customer among all parts."""
+    q = _t(spark, sf_dir, "customer").selectExpr("c_custkey AS query_id", f"{_CALLED.replace('c_name', repr('#'))} AS text")
+    return rank.resolve_batch(q, _t(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS title"), 0.5, 5)
+
+
+@query("crosswalk_names", f"""WITH n AS (SELECT DISTINCT p_partkey % 400 AS key, {_NORM.format("substr(p_name, 1, 3 + p_partkey % 9)")} AS na FROM part), q AS (SELECT doc_id, {_NORM.format("text")} AS nq FROM documents)
+SELECT DISTINCT doc_id, key FROM q JOIN n ON na <> '' AND (na = nq OR (strlen(nq) >= 6 AND (contains(na, nq) OR contains(nq, na))))""")
+def crosswalk_names(spark, sf_dir):
+    """Names of any number, held against whole documents in both directions."""
+    q = _t(spark, sf_dir, "documents").select("doc_id", T.normalised(F.col("text")).alias("nq"))
+    names = _t(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("key"), T.normalised(F.expr("substr(p_name, 1, cast(3 + p_partkey % 9 AS int))")).alias("na"))
+    return rank.crosswalk(q, names).select("doc_id", "key").distinct()

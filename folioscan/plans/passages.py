@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscan.functions import markup
-from folioscan.operators import fetch, rank, search
-from folioscan.plans.queries import PATTERN, _docs, _hits, _t, query
+from folioscan.operators import fetch, rank, requests, search
+from folioscan.plans.queries import _EVERY_THIRD, PATTERN, _docs, _hits, _t, query
 from folioscan.sources import hits
 
 # --- marked-up texts ---------------------------------------------------------------------------------------------
@@ -92,26 +92,92 @@ def grep_structured(spark, sf_dir):
     return found.select("doc_id", "total_matches", "title", "structure_info", F.col("matches")[0]["section"].alias("section"))
 
 
+# --- fetching by requests ----------------------------------------------------------------------------------------
+
+
+def _file(lines: tuple[str, str]) -> tuple[str, str]:
+    """A file of two parts: the lines with markers, and the lines again; in SQL of DuckDB and of Spark."""
+    shape = "concat('<TEI><juan n=\"001\" fun=\"open\"/><head>Part one</head>', chr(10), {0}, chr(10), '<juan n=\"001\" fun=\"close\"/><juan n=\"002\" fun=\"open\"/><head>Part <hi>two</hi></head>', chr(10), {1}, chr(10), '<juan n=\"002\" fun=\"close\"/></TEI>')"
+    return tuple(shape.format(*x) for x in zip(lines, (_AGAIN[0], _AGAIN[1]), strict=True))
+
+
+_E = _escaped("text")
+_AGAIN = f"array_to_string(list_transform(string_split({_E}, chr(10)), lambda x: concat('again ', x)), chr(10))", f"array_join(transform(split({_E}, chr(10)), x -> concat('again ', x)), chr(10))"
+_BY_LINE = f"array_to_string(list_transform(string_split({_E}, chr(10)), lambda x, i: concat('<lb n=\"', i, '\"/>', x)), chr(10))", f"array_join(transform(split({_E}, chr(10)), (x, i) -> concat('<lb n=\"', i + 1, '\"/>', x)), chr(10))"
+_FILES = _file(_BY_LINE)
+#: SQL: the texts of the file's lines, and what extraction makes of some of them.
+_W = "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, list_transform(string_split(text, chr(10)), lambda x: concat('again ', x)) AS a FROM documents), w AS (SELECT doc_id, len(l) AS n, list_concat(['Part one'], l, ['Part two'], a, ['']) AS w FROM d)"
+
+
+def _flat(xs: str) -> str:
+    return f"trim(regexp_replace(array_to_string({xs}, ' '), '\\s+', ' ', 'g'))"
+
+
+def _files(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.expr(_FILES[1]).alias("text"))
+
+
+@query("fetch_by_marker", f"""{_W}, x AS (SELECT doc_id, 1 + doc_id % 7 AS k, n, w FROM w), b AS (SELECT doc_id, k <= n AS hit, CASE WHEN k <= n THEN {_flat('w[k + 1:k + 2]')} ELSE {_flat('w')} END AS body FROM x)
+SELECT doc_id, CASE WHEN hit THEN 'lb-context' ELSE 'full' END AS method, left(left(body, 8000), 6000) AS passage, length(body)::INT AS total FROM b""")
+def fetch_by_marker(spark, sf_dir):
+    """Of each file the lines from a marker on; files without it are given whole."""
+    asked = _docs(spark, sf_dir).selectExpr("doc_id AS request_id", "doc_id AS id", "cast(1 + doc_id % 7 AS string) AS lb", "0 AS before", "1 AS after")
+    found = requests.fetch_requests(asked, _files(spark, sf_dir), file_id="doc_id")
+    return found.select(F.col("request_id").alias("doc_id"), "method", "passage", "total")
+
+
+@query("fetch_by_part", f"SELECT doc_id, 'part' AS method, left({_plain('''concat('Part two', chr(10), array_to_string(list_transform(string_split(text, chr(10)), lambda x: concat('again ', x)), chr(10)))''')}, 6000) AS passage FROM documents")
+def fetch_by_part(spark, sf_dir):
+    """The second part of each file, with its line breaks."""
+    asked = _docs(spark, sf_dir).selectExpr("doc_id AS request_id", "doc_id AS id", "'2' AS part", "true AS plain", "true AS full")
+
+    return requests.fetch_requests(asked, _files(spark, sf_dir), file_id="doc_id").select(F.col("request_id").alias("doc_id"), "method", "passage")
+
+
+@query("fetch_requests", f"""{_W}, x AS (SELECT *, doc_id % 7 AS kind, 1 + doc_id % 5 AS k FROM w),
+b AS (SELECT *, CASE kind WHEN 0 THEN CASE WHEN k <= n THEN {_flat('w[k:k + 2]')} ELSE {_flat('w')} END WHEN 1 THEN {_flat('w[2:4]')} WHEN 2 THEN {_flat('w[n + 2:]')} WHEN 3 THEN {_flat('w[n + 3:]')} WHEN 4 THEN {_flat('w[2:n + 1]')} ELSE {_flat('w')} END AS body FROM x),
+c AS (SELECT *, length(body) AS total, CASE kind WHEN 5 THEN least(50, length(body)) WHEN 6 THEN least(3, length(body)) ELSE 0 END AS lo, CASE kind WHEN 5 THEN least(100, length(body)) WHEN 6 THEN least(903, length(body)) WHEN 4 THEN length(body) ELSE least(8000, length(body)) END AS hi FROM b),
+s AS (SELECT *, substr(body, lo + 1, hi - lo) AS slice FROM c)
+SELECT doc_id AS request_id, CASE WHEN kind = 0 THEN CASE WHEN k <= n THEN 'lb-context' ELSE 'full' END WHEN kind = 1 THEN 'line-context' WHEN kind = 2 THEN 'part' WHEN kind = 3 THEN 'head-query' WHEN kind = 4 THEN 'head-index' WHEN kind = 5 AND regexp_matches(body, 'tion|gain') THEN 'highlight-context' ELSE 'full' END AS method,
+  left(CASE WHEN kind >= 5 THEN regexp_replace(slice, '(tion|gain)', '[\\1]', 'g') ELSE slice END, 6000) AS passage, total::INT AS total, lo::INT AS "start", hi::INT AS "end", CASE WHEN kind >= 5 THEN len(regexp_extract_all(slice, 'tion|gain')) ELSE 0 END::INT AS highlighted FROM s""")
+def fetch_requests(spark, sf_dir):
+    """A request for each file, of seven kinds, some with slices and marks."""
+    k = "doc_id % 7"
+    asked = _docs(spark, sf_dir).selectExpr(
+        "doc_id AS request_id", "array(-1 - doc_id, doc_id) AS ids", f"CASE WHEN {k} = 0 THEN cast(1 + doc_id % 5 AS string) END AS lb", f"CASE WHEN {k} = 1 THEN 3 END AS line_number", f"CASE WHEN {k} IN (1, 2) THEN '2' END AS part",
+        f"CASE WHEN {k} = 3 THEN 'pART <HI>' END AS head_query", f"CASE WHEN {k} = 4 THEN 0 END AS head_index", f"CASE WHEN {k} < 2 THEN 1 END AS before", f"CASE WHEN {k} < 2 THEN 1 END AS after", f"CASE WHEN {k} = 5 THEN 1 END AS page",
+        f"CASE WHEN {k} = 5 THEN 50 END AS page_size", f"CASE WHEN {k} = 6 THEN 3 END AS start_char", f"CASE WHEN {k} = 6 THEN 900 END AS max_chars", f"{k} = 4 AS full", f"CASE WHEN {k} >= 5 THEN 'tion|gain' END AS highlight", "'[' AS prefix", "']' AS suffix",
+    )
+    found = requests.fetch_requests(asked, _files(spark, sf_dir), file_id="doc_id")
+    return found.select("request_id", "method", "passage", "total", "start", "end", "highlighted")
+
+
 # --- stored answers ----------------------------------------------------------------------------------------------
 
 
-def _answers(spark, sf_dir, *by):
-    """Search answers as stored: one for each value of by."""
-    p = _t(spark, sf_dir, "part")
+def _answers(spark, sf_dir):
+    """Search answers as stored, a page of 20 documents each."""
+    p = _t(spark, sf_dir, "part").withColumn("page", F.expr("p_partkey div 20"))
     doc = "struct(p_partkey AS k, struct(cast(p_partkey AS string) AS id, p_name AS fascnm, concat(p_partkey, ',a,', p_size) AS startid, concat('about the ', p_name) AS body) AS d)"
     docs = F.transform(F.array_sort(F.collect_list(F.expr(doc))), lambda x: x["d"])
-    return p.groupBy(*by).agg(F.to_json(F.struct(F.struct((F.count("*") + 7).alias("numFound"), docs.alias("docs")).alias("response"))).alias("answer"))
+    return p.groupBy("page").agg(F.to_json(F.struct(F.struct((F.count("*") + 7).alias("numFound"), docs.alias("docs")).alias("response"))).alias("answer"))
+
+
+def _searched(spark, sf_dir):
+    """The documents of all pages, with their place in all."""
+    docs = hits.searched(_answers(spark, sf_dir), "answer", "page")
+    return docs.withColumn("pos", (F.col("page") * 20 + F.col("pos")).cast("int"))
 
 
-@query("sat_search", "SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS pos, p_partkey::VARCHAR AS id, p_name AS title, 'T' || p_partkey AS t_number, '11..' || least(20, count(*) OVER (PARTITION BY p_brand) + 7) AS shown FROM part")
+@query("sat_search", "SELECT p_partkey // 20 AS page, (row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1)::INT AS pos, p_partkey::VARCHAR AS id, p_name AS title, 'T' || p_partkey AS t_number, '11..' || least(20, count(*) OVER (PARTITION BY p_partkey // 20) + 7) AS shown, 'T' || p_partkey || ' ' || p_name || ' [useid: ' || p_partkey || ']' AS line FROM part")
 def sat_search(spark, sf_dir):
-    docs = hits.searched(_answers(spark, sf_dir, "p_brand"), "answer", "p_brand")
-    return docs.select("p_brand", "pos", "id", F.col("fascnm").alias("title"), "t_number", hits.paging(F.col("count"), 10, 10).alias("shown"))
+    docs = hits.searched(_answers(spark, sf_dir), "answer", "page")
+    return docs.select("page", "pos", "id", F.col("fascnm").alias("title"), "t_number", hits.paging(F.col("count"), 10, 10).alias("shown"), hits.display_line(F.col("startid"), F.col("fascnm"), F.col("id")).alias("line"))
 
 
-@query("sat_titles", "WITH d AS (SELECT p_name AS title, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) SELECT title, min(pos)::INT AS pos FROM d WHERE pos < 50 AND contains(replace(lower(title), ' ', ''), 'ring') GROUP BY title ORDER BY 2 LIMIT 10 OFFSET 1")
+@query("sat_titles", "WITH d AS (SELECT p_name AS title, p_partkey AS pos FROM part) SELECT title, min(pos)::INT AS pos FROM d WHERE pos < 500 AND contains(replace(lower(title), ' ', ''), 'ring') GROUP BY title ORDER BY 2 LIMIT 100 OFFSET 1")
 def sat_titles(spark, sf_dir):
-    return hits.searched_titles(hits.searched(_answers(spark, sf_dir), "answer"), "Ring", 10, 1)
+    return hits.searched_titles(_searched(spark, sf_dir), "Ring", 100, 1)
 
 
 _BASE = "https://texts.example.org/detail"
@@ -129,13 +195,13 @@ _CHOSEN = "b AS (SELECT *, " + _LONG + " || chr(10) || 'second' AS body FROM par
 @query("sat_pipeline", f"""WITH {_CHOSEN} WHERE contains(replace(lower(p_name), ' ', ''), 'widget') ORDER BY p_partkey LIMIT 1)
 SELECT p_partkey::VARCHAR AS id, 0 AS tier, substr(body, greatest(strpos(body, 'widget') - 50, 1), 60) AS passage, length(body)::INT AS total, greatest(strpos(body, 'widget') - 51, 0)::INT AS "start" FROM b""")
 def sat_pipeline(spark, sf_dir):
-    docs = hits.searched(_answers(spark, sf_dir), "answer")
+    docs = _searched(spark, sf_dir)
     return fetch.online_pipeline(docs, _stored(spark, sf_dir), '"Widget"', _BASE, most=60).select("id", "tier", "passage", "total", "start")
 
 
 @query("sat_autofetch", f"""WITH {_CHOSEN} WHERE p_name = 'red widget' ORDER BY p_partkey LIMIT 1) SELECT p_partkey::VARCHAR AS id, substr(body, 6, 20) AS passage, 5 AS "start", 25 AS "end" FROM b""")
 def sat_autofetch(spark, sf_dir):
-    docs = hits.searched(_answers(spark, sf_dir), "answer")
+    docs = _searched(spark, sf_dir)
     best = rank.pick_by_title(docs, "red widget", "fascnm", "pos").withColumn("url", hits.detail_url(F.col("startid"), _BASE))
     return fetch.fetch_stored(best, _stored(spark, sf_dir), start=5, most=20).select("id", "passage", "start", "end")
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from folioscan.functions import patterns as P
 from folioscan.functions import text as T
-from folioscan.operators import fetch, rank, search
+from folioscan.operators import fetch, rank, requests, search
 from folioscan.sources import catalog, hits, readers
 
 PATTERN = "tion the|lich der"
@@ -101,15 +101,27 @@ def grep_ws_fuzzy(spark, sf_dir):
     return _first(_found(spark, sf_dir, P.compile_query(FUZZY)))
 
 
-_VARIANTS = [(1, "妙法蓮華経"), (2, "妙法 蓮華經"), (3, "妙法蓮华经"), (4, "心經"), (5, "仏国")]
+_IN_SCRIPT = "translate(text, 'aeo', '法華经')"
+_SCRIPT = r"\p{Han}\p{Ll}+\p{Han}|[^\p{Han}\p{L}\s.,]\p{Han}"
 
 
-@query("grep_variant_class", "SELECT id, regexp_matches(t, '妙法\\s*蓮華[經経经]') AS hit FROM (VALUES (1::BIGINT, '妙法蓮華経'), (2, '妙法 蓮華經'), (3, '妙法蓮华经'), (4, '心經'), (5, '仏国')) v(id, t)")
-def grep_variant_class(spark, sf_dir):
-    pattern = P.java_pattern(P.compile_query("妙法 蓮華經", variants=True))
-    return _values(spark, "id long, t string", _VARIANTS).select("id", F.col("t").rlike(pattern).alias("hit"))
+@query("grep_script_class", f"WITH md AS (SELECT * REPLACE ({_IN_SCRIPT} AS text) FROM documents), {_hits(_SCRIPT).replace('FROM documents', 'FROM md')} SELECT doc_id, total_matches, line_number, highlight FROM counted")
+def grep_script_class(spark, sf_dir):
+    """Classes of scripts and letters, over the documents with three of their letters written as ideographs."""
+    d = _docs(spark, sf_dir, "source").withColumn("text", F.expr(_IN_SCRIPT))
+    return _first(search.grep(d, _SCRIPT))
+
+
+_VARIED = "replace(replace(replace(replace(text, ' the ', ' 妙法 蓮華経 '), ' of ', ' 妙法蓮華经 '), ' der ', ' 妙法蓮華經 '), ' de ', ' 仏国 ')"
 
 
+@query("grep_variant_class", rf"SELECT doc_id, len(regexp_extract_all({_VARIED}, '妙法\s*蓮華[經経经]'))::INT AS n, regexp_matches({_VARIED}, '[佛仏][國国]') AS country FROM documents")
+def grep_variant_class(spark, sf_dir):
+    """Characters that stand for one another, over the documents with some of their words written so."""
+    text = F.expr(_VARIED)
+    sutra, country = (P.java_pattern(P.compile_query(q, need_space=False, variants=True)) for q in ("妙法 蓮華經", "佛國"))
+    return _docs(spark, sf_dir).select("doc_id", F.regexp_count(text, F.lit(sutra)).alias("n"), text.rlike(country).alias("country"))
+
 @query("size_hints", "SELECT doc_id, floor(strlen(text) / 1024)::BIGINT || 'KB' AS size FROM documents")
 def size_hints(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", search.size_hint(F.col("text")).alias("size"))
@@ -259,14 +271,13 @@ def crosswalk_theta(spark, sf_dir):
     return rank.crosswalk(q, a).select("item_id", "key")
 
 
-_IDS = ["T0262", "t1", "T", "DN1", "mn 2", "AN10.3", "KN", "s0101m.mul", "J01_0200B19", "J1_0", "sa_x", "2,7,98,38,0", "2,x", "", "  T5 ", "xyz"]
+_SHAPES = "CASE c_custkey % 13 WHEN 0 THEN concat('T', c_custkey) WHEN 1 THEN concat(' t', c_custkey, ' ') WHEN 2 THEN concat('dn', c_custkey) WHEN 3 THEN concat('mn ', c_custkey) WHEN 4 THEN concat('AN', c_custkey, '.3') WHEN 5 THEN 'KN' WHEN 6 THEN concat('s0', c_custkey, 'm.mul') WHEN 7 THEN concat('J0', c_custkey % 10, '_', c_custkey) WHEN 8 THEN concat('J', c_custkey, '_0') WHEN 9 THEN concat('sa_', c_name) WHEN 10 THEN concat('2,', c_custkey, ',38') WHEN 11 THEN concat('2,', c_name) ELSE '' END"
 
 
-@query("detect_source", f"""SELECT i AS id, CASE WHEN regexp_matches(upper(trim(i)), '^T[0-9]') THEN 'cbeta' WHEN regexp_matches(upper(trim(i)), '^(DN|MN|SN|AN|KN)[0-9]') THEN 'tipitaka' WHEN contains(i, '.mul') THEN 'tipitaka'
-WHEN regexp_matches(upper(trim(i)), '^J[0-9]{{2}}_') THEN 'jozen' WHEN starts_with(trim(i), 'sa_') THEN 'gretil' WHEN contains(i, ',') AND regexp_full_match(trim(i), '[0-9,]+') THEN 'sat' END AS source FROM (VALUES {", ".join(f"('{i}')" for i in _IDS)}) v(i)""")
+@query("detect_source", f"""WITH v AS (SELECT c_custkey, {_SHAPES} AS i FROM customer) SELECT c_custkey, CASE WHEN regexp_matches(upper(trim(i)), '^T[0-9]') THEN 'cbeta' WHEN regexp_matches(upper(trim(i)), '^(DN|MN|SN|AN|KN)[0-9]') THEN 'tipitaka' WHEN contains(i, '.mul') THEN 'tipitaka'
+WHEN regexp_matches(upper(trim(i)), '^J[0-9]{{2}}_') THEN 'jozen' WHEN starts_with(trim(i), 'sa_') THEN 'gretil' WHEN contains(i, ',') AND regexp_full_match(trim(i), '[0-9,]+') THEN 'sat' END AS source FROM v""")
 def detect_source(spark, sf_dir):
-    return _values(spark, "id string", [(i,) for i in _IDS]).select("id", T.detect_source(F.col("id")).alias("source"))
-
+    return _t(spark, sf_dir, "customer").select("c_custkey", T.detect_source(F.expr(_SHAPES)).alias("source"))
 
 @query("lookup_ids", """WITH w AS (SELECT DISTINCT substr(c_name, 1, 12) AS wanted_id FROM customer UNION SELECT DISTINCT lower(s_name) FROM supplier UNION SELECT 'none'),
 c AS (SELECT c_name AS id, c_name || '.xml' AS path FROM customer UNION ALL SELECT s_name, s_name || '.xml' FROM supplier),
@@ -317,27 +328,20 @@ def focus_offsets(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", fetch.focus_offset(F.col("text"), PATTERN).alias("start"))
 
 
-_LB = [(1, 'a<lb n="1"/>b<lb n="2"/>c X d<lb n="3"/>', "X"), (2, 'a<lb n="1"/>b', "zz"), (3, 'X<lb n="7"/>', "X"), (4, "no marks", "no"), (5, "a<lb ed='T' n = '12'/>Y<lb n='13'/>", " Y "), (6, '<lb n="4"/>a', "")]
-
-
-def _row(values) -> str:
-    return "(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values) + ")"
-
-
-def _given(columns: str, rows) -> str:
-    """SQL of the same input rows as the query's."""
-    return f"(VALUES {', '.join(map(_row, rows))}) v({columns})"
-
+_MARKED_LINE = "CASE WHEN {0} % 3 = 0 THEN concat('<lb ed=\"x\" n = ', chr(39), {0}, 'a', chr(39), '/>', x) ELSE x END"
+#: The documents with a marker at the beginning of every third line, for DuckDB and for Spark.
+_EVERY_THIRD = f"array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: {_MARKED_LINE.format('i')}), chr(10))", f"array_join(transform(split(text, chr(10)), (x, i) -> {_MARKED_LINE.format('(i + 1)')}), chr(10))"
 
-_MARK = r"""'<lb\b[^>]*\bn\s*=\s*["'']([^"'']+)["'']', 1)"""
 
-
-@query("anchor_asof", f"""WITH v AS (SELECT id::BIGINT AS id, line, trim(anchor) AS anchor FROM {_given("id, line, anchor", _LB)}),
-u AS (SELECT id, regexp_extract_all(line, {_MARK} AS every, regexp_extract_all(CASE WHEN anchor <> '' AND contains(line, anchor) THEN split_part(line, anchor, 1) ELSE '' END, {_MARK} AS upto FROM v)
-SELECT id, CASE WHEN len(upto) > 0 THEN upto[-1] WHEN len(every) > 0 THEN every[1] END AS lb FROM u""")
+@query("anchor_asof", f"""WITH md AS (SELECT * REPLACE ({_EVERY_THIRD[0]} AS text) FROM documents), {_hits(PATTERN).replace('FROM documents', 'FROM md')},
+m AS (SELECT doc_id, line_number AS begins, regexp_extract(line, 'n = .([0-9]+a)', 1) AS n FROM lines WHERE contains(line, '<lb ')), f AS (SELECT doc_id, arg_min(n, begins) AS n FROM m GROUP BY doc_id)
+SELECT hits.doc_id, line_number, coalesce(m.n, f.n) AS lb FROM hits ASOF LEFT JOIN m ON hits.doc_id = m.doc_id AND hits.line_number >= m.begins LEFT JOIN f ON f.doc_id = hits.doc_id""")
 def anchor_asof(spark, sf_dir):
-    return _values(spark, "id long, line string, anchor string", _LB).select("id", fetch.marker_near(F.col("line"), F.col("anchor")).alias("lb"))
-
+    """The marker that holds at each matching line: an as-of join with the index of marks."""
+    d = _docs(spark, sf_dir).withColumn("text", F.expr(_EVERY_THIRD[1]))
+    places = search.hits(d, PATTERN, "doc_id").select(F.col("doc_id").alias("id"), F.col("line_number").alias("line"))
+    near = requests.nearest_markers(places, requests.index(d, "doc_id"))
+    return near.select(F.col("id").alias("doc_id"), F.col("line").alias("line_number"), "lb")
 
 # --- pages -------------------------------------------------------------------------------------------------------
 
@@ -438,15 +442,16 @@ def titles_distinct_paged(spark, sf_dir):
     return rank.distinct_paged(_t(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_name", "p_partkey", 10, 5)
 
 
-_SAT = [(0, "alpha text", "body one"), (1, "beta lotus", "nothing"), (2, "gamma", "the lotus here"), (3, "lotos", "none"), (4, None, None)]
+_BODY = "concat(p_type, ' green Widget 1', p_partkey % 40)"
 
 
-@query("sat_tier_pick", "SELECT * FROM (VALUES (0::BIGINT, 2::BIGINT, 0), (1, 1, 1), (2, 4, 2), (3, 3, 2), (4, 0, 2)) v(place, pos, tier)")
+@query("sat_tier_pick", f"""WITH {_PART.replace("SELECT p_partkey AS id, p_name, p_brand,", f"SELECT p_partkey AS id, {_BODY} AS body, p_name, p_brand,")},
+t AS (SELECT id AS pos, CASE WHEN contains({_NORM.format("body")}, '{_Q}') THEN 0 WHEN contains(nm, '{_Q}') THEN 1 ELSE 2 END AS tier, {_BASE} AS score FROM j)
+SELECT pos, tier FROM t ORDER BY tier, CASE WHEN tier = 2 THEN -score ELSE 0 END, pos LIMIT 200""")
 def sat_tier_pick(spark, sf_dir):
-    docs = rank.pick_by_tier(_values(spark, "pos long, title string, body string", _SAT), "lotus", "body", "title", "pos")
-    order = Window.orderBy("tier", F.when(F.col("tier") == 2, -F.col("title_score")).otherwise(F.lit(0.0)), "pos")  # a literal table
-    return docs.select((F.row_number().over(order) - 1).cast("long").alias("place"), "pos", "tier")
-
+    """Candidates in the order in which they are picked."""
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_name", F.expr(_BODY).alias("body"))
+    return rank.pick_by_tier(docs, TITLE, "body", "p_name", "pos").select("pos", "tier").limit(200)
 
 @query("tibetan_merge", """WITH h AS (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS title, (page_id % 7)::DOUBLE AS score, (page_id % 2)::INT AS backend, page_id AS pos FROM pages)
 SELECT url, title, score FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY url ORDER BY backend, pos) = 1) ORDER BY score DESC, backend, pos LIMIT 20""")
@@ -474,15 +479,21 @@ def cjk_ratio(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(T.cjk_ratio(F.translate("text", "aeo", "法華经")), 6).alias("ratio"))
 
 
-_TITLES = [(1, 0, "Taishō Tripitaka", "en", "s"), (1, 1, "妙法蓮華經", "zh-Hant", "m"), (1, 2, "Lotus", "en", "m"), (2, 0, "Canon", None, None), (2, 1, "A title", None, None)]
+_CANDIDATE = "CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat('妙法', p_name) WHEN 2 THEN concat('Taishō Tripitaka ', p_name) WHEN 3 THEN '法華經' ELSE concat('Canon of ', p_name) END"
+_LANG = "CASE p_partkey % 3 WHEN 0 THEN 'zh-Hant' WHEN 1 THEN 'en' END"
+_LEVEL = "CASE p_partkey % 7 WHEN 0 THEN 'm' WHEN 1 THEN 's' END"
 
 
-@query("header_title_pick", "SELECT * FROM (VALUES (1::BIGINT, '妙法蓮華經'), (2, 'A title')) v(id, title)")
+@query("header_title_pick", rf"""WITH c AS (SELECT p_partkey // 8 AS work, p_partkey AS pos, {_CANDIDATE} AS t, {_LANG} AS lang, {_LEVEL} AS level FROM part),
+r AS (SELECT *, length(regexp_replace(t, '\s', '', 'g')) AS n, length(regexp_replace(t, '[^\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}]', '', 'g')) AS cjk FROM c),
+s AS (SELECT work, pos, t, (CASE WHEN lang IS NULL THEN 0.0 WHEN starts_with(lang, 'zh') THEN 3.0 ELSE 0.5 END)::DOUBLE + 2 * (CASE WHEN n > 0 THEN cjk::DOUBLE / n ELSE 0.0 END)::DOUBLE + (CASE level WHEN 'm' THEN 5.0 WHEN 's' THEN -5.0 ELSE 0.0 END)::DOUBLE
+  - (CASE WHEN regexp_matches({_NORM.format("t")}, 'tripitaka|taisho|canon') THEN 2.0 ELSE 0.0 END)::DOUBLE + least(length(t), 30)::DOUBLE / 100 AS score FROM r)
+SELECT work, t AS title FROM s QUALIFY row_number() OVER (PARTITION BY work ORDER BY score DESC, pos) = 1""")
 def header_title_pick(spark, sf_dir):
-    t = _values(spark, "id long, pos int, text string, lang string, level string", _TITLES)
+    """Of the titles of a header the one that names the work."""
+    t = _t(spark, sf_dir, "part").selectExpr("p_partkey div 8 AS work", "p_partkey AS pos", f"{_CANDIDATE} AS text", f"{_LANG} AS lang", f"{_LEVEL} AS level")
     score = catalog.title_rank_column(F.col("text"), F.col("lang"), F.col("level"))
-    return t.groupBy("id").agg(F.max_by("text", F.struct(score, -F.col("pos"))).alias("title"))
-
+    return t.withColumn("score", score).groupBy("work").agg(F.max_by("text", F.struct("score", -F.col("pos"))).alias("title"))
 
 @query("profile_percentiles", """WITH s AS (SELECT list(value ORDER BY value) AS v, count(value) AS n, min(value) AS lo, round(avg(value), 6) AS mean, max(value) AS hi FROM events WHERE value IS NOT NULL)
 SELECT n, lo AS "min", mean, hi AS "max", v[(round(0.5 * (n - 1)) + 1)::INT] AS p50, v[(round(0.9 * (n - 1)) + 1)::INT] AS p90, v[(round(0.95 * (n - 1)) + 1)::INT] AS p95, v[(round(0.99 * (n - 1)) + 1)::INT] AS p99 FROM s""")
@@ -495,50 +506,56 @@ def spill_preview(spark, sf_dir):
     return search.spill(_docs(spark, sf_dir), "text").select("doc_id", "spilled", "shown")
 
 
-@query("index_validity", "WITH f AS (SELECT p_name FROM part ORDER BY p_name LIMIT 10) SELECT 10::BIGINT AS checked, 10::BIGINT AS sound, true AS valid")
-def index_validity(spark, sf_dir):
-    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"))
-    return catalog.validity(part.withColumn("meta", F.create_map(F.lit("indexVersion"), F.lit(catalog.VERSION))), part.select("path"))
+_VERSION = "CASE WHEN p_brand IN ('Brand#11', 'Brand#5') AND p_size < 3 THEN 'v0' ELSE 'cbeta_index_v2' END"
+_PATH = "concat(lpad(cast(p_size AS varchar(9)), 3, '0'), '/', lpad(cast(p_partkey AS varchar(9)), 9, '0'), '.xml')"
 
 
+@query("index_validity", f"""WITH i AS (SELECT p_brand, {_PATH} AS path, {_VERSION} AS version, NOT (p_size = 1 AND p_partkey % 40 = 0) AS there, p_size = 2 AND p_partkey % 97 = 0 AS bare FROM part),
+f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY path) <= 10)
+SELECT p_brand, count(*) AS checked, count(*) FILTER (there AND NOT bare AND version = 'cbeta_index_v2') AS sound, bool_and(there AND NOT bare AND version = 'cbeta_index_v2') AS valid FROM f GROUP BY p_brand""")
+def index_validity(spark, sf_dir):
+    """Each brand's parts are a stored index: some lack files, versions or metadata."""
+    part = _t(spark, sf_dir, "part")
+    index = part.select("p_brand", F.expr(_PATH).alias("path"), F.expr(f"CASE WHEN NOT (p_size = 2 AND p_partkey % 97 = 0) THEN map('indexVersion', {_VERSION}) END").alias("meta"))
+    return catalog.validity(index, part.filter("NOT (p_size = 1 AND p_partkey % 40 = 0)").select(F.expr(_PATH).alias("path")), "cbeta", ("p_brand",))
+
 @query("conversation_context", """SELECT conv_id, turn, text, string_agg(text, ' / ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS context FROM conversations""")
 def conversation_context(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 0)
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.array_join(F.collect_list("text").over(w), " / ").alias("context"))
 
 
-_TTL = 'bdr:MW1 a :Instance ; :inRootInstance bdr:W1, bdr:W2 ; skos:prefLabel "x"@bo .'
-
-
-_TTLS = [(1, _TTL), (2, ":inRootInstance bdr:A-1 ; :x bdr:B ."), (3, ":other bdr:C ."), (4, ":inRootInstance bdr:W2,\n bdr:W1 , bdr:W2 ."), (5, ":inRootInstance bdr:W_1 . :y bdr:W3 ; .")]
+_TURTLE = "concat('bdr:M', c_custkey, ' a :Instance ; ', CASE WHEN c_custkey % 11 = 0 THEN ':other bdr:C' ELSE ':inRootInstance' END, ' bdr:W', c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' .' WHEN 1 THEN concat(', bdr:W', c_custkey % 7, ' ; :x bdr:B .') WHEN 2 THEN concat(',', chr(10), ' bdr:W_', c_custkey % 3, ' , bdr:W', c_custkey, ' . :y bdr:W3 ; .') ELSE '-1 ; skos:prefLabel x@bo .' END)"
 
 
-@query("turtle_values", f"""WITH t AS (SELECT id::BIGINT AS id, substr(ttl, strpos(ttl, ':inRootInstance') + 15) AS rest, contains(ttl, ':inRootInstance') AS has FROM {_given("id, ttl", _TTLS)}),
-w AS (SELECT id, CASE WHEN has THEN string_split_regex(CASE WHEN contains(rest, ';') THEN split_part(rest, ';', 1) ELSE split_part(rest, '.', 1) END, '[^A-Za-z0-9:_]') ELSE [] END AS w FROM t),
-f AS (SELECT id, list_transform(list_filter(w, lambda x: starts_with(x, 'bdr:') AND length(x) > 4), lambda x: substr(x, 5)) AS f FROM w)
-SELECT id, list_filter(f, lambda x, i: list_position(f, x) = i) AS found FROM f""")
+@query("turtle_values", f"""WITH v AS (SELECT c_custkey, {_TURTLE} AS ttl FROM customer), t AS (SELECT c_custkey, substr(ttl, strpos(ttl, ':inRootInstance') + 15) AS rest, contains(ttl, ':inRootInstance') AS has FROM v),
+w AS (SELECT c_custkey, CASE WHEN has THEN string_split_regex(CASE WHEN contains(rest, ';') THEN split_part(rest, ';', 1) ELSE split_part(rest, '.', 1) END, '[^A-Za-z0-9:_]') ELSE [] END AS w FROM t),
+f AS (SELECT c_custkey, list_transform(list_filter(w, lambda x: starts_with(x, 'bdr:') AND length(x) > 4), lambda x: substr(x, 5)) AS f FROM w)
+SELECT c_custkey, list_filter(f, lambda x, i: list_position(f, x) = i) AS found FROM f""")
 def turtle_values(spark, sf_dir):
-    return _values(spark, "id long, ttl string", _TTLS).select("id", hits.turtle_values(F.col("ttl"), ":inRootInstance").alias("found"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", hits.turtle_values(F.expr(_TURTLE), ":inRootInstance").alias("found"))
 
 
-_TREES = [(1, '{"tree":[{"path":"P1.opf/base/v002.txt"},{"path":"README.md"},{"path":"P1.opf/base/v001.txt"},{"path":"P1.opf/layers/v001/x.yml"}]}'), (2, '{"tree":[{"path":"a/base/v001.txt"},{"path":"P2.opf/base/x.json"}]}'), (3, '{"tree":[]}'), (4, '{"tree":[{"path":"Q.opf/base/z.txt"}]}')]
+_TREE = """concat('{"tree":[{"path":"P', p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '/base/v2' ELSE '.opf/base/v2' END, '.txt"},{"path":"README.md"},{"path":"P', p_partkey, '.opf/base/v1', CASE WHEN p_partkey % 4 = 0 THEN '.json' ELSE '.txt' END, '"},{"path":"P.opf/layers/x.yml"}]}')"""
 
 
-@query("base_text_paths", f"""SELECT id::BIGINT AS id, list_sort(list_filter(coalesce(json_extract_string(tree, '$.tree[*].path'), []), lambda p: contains(p, '.opf/base/') AND ends_with(p, '.txt'))) AS paths FROM {_given("id, tree", _TREES)}""")
+@query("base_text_paths", f"""SELECT p_partkey, list_sort(list_filter(coalesce(json_extract_string({_TREE}, '$.tree[*].path'), []), lambda p: contains(p, '.opf/base/') AND ends_with(p, '.txt'))) AS paths FROM part""")
 def base_text_paths(spark, sf_dir):
-    return _values(spark, "id long, tree string", _TREES).select("id", hits.base_text_paths(F.col("tree")).alias("paths"))
+    return _t(spark, sf_dir, "part").select("p_partkey", hits.base_text_paths(F.expr(_TREE)).alias("paths"))
+
+
+_ARCHIVE = """concat('{"hits":{"hits":[{"_id":"IT1","_score":2.5,"_source":{"inRootInstance":["bdr:W', p_partkey, '","bdr:X"],"prefLabel_bo":["', p_name, '"]}},{"_id":"IT2","_routing":"R', p_partkey, '","_source":{}},{"_id":"', CASE WHEN p_partkey % 2 = 0 THEN 'MW' ELSE 'IT' END, p_partkey, '","_source":{}}]}}')"""
 
 
-@query("archive_hits", "SELECT * FROM (VALUES ('W1', 'a'), ('W2', NULL), ('MW3', NULL)) v(id, title)")
+@query("archive_hits", """SELECT CASE k WHEN 0 THEN 'W' || p_partkey WHEN 1 THEN 'R' || p_partkey ELSE CASE WHEN p_partkey % 2 = 0 THEN 'MW' || p_partkey END END AS id, CASE k WHEN 0 THEN p_name END AS title, (CASE k WHEN 0 THEN 2.5 END)::DOUBLE AS score FROM part, (VALUES (0), (1), (2)) v(k)""")
 def archive_hits(spark, sf_dir):
-    answer = '{"hits":{"hits":[{"_id":"IT1","_source":{"inRootInstance":["bdr:W1"],"prefLabel_bo":["a"]}},{"_id":"IT2","_routing":"W2","_source":{}},{"_id":"MW3","_source":{}}]}}'
-    return hits.archive_hits(_values(spark, "answer string", [(answer,)]), "answer").select("id", "title")
+    return hits.archive_hits(_t(spark, sf_dir, "part").select(F.expr(_ARCHIVE).alias("answer")), "answer").select("id", "title", "score")
 
 
-_RESULTS = '<p class="rlt1">全 1,234 件中 50件を表示</p><form name="lastpage"><input name="page" value="25"></form><table class="result_table"><tr><th>h</th></tr><tr><td><a href="d.php?lineno=J01_0001A01">J01_0001A01</a></td><td><a href="i.php?x=1">img</a></td><td>T1</td><td>A1</td><td>one<lb 01_0001A02_ />two</td></tr><tr><td>short</td></tr></table>'
+_RESULTS = """concat('<p class="rlt1">全 1,', lpad(cast(p_size AS varchar(9)), 3, '0'), ' 件中 50件を表示</p><form name="lastpage"><input name="page" value="', p_size, '"></form><table class="result_table"><tr><th>h</th></tr><tr><td><a href="d.php?lineno=J', p_partkey, '">', CASE WHEN p_partkey % 2 = 0 THEN concat(' J', p_partkey, ' ') ELSE '' END, '</a></td><td><a href="i.php?x=1">img</a></td><td>', p_name, '</td><td>A1</td><td>one<lb 01_0001A02_ />', p_brand, '</td></tr><tr><td>short</td></tr></table>')"""
 
 
-@query("result_page_hits", "SELECT * FROM (VALUES (1234, 25, 'J01_0001A01', 'T1', 'one' || chr(10) || 'two')) v(total, pages, lineno, title, snippet)")
+@query("result_page_hits", """SELECT p_partkey, 1000 + p_size AS total, p_size AS pages, 'J' || p_partkey AS lineno, p_name AS title, 'one' || chr(10) || p_brand AS snippet FROM part""")
 def result_page_hits(spark, sf_dir):
-    p = _values(spark, "html string", [(_RESULTS,)]).select(hits.result_page("html").alias("r"))
-    return p.select("r.total", "r.pages", F.explode("r.hits").alias("h")).select("total", "pages", "h.lineno", "h.title", "h.snippet")
+    p = _t(spark, sf_dir, "part").select("p_partkey", hits.result_page(F.expr(_RESULTS)).alias("r"))
+    return p.select("p_partkey", "r.total", "r.pages", F.explode("r.hits").alias("h")).select("p_partkey", "total", "pages", "h.lineno", "h.title", "h.snippet")

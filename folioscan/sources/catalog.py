@@ -9,12 +9,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscan.functions import text as T
 from folioscan.functions.markup import events, nested_heads
 
 INDEX = "id string, title string, path string, meta map<string,string>"
-VERSION = "v2"
+# What an index says of its corpus's version.
+VERSIONS = {"sarit": "sarit_index_v1", "muktabodha": "muktabodha_index_v1", "cbeta": "cbeta_index_v2", "tipitaka": "tipitaka_index_v2"}
+#: What is asked of a stored index, by corpus: of so many first entries the existing path and, where there is one, the version;
+#: of so many that they have a preview of headings; of so many of two collections that an alias is composite.
+CHECKED, PREVIEWED, COMPOSITE = 10, {"tipitaka": 20}, {"tipitaka": 50}
+VERSIONED = ("cbeta", "tipitaka")
+#: Headings whose forms are aliases.
+ALIASED = 6
 #: Elements that are read of a file, by corpus; others are read until id and title are known, as the reference does.
 EVENTS = {"sarit": 80_000, "muktabodha": 60_000, "gretil": 50_000, "cbeta": 50_000, "tipitaka": 12_000}
 #: Elements whose text is read, however deep it lies in them.
@@ -111,7 +119,7 @@ def _entry(corpus: str, path: str, xml: str | None) -> tuple[str, str, str, dict
     if xml is None:
         return stem, stem, path, None
     if corpus == "muktabodha" and path.endswith(".txt"):
-        return stem, stem, path, {"indexVersion": VERSION, "ext": "txt"}
+        return stem, stem, path, {"indexVersion": VERSIONS[corpus], "ext": "txt"}
     h = read_header(xml, EVENTS.get(corpus))
     titles = [t[0] for t in h["titles"]]
     main = next((t[0] for t in h["titles"] if t[3] and "main" in t[3]), None)
@@ -120,10 +128,10 @@ def _entry(corpus: str, path: str, xml: str | None) -> tuple[str, str, str, dict
         heads = nested_heads(xml)[:1]
         return h["id"] or stem, (titles + heads + [stem])[0], path, None
     if corpus == "sarit":
-        meta = {"xmlId": h["id"], "author": next(iter(h["author"]), None), "editor": next(iter(h["editor"]), None), "indexVersion": VERSION}
+        meta = {"xmlId": h["id"], "author": next(iter(h["author"]), None), "editor": next(iter(h["editor"]), None), "indexVersion": VERSIONS[corpus]}
         return stem, main or (titles + [stem])[0], path, {k: v for k, v in meta.items() if v}
     if corpus == "muktabodha":
-        return stem, (titles + [stem])[0], path, {"indexVersion": VERSION, "ext": "xml"}
+        return stem, (titles + [stem])[0], path, {"indexVersion": VERSIONS[corpus], "ext": "xml"}
     translators = [n for r, n in h["resp"] if _TRANSLATOR.search(r)]
     meta = {
         "author": "・".join(h["author"]), "editor": "・".join(h["editor"]), "translator": "・".join(translators), "publisher": next(iter(h["publisher"]), None),
@@ -134,15 +142,20 @@ def _entry(corpus: str, path: str, xml: str | None) -> tuple[str, str, str, dict
         meta |= {"keywords": " | ".join(h["keywords"]), "classCode": " | ".join(h["classCode"]), "catRef": " | ".join(h["catRef"])}
         return stem, (main or (titles + [stem])[0])[:120], path, {k: v for k, v in meta.items() if v}
     if corpus == "cbeta":
-        number = re.search(r"n([0-9]+)", stem)
-        canon = re.match("[A-Za-z]+", stem)
-        meta |= {"indexVersion": VERSION, "canon": canon[0] if canon else None, "nnum": number[1] if number else None, "juanCount": str(h["juan"]) if h["juan"] else None}
-        return h["id"] or stem, best_title([t[:3] for t in h["titles"]]) or stem, path, {k: v for k, v in meta.items() if v}
+        name, folders = path.rpartition("/")[2], [f for f in path.split("/")[:-1] if f]
+        number = re.match("[0-9]+", name[at + 1 :]) if (at := name.lower().find("n")) >= 0 else None  # what follows the first n
+        meta |= {"indexVersion": VERSIONS[corpus], "canon": folders[0] if folders else None, "nnum": number[0] if number else None, "juanCount": str(h["juan"]) if h["juan"] else None}
+        title = best_title([t[:3] for t in h["titles"]]) or next(iter(h["heads"]), stem)
+        return h["id"] or stem, title, path, {k: v for k, v in meta.items() if v}
     rend = {k: v[0] for k, v in h["rend"].items() if k in ("nikaya", "title", "subhead", "subsubhead", "book", "chapter")}
     title = " · ".join(rend[k] for k in ("nikaya", "book", "title", "subhead", "subsubhead", "chapter") if k in rend)
     every = {k: " | ".join(v) for k, v in h["rend"].items() if k in rend}
-    meta = every | {"indexVersion": VERSION, "headsPreview": " | ".join(h["heads"][:10]), "sections": " | ".join(f"{n}({t})" for n, t in h["div"]), "section_types": " | ".join(t for _, t in h["div"])}
-    return stem, title or (titles + [stem])[0], path, {k: v for k, v in meta.items() if v or k == "headsPreview"} | aliases(rend, h["heads"])
+    meta = every | {"indexVersion": VERSIONS[corpus], "headsPreview": " | ".join(h["heads"][:10]), "sections": " | ".join(f"{n}({t})" for n, t in h["div"]), "section_types": " | ".join(t for _, t in h["div"])}
+    title = title or (titles + [stem])[0]
+    meta = {k: v for k, v in meta.items() if v or k == "headsPreview"} | aliases(every)
+    if h["heads"]:
+        meta["alias"] = " ".join(filter(None, [meta.get("alias"), *(v for t in [*h["heads"][:ALIASED], title] for v in title_forms(t))]))
+    return stem, title, path, meta
 
 
 def fold(text: str) -> str:
@@ -157,45 +170,65 @@ def _roman(n: int) -> str:
     return out
 
 
-def aliases(meta: dict[str, str], heads: list[str] = ()) -> dict[str, str]:
-    """alias and alias_prefix of a text of the five collections: its number in every usual form."""
+def title_forms(title: str) -> list[str]:
+    """T.title_variants() for titles that are at hand: itself, folded, in letters without marks, with the longer ending, and that folded."""
+    base = title.strip()
+    longer = base.replace("sutta", "suttanta")
+    return [base, fold(base), base.lower().translate(T.PALI_LETTERS), longer, fold(longer)] if base else []
+
+
+def aliases(meta: dict[str, str]) -> dict[str, str]:
+    """alias and alias_prefix of a text of the five collections: its number in every usual form, of two collections also with a part's."""
     nikaya = fold(meta.get("nikaya", ""))
     prefix = next((p for name, p in NIKAYAS if name in nikaya), None)
     if prefix is None:
         return {}
-    out = [prefix]
     digits = [n for k in ("book", "title", "subhead", "subsubhead", "chapter") if k in meta for n in re.findall("[0-9]+", meta[k])]
+    forms = [""]
     if digits:
-        n = int(digits[0])
-        for gap in ("", " "):
-            out += [f"{prefix}{gap}{n}", f"{prefix}{gap}{digits[0].zfill(2)}", f"{prefix}{gap}{digits[0].zfill(3)}"]
-            if 1 <= n <= 3999:
-                out.append(f"{prefix}{gap}{_roman(n)}")
+        one = str(int(digits[0]))
+        forms += [one, digits[0].zfill(2), digits[0].zfill(3), _roman(int(one)) if int(one) else "0"]
         if prefix in ("SN", "AN") and len(digits) > 1:
-            out += [f"{prefix}{gap}{n}.{int(digits[1])}" for gap in ("", " ")]
-    out += [x.lower() for x in out] + [fold(t) for t in [meta.get("title", ""), *heads[:3]] if t]
-    return {"alias": " ".join(dict.fromkeys(out)), "alias_prefix": prefix}
+            two = str(int(digits[1]))
+            forms += [f"{one}.{two}", f"{digits[0].zfill(2)}.{digits[1].zfill(2)}", f"{_roman(int(one)) if int(one) else 0}.{two}"]
+    out = [f"{prefix}{gap}{form}" for form in forms for gap in (("", " ") if form else ("",))]
+    return {"alias": " ".join(dict.fromkeys(x for form in out for x in (form, form.lower()))), "alias_prefix": prefix}
 
 
-def build(texts: DataFrame, corpus: str) -> DataFrame:
-    """texts (path, text) to INDEX; texts are read where they are, file by file."""
+def build(texts: DataFrame, corpus: str, root: str = "") -> DataFrame:
+    """texts (path, text) to INDEX; texts are read where they are, file by file. What a path says of its file is read below root."""
+    root = root.rstrip("/") + "/" if root else ""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([_entry(corpus, p, x) for p, x in zip(b["path"], b["text"], strict=True)], columns=["id", "title", "path", "meta"])
+            found = [_entry(corpus, p.partition(root)[2] if root and root in p else p, x) for p, x in zip(b["path"], b["text"], strict=True)]
+            yield pd.DataFrame([(i, t, p, m) for (i, t, _, m), p in zip(found, b["path"], strict=True)], columns=["id", "title", "path", "meta"])
 
     return texts.select("path", "text").mapInPandas(entries, INDEX)
 
 
-def validity(index: DataFrame, existing: DataFrame, sample: int = 10, keys: tuple[str, ...] = ("indexVersion",)) -> DataFrame:
-    """One row: how many of the first sample entries have an existing path and all keys; valid if all do."""
-    first = index.orderBy("path").limit(sample)
-    there = first.join(existing.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
-    have = F.lit(True)
-    for k in keys:
-        have = have & F.col("meta").isNotNull() & F.map_contains_key("meta", F.lit(k))
-    ok = F.coalesce(F.col("there"), F.lit(False)) & F.coalesce(have, F.lit(False))
-    return there.agg(F.count("*").alias("checked"), F.count_if(ok).alias("sound")).withColumn("valid", (F.col("checked") > 0) & (F.col("checked") == F.col("sound")))
+def validity(index: DataFrame, existing: DataFrame, corpus: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row per stored index (of one corpus; told apart by the columns by): checked, sound (entries among the first ones whose
+    path exists, with meta and version where the corpus has one) and valid, by the rules of the corpus.
+
+    Of each index only its first entries are read, in the order of their paths. Lists of contents are no entries.
+    """
+    previewed, composite = PREVIEWED.get(corpus, 0), COMPOSITE.get(corpus, 0)
+    most = max(CHECKED, previewed, composite)
+    rows = index.filter(~F.col("path").endswith(".toc.xml")) if corpus == "tipitaka" else index
+    if not by:
+        rows = rows.orderBy("path").limit(most)
+    first = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("path"))).filter(F.col("_at") <= most)
+    there = first.join(existing.select("path").distinct().withColumn("_there", F.lit(True)), "path", "left")
+    value = lambda k: F.col("meta")[k]
+    sound = F.coalesce(F.col("_there"), F.lit(False))
+    if corpus in VERSIONED:
+        sound = sound & F.coalesce(value("indexVersion") == VERSIONS[corpus], F.lit(False))
+    among = lambda n: F.col("_at") <= n
+    lacks = (among(CHECKED) & ~sound) | (among(previewed) & F.coalesce(value("headsPreview").isNull(), F.lit(True)))
+    lacks = lacks | (among(composite) & F.coalesce(value("alias_prefix").isin("SN", "AN") & ~F.coalesce(value("alias").contains("."), F.lit(False)), F.lit(False)))
+    counts = there.groupBy(*by).agg(F.count_if(among(CHECKED)).alias("checked"), F.count_if(among(CHECKED) & sound).alias("sound"), F.count_if(lacks).alias("_lacks"))
+    return counts.withColumn("valid", (F.col("checked") > 0) & (F.col("_lacks") == 0)).drop("_lacks")
 
 
 def bibliography(xml: str | None, most: int = 10_000) -> dict[str, str]:

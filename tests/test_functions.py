@@ -111,3 +111,15 @@ def test_markup():
     assert markup.extract_text('x</p><g ref="#C1"/><p>y', glyph={"C1": "𠀀"}) == "x𠀀y"
     assert markup.visible_text("<p>a<script>no</script> &lt;b&gt;</p>") == "a <b>" and markup.title_and_heads("<title> t </title><h1>a<b>b</b></h1><h2>c</h2>") == ("t", ["ab", "c"])
     assert markup.plain_text(None) is None and markup.plain_text("") == ""
+
+
+def test_normal_forms_of_every_character(spark):
+    """What Spark translates itself equals the whole decomposition, for each character of the first planes, alone and among others."""
+    chars = [chr(k) for k in [*range(1, 0xD800), *range(0xE000, 0x10000), 0x1D400, 0x1F600, 0x2F800]]
+    texts = ["".join(chars[i : i + 1]) for i in range(len(chars))] + [f"a{c}B b" for c in chars[0x80:0x3000]] + ["Ç ça É́x ǅ ΑΣ ς", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.regexp_replace(F.lower(T.nfkd(F.col("t"))), "ς", "σ")
+    want = [F.regexp_replace(F.translate(whole, T._FOLD_FROM, T._FOLD_TO), f"[^{T.ALNUM}]", ""), F.trim(F.regexp_replace(whole, f"[^{T.ALNUM}]+", " ")), F.regexp_replace(whole, f"[^{T.ALNUM}]", "")]
+    got = [T.normalised(F.col("t")), T.normalised_spaces(F.col("t")), T.normalised(F.col("t"), variants=False)]
+    both = rows.select("t", F.array(*got).alias("got"), F.array(*want).alias("want")).filter("NOT got <=> want").collect()
+    assert both == []

@@ -101,12 +101,6 @@ def test_percentiles_of_outliers_and_ties(spark):
     assert rank.percentiles(spark.createDataFrame([(2.0,)], "v double"), "v").first()["p99"] == 2.0
 
 
-def test_too_many_names(spark, monkeypatch):
-    monkeypatch.setattr(rank, "CURATED", 1)
-    with pytest.raises(ValueError):
-        rank.crosswalk(spark.createDataFrame([(1, "x")], "q int, nq string"), spark.createDataFrame([("a", "b"), ("c", "d")], "key string, na string"))
-
-
 def test_ids_that_begin_so_are_shown_first(spark):
     found = spark.createDataFrame([("A9", 0, 5), ("T1", 0, 1), ("T2", 1, 9), ("B1", 1, 8)], "id string, t int, total_matches int")
     assert [r["id"] for r in search.tiered(found, F.col("t"), "id", 3, "T").collect()] == ["T2", "T1", "A9"]

@@ -53,7 +53,7 @@ def test_decoding(spark, root):
 
 def built(spark, root, corpus):
     texts = readers.texts(spark, root).filter("path LIKE '%/T/%' OR path LIKE '%sa_x%'")
-    return {r["path"].rpartition("/")[2]: r for r in catalog.build(texts, corpus).collect()}
+    return {r["path"].rpartition("/")[2]: r for r in catalog.build(texts, corpus, str(root)).collect()}
 
 
 def test_catalogues(spark, root):
@@ -71,8 +71,8 @@ def test_index_round_trip_and_validity(spark, root, tmp_path):
     readers.save_index(index, str(tmp_path / "index"))
     again = readers.load_index(spark, str(tmp_path / "index"))
     assert sorted(map(str, again.collect())) == sorted(map(str, index.collect()))
-    assert catalog.validity(again, again.select("path")).first()["valid"]
-    assert not catalog.validity(again, again.select("path").limit(1)).first()["valid"] and not catalog.validity(again.limit(0), again.select("path")).first()["valid"]
+    assert catalog.validity(again, again.select("path"), "cbeta").first()["valid"]
+    assert not catalog.validity(again, again.select("path").limit(1), "cbeta").first()["valid"] and not catalog.validity(again.limit(0), again.select("path"), "cbeta").first()["valid"]
 
 
 RESULTS = '<p class="rlt1">全 1,234 件中 50件を表示</p><form name="lastpage"><input name="page" value="25"></form><table class="result_table"><tr><th>h</th></tr><tr><td><a href="d?lineno=J01_1">J01_1</a></td><td><a href="/i">x</a></td><td>T</td><td>A</td><td>one<lb 01_2_ />two</td></tr><tr><td><a href="d?lineno=J9"></a></td><td></td><td>U</td><td></td><td></td></tr><tr><td>short</td></tr></table>'
