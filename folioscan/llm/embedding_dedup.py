@@ -170,10 +170,17 @@ def _tiles(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     cells = per.select(*group, *keys, "cell", "blocks").distinct()
     each = cells.select(*group, *keys, "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     a, b = (each.select(*group, *[F.col(c).alias(f"{side}_{c}") for c in [*keys, "cell", "block"]]) for side in "ab")
+    # blocks meet by equal keys of their first two axes, so that no key holds a label: one side asks for the cells around its own.
+    # Where a side isn't divided along the second axis, the pair meets by a key of its own ("any", "none"), once
+    second, name = keys[1], lambda c: F.concat(F.lit("at"), c.cast("string"))
+    asks = F.when(F.col(f"a_{second}").isNull(), F.array(F.lit("any"))).otherwise(F.array(F.lit("none"), *[name(F.col(f"a_{second}") + d) for d in (-1, 0, 1)]))
+    offers = F.when(F.col(f"b_{second}").isNull(), F.array(F.lit("any"), F.lit("none"))).otherwise(F.array(F.lit("any"), name(F.col(f"b_{second}"))))
+    a = a.withColumn("_c0", F.explode(F.array(*[F.col("a_c0") + d for d in (-1, 0, 1)]))).withColumn("_c1", F.explode(asks))
+    b = b.withColumn("_c0", F.col("b_c0")).withColumn("_c1", F.explode(offers))
     near = F.expr("abs(a_c0 - b_c0) <= 1 AND (a_cell < b_cell OR (a_cell = b_cell AND a_block <= b_block))")
     for k in keys[1:]:
         near = near & F.expr(f"coalesce(abs(a_{k} - b_{k}) <= 1, true)")
-    tiles = a.join(b, group).filter(near).withColumn("tile", F.concat_ws("|", "a_cell", "a_block", "b_cell", "b_block"))
+    tiles = a.join(b, [*group, "_c0", "_c1"]).filter(near).withColumn("tile", F.concat_ws("|", "a_cell", "a_block", "b_cell", "b_block"))
     one = F.expr("a_cell = b_cell AND a_block = b_block")
     ends = tiles.select(*group, "tile", F.explode(F.when(one, F.array(F.struct(F.col("a_cell").alias("cell"), F.col("a_block").alias("block"), F.lit(0).alias("side")))).otherwise(
         F.array(*[F.struct(F.col(f"{s}_cell").alias("cell"), F.col(f"{s}_block").alias("block"), F.lit(k).alias("side")) for k, s in enumerate("ab")])
