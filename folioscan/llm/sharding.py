@@ -5,18 +5,19 @@ numbered inside the bucket, and offset by the buckets before. A keyed Feistel ne
 or above walks on through the permutation until it falls below N. The permuted number p gives shard p mod S and slot
 p div S, so shard sizes differ by one row at most, and locate() and row_at() compute both ways without a table.
 
-Law: "rows". Defined cases: null text counts as none (size 1); rows are numbered also if doc_ids are null or repeat,
-rows that agree in doc_id, size and checksum are interchangeable; equal texts are spread like any other rows; an empty
+Law: "rows". Defined cases: null text counts as none (size 1), a very long text is read whole for its size and checksum; rows
+are numbered also if doc_ids are null or repeat, rows that agree in doc_id, size and checksum are interchangeable; equal texts are spread like any other rows; an empty
 table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,8 +78,35 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
     return int(permute(np.array([slot * shards + shard]), n, seed, back=True)[0])
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """a's keys equal b's _keys, nulls too."""
+    return functools.reduce(Column.__and__, [a[k].eqNullSafe(b[f"_{k}"]) for k in keys])
+
+
 def numbered(light: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """light with a gapless long column row_number from 0, which depends on the rows' keys alone; and the row count."""
+    """light with a gapless long column row_number from 0, which depends on the rows' keys alone; and the row count.
+
+    Rows that agree in all keys more often than a bucket is planned for come after the others. They are interchangeable, so
+    they are numbered within tasks, and these by how many such rows there are before: no bucket holds them.
+    """
+    hot = light.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > BUCKET_ROWS).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    hot = common.materialise(hot, "shard-hot")
+    if hot.isEmpty():
+        return _numbered(light, keys)
+    rest, total = _numbered(light.join(hot, _same(light, hot, keys), "left_anti"), keys)
+    some = common.materialise(light.join(hot, _same(light, hot, keys), "left_semi").withColumn("_m", F.monotonically_increasing_id()), "shard-equal")
+    some = some.withColumn("_part", F.shiftright("_m", 33))
+    counts = some.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    # a row for each task that has such rows: at most as many as there are rows for BUCKET_ROWS, times tasks
+    before = F.sum("_n").over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys], "_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_task"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = some.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_m")))
+    placed = within.join(counts, _same(within, counts, keys) & (within["_part"] == counts["_task"]))
+    placed = placed.select(*light.columns, (F.lit(total) + F.col("_before") + F.col("_at") - 1).alias("row_number"))
+    return rest.select(*light.columns, "row_number").unionByName(placed), total + some.count()
+
+
+def _numbered(light: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     rows = light.count()
     buckets = min(MAX_BUCKETS, max(1, -(-rows // BUCKET_ROWS)))
     dealt = light.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
