@@ -8,7 +8,7 @@ path over the whole run count, as does each word of the vocabulary that the run
 A document's score is a logistic regression on which words, and beginnings of words, of a small vocabulary its restored
 text holds, once or often.
 
-The vocabulary and the weights are fitted on at most SAMPLE labelled documents (those of least hash), and never on held
+The vocabulary and the weights are fitted on at most SAMPLE labelled rows (those of least hash, one of a doc_id), and never on held
 out ones: those whose crc32(doc_id) is 0 modulo 5. Nothing but the text is an input of a score.
 
 Defined cases: null and empty texts score as texts without words; a doc_id without a label is scored all the same; a
@@ -326,8 +326,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     costs = character_model(docs, text)
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # a bounded table
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "toxic", "_text")
-    read = common.materialise(common.map_arrow(rows, _read_words(costs), "doc_id long, toxic int, words array<string>"), "toxic-words")
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    # of rows that repeat a doc_id one text stays, so that the sample has as many rows as doc_ids
+    least = rows.groupBy(F.col("_id").alias("_one")).agg(F.min("_hash").alias("_least"))
+    rows = rows.join(F.broadcast(least), (F.col("_id") == F.col("_one")) & (F.col("_hash") == F.col("_least"))).select("_doc", "toxic", "_text")
+    read = common.map_arrow(rows, _read_words(costs), "doc_id long, toxic int, words array<string>").dropDuplicates(["doc_id"])
+    read = common.materialise(read, "toxic-words")
     totals = read.groupBy("toxic").count().collect()
     n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in totals}
     if not n[0] or not n[1]:

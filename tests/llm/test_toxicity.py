@@ -193,3 +193,17 @@ def test_tokens_set_aside_have_no_known_reading():
         word = "".join(c * rng.choice([1, 1, 1, 1, 2, 3]) for c in rng.choice(bases))
         text = rng.choice(signs) + rng.choice(signs) + word + rng.choice(signs) + rng.choice(signs)
         assert T.Reader(costs, vocabulary).features(text) == {n for n in T.Reader(costs).features(text) if n.removesuffix("+") in vocabulary}, text
+
+
+def test_a_doc_id_that_repeats_is_one_row_of_the_sample(spark):
+    """Whatever the number of its rows, and of their texts."""
+    from folioscan.llm import toxicity
+
+    labelled = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5][:100]
+    docs = [(k, f"plain word{k % 7} here" if k % 2 else f"awful awful{k % 5} here") for k in labelled]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in labelled], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    many = docs + [docs[0]] * 300
+    again = toxicity.fit(spark.createDataFrame(many, "doc_id long, text string"), labels)
+    assert sorted(once.weights) == sorted(again.weights) and once.weights
+    assert all(abs(once.weights[w] - again.weights[w]) < 1e-6 for w in once.weights)
