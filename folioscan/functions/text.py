@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,47 +18,15 @@ _FOLD_FROM = "".join(c for group in VARIANT_CLASSES for c in group[1:])
 _FOLD_TO = "".join(group[0] for group in VARIANT_CLASSES for _ in group[1:])
 
 
-def _composed() -> tuple[str, str, str]:
-    """(characters that are one letter or number with marks, what they are without, a Java set of the others that decompose).
-
-    Made from the Unicode tables: marks are dropped by all normal forms here, so a letter with marks becomes the letter alone,
-    and only texts with other characters that decompose, or with marks of their own, need the whole of it.
-    """
-    import regex
-
-    kept = regex.compile(r"[\p{Alphabetic}\p{N}]")
-    letters, bare, others = [], [], []
-    for code in range(0xA0, 0x10000):
-        c = chr(code)
-        if 0xD800 <= code < 0xE000 or (whole := unicodedata.normalize("NFKD", c)) == c and not unicodedata.category(c).startswith("M"):
-            continue
-        rest = whole[1:]
-        if len(whole) > 1 and kept.match(whole[0]) and all(unicodedata.category(m) == "Mn" and not kept.match(m) for m in rest) and len(c.lower()) == 1:
-            letters.append(c)
-            bare.append(whole[0])
-        elif others and others[-1][1] == code - 1:
-            others[-1][1] = code
-        else:
-            others.append([code, code])
-    inside = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in others)
-    return "".join(letters), "".join(bare), f"[{inside}\\x{{10000}}-\\x{{10FFFF}}]"
-
-
-_WITH_MARKS, _WITHOUT, _DECOMPOSES = _composed()
-
-
 @F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, for which Spark has no function."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
 
 
-def _folded(c: Column, mark: str = "") -> Column:
-    """Decomposed and lower case; letters lose their marks, which become mark where they matter as separators."""
-    simple = F.regexp_replace(c, f"([{_WITH_MARKS}])", f"$1{mark}") if mark else c
-    # only texts with characters that Spark's translation doesn't know go to Python; lower-casing goes letter by letter, without the final sigma of a word
-    plain = F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(F.translate(simple, _WITH_MARKS, _WITHOUT))
-    decomposed = F.coalesce(nfkd(F.when(c.rlike(_DECOMPOSES), c)), plain)
+def _folded(c: Column) -> Column:
+    # ASCII decomposes to itself, so that only other texts go to Python; lower-casing goes letter by letter, without the final sigma of a word
+    decomposed = F.coalesce(nfkd(F.when(~c.rlike(r"\A\p{ASCII}*\z"), c)), c)
     return F.regexp_replace(F.lower(decomposed), "ς", "σ")
 
 
@@ -69,8 +38,8 @@ def normalised(c: Column, variants: bool = True) -> Column:
 
 
 def normalised_spaces(c: Column) -> Column:
-    """Decomposed, lower case, anything else than letters and numbers is one space; so a mark is one, too."""
-    return F.trim(F.regexp_replace(_folded(c, " "), f"[^{ALNUM}]+", " "))
+    """Decomposed, lower case, anything else than letters and numbers is one space."""
+    return F.trim(F.regexp_replace(_folded(c), f"[^{ALNUM}]+", " "))
 
 
 def fold_ascii(c: Column) -> Column:
@@ -103,17 +72,23 @@ def token_set(spaced: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(spaced, " ")), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def byte_bigrams(c: Column) -> Column:
     """Distinct pairs of adjacent UTF-8 bytes, in hexadecimal."""
-    h = F.hex(F.encode(c, "utf-8"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(c) - 2, F.lit(0))), lambda i: F.substring(h, 2 * i + 1, F.lit(4)))
+    pairs = let(F.hex(F.encode(c, "utf-8")), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(h) / 2 - 2, F.lit(0)).cast("int")), lambda i: F.substring(h, 2 * i + 1, F.lit(4))))
     return F.when(F.octet_length(c) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    all_ = F.size(a) + F.size(b) - both
-    return F.when(all_ > 0, both / all_).otherwise(F.lit(0.0))
+    def of(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["a"], x["b"])).cast("double")
+        return let(F.struct(both.alias("both"), (F.size(x["a"]) + F.size(x["b"]) - both).alias("all")), lambda y: F.when(y["all"] > 0, y["both"] / y["all"]).otherwise(F.lit(0.0)))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def byte_jaccard(a: Column, b: Column) -> Column:
@@ -172,9 +147,9 @@ def plain_lines(c: Column) -> Column:
 
 
 def trimmed_lines(c: Column) -> Column:
-    """Every line trimmed, three newlines or more become two, none around."""
-    each = F.transform(F.split(F.regexp_replace(c, "\r", ""), "\n", -1), lambda x: F.trim(x))
-    return F.trim(F.regexp_replace(F.array_join(each, "\n"), "\n{3,}", "\n\n"))
+    """Every line trimmed; three newlines or more become two."""
+    each = F.transform(F.split(F.regexp_replace(c, "\r", ""), "\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+\z", ""))
+    return F.regexp_replace(F.array_join(each, "\n"), "\n{3,}", "\n\n")
 
 
 def first_number(c: Column) -> Column:

@@ -69,8 +69,12 @@ def base_score(hay_norm: Column, hay_ws: Column, query: str, folded: Column | No
         plain = T.python_normalised(query, variants=False)
         near = F.greatest(near, T.byte_jaccard(folded, F.lit(plain)))
         ordered = ordered | T.contains_in_order(folded, plain)
-    score = F.when(hay_norm.contains(q), F.lit(1.0)).otherwise(near)
-    return F.when((score < 0.95) & ordered, F.greatest(score, F.lit(SUBSEQUENCE))).otherwise(score)
+    return _in_order(F.when(hay_norm.contains(q), F.lit(1.0)).otherwise(near), ordered)
+
+
+def _in_order(score: Column, ordered: Column) -> Column:
+    """score, of SUBSEQUENCE at least where one text is a subsequence of the other."""
+    return T.let(F.struct(score.alias("s"), ordered.alias("o")), lambda x: F.when((x["s"] < 0.95) & x["o"], F.greatest(x["s"], F.lit(SUBSEQUENCE))).otherwise(x["s"]))
 
 
 def match_score(hay_norm: Column, hay_ws: Column, query: str, alias: Column | None = None, folded: Column | None = None) -> Column:
@@ -81,9 +85,9 @@ def match_score(hay_norm: Column, hay_ws: Column, query: str, alias: Column | No
         if folded is not None:
             alias_fold = T.normalised(F.coalesce(alias, F.lit("")), variants=False)
             found = found | ((alias_fold != "") & alias_fold.contains(T.python_normalised(query, variants=False)))
-        score = F.when((flat != "") & found, F.greatest(score, F.lit(ALIAS))).otherwise(score)
+        score = T.let(F.struct(score.alias("s"), ((flat != "") & found).alias("f")), lambda x: F.when(x["f"], F.greatest(x["s"], F.lit(ALIAS))).otherwise(x["s"]))
     if re.search("[0-9]", query) and spaced:
-        score = F.when(hay_ws.contains(spaced), F.least(score + NUMERIC, F.lit(1.0))).otherwise(score)
+        score = T.let(F.struct(score.alias("s"), hay_ws.contains(spaced).alias("f")), lambda x: F.when(x["f"], F.least(x["s"] + NUMERIC, F.lit(1.0))).otherwise(x["s"]))
     return score
 
 
@@ -92,8 +96,7 @@ def title_score(hay_norm: Column, hay_ws: Column, query: str) -> Column:
     q, spaced = T.python_normalised(query), T.python_normalised_spaces(query)
     tokens = F.array(*[F.lit(t) for t in dict.fromkeys(spaced.split())]) if spaced else F.array().cast("array<string>")
     score = F.greatest(T.byte_jaccard(hay_norm, F.lit(q)), T.token_jaccard(T.token_set(hay_ws), tokens))
-    ordered = T.contains_in_order(hay_norm, q) | T.is_subsequence(F.lit(q), hay_norm)
-    return F.when((score < 0.95) & ordered, F.greatest(score, F.lit(SUBSEQUENCE))).otherwise(score)
+    return _in_order(score, T.contains_in_order(hay_norm, q) | T.is_subsequence(F.lit(q), hay_norm))
 
 
 def scored_titles(rows: DataFrame, title: str, query: str, score: str = "score") -> DataFrame:
@@ -106,12 +109,13 @@ def contributor_boost(score: Column, contributors: list[Column], query: str) ->
     q = T.python_normalised(query)
     for c in contributors:
         n = T.normalised(F.coalesce(c, F.lit("")))
-        score = F.when((n != "") & (n.contains(q) | F.contains(F.lit(q), n)), F.greatest(score, F.lit(CONTRIBUTOR))).otherwise(score)
+        score = T.let(F.struct(score.alias("s"), ((n != "") & (n.contains(q) | F.contains(F.lit(q), n))).alias("f")), lambda x: F.when(x["f"], F.greatest(x["s"], F.lit(CONTRIBUTOR))).otherwise(x["s"]))
     return score
 
 
 def canon_bias(score: Column, canon: Column, identifier: Column, preferred: str = "T") -> Column:
-    return F.when(canon == preferred, F.least(score + 0.02, F.lit(1.2))).when(identifier.startswith(preferred), F.least(score + 0.01, F.lit(1.2))).otherwise(score)
+    more = F.when(canon == preferred, 0.02).when(identifier.startswith(preferred), 0.01)
+    return T.let(F.struct(score.alias("s"), more.alias("m")), lambda x: F.when(x["m"].isNotNull(), F.least(x["s"] + x["m"], F.lit(1.2))).otherwise(x["s"]))
 
 
 def top_k(scored: DataFrame, k: int, *ties: str, score: str = "score") -> DataFrame:

@@ -169,12 +169,16 @@ _HELD = f"(CASE WHEN contains(nm, '{_Q}') THEN 1.0 WHEN {_J0} < 0.95 AND (ordere
 _ALIAS = "CASE WHEN id % 5 = 0 THEN 'old green widget 12 text' WHEN id % 5 = 1 THEN '' END"
 
 
-@query("title_search_pali", f"""WITH {_PART}, a AS (SELECT id, p_name, ws, {_HELD} AS s, {_ALIAS} AS alias FROM j),
+_MARKED_TITLE = "translate(p_name, 'aiu', 'āīū')"
+_MARKED_PART = _PART.replace("FROM part)", f"FROM (SELECT * REPLACE ({_MARKED_TITLE} AS p_name) FROM part))")
+
+
+@query("title_search_pali", f"""WITH {_MARKED_PART}, a AS (SELECT id, p_name, ws, {_HELD} AS s, {_ALIAS} AS alias FROM j),
 b AS (SELECT id, p_name, ws, CASE WHEN contains(coalesce(alias, ''), '{_QW}') THEN greatest(s, 0.95) ELSE s END AS s FROM a)
 SELECT id, p_name, round(CASE WHEN contains(ws, '{_QW}') THEN least(s + 0.05, 1.0) ELSE s END, 6) AS score FROM b ORDER BY score DESC, id LIMIT 10""")
 def title_search_pali(spark, sf_dir):
     """Titles by their folded forms as well, with an alias that may hold the query."""
-    entries = rank.with_hay(_part(spark, sf_dir).withColumn("alias", F.expr(_ALIAS)), F.col("p_name"), folded=True)
+    entries = rank.with_hay(_part(spark, sf_dir).withColumns({"p_name": F.expr(_MARKED_TITLE), "alias": F.expr(_ALIAS)}), F.col("p_name"), folded=True)
     return rank.title_search(entries, _QW, alias="alias", folded=True).select("id", "p_name", "score")
 
 

@@ -394,11 +394,15 @@ def page_index(spark, sf_dir):
     return built.select("id", "title", "path")
 
 
-@query("decode_bytes", "SELECT doc_id, text AS utf8, text AS utf16 FROM documents")
+_LATIN = r"regexp_replace(text, '[^\x{0}-\x{7F}\x{A0}-\x{FF}]', '?', 'g')"
+
+
+@query("decode_bytes", f"SELECT doc_id, text AS utf8, text AS utf16, {_LATIN} AS undeclared, '<?xml encoding=\"iso-8859-1\"?>' || {_LATIN} AS declared FROM documents")
 def decode_bytes(spark, sf_dir):
-    """Of the texts' bytes in two encodings, one with a byte order mark."""
-    both = [readers.decode_lossy(F.encode("text", charset)).alias(name) for charset, name in (("UTF-8", "utf8"), ("UTF-16", "utf16"))]
-    return _docs(spark, sf_dir).select("doc_id", *both)
+    """Of the texts' bytes in four encodings: by a byte order mark, by what is declared, as UTF-8, and what isn't that."""
+    latin = F.regexp_replace("text", r"[^\x{0}-\x{7F}\x{A0}-\x{FF}]", "?")
+    written = {"utf8": F.encode("text", "UTF-8"), "utf16": F.encode("text", "UTF-16"), "undeclared": F.encode(latin, "ISO-8859-1"), "declared": F.encode(F.concat(F.lit('<?xml encoding="iso-8859-1"?>'), latin), "ISO-8859-1")}
+    return _docs(spark, sf_dir).select("doc_id", *[readers.decode_lossy(c).alias(name) for name, c in written.items()])
 
 
 @query("url_lineno", "SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
@@ -544,10 +548,10 @@ def base_text_paths(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", hits.base_text_paths(F.expr(_TREE)).alias("paths"))
 
 
-_ARCHIVE = """concat('{"hits":{"hits":[{"_id":"IT1","_score":2.5,"_source":{"inRootInstance":["bdr:W', p_partkey, '","bdr:X"],"prefLabel_bo":["', p_name, '"]}},{"_id":"IT2","_routing":"R', p_partkey, '","_source":{}},{"_id":"', CASE WHEN p_partkey % 2 = 0 THEN 'MW' ELSE 'IT' END, p_partkey, '","_source":{}}]}}')"""
+_ARCHIVE = """concat('{"hits":{"hits":[{"_id":"IT1","_score":2.5,"_source":{"inRootInstance":["', CASE p_partkey % 3 WHEN 0 THEN 'bdr:W' WHEN 1 THEN ' http://purl.bdrc.io/resource/W' ELSE '/W' END, p_partkey, '/","bdr:X"],"prefLabel_bo":["', p_name, '"]}},{"_id":"IT2","_routing":"bdr:R', p_partkey, '","_source":{"inRootInstance":["bdr:"]}},{"_id":"', CASE WHEN p_partkey % 2 = 0 THEN 'MW' ELSE 'IT' END, p_partkey, '_O', p_size, '","_source":{}}]}}')"""
 
 
-@query("archive_hits", """SELECT CASE k WHEN 0 THEN 'W' || p_partkey WHEN 1 THEN 'R' || p_partkey ELSE CASE WHEN p_partkey % 2 = 0 THEN 'MW' || p_partkey END END AS id, CASE k WHEN 0 THEN p_name END AS title, (CASE k WHEN 0 THEN 2.5 END)::DOUBLE AS score FROM part, (VALUES (0), (1), (2)) v(k)""")
+@query("archive_hits", """SELECT CASE k WHEN 0 THEN 'W' || p_partkey WHEN 1 THEN 'R' || p_partkey ELSE CASE WHEN p_partkey % 2 = 0 AND p_partkey > 9 THEN 'MW' || p_partkey END END AS id, CASE k WHEN 0 THEN p_name END AS title, (CASE k WHEN 0 THEN 2.5 END)::DOUBLE AS score FROM part, (VALUES (0), (1), (2)) v(k)""")
 def archive_hits(spark, sf_dir):
     return hits.archive_hits(_t(spark, sf_dir, "part").select(F.expr(_ARCHIVE).alias("answer")), "answer").select("id", "title", "score")
 

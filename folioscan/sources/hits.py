@@ -98,15 +98,24 @@ def json_first(json: Column, path: str) -> Column:
     return F.nullif(F.when(first.isNotNull(), first).when(~scalar.startswith("["), scalar), F.lit(""))
 
 
+# Fixed value: where an archive's resources are.
+RESOURCES = "http://purl.bdrc.io/resource/"
 HITS = "hits struct<hits:array<struct<_id:string,_routing:string,_score:double,_source:struct<inRootInstance:array<string>,prefLabel_bo:array<string>>>>>"
 
 
+def archive_id(c: Column) -> Column:
+    """An archive's identifier without its prefix, its resource's address, blanks and slashes around it; null if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"\Abdr:", ""), rf"\A\Q{RESOURCES}\E", "")
+    return F.nullif(F.regexp_replace(bare, r"\A/+|/+\z", ""), F.lit(""))
+
+
 def archive_hits(answers: DataFrame, json: str) -> DataFrame:
-    """Elasticsearch-like answers to hits: id from the root instance, else the routing, else an id of its prefix."""
+    """Elasticsearch-like answers to hits: id from the root instance, else the routing, else what begins an id of its prefix."""
     hit = F.explode(F.from_json(F.col(json), HITS)["hits"]["hits"])
     h = answers.select(hit.alias("h"))
-    found = F.coalesce(F.get(F.col("h._source.inRootInstance"), F.lit(0)), F.nullif(F.col("h._routing"), F.lit("")), F.when(F.col("h._id").startswith("MW"), F.col("h._id")))
-    return h.select(F.regexp_replace(found, "^bdr:", "").alias("id"), F.get(F.col("h._source.prefLabel_bo"), F.lit(0)).alias("title"), F.col("h._score").alias("score"))
+    prefix = archive_id(F.substring_index("h._id", "_", 1))
+    found = F.coalesce(archive_id(F.get(F.col("h._source.inRootInstance"), F.lit(0))), archive_id(F.col("h._routing")), F.when(prefix.startswith("MW") & (F.octet_length(prefix) >= 4), prefix))
+    return h.select(found.alias("id"), F.get(F.col("h._source.prefLabel_bo"), F.lit(0)).alias("title"), F.col("h._score").alias("score"))
 
 
 def turtle_values(turtle: Column, predicate: str) -> Column:
@@ -150,6 +159,17 @@ def page_hits(answers: DataFrame, json: str, most: int = 0, *keep: str) -> DataF
     return h.select(*keep, "pos", score.alias("score"), F.coalesce(field("tname"), field("cname"), F.lit("")).alias("title"), *[F.coalesce(field(k), F.lit("")).alias(k) for k in ("kdb", "sutra", "pb")], field("sutraType").alias("kind"), (F.substring(snippet, 1, most) if most else snippet).alias("snippet"))
 
 
+def percent_encoded(c: Column) -> Column:
+    """All but letters, digits and - . _ ~ as percent signs and bytes."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def reader_link(base: str, kdb: Column, sutra: Column, page: Column, kind: Column, highlight: Column) -> Column:
+    """Where a hit of page_hits() is read, with what is to be marked there."""
+    named = F.when(kind == "voltext", "voltext").otherwise("sutra")
+    return F.concat(F.lit(base), F.lit("?kdb="), percent_encoded(kdb), F.lit("&"), named, F.lit("="), percent_encoded(sutra), F.lit("&page="), percent_encoded(page), F.lit("&highlight="), percent_encoded(highlight))
+
+
 def page_lines(pages: Column) -> Column:
     """Stored pages (JSON array of pbName and text) to "name: text" lines, without markup, blank ones left out."""
     each = F.transform(F.from_json(pages, "array<struct<pbName:string,text:string>>"), lambda p: F.struct(F.coalesce(p["pbName"], F.lit("")).alias("pb"), T.collapse_spaces(F.regexp_replace(F.coalesce(p["text"], F.lit("")), "<[^>]*>", " ")).alias("text")))

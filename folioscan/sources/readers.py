@@ -21,21 +21,26 @@ CORPORA = {
 }
 
 
-def files(spark: SparkSession, root: str, corpus: str = "plain", hint: str | None = None) -> DataFrame:
-    """The files of a corpus, of all folders below root; hint: only paths that hold it."""
+def of_corpus(found: DataFrame, corpus: str = "plain", hint: str | None = None) -> DataFrame:
+    """The rows of found (path, ...) that are files of a corpus; hint: only paths that hold it."""
     glob, refused, parts = CORPORA[corpus]
-    out = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    out = out.filter(~F.col("path").rlike(refused))
+    name = F.element_at(F.split("path", "/"), -1)
+    out = found.filter(name.rlike(r"\.(xml|txt)\z" if "txt" in glob else r"\.xml\z") & ~F.col("path").rlike(refused))
     for part in parts:
-        out = out.filter(~name.contains(part))
+        out = out.filter(~F.lower(name).contains(part))
     return out.filter(F.col("path").contains(hint)) if hint else out
 
 
+def files(spark: SparkSession, root: str, corpus: str = "plain", hint: str | None = None) -> DataFrame:
+    """The files of a corpus, of all folders below root."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", CORPORA[corpus][0]).load(root)
+    return of_corpus(found, corpus, hint)
+
+
 def decode_strict(content: Column) -> Column:
     """By byte order mark, else UTF-8; null where the bytes are neither."""
     mark = F.hex(F.substring(content, 1, 2))
-    utf8 = F.when(F.expr("substring(content, 1, 3) = X'EFBBBF'"), F.expr("substring(content, 4)")).otherwise(content)
+    utf8 = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, (1 << 31) - 1)).otherwise(content)
     return F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).when(F.is_valid_utf8(utf8.cast("string")), utf8.cast("string"))
 
 

@@ -137,3 +137,12 @@ def test_plain_pages_are_read_until_id_and_title_are_known():
     assert catalog._entry("plain", "a/b.xml", late)[:2] == ("late", "Late title")
     early = '<TEI xml:id="first"><teiHeader><fileDesc><titleStmt><title>One</title><title>Two</title></titleStmt></fileDesc></teiHeader><text xml:id="second"/></TEI>'
     assert catalog._entry("plain", "a/b.xml", early)[:2] == ("first", "One")
+
+
+def test_archive_ids_and_reader_links(spark):
+    ids = ["bdr:W1", " http://purl.bdrc.io/resource/W2/ ", "/W3/", "bdr:", "", None, "W4"]
+    rows = spark.createDataFrame([(i,) for i in ids], "i string")
+    assert [r[0] for r in rows.select(hits.archive_id(F.col("i"))).collect()] == ["W1", "W2", "W3", None, None, None, "W4"]
+    parts = spark.createDataFrame([("k 1", "s&t", "p*~", "voltext", "a+é"), ("k", "s", "p", None, "")], "k string, s string, p string, t string, h string")
+    links = [r[0] for r in parts.select(hits.reader_link("http://r", *[F.col(c) for c in "kspth"])).collect()]
+    assert links == ["http://r?kdb=k%201&voltext=s%26t&page=p%2A~&highlight=a%2B%C3%A9", "http://r?kdb=k&sutra=s&page=p&highlight="]
