@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscan.functions import markup
+from folioscan.functions import markup, tibetan
 from folioscan.functions import text as T
 from folioscan.operators import fetch, rank, search
 from folioscan.plans.passages import _plain
@@ -220,3 +220,22 @@ def probe_pages(spark, sf_dir):
     """Of the first candidates the one whose stored page holds the query, else the first with a text."""
     p = _part(spark, sf_dir, url="concat('u', p_partkey)", text="CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END")
     return rank.probe(p.select("url", F.col("p_partkey").alias("pos")), p.select("url", "text"), "ring").select("url", "pos", "text")
+
+
+_LATIN_SYLLABLES = ["bla", "ma", "rgyal", "po", "bkra", "shis", "bde", "legs", "sangs", "brgyad"]
+_SCRIPT_SYLLABLES = ["བླ", "མ", "རྒྱལ", "པོ", "བཀྲ", "ཤིས", "བདེ", "ལེགས", "སངས", "བརྒྱད"]
+
+
+def _syllables(of: list[str], gap: str) -> str:
+    every = ", ".join(f"'{s}'" for s in of)
+    return f"array_to_string(list_transform([p_partkey % 10, p_size % 10, (p_partkey // 10) % 10], lambda k: ([{every}])[k + 1]), '{gap}')"
+
+
+@query("tibetan_terms", f"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN [{_syllables(_SCRIPT_SYLLABLES, '་')}] WHEN p_partkey % 4 = 1 THEN ['1'] ELSE [{_syllables(_LATIN_SYLLABLES, ' ')}, {_syllables(_SCRIPT_SYLLABLES, '་')}] END AS terms FROM part""")
+def tibetan_terms(spark, sf_dir):
+    """What is searched for: a query in transliteration also in Tibetan."""
+    p = _t(spark, sf_dir, "part")
+    at = F.array(F.col("p_partkey") % 10, F.col("p_size") % 10, F.expr("p_partkey div 10") % 10)
+    written = lambda of, gap: F.array_join(F.transform(at, lambda k: F.get(F.array(*[F.lit(s) for s in of]), k)), gap)
+    q = F.when(F.col("p_partkey") % 4 == 0, written(_SCRIPT_SYLLABLES, "་")).when(F.col("p_partkey") % 4 == 1, "1").otherwise(written(_LATIN_SYLLABLES, " "))
+    return p.select("p_partkey", q.alias("q")).select("p_partkey", tibetan.search_terms(F.col("q")).alias("terms"))
