@@ -33,11 +33,13 @@ def char_slice(text: Column, **args) -> Column:
 
 
 def context_lines(text: Column, line: Column, before: int, after: int) -> Column:
-    rows = T.lines(text)
-    ok = (line >= 1) & (line <= F.size(rows))
-    lo = F.when(ok, F.greatest(line - before, F.lit(1))).otherwise(F.lit(1))
-    n = F.when(ok, F.least(line + after, F.size(rows)) - lo + 1).otherwise(F.lit(0))
-    return F.array_join(F.slice(rows, lo, n), "\n")
+    def around(rows: Column) -> Column:
+        ok = (line >= 1) & (line <= F.size(rows))
+        lo = F.when(ok, F.greatest(line - before, F.lit(1))).otherwise(F.lit(1))
+        n = F.when(ok, F.least(line + after, F.size(rows)) - lo + 1).otherwise(F.lit(0))
+        return F.array_join(F.slice(rows, lo, n), "\n")
+
+    return T.let(T.lines(text), around)
 
 
 def context_text(xml: Column, line: Column, before: int, after: int) -> Column:
@@ -124,11 +126,13 @@ def running_sums(lengths: Column) -> Column:
     zero = F.lit(0).cast("bigint")
     none = F.array().cast("array<bigint>")
     sums = lambda xs, first: F.aggregate(xs, F.struct(first.alias("sum"), none.alias("at")), lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["at"], F.array(acc["sum"])).alias("at")), lambda acc: acc["at"])
-    n = F.size(lengths)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(RUN)), lambda k: F.slice(lengths, k + 1, RUN))
-    before = sums(F.transform(runs, lambda r: F.aggregate(r, zero, lambda a, x: a + x)), zero)
-    paired = F.arrays_zip(runs.alias("run"), before.alias("first"))
-    return F.flatten(F.transform(paired, lambda p: sums(p["run"], p["first"])))
+
+    def summed(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(RUN)), lambda k: F.slice(xs, k + 1, RUN))
+        first = lambda rs: sums(F.transform(rs, lambda r: F.aggregate(r, zero, lambda a, x: a + x)), zero)
+        return T.let(runs, lambda rs: F.flatten(F.transform(F.arrays_zip(rs.alias("run"), first(rs).alias("first")), lambda p: sums(p["run"], p["first"]))))
+
+    return T.let(lengths, summed)
 
 
 def spans(text: Column, java: Column) -> Column:
@@ -138,12 +142,15 @@ def spans(text: Column, java: Column) -> Column:
     """
     clean = F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)
     pieces = F.split(F.regexp_replace(clean, F.concat(F.lit("("), java, F.lit(")")), F.lit(f"{_OPEN}$1{_CLOSE}")), _OPEN)
-    after = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    lengths = F.transform(pieces, lambda x, i: F.length(x).cast("bigint") - (i > 0).cast("bigint"))
-    starts = F.slice(running_sums(lengths), 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    both = F.arrays_zip(after.alias("x"), starts.alias("at"))
-    found = F.transform(both, lambda p: F.struct(p["at"].cast("int").alias("start_char"), (p["at"] + F.instr(p["x"], F.lit(_CLOSE)) - 1).cast("int").alias("end_char")))
-    return F.when(text.isNull(), F.slice(found, 1, 0)).otherwise(found)
+
+    def placed(ps: Column) -> Column:
+        rest = lambda xs: F.slice(xs, F.lit(2), F.greatest(F.size(ps) - 1, F.lit(0)))
+        lengths = F.transform(ps, lambda x, i: F.length(x).cast("bigint") - (i > 0).cast("bigint"))
+        both = F.arrays_zip(rest(ps).alias("x"), rest(running_sums(lengths)).alias("at"))
+        return F.transform(both, lambda p: F.struct(p["at"].cast("int").alias("start_char"), (p["at"] + F.instr(p["x"], F.lit(_CLOSE)) - 1).cast("int").alias("end_char")))
+
+    none = F.array().cast("array<struct<start_char:int,end_char:int>>")
+    return F.when(text.isNull(), none).otherwise(T.let(pieces, placed))
 
 
 def highlight_positions(pattern: str, is_regex: bool = True):

@@ -26,8 +26,7 @@ GRAM = 4
 
 def letters(c: Column, n: int) -> Column:
     """Distinct runs of n letters. The text is taken apart once, as finding a letter's place takes as long as the text before it."""
-    signs = F.split(c, "")
-    runs = F.transform(F.slice(signs, F.lit(1), F.length(c) - n + 1), lambda x, i: F.concat(x, *[F.get(signs, i + k) for k in range(1, n)]))
+    runs = T.let(F.split(c, ""), lambda signs: F.transform(F.slice(signs, F.lit(1), F.size(signs) - n + 1), lambda x, i: F.concat(x, *[F.get(signs, i + k) for k in range(1, n)])))
     return F.when(F.length(c) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
@@ -37,7 +36,9 @@ def containment(needles: DataFrame, needle: str, hays: DataFrame, hay: str, scop
     scope: a column of each side that has to be equal as well; it then is part of the key.
     """
     ask, offer = (F.concat(F.coalesce(F.col(s), F.lit("")), F.lit("\0")) if s else F.lit("") for s in scope or (None, None))
-    asked = needles.filter(F.col(needle) != "").withColumns({"_n": F.least(F.length(needle), F.lit(GRAM)), "_key": F.concat(ask, needle)})
+    # what is longer than all that is searched can't be found; what moves of the others is their digest
+    longest = hays.agg(F.max(F.length(hay))).first()[0] or 0
+    asked = needles.filter((F.col(needle) != "") & (F.length(needle) <= longest)).withColumns({"_n": F.least(F.length(needle), F.lit(GRAM)), "_key": F.unhex(F.md5(F.concat(ask, needle).cast("binary")))})
     sizes = sorted(r["_n"] for r in asked.select("_n").distinct().collect()) or [GRAM]  # GRAM numbers at most
     own = F.transform(F.coalesce(*(F.when(F.col("_n") == n, letters(F.col(needle), n)) for n in sizes)), lambda g: F.concat(ask, g))
     wanted = asked.select("_key", F.explode(own).alias("_gram")).distinct()

@@ -137,6 +137,11 @@ def _extracted(kind: str | None, raw: str | None, whole: str | None, plain: bool
     return markup.extract_text(raw, bool(notes), glyphs if kind is None else None) or ""
 
 
+def _held(rows: DataFrame, *names: str) -> DataFrame:
+    """rows, with columns that pass a generator of one row, so that what uses them doesn't evaluate them again."""
+    return rows.select(*[F.col(c) for c in rows.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
 def _sliced(length: Column) -> tuple[Column, Column]:
     """(start, end) of a request's slice in letters; see fetch.slice_bounds()."""
     paged = F.col("page").isNotNull() & F.col("page_size").isNotNull()
@@ -195,15 +200,17 @@ def fetch_requests(requests: DataFrame, files: DataFrame, marks: DataFrame | Non
     at = F.when(F.col("_java").isNotNull(), F.regexp_instr("_body", F.col("_java"))).otherwise(F.lit(0))
     may = F.coalesce("focus", F.lit(True)) & ~F.coalesce("full", F.lit(False)) & F.col("lb").isNull() & F.col("line_number").isNull() & F.coalesce("start_char", "end_char", "max_chars").isNull()
     centred = fetch.context_lines(F.col("_body"), fetch.line_of(F.col("_body"), F.col("_at")), F.coalesce("before", F.lit(AROUND_MATCH[0])), F.coalesce("after", F.lit(AROUND_MATCH[1])))
-    out = out.withColumn("_at", F.when(may, at).otherwise(F.lit(0))).withColumn("_focus", F.when(F.col("_at") > 0, centred))
+    out = _held(out.withColumn("_at", F.when(may, at).otherwise(F.lit(0))), "_body", "_at").withColumn("_focus", F.when(F.col("_at") > 0, centred))
     focused = F.trim("_focus") != ""
     name = F.when(F.coalesce(focused, F.lit(False)), "highlight-context").when(F.col("id").isNull(), "none").when(F.col("_found") == "lb", "lb-context").when(F.col("_found") == "line", "line-context").when(F.col("_found") == "juan", "part").when(F.col("_found") == "query", "head-query").when(F.col("_found") == "head", "head-index").otherwise("full")
     out = out.withColumns({"method": name, "_body": F.when(F.coalesce(focused, F.lit(False)), F.col("_focus")).otherwise(F.col("_body"))})
+    out = _held(out, "method", "_body")
     lo, hi = _sliced(F.length("_body"))
     out = out.withColumns({"total": F.length("_body"), "start": lo, "end": hi})
     out = out.withColumn("_slice", F.substring(F.col("_body"), F.col("start") + 1, F.col("end") - F.col("start")))
     if corpus in CUT_BEFORE:
         out = out.withColumn("_slice", fetch.capped(F.col("_slice")))
+    out = _held(out, "total", "start", "end", "_slice")
     java = F.coalesce("_java", F.lit("(?!)"))
     out = out.withColumn("positions", fetch.spans(F.col("_slice"), java))
     mark = lambda c, d: F.regexp_replace(F.coalesce(c, F.lit(d)), r"([\\$])", r"\\$1")

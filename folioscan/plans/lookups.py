@@ -211,10 +211,10 @@ def resolve_batch(spark, sf_dir):
     return rank.resolve_batch(q, _t(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS title"), 0.5, 5)
 
 
-@query("crosswalk_names", f"""WITH n AS (SELECT DISTINCT p_partkey % 400 AS key, {_NORM.format("substr(p_name, 1, 3 + p_partkey % 9)")} AS na FROM part), q AS (SELECT doc_id, {_NORM.format("text")} AS nq FROM documents)
-SELECT DISTINCT doc_id, key FROM q JOIN n ON na <> '' AND (na = nq OR (strlen(nq) >= 6 AND (contains(na, nq) OR contains(nq, na))))""")
+@query("crosswalk_names", f"""WITH n AS (SELECT DISTINCT p_partkey % 400 AS key, {_NORM.format("substr(p_name, 1, 3 + p_partkey % 9)")} AS na FROM part), q AS (SELECT c_custkey, {_NORM.format(_CALLED)} AS nq FROM customer)
+SELECT DISTINCT c_custkey, key FROM q JOIN n ON na <> '' AND (na = nq OR (strlen(nq) >= 6 AND (contains(na, nq) OR contains(nq, na))))""")
 def crosswalk_names(spark, sf_dir):
-    """Names of any number, held against whole documents in both directions."""
-    q = _t(spark, sf_dir, "documents").select("doc_id", T.normalised(F.col("text")).alias("nq"))
+    """Names of any number, held against what each customer asks for in both directions."""
+    q = _t(spark, sf_dir, "customer").select("c_custkey", T.normalised(F.expr(_CALLED)).alias("nq"))
     names = _t(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("key"), T.normalised(F.expr("substr(p_name, 1, cast(3 + p_partkey % 9 AS int))")).alias("na"))
-    return rank.crosswalk(q, names).select("doc_id", "key").distinct()
+    return rank.crosswalk(q, names).select("c_custkey", "key").distinct()
