@@ -328,10 +328,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # a bounded table
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
     # of rows that repeat a doc_id one text stays, so that the sample has as many rows as doc_ids
-    least = rows.groupBy(F.col("_id").alias("_one")).agg(F.min("_hash").alias("_least"))
+    least = common.materialise(rows.groupBy(F.col("_id").alias("_one")).agg(F.min("_hash").alias("_least"), F.count("*").alias("_rows")), "toxic-sample")
+    again = (least.agg(F.max("_rows")).first()[0] or 0) > 1
     rows = rows.join(F.broadcast(least), (F.col("_id") == F.col("_one")) & (F.col("_hash") == F.col("_least"))).select("_doc", "toxic", "_text")
-    read = common.map_arrow(rows, _read_words(costs), "doc_id long, toxic int, words array<string>").dropDuplicates(["doc_id"])
-    read = common.materialise(read, "toxic-words")
+    read = common.map_arrow(rows, _read_words(costs), "doc_id long, toxic int, words array<string>")
+    read = common.materialise(read.dropDuplicates(["doc_id"]) if again else read, "toxic-words")
     totals = read.groupBy("toxic").count().collect()
     n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in totals}
     if not n[0] or not n[1]:
