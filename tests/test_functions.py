@@ -123,3 +123,9 @@ def test_normal_forms_of_every_character(spark):
     got = [T.normalised(F.col("t")), T.normalised_spaces(F.col("t")), T.normalised(F.col("t"), variants=False)]
     both = rows.select("t", F.array(*got).alias("got"), F.array(*want).alias("want")).filter("NOT got <=> want").collect()
     assert both == []
+
+
+def test_references_without_a_semicolon_are_text():
+    """A text that was cut off in a reference keeps its letters, as the pages' SQL has it."""
+    assert markup.extract_text("<p>a &amp;&ampp{} &lt; &#65;</p>") == "a &&ampp{} < A"
+    assert markup.nested_heads("<head>des &amp;&ampp</head>") == ["des &&ampp"]
