@@ -127,5 +127,6 @@ def test_normal_forms_of_every_character(spark):
 
 def test_references_without_a_semicolon_are_text():
     """A text that was cut off in a reference keeps its letters, as the pages' SQL has it."""
+    assert markup.visible_text("<title>a &amp;&amp</title><p>b&ampc &lt; &notit; &#65; &</p>") == "a &&amp b&ampc < &notit; A &"
     assert markup.extract_text("<p>a &amp;&ampp{} &lt; &#65;</p>") == "a &&ampp{} < A"
     assert markup.nested_heads("<head>des &amp;&ampp</head>") == ["des &&ampp"]
