@@ -171,18 +171,27 @@ def direct_candidates(query: Column, sources: tuple[str, ...], preferred: str |
 
 def crosswalk_candidates(normal: Column, sources: tuple[str, ...], preferred: str | None = None) -> Column:
     """array<struct<source, id, title, rank_score, by>> of the works that a normalised query names; an identifier itself counts more."""
-    out = []
-    for names, works in CROSSWALK_WORKS.values():
-        known = [T.python_normalised(n) for n in names]
-        hit = normal.isin(known) | (F.octet_length(normal) >= 6) & F.exists(F.array(*[F.lit(n) for n in known]), lambda n: F.contains(n, normal) | F.contains(normal, n))
-        for source in ("cbeta", "tipitaka", "gretil"):
-            if source in sources and source in works:
-                identifier, title = works[source]
-                score = CROSSWALK + _preference(source, preferred)
-                exact = normal == F.lit(T.python_normalised(identifier))
-                rank_score = F.when(exact, round(score + CROSSWALK_ID, 6)).otherwise(round(score, 6))
-                out.append(_given(source, F.when((normal != "") & hit, F.lit(identifier)), F.lit(title), rank_score, "crosswalk"))
-    return F.filter(F.array(*out), lambda x: x["id"].isNotNull()) if out else F.array().cast("array<struct<source:string,id:string,title:string,rank_score:double,by:string>>")
+    none = F.array().cast("array<struct<source:string,id:string,title:string,rank_score:double,by:string>>")
+
+    def held(normal: Column) -> Column:
+        out = []
+        for names, works in CROSSWALK_WORKS.values():
+            known = [T.python_normalised(n) for n in names]
+            hit = normal.isin(known) | (F.octet_length(normal) >= 6) & F.exists(F.array(*[F.lit(n) for n in known]), lambda n: F.contains(n, normal) | F.contains(normal, n))
+            given = []
+            for source in ("cbeta", "tipitaka", "gretil"):
+                if source in sources and source in works:
+                    identifier, title = works[source]
+                    score = CROSSWALK + _preference(source, preferred)
+                    exact = normal == F.lit(T.python_normalised(identifier))
+                    rank_score = F.when(exact, round(score + CROSSWALK_ID, 6)).otherwise(round(score, 6))
+                    given.append(_given(source, F.lit(identifier), F.lit(title), rank_score, "crosswalk"))
+            if given:
+                # whether a work is named is found out once for all its sources
+                out.append(F.when((normal != "") & hit, F.array(*given)).otherwise(none))
+        return F.concat(*out) if out else none
+
+    return T.let(normal, held)
 
 
 def given_candidates(queries: DataFrame, query: str, sources: tuple[str, ...] = ("cbeta", "tipitaka", "gretil"), preferred: str | None = None, limit: int = 10) -> DataFrame:
@@ -192,8 +201,7 @@ def given_candidates(queries: DataFrame, query: str, sources: tuple[str, ...] =
     both = F.concat("_direct", crosswalk_candidates(F.col("_normal"), sources, preferred))
     # the rank decides, then the place; of a (source, id) the first in that order stays
     keyed = F.array_sort(F.transform(both, lambda x, i: F.struct((-x["rank_score"]).alias("least"), i.alias("place"), x.alias("x"))))
-    ordered = F.transform(keyed, lambda k: k["x"])
-    first = F.filter(ordered, lambda x, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda y: (y["source"] == x["source"]) & (y["id"] == x["id"])))
+    first = T.let(F.transform(keyed, lambda k: k["x"]), lambda ordered: F.filter(ordered, lambda x, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda y: (y["source"] == x["source"]) & (y["id"] == x["id"]))))
     return out.withColumns({"candidates": F.slice(first, 1, max(1, limit)), "direct": F.size("_direct") > 0}).drop("_direct", "_normal")
 
 

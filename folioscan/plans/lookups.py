@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.operators import paths, rank
+from folioscan.operators import paths, rank, spread
 from folioscan.plans.queries import _NORM, _PART, _Q, _QW, _inverse, _part, _t, query
 
 _LAST = "ORDER BY prio, ord, path"
@@ -157,8 +157,8 @@ SELECT DISTINCT id, source, found, round(1.05 + CASE WHEN source = 'gretil' THEN
 WHERE NOT (source = 'cbeta' AND nq = nf)""")
 def resolve_crosswalk(spark, sf_dir):
     """A work that the query names by its own identifier is a direct candidate already."""
-    q = _t(spark, sf_dir, "customer").selectExpr("c_custkey AS n", f"{_NAMED} AS q")
-    found = rank.given_candidates(q, "q", preferred="gretil", limit=100).select("n", F.explode("candidates").alias("c")).filter("c.by = 'crosswalk'")
+    q = spread.evenly(_t(spark, sf_dir, "customer").selectExpr("c_custkey AS n", f"{_NAMED} AS q"))
+    found = rank.given_candidates(q, "q", preferred="gretil", limit=100).select("n", F.explode_outer("candidates").alias("c")).filter("c.by = 'crosswalk'")
     return found.select(F.col("n").alias("id"), "c.source", F.col("c.id").alias("found"), "c.rank_score")
 
 

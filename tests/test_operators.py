@@ -220,3 +220,13 @@ def test_the_lines_of_a_file_are_searched_once(spark):
     assert plan.count("regexp_extract(") == 1 and plan.count("split(") == 1
     assert [tuple(m) for m in found.first()["matches"]] == [(1, "a word", "word"), (3, "WORDS", "WORD")]
     assert [m["line_number"] for m in search.grep(files, "word$").first()["matches"]] == [1]
+
+
+def test_candidates_are_computed_once_for_each_row(spark):
+    """The plan has the names of the works once, so its size doesn't hold their product with what refers to them."""
+    rows = spark.createDataFrame([("T0251",), ("Heart Sutra",), ("",), (None,)], "q string")
+    found = rank.given_candidates(rows, "q", limit=100)
+    plan = found.select(F.explode_outer("candidates").alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    name = rank.T.python_normalised("Heart Sutra")
+    assert plan.count(name) <= 2 * sum(name == rank.T.python_normalised(n) for names, _ in rank.CROSSWALK_WORKS.values() for n in names)
+    assert [[c["id"] for c in r["candidates"]] for r in found.collect()] == [["T0251", "prajJApAramitAhRdayasUtra"], ["T0251", "prajJApAramitAhRdayasUtra"], [], []]
