@@ -137,9 +137,10 @@ c AS (SELECT id, 'cbeta' AS source, 'T' || repeat('0', greatest(0, 4 - length(t:
   UNION ALL SELECT id, 'tipitaka', k || v, 1.22::DOUBLE FROM d WHERE k <> '' AND v < 4294967296 UNION ALL SELECT id, 'tipitaka', flat, 1.22::DOUBLE FROM d WHERE contains(flat, '.mul'))
 SELECT DISTINCT id, source, found, rank_score FROM c""")
 def resolve_direct(spark, sf_dir):
-    q = _t(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{_ASKED} AS q")
-    found = rank.given_candidates(q, "q", preferred="tipitaka").filter("direct")
-    found = found.select(F.col("id").alias("n"), F.explode("candidates").alias("c")).filter("c.by = 'direct-id'")
+    q = spread.evenly(_t(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{_ASKED} AS q"))
+    found = rank.given_candidates(q, "q", preferred="tipitaka")
+    # explode_outer: a filter of the rows with candidates would compute them once more
+    found = found.select(F.col("id").alias("n"), F.explode_outer("candidates").alias("c")).filter("c.by = 'direct-id'")
     return found.select(F.col("n").alias("id"), "c.source", F.col("c.id").alias("found"), "c.rank_score")
 
 
