@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
+from folioscan.operators import spread
 
 #: Letters of a gram.
 GRAM = 4
@@ -30,6 +31,11 @@ def letters(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """rows as a side of a join that is never broadcast: a table of the driver's memory, where it grows with the input."""
+    return rows.hint("merge")
+
+
 def containment(needles: DataFrame, needle: str, hays: DataFrame, hay: str, scope: tuple[str, str] | None = None) -> DataFrame:
     """The pairs of rows for which hay contains needle, with the columns of both sides (which must differ).
 
@@ -46,17 +52,19 @@ def containment(needles: DataFrame, needle: str, hays: DataFrame, hay: str, scop
     held = hays.filter(F.col(hay) != "").withColumn("_h", F.xxhash64(offer, hay))
     every = F.concat(*[letters(F.col(hay), n) for n in sizes])
     offered = held.select("_h", F.explode(F.transform(every, lambda g: F.concat(offer, g))).alias("_gram"))
-    offered = offered.join(wanted.select("_gram").distinct(), "_gram", "left_semi").distinct()
+    offered = offered.join(by_shuffle(wanted.select("_gram").distinct()), "_gram", "left_semi")
+    # a hash has each of its grams once unless hays repeat, and both are read twice
+    offered = spread.kept(offered.distinct())
     # the rarest gram of each string that is asked for; one with a gram that nothing offers has no pair
     often = offered.groupBy("_gram").agg(F.count("*").alias("_df"))
-    rarest = wanted.join(often, "_gram", "left").groupBy("_key").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_gram")).alias("_r"))
-    keyed = asked.join(rarest.filter("_r.df > 0").select("_key", F.col("_r._gram").alias("_gram")), "_key").drop("_key", "_n")
-    return keyed.join(offered, "_gram").drop("_gram").join(held, "_h").drop("_h").filter(F.contains(F.col(hay), F.col(needle)))
+    rarest = wanted.join(by_shuffle(often), "_gram", "left").groupBy("_key").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_gram")).alias("_r"))
+    keyed = asked.join(by_shuffle(rarest.filter("_r.df > 0").select("_key", F.col("_r._gram").alias("_gram"))), "_key").drop("_key", "_n")
+    return keyed.join(by_shuffle(offered), "_gram").drop("_gram").join(by_shuffle(held), "_h").drop("_h").filter(F.contains(F.col(hay), F.col(needle)))
 
 
 def _ranked(rows: DataFrame, rank: DataFrame) -> DataFrame:
     """rows (id, grams) to (id, n, grams): grams by their rank, the rarest first."""
-    each = rows.select("id", F.explode("grams").alias("gram")).join(rank, "gram")
+    each = rows.select("id", F.explode("grams").alias("gram")).join(by_shuffle(rank), "gram")
     return each.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
 
 
@@ -75,7 +83,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     b = keyed[1].select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"), F.col("at").alias("pb"), "gram")
     near = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
     # two sets that meet at several bigrams are one pair, and one that is similar enough passes at the first of them
-    return a.join(b, "gram").filter(near).dropDuplicates(["a", "b"]).select("a", "b", "na", "nb", "ga", "gb")
+    return a.join(by_shuffle(b), "gram").filter(near).dropDuplicates(["a", "b"]).select("a", "b", "na", "nb", "ga", "gb")
 
 
 def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:

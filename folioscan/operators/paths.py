@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.operators import grams, rank
+from folioscan.operators import grams, rank, spread
 
 #: The longest name of a file, so the longest part that can be asked for.
 NAME = 255
@@ -68,24 +68,31 @@ class _Rules:
         # lengths of names: at most NAME numbers for each kind
         rows = asked.filter(F.col("kind").isin(beginnings)).select("kind", F.length("key").alias("n")).filter(f"n BETWEEN 1 AND {NAME}").distinct().collect() if beginnings else []
         lengths = {k: sorted(r["n"] for r in rows if r["kind"] == k) for k in beginnings}
-        named, offered = _named(files), []
-        for kind, key, order, scope, part in self.offers:
-            keys = _beginnings(key, lengths[kind]) if part == "start" else F.array(F.concat(scope, key))
-            offered.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), order.cast("long").alias("order"))))
-        # one pass over the files makes all their offers
-        every = named.select("path", F.inline(F.concat(*offered))).filter("key IS NOT NULL")
-        best = every.filter(~F.col("kind").isin(inside)).groupBy("kind", "key").agg(F.min(F.struct("order", "path")).alias("best"))
-        hits = asked.join(best, ["kind", "key"]).select("wanted_id", "prio", "best")
+        named = _named(spread.evenly(files.select("path")))
+
+        def offered(some: list) -> DataFrame:
+            """One pass over the files makes the offers of some rules."""
+            out = []
+            for kind, key, order, scope, part in some:
+                keys = _beginnings(key, lengths[kind]) if part == "start" else F.array(F.concat(scope, key))
+                out.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), order.cast("long").alias("order"))))  # noqa: B023
+            return named.select("path", F.inline(F.concat(*out))).filter("key IS NOT NULL")
+
+        best = F.min(F.struct("order", "path")).alias("best")
+        equal = [o for o in self.offers if o[0] not in inside]
+        hits = asked.join(grams.by_shuffle(offered(equal).groupBy("kind", "key").agg(best)), ["kind", "key"]).select("wanted_id", "prio", "best")
         if inside:
+            hits = spread.kept(hits)
             scoped = lambda side: [F.concat(F.col("kind"), F.lit("\0"), F.when(F.contains("key", F.lit("\0")), F.split("key", "\0")[0]).otherwise(F.lit(""))).alias(f"{side}_scope"), F.element_at(F.split("key", "\0"), -1).alias(side)]
             # what an earlier rule has found isn't searched for
             known = hits.groupBy(F.col("wanted_id").alias("_id")).agg(F.min("prio").alias("_prio"))
-            wanted_parts = asked.filter(F.col("kind").isin(inside)).join(known, F.col("wanted_id") == F.col("_id"), "left").filter("_prio IS NULL OR _prio > prio").select("wanted_id", "prio", *scoped("needle"))
-            names = every.filter(F.col("kind").isin(inside)).select("path", "order", *scoped("hay"))
-            within = grams.containment(wanted_parts, "needle", names, "hay", ("needle_scope", "hay_scope"))
-            hits = hits.unionByName(within.select("wanted_id", "prio", F.struct("order", "path").alias("best")))
+            wanted_parts = asked.filter(F.col("kind").isin(inside)).join(grams.by_shuffle(known), F.col("wanted_id") == F.col("_id"), "left").filter("_prio IS NULL OR _prio > prio").select("wanted_id", "prio", *scoped("needle"))
+            # names that are equal are searched once, for the best of their files
+            names = offered([o for o in self.offers if o[0] in inside]).groupBy(*scoped("hay")).agg(best)
+            within = grams.containment(spread.kept(wanted_parts), "needle", spread.kept(names), "hay", ("needle_scope", "hay_scope"))
+            hits = hits.unionByName(within.select("wanted_id", "prio", "best"))
         found = hits.groupBy(F.col("wanted_id").alias("_id")).agg(F.min(F.struct("prio", "best")).alias("found"))
-        return ids.join(found, F.col("wanted_id") == F.col("_id"), "left").select("wanted_id", F.col("found.best.path").alias("path"))
+        return ids.join(grams.by_shuffle(found), F.col("wanted_id") == F.col("_id"), "left").select("wanted_id", F.col("found.best.path").alias("path"))
 
 
 def _beginnings(key: Column, lengths: list[int]) -> Column:

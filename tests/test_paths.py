@@ -112,3 +112,12 @@ def test_structure(spark):
     found = spark.createDataFrame([("f", "x y", [(1, "x", "x")])], "id string, text string, matches array<struct<line_number:int,context:string,highlight:string>>")
     row = search.structured(found, "id").first()
     assert row["title"] == "f" and row["structure_info"] == [] and row["matches"][0]["section"] is None
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """A broadcast table is held by the driver, so no join of identifiers, files or grams has one."""
+    files = spark.createDataFrame([("a1.xml",), ("deep/b12.xml",)], "path string")
+    wanted = spark.createDataFrame([("a1",), ("12",), ("none",)], "wanted_id string")
+    found = paths.resolve(files, wanted, "sarit")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["wanted_id"]: r["path"] for r in found.collect()} == {"a1": "a1.xml", "12": "deep/b12.xml", "none": None}
