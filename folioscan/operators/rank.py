@@ -230,9 +230,12 @@ def crosswalk(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = queries.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])).select("_row", "nq").filter("nq IS NOT NULL")
     asked = rows.select("nq").distinct()
     long_ = asked.filter(F.octet_length("nq") >= 6)
-    found = asked.join(names, asked["nq"] == names["na"]).select("nq", "key")
-    found = found.unionByName(grams.containment(names, "na", long_, "nq").select("nq", "key")).unionByName(grams.containment(long_, "nq", names, "na").select("nq", "key")).distinct()
-    return rows.join(found, "nq").select("_row.*", "key")
+    # a name of many keys is searched once, and keys are put to the pairs of different texts
+    texts = names.select("na").distinct()
+    met = asked.join(grams.by_shuffle(texts), asked["nq"] == texts["na"]).select("nq", "na")
+    met = met.unionByName(grams.containment(texts, "na", long_, "nq").select("nq", "na")).unionByName(grams.containment(long_, "nq", texts, "na").select("nq", "na")).distinct()
+    found = met.join(grams.by_shuffle(names), "na").select("nq", "key").distinct()
+    return rows.join(grams.by_shuffle(found), "nq").select("_row.*", "key")
 
 
 def resolve_batch(queries: DataFrame, titles: DataFrame, least: float, k: int = 10) -> DataFrame:
