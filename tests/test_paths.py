@@ -116,8 +116,8 @@ def test_structure(spark):
 
 def test_tables_that_grow_are_not_broadcast(spark):
     """A broadcast table is held by the driver, so no join of identifiers, files or grams has one."""
-    files = spark.createDataFrame([("a1.xml",), ("deep/b12.xml",)], "path string")
-    wanted = spark.createDataFrame([("a1",), ("12",), ("none",)], "wanted_id string")
+    files = spark.range(2).selectExpr("CASE id WHEN 0 THEN 'a1.xml' ELSE 'deep/b12.xml' END AS path")  # of known, small size
+    wanted = spark.range(3).selectExpr("CASE id WHEN 0 THEN 'a1' WHEN 1 THEN '12' ELSE 'none' END AS wanted_id")
     found = paths.resolve(files, wanted, "sarit")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["wanted_id"]: r["path"] for r in found.collect()} == {"a1": "a1.xml", "12": "deep/b12.xml", "none": None}
