@@ -64,7 +64,8 @@ def containment(needles: DataFrame, needle: str, hays: DataFrame, hay: str, scop
 
 def _ranked(rows: DataFrame, rank: DataFrame) -> DataFrame:
     """rows (id, grams) to (id, n, grams): grams by their rank, the rarest first."""
-    each = rows.select("id", F.explode("grams").alias("gram")).join(by_shuffle(rank), "gram")
+    # explode_outer: a filter of the rows with bigrams would compute their texts once more, before they are dealt; nulls meet nothing
+    each = rows.select("id", F.explode_outer("grams").alias("gram")).join(by_shuffle(rank), "gram")
     return each.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
 
 
@@ -74,7 +75,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     A string's bigrams are at most as many as its bytes, so a row's arrays are as long as the string.
     """
     sides = [side.filter("id IS NOT NULL AND s IS NOT NULL").select("id", T.byte_bigrams(F.col("s")).alias("grams")) for side in (left, right)]
-    rank = sides[0].unionByName(sides[1]).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    rank = sides[0].unionByName(sides[1]).select(F.explode_outer("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     one, two = (_ranked(side, rank) for side in sides)
     # of n bigrams, n - ceil(least * n) + 1 can stand before the first that is shared
     first = lambda: F.slice("grams", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))

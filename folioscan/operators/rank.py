@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions import text as T
-from folioscan.operators import grams
+from folioscan.operators import grams, spread
 
 #: Least score of a subsequence, of an alias that holds the query, of a contributor; and what a numeric match adds.
 SUBSEQUENCE, ALIAS, CONTRIBUTOR, NUMERIC = 0.85, 0.95, 0.93, 0.05
@@ -240,13 +240,16 @@ def crosswalk(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def resolve_batch(queries: DataFrame, titles: DataFrame, least: float, k: int = 10) -> DataFrame:
     """queries (query_id, text) and titles (id, title) to the k titles of each query with a byte similarity of least or more:
-    query_id, id, score, place. Normal forms that are equal are compared once."""
-    q = queries.select("query_id", T.normalised(F.coalesce("text", F.lit(""))).alias("_q"))
-    t = titles.select("id", T.normalised(F.coalesce("title", F.lit(""))).alias("_t"))
+    query_id, id, score, place. Normal forms that are equal are compared once, and ranked once: a title stands for its k first ids,
+    and what many queries ask for alike moves as the k best of one text, so neither side's repeats multiply the other's."""
+    q = spread.evenly(queries.select("query_id", "text")).select("query_id", T.normalised(F.coalesce("text", F.lit(""))).alias("_q"))
+    t = spread.evenly(titles.select("id", "title")).select("id", T.normalised(F.coalesce("title", F.lit(""))).alias("_t"))
     pairs = grams.similar(q.select(F.col("_q").alias("id"), F.col("_q").alias("s")).distinct(), t.select(F.col("_t").alias("id"), F.col("_t").alias("s")).distinct(), least)
-    scored = q.join(pairs.withColumnRenamed("a", "_q"), "_q").join(t.withColumnRenamed("_t", "b"), "b").select("query_id", "id", F.round("score", 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k)
+    placed = lambda rows, by, *order: rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("place") <= k)
+    best = F.desc("score"), "id"
+    first = placed(t, "_t", "id").drop("place")
+    ranked = placed(pairs.select(F.col("a").alias("_q"), F.col("b").alias("_t"), F.round("score", 6).alias("score")).join(first, "_t"), "_q", *best).select("_q", "id", "score")
+    return placed(q.join(ranked, "_q").select("query_id", "id", "score"), "query_id", *best)
 
 
 def resolve(spark: SparkSession, per_source: list[DataFrame], limit: int = 10, per_source_limit: int = 5, least: float = LEAST, preferred: str | None = None) -> DataFrame:

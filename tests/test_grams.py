@@ -74,3 +74,17 @@ def test_crosswalk_of_many_names(spark):
     ids = [(i % 5000, f"name{i}") for i in range(100_000)]
     want = {q: {k for k, n in ids if n == nq or (len(nq) >= 6 and (n in nq or nq in n))} for q, nq in ((1, "name77"), (2, "xxname99999yy"))}
     assert got == want
+
+
+def test_a_batch_ranks_equal_texts_once(spark):
+    """The k first ids of a title, then the k best of a text, are found before queries meet them: repeats don't multiply."""
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.concat(F.lit("red ring "), (F.col("id") % 2).cast("string")).alias("text"))
+    titles = spark.range(400).select((399 - F.col("id")).alias("id"), F.concat(F.lit("Red ring "), (F.col("id") % 4).cast("string")).alias("title"))
+    found = rank.resolve_batch(queries, titles, 0.5, 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["place"], r["id"], r["score"]))
+    best = {0: [3, 7, 11], 1: [2, 6, 10]}  # the title with the same number is 399 - id
+    assert got.keys() == set(range(300)) and all(sorted(rows) == [(n + 1, i, 1.0) for n, i in enumerate(best[q % 2])] for q, rows in got.items())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all(f"row_number() windowspecdefinition({by}#" in plan for by in ("_t", "_q", "query_id"))
