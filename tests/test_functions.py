@@ -130,3 +130,17 @@ def test_references_without_a_semicolon_are_text():
     assert markup.visible_text("<title>a &amp;&amp</title><p>b&ampc &lt; &notit; &#65; &</p>") == "a &&amp b&ampc < &notit; A &"
     assert markup.extract_text("<p>a &amp;&ampp{} &lt; &#65;</p>") == "a &&ampp{} < A"
     assert markup.nested_heads("<head>des &amp;&ampp</head>") == ["des &&ampp"]
+
+
+def test_declarations_are_read_up_to_their_end(monkeypatch):
+    """What follows the declarations of characters is not read for them; without any nothing is."""
+    from folioscan.functions import markup
+
+    declared = "<TEI><charDecl><char xml:id='G1'><mapping type='unicode'>u</mapping></char></charDecl>"
+    read, events = [], markup.events
+    monkeypatch.setattr(markup, "events", lambda xml: (read.append(e) or e for e in events(xml)))
+    assert markup.glyphs(declared + "<g ref='#G1'/>" * 1000 + "</TEI>") == {"G1": "u"} and len(read) < 12
+    read.clear()
+    assert markup.glyphs("<p/>" * 1000) == {} and not read
+    later = "<charDecl><char xml:id='G2'><charName>n</charName></char></charDecl>"
+    assert markup.glyphs(declared + "<p>charDecl</p>" + later) == {"G1": "u", "G2": "n"}
