@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folioscan.operators import spread
+
 _DECLARED = re.compile(rb"""encoding\s*=\s*["']([A-Za-z0-9._\-]+)["']""")
 
 #: What each kind of corpus takes: a glob of names, patterns that paths must not match, parts that names must not hold.
@@ -62,9 +63,7 @@ def decode(raw: bytes | None) -> str | None:
         return raw.decode("cp1252", "replace")
 
 
-@F.pandas_udf(StringType())
-def decode_lossy(content: pd.Series) -> pd.Series:
-    return content.map(decode)
+decode_lossy = spread.by_text(decode, StringType())
 
 
 def texts(spark: SparkSession, root: str, corpus: str = "plain") -> DataFrame:
