@@ -146,3 +146,33 @@ def test_archive_ids_and_reader_links(spark):
     parts = spark.createDataFrame([("k 1", "s&t", "p*~", "voltext", "a+é"), ("k", "s", "p", None, "")], "k string, s string, p string, t string, h string")
     links = [r[0] for r in parts.select(hits.reader_link("http://r", *[F.col(c) for c in "kspth"])).collect()]
     assert links == ["http://r?kdb=k%201&voltext=s%26t&page=p%2A~&highlight=a%2B%C3%A9", "http://r?kdb=k&sutra=s&page=p&highlight="]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    """An Arrow batch is ten thousand rows, however long their texts are."""
+    from folioscan.operators import requests
+    from folioscan.plans.registered import QUERIES
+
+    for name in ("decode_bytes", "gaiji_resolve", "tei_plain", "juan_extract"):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan
+    files = spark.createDataFrame([(1, "<lb n='1'/>a"), (2, None), (3, "plain")], "id int, text string")
+    plan = _plan(requests.index(files, "id"))
+    assert plan.count("BatchEvalPython") == 1 and "MapInPandas" not in plan
+    for name in ("fetch_by_marker", "fetch_by_part", "fetch_requests"):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "MapInPandas" not in plan and "_extracted" in plan.split("BatchEvalPython", 1)[1].split("\n")[0]
+
+
+def test_rows_are_dealt_once_before_python_reads_them(spark):
+    """A small file is one task otherwise, and a filter inferred from what is taken apart reads its pages a second time."""
+    from folioscan.plans.registered import QUERIES
+
+    for name, node in (("result_page_hits", "ArrowEvalPython"), ("jozen_details", "ArrowEvalPython"), ("index_cbeta", "MapInPandas"), ("index_sarit", "MapInPandas"), ("index_gretil", "MapInPandas"), ("index_muktabodha", "MapInPandas"), ("page_hits", "posexplode")):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert plan.count(node) == 1 and "RoundRobinPartitioning" in plan.split(node, 1)[1]
+        assert "from_json" not in plan.split("RoundRobinPartitioning", 1)[1]
