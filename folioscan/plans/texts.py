@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import markup, tibetan
 from folioscan.functions import text as T
-from folioscan.operators import fetch, rank, search
+from folioscan.operators import fetch, rank, search, spread
 from folioscan.plans.passages import _plain
 from folioscan.plans.queries import _AROUND, _CANDIDATE, _NORM, PATTERN, _digit, _docs, _t, query
 from folioscan.sources import catalog, hits, readers
@@ -108,7 +108,7 @@ _STEM = "regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '')"
 
 
 def _built(spark, sf_dir, corpus: str, *meta: str, xml: str = _TEI, name: str = _NAME):
-    built = catalog.build(_t(spark, sf_dir, "part").selectExpr(f"{name} AS path", f"{xml} AS text"), corpus)
+    built = catalog.build(spread.evenly(_t(spark, sf_dir, "part")).selectExpr(f"{name} AS path", f"{xml} AS text"), corpus)
     return built.select("id", "title", "path", *[F.col("meta")[k].alias(k) for k in meta])
 
 
