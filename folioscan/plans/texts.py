@@ -211,7 +211,8 @@ _DETAIL = "concat('<a class=\"tnbn_prev\" href=\"?lineno=J', p_partkey, '\">p</a
 @query("jozen_details", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'J0012' ELSE 'JX' END || ' ' || p_name AS header, CASE WHEN p_partkey % 2 = 0 THEN 'J0012' END AS textno, 'J' || p_partkey AS prev, CASE WHEN p_partkey % 3 <> 0 THEN 'N' || p_partkey END AS "next",
 ['J' || p_partkey, 'K'] AS line_ids, '[J' || p_partkey || '] ' || p_type || chr(10) || '[K] ' || p_brand AS content FROM part""")
 def jozen_details(spark, sf_dir):
-    return _part(spark, sf_dir, h=_DETAIL).select("p_partkey", hits.detail_page(F.col("h")).alias("d")).select("p_partkey", "d.header", "d.textno", "d.prev", "d.next", "d.line_ids", "d.content")
+    p = spread.evenly(_t(spark, sf_dir, "part")).select("p_partkey", F.expr(_DETAIL).alias("h"))
+    return p.select("p_partkey", hits.detail_page(F.col("h")).alias("d")).select("p_partkey", "d.header", "d.textno", "d.prev", "d.next", "d.line_ids", "d.content")
 
 
 @query("probe_pages", """WITH c AS (SELECT p_partkey AS pos, 'u' || p_partkey AS url, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS text FROM part ORDER BY p_partkey LIMIT 5)
