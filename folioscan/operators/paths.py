@@ -32,15 +32,16 @@ CONTENTS = "toc|sitemap|tree"
 
 
 def _named(files: DataFrame) -> DataFrame:
-    """path (relative to the corpus), name, stem, ext, folder (the first, null at the root), deep."""
+    """path (relative to the corpus), name, stem, digits (at the stem's end), ext, folder (the first, null at the root), deep."""
     f = files.select("path").filter("path IS NOT NULL").withColumn("_at", F.split("path", "/"))
     f = f.select("path", F.element_at("_at", -1).alias("name"), (F.size("_at") - 1).alias("deep"), F.when(F.size("_at") > 1, F.col("_at")[0]).alias("folder"), F.when(F.size("_at") > 2, F.col("_at")[1]).alias("second"))
-    return f.withColumns({"stem": F.regexp_replace("name", r"(?<=.)\.[^.]*\z", ""), "ext": F.regexp_extract("name", r".\.([^.]*)\z", 1)})
+    f = f.withColumns({"stem": F.regexp_replace("name", r"(?<=.)\.[^.]*\z", ""), "ext": F.regexp_extract("name", r".\.([^.]*)\z", 1)})
+    return f.withColumn("digits", F.regexp_extract("stem", r"([0-9]+)\z", 1))
 
 
 def _number(digits: Column) -> Column:
-    """Null for what isn't a number, or is too large for one."""
-    n = digits.try_cast("bigint")
+    """Null for no digits, or too many. A cast that fails throws inside, which takes longer than all else of a row, so none is left to."""
+    n = F.when(digits.rlike(r"\A[0-9]{1,18}\z"), digits.cast("bigint")).when(digits.rlike(r"\A[0-9]+\z"), digits.try_cast("bigint"))
     return F.when(n <= LAST, n)
 
 
@@ -62,7 +63,9 @@ class _Rules:
 
     def resolve(self, files: DataFrame, wanted: DataFrame) -> DataFrame:
         ids = wanted.select("wanted_id").distinct()
-        asked = ids.select("wanted_id", F.inline(F.filter(F.array(*self.asks), lambda a: F.col("wanted_id").isNotNull() & (F.col("wanted_id") != "") & a["key"].isNotNull())))
+        # plain expressions, here and below, as functions of arrays are interpreted row by row; inline_outer, as a filter of the rows with some would compute them twice
+        asks = ids.filter("wanted_id != ''").select("wanted_id", F.array(*self.asks).alias("_asks"))
+        asked = asks.select("wanted_id", F.inline_outer("_asks")).filter("key IS NOT NULL")
         beginnings = {kind for kind, *_, p in self.offers if p == "start"}
         inside = {kind for kind, *_, p in self.offers if p == "any"}
         # lengths of names: at most NAME numbers for each kind
@@ -72,15 +75,15 @@ class _Rules:
 
         def offered(some: list) -> DataFrame:
             """One pass over the files makes the offers of some rules."""
-            out = []
-            for kind, key, order, scope, part in some:
-                keys = _beginnings(key, lengths[kind]) if part == "start" else F.array(F.concat(scope, key))
-                out.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), order.cast("long").alias("order"))))  # noqa: B023
-            return named.select("path", F.inline(F.concat(*out))).filter("key IS NOT NULL")
+            keys = [F.concat(scope, key) for _, key, _, scope, _ in some]
+            made = named.select("path", *[k.alias(f"_key{i}") for i, k in enumerate(keys)], *[o[2].cast("long").alias(f"_order{i}") for i, o in enumerate(some)])
+            each = [F.struct(F.lit(kind).alias("kind"), k.alias("key"), F.col(f"_order{i}").alias("order")) for i, (kind, *_, part) in enumerate(some) for k in (_beginnings(F.col(f"_key{i}"), lengths[kind]) if part == "start" else [F.col(f"_key{i}")])]
+            return made.select("path", F.array(*each).alias("_offers")).select("path", F.inline_outer("_offers")).filter("key IS NOT NULL")
 
         best = F.min(F.struct("order", "path")).alias("best")
         equal = [o for o in self.offers if o[0] not in inside]
-        hits = asked.join(grams.by_shuffle(offered(equal).groupBy("kind", "key").agg(best)), ["kind", "key"]).select("wanted_id", "prio", "best")
+        # the key goes first, as sorts compare its first bytes at once
+        hits = asked.join(grams.by_shuffle(offered(equal).groupBy("key", "kind").agg(best)), ["key", "kind"]).select("wanted_id", "prio", "best")
         if inside:
             hits = spread.kept(hits)
             scoped = lambda side: [F.concat(F.col("kind"), F.lit("\0"), F.when(F.contains("key", F.lit("\0")), F.split("key", "\0")[0]).otherwise(F.lit(""))).alias(f"{side}_scope"), F.element_at(F.split("key", "\0"), -1).alias(side)]
@@ -95,11 +98,8 @@ class _Rules:
         return ids.join(grams.by_shuffle(found), F.col("wanted_id") == F.col("_id"), "left").select("wanted_id", F.col("found.best.path").alias("path"))
 
 
-def _beginnings(key: Column, lengths: list[int]) -> Column:
-    if not lengths:
-        return F.array().cast("array<string>")
-    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(key))
-    return F.transform(fits, lambda n: F.substring(key, F.lit(1), n))
+def _beginnings(key: Column, lengths: list[int]) -> list[Column]:
+    return [F.when(F.length(key) >= n, F.substring(key, 1, n)) for n in lengths]
 
 
 def _xml(name: Column | None = None) -> Column:
@@ -165,10 +165,9 @@ def _pali() -> _Rules:
     r.offer("start", F.regexp_replace("name", r"\.xml\z", ""), at_root & _xml() & ~F.col("name").rlike(CONTENTS), F.when(F.col("path").contains(".mul."), 0).otherwise(1), parts="start")
     r.offer("stem", F.col("stem"))
     # a stem that ends in digits follows each of its beginnings that leaves digits only
-    digits = F.regexp_extract("stem", r"([0-9]+)\z", 1)
     for cut in range(1, 11):
-        tail = F.expr(f"right(stem, {cut})")
-        r.offer("next", F.expr(f"left(stem, length(stem) - {cut})"), (F.length(digits) >= cut) & _number(tail).isNotNull(), _number(tail))
+        tail = F.when(F.length("digits") >= cut, F.right(F.col("digits"), F.lit(cut)).cast("bigint"))
+        r.offer("next", F.expr(f"left(stem, length(stem) - {cut})"), tail <= LAST, tail)
     rank_ = F.coalesce(_number(F.regexp_extract(F.regexp_replace(F.lower("name"), r"(\.xml)+\z", ""), r"([0-9]+)\z", 1)), F.lit(LAST))
     r.offer("base", F.lower("name"), (F.col("ext") == "xml") & ~listed, rank_, parts="any")
     r.offer("within", F.lower("stem"), F.col("ext") == "xml", parts="any")

@@ -121,3 +121,17 @@ def test_tables_that_grow_are_not_broadcast(spark):
     found = paths.resolve(files, wanted, "sarit")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["wanted_id"]: r["path"] for r in found.collect()} == {"a1": "a1.xml", "12": "deep/b12.xml", "none": None}
+
+
+def test_keys_are_made_by_compiled_expressions(spark):
+    """Casts that fail throw inside, and functions of arrays are interpreted: each made most of the time of a lookup."""
+    files = spark.range(1).selectExpr("'a7.xml' AS path")
+    plan = paths.resolve(files, spark.range(1).selectExpr("'a7' AS wanted_id"), "muktabodha")._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" in plan and "lambdafunction" not in plan
+    names = spark.createDataFrame([("b.xml",), ("n007.xml",), ("n99999999999.xml",), ("n4294967295.xml",), ("n4294967296.xml",)], "path string")
+    numbers = paths._named(names).select("name", paths._number(F.col("digits")).alias("n"))
+    assert "try_cast(regexp_extract" not in numbers._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["name"]: r["n"] for r in numbers.collect()} == {"b.xml": None, "n007.xml": 7, "n99999999999.xml": None, "n4294967295.xml": 4294967295, "n4294967296.xml": None}
+    # the ten digits at the end of a stem count as a number where they are small enough
+    found = paths.resolve(names, spark.createDataFrame([("n",), ("n0",), ("n9",), ("n42949672",)], "wanted_id string"), "tipitaka")
+    assert {r["wanted_id"]: r["path"] for r in found.collect()} == {"n": "n007.xml", "n0": "n007.xml", "n9": "n99999999999.xml", "n42949672": "n4294967295.xml"}
