@@ -112,6 +112,14 @@ def test_lists_of_contents_and_numbered_files(spark):
     assert {r["id"]: r["text"] for r in fetch.with_fallbacks(wanted, texts).collect()} == {"s0404m1.mul.toc": "zero", "t.mul.toc": "twelve", "b.mul": "nine", "c1": "bare", "d.toc": "kept", "e": "raw"}
 
 
+def test_fallbacks_broadcast_nothing(spark):
+    """Identifiers, names and texts grow together; a table that is broadcast is held whole by every task's executor."""
+    texts = spark.range(4).selectExpr("CASE id WHEN 0 THEN 'a.toc' WHEN 1 THEN 'ab' WHEN 2 THEN 'c' ELSE 'c2' END AS id", "CASE id WHEN 1 THEN 'one' WHEN 3 THEN 'two' END AS text", "'<p>raw</p>' AS raw")  # of known, small size
+    found = fetch.with_fallbacks(texts.select("id"), texts)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["text"] for r in found.collect()} == {"a.toc": "one", "ab": "one", "c": "two", "c2": "two"}
+
+
 def test_marker_context_reads_any_quotes(spark):
     xml = "l1\n<lb n='7'/>l2 <b>x</b>\nl3"
     df = spark.createDataFrame([(xml,)], "x string")
