@@ -50,19 +50,25 @@ class _Rules:
 
     def __init__(self):
         self.asks: list[Column] = []
-        self.offers: list[tuple[str, Column, Column, Column, str | None]] = []
+        self.offers: list[tuple[int, Column, Column, Column, str | None]] = []
+        self.kinds: dict[str, int] = {}
+
+    def _code(self, kind: str) -> int:
+        """Rows carry a number in place of a kind's name."""
+        return self.kinds.setdefault(kind, len(self.kinds))
 
     def ask(self, kind: str, key: Column) -> None:
         """Null keys ask for nothing."""
-        self.asks.append(F.struct(F.lit(len(self.asks)).alias("prio"), F.lit(kind).alias("kind"), key.alias("key")))
+        self.asks.append(F.struct(F.lit(len(self.asks)).alias("prio"), F.lit(self._code(kind)).alias("kind"), key.alias("key")))
 
     def offer(self, kind: str, key: Column, when: Column | None = None, order: Column | None = None, parts: str | None = None, scope: Column | None = None) -> None:
         """parts: every part of key ("any") or every beginning ("start") in place of key; scope is put before it."""
         key = key if when is None else F.when(when, key)
-        self.offers.append((kind, key, F.lit(0) if order is None else order, F.lit("") if scope is None else scope, parts))
+        self.offers.append((self._code(kind), key, F.lit(0) if order is None else order, F.lit("") if scope is None else scope, parts))
 
     def resolve(self, files: DataFrame, wanted: DataFrame) -> DataFrame:
-        ids = wanted.select("wanted_id").distinct()
+        # a file of few bytes may hold all identifiers, and one task would tell them apart
+        ids = spread.evenly(wanted.select("wanted_id")).distinct()
         # plain expressions, here and below, as functions of arrays are interpreted row by row; inline_outer, as a filter of the rows with some would compute them twice
         asks = ids.filter("wanted_id != ''").select("wanted_id", F.array(*self.asks).alias("_asks"))
         asked = asks.select("wanted_id", F.inline_outer("_asks")).filter("key IS NOT NULL")

@@ -135,3 +135,12 @@ def test_keys_are_made_by_compiled_expressions(spark):
     # the ten digits at the end of a stem count as a number where they are small enough
     found = paths.resolve(names, spark.createDataFrame([("n",), ("n0",), ("n9",), ("n42949672",)], "wanted_id string"), "tipitaka")
     assert {r["wanted_id"]: r["path"] for r in found.collect()} == {"n": "n007.xml", "n0": "n007.xml", "n9": "n99999999999.xml", "n42949672": "n4294967295.xml"}
+
+
+def test_identifiers_are_dealt(spark):
+    """A file of few bytes may hold all identifiers; they aren't told apart by one task."""
+    ids = spark.range(2).selectExpr("CASE id WHEN 0 THEN 'a7' ELSE 'none' END AS wanted_id")
+    found = paths.resolve(spark.range(1).selectExpr("'a7.xml' AS path"), ids, "muktabodha")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # both where identifiers ask for keys and where they get their paths, besides the files
+    assert plan.count("Repartition ") == 3 and {r["wanted_id"]: r["path"] for r in found.collect()} == {"a7": "a7.xml", "none": None}
