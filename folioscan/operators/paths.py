@@ -98,7 +98,8 @@ class _Rules:
             wanted_parts = asked.filter(F.col("kind").isin(inside)).join(grams.by_shuffle(known), F.col("wanted_id") == F.col("_id"), "left").filter("_prio IS NULL OR _prio > prio").select("wanted_id", "prio", *scoped("needle"))
             # names that are equal are searched once, for the best of their files
             names = offered([o for o in self.offers if o[0] in inside]).groupBy(*scoped("hay")).agg(best)
-            within = grams.containment(spread.kept(wanted_parts), "needle", spread.kept(names), "hay", ("needle_scope", "hay_scope"))
+            # dealt, as the few bytes that are left for parts come together in one task, where their grams are many
+            within = grams.containment(spread.kept(spread.evenly(wanted_parts)), "needle", spread.kept(names), "hay", ("needle_scope", "hay_scope"))
             hits = hits.unionByName(within.select("wanted_id", "prio", "best"))
         found = hits.groupBy(F.col("wanted_id").alias("_id")).agg(F.min(F.struct("prio", "best")).alias("found"))
         return ids.join(grams.by_shuffle(found), F.col("wanted_id") == F.col("_id"), "left").select("wanted_id", F.col("found.best.path").alias("path"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import markup
-from folioscan.operators import fetch, paths, rank, search
+from folioscan.operators import fetch, grams, paths, rank, search
 from folioscan.plans import registry
 from folioscan.sources import hits
 
@@ -144,3 +144,12 @@ def test_identifiers_are_dealt(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # both where identifiers ask for keys and where they get their paths, besides the files
     assert plan.count("Repartition ") == 3 and {r["wanted_id"]: r["path"] for r in found.collect()} == {"a7": "a7.xml", "none": None}
+
+
+def test_parts_are_dealt(spark, monkeypatch):
+    """Identifiers that are left for parts are few bytes, but their grams are many; they aren't taken apart by one task."""
+    given = []
+    inner = grams.containment
+    monkeypatch.setattr(grams, "containment", lambda needles, *rest: given.append(needles.rdd.getNumPartitions()) or inner(needles, *rest))
+    found = paths.resolve(spark.range(1).selectExpr("'sa_xy.xml' AS path"), spark.range(2).selectExpr("CASE id WHEN 0 THEN 'Y' ELSE 'none' END AS wanted_id"), "gretil")
+    assert {r["wanted_id"]: r["path"] for r in found.collect()} == {"Y": "sa_xy.xml", "none": None} and given == [3 * spark.sparkContext.defaultParallelism]
