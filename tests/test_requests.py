@@ -73,6 +73,22 @@ def test_cut_before_or_after_the_marks(spark):
     assert len(answers(spark, row, corpus="tipitaka", marked_up=False, files=[(1, shorter)])[1]["passage"]) == 6008
 
 
+def test_whole_passages(spark, tmp_path):
+    """Without a bound nothing is cut, and fetch_by_part's passages are whole."""
+    from folioscan.plans.registered import QUERIES
+
+    text = "x" * 5995 + " lotus lotus"
+    files = spark.createDataFrame([(1, text)], "id long, text string")
+    asked = spark.createDataFrame([(1, 1, "lotus", 0)], "request_id long, id long, highlight string, start_char int")
+    for most, sizes in ((None, [len(text) + 16] * 3), (100, [100, 100, len(text) + 16])):
+        got = [requests.fetch_requests(asked, files, corpus=c, marked_up=False, most=most).first()["passage"] for c in ("cbeta", "tipitaka", "sarit")]
+        assert [len(p) for p in got] == sizes
+    long = "\n".join(f"line {i} & more" for i in range(2000))
+    spark.createDataFrame([(1, long, "en", "web", len(long)), (2, "short", "en", "web", 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["passage"] for r in QUERIES["fetch_by_part"](spark, str(tmp_path)).collect()}
+    assert got == {1: "\n".join(["Part two", *(f"again {x}" for x in long.split("\n"))]), 2: "Part two\nagain short"}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "request_id long, id long")
     assert requests.fetch_requests(none, spark.createDataFrame([(1, "x")], "id long, text string")).count() == 0
