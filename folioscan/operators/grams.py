@@ -23,6 +23,10 @@ from folioscan.operators import spread
 
 #: Letters of a gram.
 GRAM = 4
+#: Rows, and letters of strings to find, up to which a side is sent to all tasks.
+FEW = 1 << 17
+#: Letters up to which a string is repeated for each of its grams.
+SHORT = 1 << 9
 
 
 def letters(c: Column, n: int) -> Column:
@@ -36,6 +40,11 @@ def by_shuffle(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
+def beside(rows: DataFrame) -> DataFrame:
+    """rows, which are short and stored, as a side of a join: sent to all tasks up to FEW of them, else shuffled."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else by_shuffle(rows)
+
+
 def containment(needles: DataFrame, needle: str, hays: DataFrame, hay: str, scope: tuple[str, str] | None = None) -> DataFrame:
     """The pairs of rows for which hay contains needle, with the columns of both sides (which must differ).
 
@@ -62,6 +71,31 @@ def containment(needles: DataFrame, needle: str, hays: DataFrame, hay: str, scop
     return keyed.join(by_shuffle(offered), "_gram").drop("_gram").join(by_shuffle(held), "_h").drop("_h").filter(F.contains(F.col(hay), F.col(needle)))
 
 
+def few_in_many(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
+    """containment() that moves no string to search in, where those to find have FEW letters in all; else containment() itself.
+
+    Their grams are sent to all tasks, so that of the others' grams only those remain that are asked for. hays are read several
+    times; those above SHORT letters are left to containment(), as a row here is as long as its string.
+    """
+    asked = needles.filter(F.col(needle) != "")
+    if (asked.agg(F.sum(F.length(needle).cast("bigint"))).first()[0] or 0) > FEW:
+        return containment(needles, needle, hays, hay)
+    long_ = hays.filter(F.length(hay) > SHORT)
+    if not long_.isEmpty():
+        return few_in_many(needles, needle, hays.filter(F.length(hay) <= SHORT), hay).unionByName(containment(needles, needle, long_, hay))
+    size = F.least(F.length(needle), F.lit(GRAM))
+    sizes = sorted(r[0] for r in asked.select(size).distinct().collect()) or [GRAM]  # GRAM numbers at most
+    own = F.coalesce(*(F.when(size == n, letters(F.col(needle), n)) for n in sizes))
+    wanted = asked.select(needle, F.explode(own).alias("_gram")).distinct()
+    every = F.concat(*[letters(F.col(hay), n) for n in sizes])
+    offered = hays.filter(F.col(hay) != "").select("*", F.explode(every).alias("_gram"))
+    offered = spread.kept(offered.join(F.broadcast(wanted.select("_gram").distinct()), "_gram", "left_semi"))
+    often = offered.groupBy("_gram").agg(F.count("*").alias("_df"))
+    rarest = wanted.join(by_shuffle(often), "_gram", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_gram")).alias("_r"))
+    keyed = asked.join(by_shuffle(rarest.filter("_r.df > 0").select(needle, F.col("_r._gram").alias("_gram"))), needle)
+    return offered.join(F.broadcast(keyed), "_gram").drop("_gram").filter(F.contains(F.col(hay), F.col(needle)))
+
+
 def _ranked(rows: DataFrame, rank: DataFrame) -> DataFrame:
     """rows (id, grams) to (id, n, grams): grams by their rank, the rarest first."""
     # explode_outer: a filter of the rows with bigrams would compute their texts once more, before they are dealt; nulls meet nothing

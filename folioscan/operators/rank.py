@@ -219,23 +219,58 @@ def resolve_query(spark: SparkSession, query: str, per_source: list[DataFrame],
     return given.unionByName(titles).withColumn("_n", first).filter("_n = 1").orderBy(F.desc("rank_score"), "seq", "id").limit(max(1, limit)).drop("_n", "seq")
 
 
+def _named(asked: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked (nq) and names (key, na), without repeats: (nq, _set) of those that name something, and the distinct (_set, key).
+
+    What texts of one set hold are the same names, so the keys of these are found once for all of them. A set is known by the
+    number of its names and the sums, bit by bit, of 120 bits of their digests; a pair of texts must not come twice for that.
+    """
+    half = lambda at: F.conv(F.substring(F.md5("na"), at, 15), 16, 10).cast("bigint")
+    # a name of many keys is searched once
+    texts = spread.kept(names.select("na").distinct().withColumns({"_a": half(1), "_b": half(16)}))
+    long_ = asked.filter(F.octet_length("nq") >= 6)
+    columns = "nq", "na", "_a", "_b"
+    met = asked.filter(F.octet_length("nq") < 6).join(grams.by_shuffle(texts), F.col("nq") == F.col("na")).select(*columns)
+    met = met.unionByName(grams.few_in_many(texts, "na", long_, "nq").select(*columns))
+    met = met.unionByName(grams.containment(long_, "nq", texts, "na").filter("nq <> na").select(*columns))
+    met = spread.kept(met)
+    summed = met.groupBy("nq").agg(F.count("*").alias("n"), F.bit_xor("_a").alias("a"), F.bit_xor("_b").alias("b"))
+    sets = spread.kept(summed.select("nq", F.struct("n", "a", "b").alias("_set")))
+    # the names of a set are those of one of its texts
+    first = spread.kept(sets.groupBy("_set").agg(F.min("nq").alias("nq")))
+    held = met.select("nq", "na").join(grams.beside(first), "nq").select("_set", "na")
+    return sets, spread.kept(held.join(grams.by_shuffle(names), "na").select("_set", "key").distinct())
+
+
+def _names(aliases: DataFrame) -> DataFrame:
+    return spread.kept(aliases.select("key", "na").filter("na <> ''").distinct())
+
+
 def crosswalk(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """queries (..., nq) and aliases (key, na), both normalised, with the keys of the names that are equal, or hold one another
-    where the query has 6 bytes. Names without letters and numbers name nothing.
+    where the query has 6 bytes. Names without letters and numbers name nothing. Rows that repeat are answered one by one.
 
-    Neither table has a bound: equal names are a join, and the others meet by a gram of the shorter one (grams.containment()).
+    Neither table has a bound: short texts are a join, and the others meet by a gram of the shorter one (grams.few_in_many(),
+    grams.containment()). Keys are put to sets of names, of which there are as many as there are different answers.
     """
-    names = aliases.filter("na <> ''").select("key", "na").distinct()
     columns = queries.columns
-    rows = queries.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])).select("_row", "nq").filter("nq IS NOT NULL")
-    asked = rows.select("nq").distinct()
-    long_ = asked.filter(F.octet_length("nq") >= 6)
-    # a name of many keys is searched once, and keys are put to the pairs of different texts
-    texts = names.select("na").distinct()
-    met = asked.join(grams.by_shuffle(texts), asked["nq"] == texts["na"]).select("nq", "na")
-    met = met.unionByName(grams.containment(texts, "na", long_, "nq").select("nq", "na")).unionByName(grams.containment(long_, "nq", texts, "na").select("nq", "na")).distinct()
-    found = met.join(grams.by_shuffle(names), "na").select("nq", "key").distinct()
-    return rows.join(grams.by_shuffle(found), "nq").select("_row.*", "key")
+    rows = spread.kept(queries.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])).select("_row", "nq").filter("nq IS NOT NULL"))
+    sets, keys = _named(spread.kept(rows.select("nq").distinct()), _names(aliases))
+    return rows.join(grams.by_shuffle(sets), "nq").join(grams.beside(keys), "_set").select("_row.*", "key")
+
+
+def crosswalk_distinct(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """queries (id, nq) and aliases (key, na) to the distinct (id, key) of crosswalk(), whose rows aren't shuffled for that: only
+    ids with several texts that hold different names are made distinct after their keys are known."""
+    rows = spread.kept(queries.select("id", "nq").filter("nq IS NOT NULL").distinct())
+    sets, keys = _named(spread.kept(rows.select("nq").distinct()), _names(aliases))
+    asked = spread.kept(rows.join(grams.by_shuffle(sets), "nq").select("id", "_set"))
+    ids = spread.kept(asked.groupBy("id").agg(F.min("_set").alias("_set"), F.max("_set").alias("_last")))
+    put = grams.beside(keys)
+    one = ids.filter("_set = _last").select("id", "_set").join(put, "_set").select("id", "key")
+    several = ids.filter("_set <> _last").select(F.col("id").alias("_id"))
+    more = asked.join(grams.by_shuffle(several), F.col("id").eqNullSafe(F.col("_id"))).select("id", "_set").distinct()
+    return one.unionByName(more.join(put, "_set").select("id", "key").distinct())
 
 
 def resolve_batch(queries: DataFrame, titles: DataFrame, least: float, k: int = 10) -> DataFrame:

@@ -216,6 +216,7 @@ def resolve_batch(spark, sf_dir):
 SELECT DISTINCT c_custkey, key FROM q JOIN n ON na <> '' AND (na = nq OR (strlen(nq) >= 6 AND (contains(na, nq) OR contains(nq, na))))""")
 def crosswalk_names(spark, sf_dir):
     """Names of any number, held against what each customer asks for in both directions."""
-    q = _t(spark, sf_dir, "customer").select("c_custkey", T.normalised(F.expr(_CALLED)).alias("nq"))
-    names = _t(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("key"), T.normalised(F.expr("substr(p_name, 1, cast(3 + p_partkey % 9 AS int))")).alias("na"))
-    return rank.crosswalk(q, names).select("c_custkey", "key").distinct()
+    q = spread.evenly(_t(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_CALLED} AS called")).select(F.col("c_custkey").alias("id"), T.normalised(F.col("called")).alias("nq"))
+    called = spread.evenly(_t(spark, sf_dir, "part").selectExpr("p_partkey % 400 AS key", "substr(p_name, 1, cast(3 + p_partkey % 9 AS int)) AS called").distinct())
+    names = called.select("key", T.normalised(F.col("called")).alias("na"))
+    return rank.crosswalk_distinct(q, names).select(F.col("id").alias("c_custkey"), "key")

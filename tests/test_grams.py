@@ -76,6 +76,45 @@ def test_crosswalk_of_many_names(spark):
     assert got == want
 
 
+def test_few_strings_in_many(spark, monkeypatch):
+    """Rows that repeat are answered one by one, whatever their lengths and the number of letters to find."""
+    needles, hays = [*made(6, 40), None, "", "abab", "abab"], [*made(7, 80), None, "", "abab", "abab", "c" * 700 + "abab", "ab" * 600]
+    a = spark.createDataFrame(list(enumerate(needles)), "i int, needle string")
+    b = spark.createDataFrame(list(enumerate(hays)), "j int, hay string")
+    want = sorted((i, j) for (i, x), (j, y) in itertools.product(enumerate(needles), enumerate(hays)) if x and y and x in y)
+    for few in (grams.FEW, 5):
+        monkeypatch.setattr(grams, "FEW", few)
+        assert sorted((r["i"], r["j"]) for r in grams.few_in_many(a, "needle", b, "hay").collect()) == want
+        assert grams.few_in_many(a.limit(0), "needle", b, "hay").count() == 0 and grams.few_in_many(a, "needle", b.limit(0), "hay").count() == 0
+
+
+def test_distinct_keys_of_a_crosswalk(spark, monkeypatch):
+    """Ids and keys may be null or repeat, texts of one id may name different keys; each pair comes once."""
+    texts, called = [*made(8, 60), None, "", "abcabcabc", "abcabcabc"], [*made(9, 60), None, "", "abcabcabc"]
+    queries = [(i % 25 if i % 9 else None, t) for i, t in enumerate(texts)]
+    names = [(k % 7 if k % 8 else None, t) for k, t in enumerate(called * 2)]
+    q, n = spark.createDataFrame(queries, "id int, nq string"), spark.createDataFrame(names, "key int, na string")
+    meets = lambda x, y: bool(x and y) and (x == y or len(x.encode()) >= 6 and (x in y or y in x))
+    pairs = [(i, k) for i, x in queries for k, y in names if meets(x, y)]
+    key = lambda r: tuple(map(str, r))
+    for few in (grams.FEW, 5):
+        monkeypatch.setattr(grams, "FEW", few)
+        assert sorted((tuple(r) for r in rank.crosswalk_distinct(q, n).collect()), key=key) == sorted(set(pairs), key=key)
+        # a row's keys are distinct, and rows that repeat are answered one by one
+        each = [(i, k) for i, x in queries for k in {b[0] for b in names if meets(x, b[1])}]
+        assert sorted((tuple(r) for r in rank.crosswalk(q, n).select("id", "key").collect()), key=key) == sorted(each, key=key)
+    assert rank.crosswalk_distinct(q.limit(0), n).count() == 0 and rank.crosswalk_distinct(q, n.limit(0)).count() == 0
+
+
+def test_rows_of_a_crosswalk_are_not_shuffled(spark):
+    """Each customer has hundreds of keys: what is made distinct is what they are asked by, not the rows."""
+    from folioscan.plans.registered import QUERIES
+
+    plan = QUERIES["crosswalk_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = plan.split("BroadcastHashJoin", 1)[0]
+    assert "Union" in rows and "Aggregate" not in rows and "Exchange" not in rows
+
+
 def test_a_batch_ranks_equal_texts_once(spark):
     """The k first ids of a title, then the k best of a text, are found before queries meet them: repeats don't multiply."""
     queries = spark.range(300).select(F.col("id").alias("query_id"), F.concat(F.lit("red ring "), (F.col("id") % 2).cast("string")).alias("text"))
